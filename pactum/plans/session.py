@@ -55,3 +55,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that they can import it wherever they run."""
+    import shutil
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    stem = os.path.join(tempfile.mkdtemp(prefix="spark-"), "pactum_package")
+    context.addPyFile(shutil.make_archive(stem, "zip", os.path.dirname(package), os.path.basename(package)))
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
