@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..plans.session import table
+from ..plans.session import map_arrow, table
 
 PIECES_KEPT = 250_000
 LONG_PIECE = 64
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[str,
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in out.fields])
 
     source = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    return source.mapInArrow(run, out)
+    return map_arrow(source, run, out)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -345,7 +345,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[s
                 [*(batch.column(c) for c in keep), pa.array(texts, pa.binary())], [f.name for f in out.fields]
             )
 
-    return encoded.select(*keep, "ids").mapInArrow(run, out)
+    return map_arrow(encoded.select(*keep, "ids"), run, out)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

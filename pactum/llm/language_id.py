@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import table
+from ..plans.session import map_arrow, table
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 160_000
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     names,
                 )
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def fit_on(docs: DataFrame) -> Model:

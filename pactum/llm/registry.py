@@ -5,18 +5,28 @@ from __future__ import annotations
 from .byte_bpe import op1_byte_bpe
 from .exact_dedup import SQL_OP7, op7_exact_dedup
 from .fingerprints import op2_fingerprints
+from .jaccard_join import op3_jaccard_join
 from .language_id import op6_language_id
+from .licenses import SQL_OP10, op10_licenses
+from .lm_scores import op5_lm_scores
+from .mixing import op8_source_mixing
 from .secrets import op4_secrets
+from .token_shards import op9_token_shards
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fingerprints": op2_fingerprints,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_secrets": op4_secrets,
+    "op5_lm_scores": op5_lm_scores,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_token_shards": op9_token_shards,
+    "op10_licenses": op10_licenses,
 }
 
-SQL = {"op7_exact_dedup": SQL_OP7}
+SQL = {"op7_exact_dedup": SQL_OP7, "op10_licenses": SQL_OP10}
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.session import table
+from ..plans.session import map_arrow, table
 
 
 @dataclass(frozen=True)
@@ -265,7 +265,7 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kinds)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
@@ -296,7 +296,7 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int =
                 ["doc_id", *(f"n_{k}" for k in named), "base_sha256", "spans"],
             )
 
-    return find_spans(docs, rules).mapInArrow(run, schema)
+    return map_arrow(find_spans(docs, rules), run, schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
