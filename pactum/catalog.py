@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import snapshots
+from .queries import contracts, merges, snapshots
 
-MODULES = (snapshots,)
+MODULES = (snapshots, merges, contracts)
 
 
 def queries() -> dict:
