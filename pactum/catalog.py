@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import contracts, merges, snapshots
+from .queries import contracts, derivations, merges, routines, snapshots
 
-MODULES = (snapshots, merges, contracts)
+MODULES = (snapshots, merges, contracts, derivations, routines)
 
 
 def queries() -> dict:
