@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize, table
@@ -83,21 +83,18 @@ def dedup_report(docs: DataFrame, hash128: Callable[[Column, Column], Column] =
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; a repeated kept row stays once."""
-    kept = dedup_report(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    own = docs.withColumn("_dedup_sha", F.sha2(normalised(F.col("text")), 256)).withColumn(
-        "_dedup_len", F.length(F.coalesce("text", F.lit("")))
-    )
-    on = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["_dedup_sha"] == kept["text_sha256"])
-    # A repeat of the kept id may be shorter: keep the longest, and one of identical rows.
-    joined = own.join(kept, on, "left_semi")
-    repeats = (
-        joined.groupBy("doc_id", "_dedup_sha").agg(F.max("_dedup_len").alias("_most"), F.count(F.lit(1)).alias("_n"))
-    ).filter("_n > 1")
-    if repeats.isEmpty():
-        return joined.drop("_dedup_sha", "_dedup_len")
-    return (
-        joined.orderBy(F.col("_dedup_len").desc()).dropDuplicates(["doc_id", "_dedup_sha"]).drop("_dedup_sha", "_dedup_len")
+    kept = dedup_report(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
+    own = docs.select(
+        "doc_id",
+        F.sha2(normalised(F.col("text")), 256).alias("_sha"),
+        F.length(F.coalesce("text", F.lit(""))).alias("_len"),
+        F.struct(*docs.columns).alias("_row"),
     )
+    joined = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["_sha"] == kept["_sha"]), "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        longest = Window.partitionBy("doc_id", "_sha").orderBy(F.col("_len").desc())
+        joined = joined.withColumn("_n", F.row_number().over(longest)).filter("_n = 1")
+    return joined.select("_row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

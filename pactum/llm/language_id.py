@@ -213,10 +213,15 @@ def fit(sample: list[tuple[str, int, str]], chars: int = SAMPLE_CHARS, symbols:
 _models: dict = {}
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(
+    docs: DataFrame,
+    model: Model,
+    keep: tuple[str, ...] = ("doc_id",),
+    named: tuple[str, str, str] = ("lang_pred", "score", "bits"),
+) -> DataFrame:
     """``keep`` columns and lang_pred, score, bits. The broadcast model is bounded by SAMPLE_CHARS and SYMBOLS."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
+    schema = docs.select(*keep).schema.add(named[0], "string").add(named[1], "double").add(named[2], "double")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +255,15 @@ def fit_on(docs: DataFrame) -> Model:
     return fit([tuple(r) for r in training_sample(docs).collect()])
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns."""
+    names = ["lang_pred", "score", "bits"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    found = predict(docs, fit_on(docs), tuple(docs.columns), tuple(names))
+    return found.filter(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     found = predict(docs, fit_on(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")
