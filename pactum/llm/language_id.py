@@ -108,16 +108,18 @@ def suffix_automaton(text) -> list[dict[int, int]]:
 
 
 def phrase_table(moves: list[dict[int, int]], n_symbols: int):
-    """A dense table over (state * n_symbols + symbol): (next state * n_symbols) * 2, plus 1 where a phrase ends
-    before the symbol and the next begins with it."""
+    """A dense table over (state * n_symbols + symbol): (next state * n_symbols) * 4, plus the phrases that end there:
+    one where the next phrase begins with the symbol, and one more where the symbol is unknown and a phrase by
+    itself."""
     import numpy as np
 
     start = moves[0]
-    restart = np.array([start.get(s, 0) * n_symbols * 2 + 1 for s in range(n_symbols)], np.int32)
+    restart = np.array([start[s] * n_symbols * 4 + 1 if s in start else 2 for s in range(n_symbols)], np.int32)
     out = np.tile(restart, (len(moves), 1))
+    out[0, restart == 2] = 1  # no phrase is open at the start
     for state, own in enumerate(moves):
         for s, to in own.items():
-            out[state, s] = to * n_symbols * 2
+            out[state, s] = to * n_symbols * 4
     return out.reshape(-1)
 
 
@@ -145,9 +147,9 @@ class Model:
                 if not m:
                     break
                 hit = moves[state[:m] + by_step[step, :m]]
-                count[:m] += hit & 1
-                state[:m] = hit >> 1
-            counts[k, order] = count + (lengths > 0)  # the phrase that is open at the end
+                count[:m] += hit & 3
+                state[:m] = hit >> 2
+            counts[k, order] = count + (state > 0)  # the phrase that is open at the end
         return counts
 
     def predict(self, texts: list[str | None], cleaner: Cleaner):
