@@ -30,11 +30,12 @@ def fold_feed(feed: DataFrame, key: str, ordinal: str, op: str = "op", initial:
     depends on the key's last insert, delete or truncate only, so windows per key do without a fold.
     """
     payload = [c for c in feed.columns if c not in (key, ordinal, op)]
-    last_truncate = feed.filter(F.col(op) == "truncate").agg(F.max(ordinal).alias("_cut"))
+    cut = feed.filter(F.col(op) == "truncate").agg(F.max(ordinal)).first()[0]
     rows = feed.filter(F.col(op) != "truncate").select(key, F.col(ordinal).cast("long").alias("_ord"), F.col(op).alias("_op"), *payload)
     if initial is not None:
         rows = rows.unionByName(initial.select(key, F.lit(-1).cast("long").alias("_ord"), F.lit("insert").alias("_op"), *payload))
-    rows = rows.join(F.broadcast(last_truncate)).filter(F.col("_cut").isNull() | (F.col("_ord") > F.col("_cut"))).drop("_cut")
+    if cut is not None:
+        rows = rows.filter(F.col("_ord") > cut)
     before = Window.partitionBy(key).orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
     toggle = F.last(F.when(F.col("_op").isin("insert", "delete"), F.col("_op")), ignorenulls=True).over(before)
     marked = rows.withColumn("_there", F.coalesce(toggle == "insert", F.lit(False)))
