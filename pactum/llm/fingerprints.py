@@ -106,8 +106,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     runs = materialize(rows.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")), "runs").select("_run")
     tails = rows.groupBy("_run").agg(F.max_by("_text", F.struct("_ord", "_tie")).alias("_tail"))
     order = _previous(runs, "_run", 64 - BUCKET_BITS)
-    top = runs.agg(F.max("_run").alias("_top"))
-    order = order.join(F.broadcast(top)).select("_run", F.coalesce("_prev", "_top").alias("_prev"))
+    top = F.lit(runs.agg(F.max("_run")).first()[0]).cast("bigint")
+    order = order.select("_run", F.coalesce("_prev", top).alias("_prev"))
     before = order.join(tails.withColumnRenamed("_run", "_prev"), "_prev").select("_run", "_tail")
     near = F.lag("_text").over(Window.partitionBy("_run").orderBy("_ord", "_tie"))
     return (
