@@ -5,8 +5,9 @@ the index. The index lists every shingle of a set's prefix, under one global ord
 many documents come last, the rest in the order of their hashes. Two sets that reach the threshold share a prefix
 shingle whatever the order is, so the sample only decides how long the lists get, never the result.
 
-1. Answers of one set per list. Every list's smallest id is its pivot; each member is compared with its pivot, and
-   the links give first components. Lists of near copies end here: their members are in one component.
+1. Answers of one set per list. Every list's smallest id is its pivot; each member whose size and position allow it
+   is compared with its pivot, and the links give first components. Lists of near copies end here: their members are
+   in one component.
 2. Answers derived from those. Members of different components of one list are paired only if the block (band of
    set sizes) and the positions of the shingle allow it, and if the two known overlaps with the common pivot p do:
    |x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|). What is left is compared exactly.
@@ -32,7 +33,7 @@ from ..plans.session import map_arrow, materialize, table
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
 SAMPLE_ONE_IN = 16
-SAMPLE_FREQUENT = 4
+SAMPLE_FREQUENT = 2
 FILTER_BITS = 26  # bit filters sent to the workers: 8 MB each, whatever the input
 WORDS_KEPT = 300_000
 
@@ -81,10 +82,10 @@ def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
         df.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, CAST({column} & 63 AS int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out.tobytes()
 
 
@@ -209,65 +210,125 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def _postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, id, n, pos) of the class ids, for tokens of two or more lists only.
+
+    Most prefix tokens occur once. A first count over 32 bits of each token finds those that may occur twice; only
+    they are dealt out whole, and the exact lists come from those.
+    """
+    entries = rows.filter("n > 0 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token")
+    )
+    short = entries.select(F.expr("CAST(token & 2147483647 AS int)").alias("h")).groupBy("h").count()
+    twice = bit_filter(short.filter("count > 1").select(F.col("h").cast("long").alias("h")), "h")
+    shared = rows.sparkSession.sparkContext.broadcast(twice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            lists = batch.column("prefix")
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+            at = np.flatnonzero(in_filter(shared.value, tokens.view(np.uint64) & np.uint64(0x7FFFFFFF)))
+            owner = np.searchsorted(ends, at, side="right")
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(tokens[at]),
+                    batch.column("doc_id").take(take),
+                    batch.column("n").take(take),
+                    pa.array((at - starts[owner]).astype(np.int32)),
+                ],
+                ["token", "id", "n", "pos"],
+            )
+
+    own = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "prefix")
+    kept = map_arrow(own, run, "token bigint, id bigint, n bigint, pos int")
+    kept = materialize(kept.join(classes.select("id"), "id", "left_semi").distinct(), "postings")
+    lists = kept.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1")
+    return materialize(kept.join(lists.select("token", "pivot"), "token"), "lists")
+
+
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): rows (doc_id, n, sig); classes (sig, id); links (x, y) between class ids that connect
     exactly what the threshold connects."""
     rows = materialize(prefixes(docs, frequent_filter(docs)), "prefixes")
-    # Many rows have the same digest only if they are copies, which the map side merges.
     classes = materialize(
-        rows.filter("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("sig")
-        .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
-        "classes",
+        rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("id")), "classes"
     )
-    postings = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = materialize(
-        postings.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"))
-        .filter("members > 1")
-        .select("token", "pivot"),
-        "lists",
+    lists = _postings(rows, classes)
+    pivots = lists.filter("id = pivot").select("token", F.col("n").alias("np"), F.col("pos").alias("pp"))
+    first = materialize(
+        lists.filter("id <> pivot")
+        .join(pivots, "token")
+        .filter(_possible("n", "pos", "np", "pp"))
+        .select(F.col("id").alias("x"), F.col("pivot").alias("y"))
+        .distinct(),
+        "pairs",
     )
-    shared = materialize(postings.join(lists, "token"), "shared")
-    first = materialize(shared.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct(), "pairs")
-    sets = materialize(shingle_sets(docs, bit_filter(first.select("x").union(first.select("y")).distinct(), "x")), "sets")
-    ids = first.select(F.col("x").alias("id")).union(first.select("y")).distinct()
-    sets = materialize(sets.join(ids, "id").dropDuplicates(["id"]), "sets")
-    answers = materialize(compared(first, sets), "answers")
+    ends = first.select("x").union(first.select("y")).distinct()
+    answers = materialize(_exact(docs, first, ends), "answers")
     links = answers.filter(linked()).select("x", "y")
     comp = components(links)
 
+    # What each member is known to have in common with its list's pivot, and beyond it, at most.
     known = answers.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "overlap")
     told = (
-        shared.join(comp, "id", "left")
+        lists.join(comp, "id", "left")
         .withColumn("comp", F.coalesce("comp", "id"))
         .join(known, ["id", "pivot"], "left")
-        .withColumn("overlap", F.coalesce("overlap", "n"))  # a pivot with itself
+        .withColumn("within", F.coalesce("overlap", "n"))
+        .withColumn("beyond", F.when(F.col("id") == F.col("pivot"), 0).otherwise(F.col("n") - F.coalesce("overlap", F.lit(0))))
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))))
+        .drop("overlap")
     )
-    mixed = told.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
+    # Two members of the pivot's own component need no comparison, so one of a pair is always an outsider.
+    own = comp.select(F.col("id").alias("pivot"), F.col("comp").alias("home"))
+    told = told.join(own, "pivot", "left").withColumn("outside", F.col("comp") != F.coalesce("home", "pivot"))
+    mixed = told.filter("outside").select("token").distinct()
     told = materialize(told.join(mixed, "token"), "told")
-    small = told.select(
-        *(F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "comp", "overlap")),
+    columns = ("id", "n", "pos", "comp", "within", "beyond", "outside")
+    one = told.filter("outside").select(
+        *(F.col(c).alias(f"{c}1") for c in columns),
         "token",
-        F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
+        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
     )
-    large = told.select(*(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp", "overlap")), "token", "band")
-    a, b = THRESHOLD
-    least = f"ceil({a} * (n1 + n2) / {a + b}D - 1e-9)"
-    possible = F.expr(
-        f"comp1 <> comp2 AND (n1 < n2 OR n1 = n2 AND id1 < id2) AND {b} * n1 >= {a} * n2 "
-        f"AND least(n1 - pos1, n2 - pos2) >= {least} "
-        f"AND least(overlap1, overlap2) + least(n1 - overlap1, n2 - overlap2) >= {least}"
+    other = told.select(*(F.col(c).alias(f"{c}2") for c in columns), "token", "band")
+    apart = F.expr(
+        "comp1 <> comp2 AND (NOT outside2 OR id1 < id2) "
+        f"AND least(within1, within2) + least(beyond1, beyond2) >= {_least('n1', 'n2')}"
     )
-    rest = small.join(large, ["token", "band"]).filter(possible).select(F.col("id1").alias("x"), F.col("id2").alias("y"))
-    rest = materialize(rest.distinct(), "pairs")
+    rest = one.join(other, ["token", "band"]).filter(apart & _possible("n1", "pos1", "n2", "pos2"))
+    rest = rest.select(F.least("id1", "id2").alias("y"), F.greatest("id1", "id2").alias("x")).distinct()
+    rest = materialize(rest.join(first, ["x", "y"], "left_anti"), "pairs")
     if rest.isEmpty():
         return rows, classes, links
-    more = materialize(compared(rest, sets).filter(linked()).select("x", "y"), "links")
+    ends = rest.select("x").union(rest.select("y")).distinct()
+    more = materialize(_exact(docs, rest, ends).filter(linked()).select("x", "y"), "links")
     return rows, classes, links.union(more)
 
 
+def _least(a: str, b: str) -> str:
+    """SQL for the smallest overlap that links sets of sizes a and b."""
+    return f"ceil({THRESHOLD[0]} * ({a} + {b}) / {sum(THRESHOLD)}D - 1e-9)"
+
+
+def _possible(a: str, pos_a: str, b: str, pos_b: str) -> F.Column:
+    """Whether sets of sizes a and b that first meet at these 0-based positions can reach the threshold."""
+    return F.expr(
+        f"{THRESHOLD[1]} * least({a}, {b}) >= {THRESHOLD[0]} * greatest({a}, {b}) "
+        f"AND least({a} - {pos_a}, {b} - {pos_b}) >= {_least(a, b)}"
+    )
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The overlaps of ``pairs`` from whole sets; only the documents in ``ends`` are read into sets."""
+    sets = materialize(shingle_sets(docs, bit_filter(ends, "x")), "sets")
+    return compared(pairs, sets).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("nx", "ny", "overlap")))
+
+
 def component_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows, classes, links = near_links(docs)
