@@ -7,7 +7,7 @@ shards, one Parquet row each:
     n_null, n_docs rows without an id (they come first), and all rows
     first, last    smallest and largest id
     n_ids          ids in the payload
-    ids            raw payload, little-endian unsigned integers of ``width`` bytes
+    ids            raw payload, unsigned integers of ``width`` bytes, little-endian as the workers' machines are
     starts         little-endian uint32, where each document begins in the payload
     keys           little-endian int64, the distinct ids in order
     index          minimal perfect hash: levels of bit arrays, then for each slot a 32-bit fingerprint of its key,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ from ..plans.session import map_arrow, materialize, table
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 GAMMA = 2
 SHARD_SCHEMA = (
     "part int, seq int, n_null int, n_docs int, first bigint, last bigint, n_ids bigint, width int, "
@@ -139,54 +140,106 @@ class PerfectHash:
         return cls(levels, *(np.frombuffer(raw, "<u4", k, at + 4 * k * i) for i in range(3)))
 
 
+class _Uneven(Exception):
+    """White space beside white space, or at the edge of a text: the text is encoded in one piece."""
+
+
 class WordEncoder:
-    """Whole texts to ids with a tokenizers model whose pre-tokeniser never joins across a single space.
+    """Whole texts to ids with a byte-level tokenizers model whose pre-tokeniser never joins across a single space
+    or newline.
 
-    A text is cut before every single space that has non-white-space on both sides, and the parts the worker has
-    not met are encoded together. Texts that hold an added token or other white space beside a space are encoded
-    in one piece.
+    A text is cut before every single space or newline that has non-white-space on both sides. A part that the worker
+    has not met goes through the library; a plain Latin word, with or without one mark after it, needs only its
+    model, as the pre-tokeniser would give that word and that mark. Texts that hold an added token or other white
+    space are encoded in one piece.
     """
 
+    MARKS = ",.;:!?"  # not the apostrophe, which can begin a longer piece
+    PROBES = ("thing", " thing", "Über", " señor", "éclat")
+
     def __init__(self, model_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model_json)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        kind = f"<u{self.width}"
-        return [
-            np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.byte_names = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+        self.space = chr(self.byte_names[0x20])
+        self.direct = all(self._piece(p) == self._text(p) for p in self.PROBES)
+        self.marks = {m: self._text(m) for m in self.MARKS}
+        self.newline = self._text("\n")
+
+    def _text(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            named = piece.replace(" ", self.space)
+        else:
+            named = piece.encode().decode("latin-1").translate(self.byte_names)
+        return array(self.kind, [t.id for t in self.model.tokenize(named)]).tobytes()
+
+    def _plain(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < "\u0250") and self.direct
+
+    def _part(self, lead: str, word: str) -> bytes:
+        core, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
+        if self._plain(core):
+            found = (self.known.get(core) or self.old.get(core)) if lead else None
+            if found is None:
+                found = self._piece(lead + core)
+                if lead and mark:
+                    self.known[core] = found
+            return found + mark
+        return self._text(lead + word)
+
+    def _new(self, word: str) -> bytes:
+        """A word that is not known; a newline before it stands for itself, otherwise there is a space."""
+        found = self.old.get(word)
+        if found is None:
+            if self._plain(word):
+                found = self._piece(" " + word)
+            else:
+                after_newline = word[:1] == "\n"
+                bare = word[1:] if after_newline else word
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    raise _Uneven
+                found = self.newline + self._part("", bare) if after_newline else self._part(" ", bare)
+        if len(word) <= 64:
+            self.known[word] = found
+        return found
+
+    def one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if any(a in text for a in self.added):
+            return self._text(text)
+        known = self.known
+        if len(known) > WORDS_KEPT:
+            self.old, self.known = known, {}
+            known = self.known
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            if not first or first[0].isspace() or first[-1].isspace():
+                raise _Uneven
+            long = {w: self._new(w) for w in set(rest).difference(known)}
+            start = self._part("", first)
+            if len(long) and any(len(w) > 64 for w in long):
+                return start + b"".join(known.get(w) or long[w] for w in rest)
+            return start + b"".join(map(known.__getitem__, rest))
+        except _Uneven:
+            return self._text(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        if len(self.known) > WORDS_KEPT:
-            self.old, self.known = self.known, {}
-        known = self.known
-        for text in texts:
-            words = text.split(" ")
-            even = not (words[0][-1:] or " ").isspace() and not any(a in text for a in self.added)
-            fresh = {w for w in words[1:] if w not in known} if even else ()
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in fresh):
-                even = False
-            cut.append(words if even else None)
-            if even:
-                for w in fresh:
-                    if w in self.old:
-                        known[w] = self.old[w]
-                    else:
-                        missing[w] = None
-        known.update(zip(missing, self._ids([" " + w for w in missing]), strict=True))
-        firsts = self._ids([w[0] if w else t for w, t in zip(cut, texts, strict=True)])
-        return [f + b"".join(map(known.__getitem__, w[1:])) if w else f for f, w in zip(firsts, cut, strict=True)]
+        return [self.one(t) for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
