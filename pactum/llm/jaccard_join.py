@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import map_arrow, materialize, table
+from ..plans.session import discard, map_arrow, materialize, table
 
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
@@ -198,14 +198,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .groupBy(F.col("x").alias("id"))
             .agg(F.min("comp").alias("near"))
         )
-        lower = labels.join(near, "id").select("id", "comp", F.least("comp", "near").alias("low"))
+        lower = labels.select("id", "comp").join(near, "id").select("id", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("jump"))
         after = materialize(
             lower.join(jump, "low").select("id", F.least("low", "jump").alias("comp"), F.col("comp").alias("before")),
             "comp",
         )
-        labels = after.select("id", "comp")
+        discard(labels)
+        labels = after
         if after.filter("comp <> before").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError("the components did not settle")
 
@@ -248,17 +250,21 @@ def _postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
     kept = map_arrow(own, run, "token bigint, id bigint, n bigint, pos int")
     kept = materialize(kept.join(classes.select("id"), "id", "left_semi").distinct(), "postings")
     lists = kept.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1")
-    return materialize(kept.join(lists.select("token", "pivot"), "token"), "lists")
+    found = materialize(kept.join(lists.select("token", "pivot"), "token"), "lists")
+    discard(kept)
+    return found
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): rows (doc_id, n, sig); classes (sig, id); links (x, y) between class ids that connect
     exactly what the threshold connects."""
-    rows = materialize(prefixes(docs, frequent_filter(docs)), "prefixes")
+    full = materialize(prefixes(docs, frequent_filter(docs)), "prefixes")
+    rows = materialize(full.select("doc_id", "n", "sig"), "digests")
     classes = materialize(
         rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("id")), "classes"
     )
-    lists = _postings(rows, classes)
+    lists = _postings(full, classes)
+    discard(full)
     pivots = lists.filter("id = pivot").select("token", F.col("n").alias("np"), F.col("pos").alias("pp"))
     first = materialize(
         lists.filter("id <> pivot")
@@ -269,7 +275,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "pairs",
     )
     ends = first.select("x").union(first.select("y")).distinct()
-    answers = materialize(_exact(docs, first, ends), "answers")
+    answers = _exact(docs, first, ends)
     links = answers.filter(linked()).select("x", "y")
     comp = components(links)
 
@@ -289,6 +295,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     told = told.join(own, "pivot", "left").withColumn("outside", F.col("comp") != F.coalesce("home", "pivot"))
     mixed = told.filter("outside").select("token").distinct()
     told = materialize(told.join(mixed, "token"), "told")
+    discard(lists, comp)
     columns = ("id", "n", "pos", "comp", "within", "beyond", "outside")
     one = told.filter("outside").select(
         *(F.col(c).alias(f"{c}1") for c in columns),
@@ -303,10 +310,12 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rest = one.join(other, ["token", "band"]).filter(apart & _possible("n1", "pos1", "n2", "pos2"))
     rest = rest.select(F.least("id1", "id2").alias("y"), F.greatest("id1", "id2").alias("x")).distinct()
     rest = materialize(rest.join(first, ["x", "y"], "left_anti"), "pairs")
+    discard(told, first)
     if rest.isEmpty():
         return rows, classes, links
     ends = rest.select("x").union(rest.select("y")).distinct()
-    more = materialize(_exact(docs, rest, ends).filter(linked()).select("x", "y"), "links")
+    more = _exact(docs, rest, ends).filter(linked()).select("x", "y")
+    discard(rest)
     return rows, classes, links.union(more)
 
 
@@ -326,7 +335,10 @@ def _possible(a: str, pos_a: str, b: str, pos_b: str) -> F.Column:
 def _exact(docs: DataFrame, pairs: DataFrame, ends: DataFrame) -> DataFrame:
     """The overlaps of ``pairs`` from whole sets; only the documents in ``ends`` are read into sets."""
     sets = materialize(shingle_sets(docs, bit_filter(ends, "x")), "sets")
-    return compared(pairs, sets).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("nx", "ny", "overlap")))
+    found = compared(pairs, sets).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("nx", "ny", "overlap")))
+    found = materialize(found, "answers")
+    discard(sets)
+    return found
 
 
 def component_report(docs: DataFrame) -> DataFrame:
