@@ -1,38 +1,47 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in hash order, are cut into blocks of ``block_rows``. With weight w, the source's j-th block
-(from 1) is released at slot floor((j - 1) / w) and due by slot ceil(j / w); every slot takes the released block that
-is due first. A source is then never a whole block ahead of or behind its weight.
+Each source's documents, in hash order, are cut into blocks of ``block_rows``, and each slot takes one block. The
+target is a fluid mix: every source that is not used up is served at once, in proportion to its exact weight. A block
+is released in the slot in which the fluid mix begins with it and due by the end of the slot in which it ends; each
+slot takes the released block that is due first. A source is then never a whole block ahead of or behind its target,
+whatever the number of slots and sources. When a source runs out, the others go on with their weights scaled up.
+No row is dropped or repeated. Windows are worked out in whole numbers, without rounding.
 
-Weights are rounded to ``q / PERIOD`` with at least one slot in a period, so the schedule repeats every PERIOD slots
-and a block's slot follows from its number by arithmetic: only one period per phase is worked out, whatever the
-number of documents. A phase ends when a source runs out; the others go on with their weights scaled up. No row is
-dropped or repeated. The largest ``LANES - 1`` sources have a lane each, all others share the last lane, where they
-are interleaved by hash (a bound on the schedule's size; every row is still scheduled).
+The slots are scheduled by segments, each by a task of its own. The state at a border T follows from T alone: take
+the first slot in which a block that is under way at T is released, count as done there the blocks under way that are
+due first, and run up to T. No block's window then holds both borders of that run, so what is placed before T and
+what remains after T both fit their slots (by counting the windows inside any interval), and neighbouring segments
+agree. The driver and the tasks hold one entry for each source and none for each block.
 
-A lane's ranks come from counts per hash bucket and a row number within the bucket, so that a source with a third of
+A source's ranks come from counts per hash bucket and a row number within the bucket, so that a source with a third of
 all rows is ranked by many tasks.
 
-Defined results: a null source is a source of its own. Ties are ordered by id, then text hash; rows that repeat both
-are interchangeable. Extra columns are ignored by ``mix_report`` and carried by ``mixed``. An empty table gives an
-empty result.
+Defined results: a null source is a source of its own. ``lane`` numbers the sources by size, from LANES - 1 on all
+alike; it is a label and decides nothing. Ties are ordered by id, then text hash; rows that repeat both are
+interchangeable. Extra columns are ignored by ``mix_report`` and carried by ``mixed``. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize, table
+from ..plans.session import map_arrow, materialize, table
 
 PERIOD = 1024
 LANES = 64
 BLOCK_ROWS = 32
 BUCKET_ROWS = 20_000
 TEMPERATURE = 0.5
+SEGMENT = 1 << 14
 
 
 def slot_shares(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -65,7 +74,9 @@ def one_period(shares: list[int], period: int = PERIOD) -> list[list[int]]:
 
 
 def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """One entry for each phase and lane: first and one past last block, first slot of the phase, and the lane's
+    """The schedule for weights that are multiples of 1/``period``, for comparison; the mix itself uses ``Fluid``.
+
+    One entry for each phase and lane: first and one past last block, first slot of the phase, and the lane's
     slots in a period."""
     done = [0] * len(blocks)
     begin, out, number = 0, [], 0
@@ -92,81 +103,183 @@ def target_weights(counts: list[int], temperature: float = TEMPERATURE) -> list[
     return [c**temperature for c in counts]
 
 
-def _lanes(docs: DataFrame, weights: dict[str | None, float] | None) -> tuple[list[tuple], int]:
-    """[(source, rows)] of the largest sources, and the rows of all others; at most LANES rows reach the driver."""
-    counts = materialize(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sources")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    largest = counts.orderBy(F.col("n").desc(), "source").limit(LANES - 1).collect()
-    lanes = [(r["source"], r["n"]) for r in largest]
-    return lanes, total - sum(n for _, n in lanes)
+class Fluid:
+    """The fluid mix of sources with ``blocks`` (at least one) at ``weights`` (above 0), and its schedule in slots."""
 
+    def __init__(self, blocks: list[int], weights: list[float]):
+        ratios = [Fraction(w) for w in weights]
+        scale = math.lcm(*(r.denominator for r in ratios))
+        self.blocks, self.weights = blocks, [int(r * scale) for r in ratios]
+        self.total = sum(blocks)
+        used_up = [Fraction(b, w) for b, w in zip(blocks, self.weights)]  # in virtual time, which serves w in 1
+        order = sorted(range(len(blocks)), key=used_up.__getitem__)
+        self.ends = [used_up[i] for i in order]
+        self.ended, self.active = [0], [sum(self.weights)]
+        for i in order:
+            self.ended.append(self.ended[-1] + blocks[i])
+            self.active.append(self.active[-1] - self.weights[i])
+        self.slots = [self.ended[e] + v * self.active[e] for e, v in enumerate(self.ends)]
 
-def _ranked(docs: DataFrame, lanes: list[tuple], total: int, seed: int) -> DataFrame:
-    """``docs`` (doc_id, source, _tie) with _lane and _rank, the dense 0-based rank within the lane in hash order."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(lanes)], "_source string, _lane int")
-    rows = docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    bits = max(4, math.ceil(math.log2(total / BUCKET_ROWS))) if total else 4
-    rows = (
-        rows.withColumn("_lane", F.coalesce("_lane", F.lit(len(lanes))))
-        .withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id"))
-        .withColumn("_bucket", F.shiftright("_hash", 64 - bits))
-    )
-    sizes = rows.groupBy("_lane", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_lane").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(
-        sizes.select("_lane", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "starts"
-    )
-    own = Window.partitionBy("_lane", "_bucket").orderBy("_hash", "doc_id", "_tie")
-    ranked = rows.withColumn("_row", F.row_number().over(own) - 1).join(starts, ["_lane", "_bucket"])
-    return ranked.withColumn("_rank", F.col("_start") + F.col("_row")).drop("_start", "_row", "_bucket", "_hash", "_tie")
+    def _time(self, i: int, block: int) -> tuple[int, int]:
+        """Floor and ceiling of the slot at which the fluid mix has served ``block`` blocks of source i."""
+        e = bisect_left(self.ends, Fraction(block, self.weights[i])) if len(self.ends) > 1 else 0
+        whole, rest = divmod(block * self.active[e], self.weights[i])
+        return self.ended[e] + whole, self.ended[e] + whole + (rest > 0)
+
+    def release(self, i: int, block: int) -> int:
+        return self._time(i, block)[0]
+
+    def due(self, i: int, block: int) -> int:
+        return self._time(i, block + 1)[1]
+
+    def served(self, slot: int) -> list[Fraction]:
+        """Blocks of each source that the fluid mix has served before ``slot``."""
+        if slot >= self.total:
+            return [Fraction(b) for b in self.blocks]
+        e = bisect_left(self.slots, slot)
+        virtual = Fraction(slot - self.ended[e], self.active[e])
+        return [min(Fraction(b), w * virtual) for b, w in zip(self.blocks, self.weights)]
+
+    def run(
+        self, done: list[int], begin: int, end: int, goal: list[int] | None = None
+    ) -> Iterator[tuple[int, int, int]]:
+        """(slot, source, block) from ``begin`` to ``end``; ``done`` is carried on, to ``goal`` by the end if given."""
+        limit = goal or self.blocks
+        waiting = [(self.release(i, n), i) for i, n in enumerate(done) if n < limit[i]]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int]] = []  # (deadline, source)
+        for slot in range(begin, end):
+            while waiting and waiting[0][0] <= slot:
+                _, i = heapq.heappop(waiting)
+                due = self.due(i, done[i])
+                heapq.heappush(ready, (min(due, end) if goal else due, i))
+            _, i = heapq.heappop(ready)
+            yield slot, i, done[i]
+            done[i] += 1
+            if done[i] < limit[i]:
+                heapq.heappush(waiting, (self.release(i, done[i]), i))
+
+    def done_at(self, slot: int) -> list[int]:
+        """Blocks of each source placed before ``slot``, from ``slot`` alone."""
+        served = self.served(slot)
+        started = [i for i, x in enumerate(served) if x.denominator > 1]
+        if not started:
+            return [int(x) for x in served]
+        begin = min(self.release(i, math.floor(served[i])) for i in started)
+        served = self.served(begin)
+        done = [math.floor(x) for x in served]
+        started = [i for i, x in enumerate(served) if x.denominator > 1]
+        for i in sorted(started, key=lambda i: (self.due(i, done[i]), i))[: begin - sum(done)]:
+            done[i] += 1
+        for _ in self.run(done, begin, slot):
+            pass
+        return done
+
+    def segment(self, begin: int, end: int) -> tuple[list[int], Iterator[tuple[int, int, int]]]:
+        """Blocks placed before ``begin``, and (slot, source, block) of the slots from there to ``end``."""
+        done = self.done_at(begin)
+        return list(done), self.run(done, begin, end, self.done_at(end))
+
+
+class Schedule:
+    """The slots of all blocks of sources with ``counts`` rows; sources without weight come after all others."""
+
+    def __init__(self, counts: list[int], weights: list[float], block_rows: int, segment: int = SEGMENT):
+        self.counts, self.block_rows = counts, block_rows
+        self.parts: list[tuple[list[int], Fluid, int, int]] = []  # sources, fluid mix, slots and rows before it
+        self.segments: list[tuple[int, int, int]] = []  # part, first and one past last slot in it
+        slots = rows = 0
+        for weighted in (True, False):
+            own = [i for i, w in enumerate(weights) if (w > 0) == weighted]
+            if own:
+                fluid = Fluid([-(-counts[i] // block_rows) for i in own], [weights[i] if weighted else 1 for i in own])
+                n = len(self.parts)
+                self.segments += [(n, t, min(t + segment, fluid.total)) for t in range(0, fluid.total, segment)]
+                self.parts.append((own, fluid, slots, rows))
+                slots += fluid.total
+                rows += sum(counts[i] for i in own)
+
+    def blocks(self, number: int) -> Iterator[tuple[int, int, int, int]]:
+        """(source, block, slot, position of its first row) of a segment."""
+        part, begin, end = self.segments[number]
+        own, fluid, slots, rows = self.parts[part]
+        before, placed = fluid.segment(begin, end)
+        rows += sum(min(n * self.block_rows, self.counts[i]) for n, i in zip(before, own))
+        for slot, k, block in placed:
+            yield own[k], block, slots + slot, rows
+            rows += min(self.block_rows, self.counts[own[k]] - block * self.block_rows)
+
+
+def _lanes(docs: DataFrame) -> list[tuple]:
+    """[(source, rows)], the largest first; one row for each source reaches the driver."""
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted(((r["source"], r["n"]) for r in counts), key=lambda s: (-s[1], s[0] is not None, s[0] or ""))
+
+
+def _placed_blocks(spark: SparkSession, schedule: Schedule) -> DataFrame:
+    """_lane, _block, _slot and _first, the position of the block's first row, worked out by a task per segment."""
+    shared = spark.sparkContext.broadcast(schedule)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                columns = list(zip(*shared.value.blocks(number)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
+                    ["_lane", "_block", "_slot", "_first"],
+                )
+
+    n = len(schedule.segments)
+    return map_arrow(spark.range(0, n, 1, max(1, n)), run, "_lane int, _block bigint, _slot bigint, _first bigint")
 
 
 def _scheduled(
     docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, seed: int
 ) -> DataFrame:
-    """``docs`` (doc_id, source, _tie and more) with _weight, _block, _slot and _position (dense, 0-based)."""
-    lanes, rest = _lanes(docs, weights)
-    counts = [n for _, n in lanes] + ([rest] if rest else [])
+    """``docs`` (doc_id, source, _tie and more) with _lane, _weight, _block, _slot and _position (dense, 0-based).
+
+    Within its lane a row has a dense rank in hash order: the start of its bucket and its number there. The slots of
+    the blocks that a bucket reaches come with the bucket, so that whole rows are dealt out once.
+    """
     spark = docs.sparkSession
-    if weights is None:
-        targets = target_weights(counts)
-    else:
-        named = {s for s, _ in lanes}
-        targets = [weights.get(s, 0.0) for s, _ in lanes]
-        targets += [sum(w for s, w in weights.items() if s not in named)] if rest else []
+    lanes = _lanes(docs)
+    counts = [n for _, n in lanes]
+    total = sum(counts)
+    targets = target_weights(counts) if weights is None else [weights.get(s, 0.0) for s, _ in lanes]
     share = [t / sum(targets) for t in targets] if sum(targets) else [1 / len(targets) for _ in targets]
-    blocks = [-(-n // block_rows) for n in counts]
-    plan = phases(blocks, [max(s, 1e-12) for s in share])
-    # At most LANES phases of LANES lanes, and of PERIOD slots: the two tables are bounded whatever the input.
-    spans = spark.createDataFrame(
-        [(p["phase"], p["lane"], p["first"], p["past"], p["begin"], len(p["slots"]), share[p["lane"]]) for p in plan],
-        "_phase int, _lane int, _first bigint, _past bigint, _begin bigint, _share bigint, _weight double",
+    known = spark.createDataFrame(
+        [(s, i, share[i]) for i, (s, _) in enumerate(lanes)], "_source string, _lane int, _weight double"
+    )
+    bits = max(4, math.ceil(math.log2(total / BUCKET_ROWS))) if total else 4
+    rows = docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn(
+        "_bucket", F.shiftright("_hash", 64 - bits)
     )
-    slots = spark.createDataFrame(
-        [(p["phase"], p["lane"], i, s) for p in plan for i, s in enumerate(p["slots"])],
-        "_phase int, _lane int, _index bigint, _offset bigint",
+    sizes = rows.groupBy("_lane", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_lane").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(
+        sizes.select("_lane", "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "starts"
     )
-    rows = _ranked(docs, lanes, sum(counts), seed).withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    spans = spans.withColumnRenamed("_lane", "_of")
-    within = (F.col("_lane") == F.col("_of")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_past"))
-    rows = rows.join(F.broadcast(spans), within).withColumn(
-        "_index", F.pmod(F.col("_block") - F.col("_first"), F.col("_share"))
+    reached = starts.withColumn(
+        "_block",
+        F.explode(F.sequence(F.floor(F.col("_start") / block_rows), F.floor((F.col("_start") + F.col("_n") - 1) / block_rows))),
     )
-    rows = rows.join(F.broadcast(slots), ["_phase", "_lane", "_index"]).withColumn(
-        "_slot", F.col("_begin") + F.floor((F.col("_block") - F.col("_first")) / F.col("_share")) * PERIOD + F.col("_offset")
+    placed = reached.join(_placed_blocks(spark, Schedule(counts, share, block_rows)), ["_lane", "_block"])
+    buckets = placed.groupBy("_lane", "_bucket", "_start").agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_slot", "_first"))).alias("_blocks")
     )
-    short = F.lit(0).cast("long")
-    for p in plan:
-        lane = p["lane"]
-        missing = blocks[lane] * block_rows - counts[lane]
-        if missing and p["past"] == blocks[lane]:
-            n = blocks[lane] - 1 - p["first"]
-            last = p["begin"] + n // len(p["slots"]) * PERIOD + p["slots"][n % len(p["slots"])]
-            short = short + F.when(F.col("_slot") > last, F.lit(missing)).otherwise(F.lit(0))
-    position = F.col("_slot") * block_rows + F.pmod(F.col("_rank"), F.lit(block_rows)) - short
-    return rows.withColumn("_position", position.cast("long")).drop(
-        "_of", "_phase", "_index", "_first", "_past", "_begin", "_share", "_offset", "_rank"
+    own = Window.partitionBy("_lane", "_bucket").orderBy("_hash", "doc_id", "_tie")
+    rows = rows.withColumn("_row", F.row_number().over(own) - 1).join(buckets, ["_lane", "_bucket"])
+    rank = F.col("_start") + F.col("_row")
+    nth = F.floor(rank / block_rows) - F.floor(F.col("_start") / block_rows)
+    place = F.col("_blocks")[nth.cast("int")]
+    return rows.select(
+        *docs.columns,
+        "_lane",
+        "_weight",
+        place["_block"].alias("_block"),
+        place["_slot"].alias("_slot"),
+        (place["_first"] + F.pmod(rank, F.lit(block_rows))).alias("_position"),
     )
 
 
@@ -180,7 +293,7 @@ def mix_report(
     return rows.select(
         "doc_id",
         "source",
-        F.col("_lane").alias("lane"),
+        F.least("_lane", F.lit(LANES - 1)).alias("lane"),
         F.col("_weight").alias("weight"),
         F.col("_block").alias("block"),
         F.col("_slot").alias("slot"),

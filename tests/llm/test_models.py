@@ -281,3 +281,43 @@ def test_mix_edges(docs, clashing, empty, nameless):
     assert [r["doc_id"] for r in mixed.collect()] == order
     assert mixing.mix_report(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert sorted(r["position"] for r in dicts(mixing.mix_report(nameless))) == list(range(6))
+
+
+def test_target_weights_are_kept_at_any_length():
+    """Within a block of the exact weight, beyond a period and with as many sources as the old lanes."""
+    for weights, n in (([0.5] + [0.5 / 63] * 63, 6000), ([0.618, 0.25, 0.132], 9000), ([0.7] + [0.3 / 19] * 19, 6000)):
+        total = sum(weights)
+        fluid = mixing.Fluid([math.ceil(n * w / total) + 1 for w in weights], weights)
+        exact, got = sum(fluid.weights), [0] * len(weights)
+        for begin in range(0, n, 1500):
+            before, slots = fluid.segment(begin, begin + 1500)
+            assert before == got  # neighbouring segments agree
+            for slot, lane, block in slots:
+                assert slot == sum(got) and block == got[lane]
+                got[lane] += 1
+                assert all(abs(g * exact - w * (slot + 1)) < exact for g, w in zip(got, fluid.weights))
+
+
+def test_segments_follow_the_fluid_mix_to_the_end():
+    rng = np.random.default_rng(3)
+    for n, longest, segment in ((2, 60, 1), (5, 40, 7), (20, 30, 50), (40, 4, 13), (3, 200, 1000), (1, 9, 4)):
+        fluid = mixing.Fluid(rng.integers(1, longest, n).tolist(), (10.0 ** rng.uniform(-4, 0, n)).tolist())
+        got = [0] * n
+        for begin in range(0, fluid.total, segment):
+            before, slots = fluid.segment(begin, min(begin + segment, fluid.total))
+            assert before == got
+            for slot, lane, block in slots:
+                assert slot == sum(got) and block == got[lane]
+                got[lane] += 1
+                assert all(abs(g - x) < 1 for g, x in zip(got, fluid.served(slot + 1)))
+        assert got == fluid.blocks
+
+
+def test_every_source_keeps_its_own_weight(spark):
+    rows = [(i, "t", None, f"s{i % 200}", 1) for i in range(1000)]
+    found = dicts(mixing.mix_report(spark.createDataFrame(rows, SCHEMA), block_rows=1))
+    assert all(abs(r["weight"] - 1 / 200) < 1e-12 for r in found)
+    for first in range(0, 1000, 200):
+        assert len({r["source"] for r in found if first <= r["position"] < first + 200}) == 200
+    given = dicts(mixing.mix_report(spark.createDataFrame(rows, SCHEMA), {"s7": 0.75, "s8": 0.25}, block_rows=1))
+    assert {r["source"] for r in given if r["position"] < 10} == {"s7", "s8"}
