@@ -10,11 +10,12 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from pactum.llm import registry
+from pactum.llm import mixing, registry
 from pactum.plans.session import shared_folder
 
 from ..conftest import SMALL
 from ..test_oracle import rows_of
+from .conftest import SCHEMA
 from .test_copies import plain_components
 
 
@@ -55,6 +56,14 @@ def test_pipeline(spark, docs, rows):
     assert found == wanted
 
 
+def test_the_order_of_the_mix_survives_the_reread(spark, docs, rows):
+    kept = plain_pipeline(rows)
+    mix = [r["doc_id"] for r in mixing.mixed(spark.createDataFrame(kept, SCHEMA)).collect()]
+    found = staged(spark, docs.repartition(7)).select("doc_id", "position").collect()
+    assert sorted(r["position"] for r in found) == list(range(len(kept)))
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["position"])] == mix
+
+
 def test_pipeline_edges(spark, clashing, empty):
     assert staged(spark, empty).count() == 0
     staged(spark, clashing.drop("lang_pred"))
