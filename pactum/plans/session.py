@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -33,38 +37,80 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "pactum", memo
     return spark
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column of ``df``, whatever characters its name holds."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a new
+    folder; a cluster has no machine-local folder that all its nodes see, so it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The lineage is cut there, and losing an executor costs no more than the tasks it was running.
+    The lineage is cut there, and losing an executor costs no more than the tasks it was running. The shuffle files of
+    the write are dropped once it has ended, since nothing can ask for them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for paths in _open_scratch:
+        paths.append(path)
     return out
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames that ``materialize`` returned, once nothing will read them again."""
     for df in frames:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, df.scratch_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete everything that is materialized inside, at the end: for callers that write their result inside, too.
+    Paths taken out of the list are kept."""
+    paths: list[str] = []
+    _open_scratch.append(paths)
+    try:
+        yield paths
+    finally:
+        _open_scratch.remove(paths)
+        for path in paths:
+            delete_path(spark, path)
 
 
 _shipped: set[str] = set()
@@ -83,7 +129,19 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Rows of text are wide: a batch of Spark's 10,000 would hold tens of megabytes on both sides of the worker's pipe.
+ARROW_ROWS = "2000"
+ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def for_workers(spark: SparkSession) -> None:
+    """Send the package to Python workers, and let batches hold ``ARROW_ROWS`` rows unless the session says otherwise."""
+    ship_package(spark)
+    if spark.conf.get(ARROW_BATCH) == "10000":
+        spark.conf.set(ARROW_BATCH, ARROW_ROWS)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
-    ship_package(df.sparkSession)
+    for_workers(df.sparkSession)
     return df.mapInArrow(function, schema)
