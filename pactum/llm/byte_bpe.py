@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.session import map_arrow, table
+from .worker_state import held
 
-PIECES_KEPT = 250_000
+PIECES_KEPT = 150_000
 LONG_PIECE = 64
+ROWS = 256  # rows whose ids a task holds at once
 
 
 # Letters and digits that Unicode 16 added to version 15.1, the version of Python's own tables. The
@@ -269,9 +271,6 @@ class TextEncoder:
         return ids
 
 
-_encoders: dict = {}
-
-
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -282,11 +281,9 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 def encoder_of(raw: bytes, pattern: str) -> TextEncoder:
-    """One encoder for each vocabulary and Python worker."""
+    """The worker's encoder for this vocabulary."""
     key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _encoders:
-        _encoders[key] = TextEncoder(Vocabulary(parse_ranks(raw), pattern))
-    return _encoders[key]
+    return held("byte_bpe", key, lambda: TextEncoder(Vocabulary(parse_ranks(raw), pattern)))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True):
@@ -311,7 +308,8 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, keep: tuple[str,
         import numpy as np
 
         own = encoder_of(raw.value, pattern)
-        for batch in batches:
+        parts = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+        for batch in parts:
             counts, digests, decoded, payloads = [], [], [], []
             for text in batch.column("text"):
                 packed = own.packed(text.as_py() or "")

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize, table
+from ..plans.session import all_columns, materialize, table
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -88,7 +88,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.sha2(normalised(F.col("text")), 256).alias("_sha"),
         F.length(F.coalesce("text", F.lit(""))).alias("_len"),
-        F.struct(*docs.columns).alias("_row"),
+        F.struct(*all_columns(docs)).alias("_row"),
     )
     joined = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["_sha"] == kept["_sha"]), "left_semi")
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():

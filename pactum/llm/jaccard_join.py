@@ -7,12 +7,16 @@ shingle whatever the order is, so the sample only decides how long the lists get
 
 1. Answers of one set per list. Every list's smallest id is its pivot; each member whose size and position allow it
    is compared with its pivot, and the links give first components. Lists of near copies end here: their members are
-   in one component.
-2. Answers derived from those. Members of different components of one list are paired only if the block (band of
-   set sizes) and the positions of the shingle allow it, and if the two known overlaps with the common pivot p do:
-   |x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|). What is left is compared exactly.
+   in one component. A pivot with many members is dealt out under as many salts as its longest list has runs of
+   ``SALT_ROWS``.
+2. The lists are cut into blocks by size class and by position of the token in the set. A member looks only into the
+   blocks where a set that it links with can be; all other blocks are skipped whole. Pairs inside a component are never
+   made, nor pairs whose known overlaps with their list's pivot rule a link out.
+3. Answers derived from those of a similar set. Where x links with a leader p, and p's overlap with y is known,
+   |x & y| = |p & y| + |(x - p) & y| - |(p - x) & y|: a pair that even |p & y| + |x - p| cannot link is skipped, and
+   for the others only the two small differences are looked up in y. p is compared with y once for all its followers.
 
-Pairs inside a component are never made, so a group of copies or near copies costs links in proportion to its size.
+A group of copies or near copies costs links in proportion to its size.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; a text of fewer than five
 words is one shingle. Rows without an id link with nothing and have a null component. Rows that repeat an id are
@@ -28,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import discard, map_arrow, materialize, table
+from ..plans.session import all_columns, discard, map_arrow, materialize, scratch, table
+from .worker_state import held
 
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8
 SAMPLE_ONE_IN = 16
 SAMPLE_FREQUENT = 2
+SALT_ROWS = 256
+SALTS = 64
+SIZE_CLASS = 1.08
 FILTER_BITS = 26  # bit filters sent to the workers: 8 MB each, whatever the input
 WORDS_KEPT = 300_000
 
@@ -48,9 +56,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def shingles(text: str | None):
     """Sorted distinct 64-bit shingle hashes of a whole text."""
     import numpy as np
@@ -58,7 +63,8 @@ def shingles(text: str | None):
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = held("jaccard_join", "words", _WordHashes)
+    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(WORDS, len(own))
     h = np.full(len(own) - width + 1, width, np.uint64)
     for j in range(width):
@@ -138,7 +144,8 @@ def frequent_filter(docs: DataFrame) -> bytes:
 
 
 def prefixes(docs: DataFrame, frequent: bytes) -> DataFrame:
-    """(doc_id, n, sig, prefix): set size, 128-bit digest of the set, and its prefix in index order."""
+    """(doc_id, tie, n, sig, prefix): hash of the text, set size, 128-bit digest of the set, and its prefix in index
+    order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,28 +164,38 @@ def prefixes(docs: DataFrame, frequent: bytes) -> DataFrame:
                     rare = own[~often][:length]
                     heads.append(np.concatenate([rare, own[often][: length - len(rare)]]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _arrays(heads)],
-                    ["doc_id", "n", "sig", "prefix"],
+                    [
+                        part.column("doc_id"),
+                        part.column("tie"),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        _arrays(heads),
+                    ],
+                    ["doc_id", "tie", "n", "sig", "prefix"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, sig binary, prefix array<bigint>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    return map_arrow(rows, run, "doc_id bigint, tie bigint, n bigint, sig binary, prefix array<bigint>")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, named: str) -> DataFrame:
+    """``pairs`` (with ``salt``) and the set of their ``end``: a set is sent once for each of its salts."""
+    wanted = pairs.select(end, "salt").distinct()
+    own = sets.select(F.col("id").alias(end), F.col("tokens").alias(named))
+    return pairs.join(own.join(wanted, end), [end, "salt"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, nx, ny, overlap) of every pair, from the whole sets."""
-    left = sets.select(F.col("id").alias("x"), F.col("tokens").alias("_tx"))
-    right = sets.select(F.col("id").alias("y"), F.col("tokens").alias("_ty"))
-    return (
-        pairs.select("x", "y")
-        .join(right, "y")
-        .join(left, "x")
-        .select(
-            "x",
-            "y",
-            F.size("_tx").cast("long").alias("nx"),
-            F.size("_ty").cast("long").alias("ny"),
-            F.size(F.array_intersect("_tx", "_ty")).cast("long").alias("overlap"),
-        )
+    """(x, y, nx, ny, overlap) of every pair, from the whole sets. ``pairs``: x, y, salt."""
+    both = _with_sets(pairs.select("x", "y", "salt"), sets, "y", "_ty").join(
+        sets.select(F.col("id").alias("x"), F.col("tokens").alias("_tx")), "x"
+    )
+    return both.select(
+        "x",
+        "y",
+        F.size("_tx").cast("long").alias("nx"),
+        F.size("_ty").cast("long").alias("ny"),
+        F.size(F.array_intersect("_tx", "_ty")).cast("long").alias("overlap"),
     )
 
 
@@ -187,33 +204,44 @@ def linked() -> F.Column:
     return F.expr(f"{THRESHOLD[1]} * overlap >= {THRESHOLD[0]} * (nx + ny - overlap)")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, comp): the smallest id that each node of ``edges`` (x, y) reaches. Every round takes the smallest label
-    of the neighbours, follows the label's own label, and is written to the shared folder."""
-    both = materialize(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
-    labels = materialize(both.groupBy("x").agg(F.min("y").alias("m")).selectExpr("x AS id", "least(x, m) AS comp"), "comp")
-    for _ in range(most_rounds):
-        near = (
-            both.join(labels.select(F.col("id").alias("y"), "comp"), "y")
-            .groupBy(F.col("x").alias("id"))
-            .agg(F.min("comp").alias("near"))
-        )
-        lower = labels.select("id", "comp").join(near, "id").select("id", "comp", F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("jump"))
-        after = materialize(
-            lower.join(jump, "low").select("id", F.least("low", "jump").alias("comp"), F.col("comp").alias("before")),
-            "comp",
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp): the smallest id that each node of ``edges`` (x, y) reaches.
+
+    Every round hooks each root to its smallest neighbour, follows the hooks to their ends by doubling, and contracts
+    the edges to the roots that are left, until none is. All but the local minima are hooked, so the rounds are
+    logarithmic, as are the doublings within one. Every round is written to the shared folder.
+    """
+    ends = edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    left = materialize(ends.distinct(), "edges")
+    labels = materialize(edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct().withColumn("comp", F.col("id")), "comp")
+    while not left.isEmpty():
+        hooks = materialize(left.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")), "hooks")
+        while True:
+            further = hooks.select(F.col("root").alias("to"), F.col("to").alias("end"))
+            jumped = materialize(
+                hooks.join(further, "to", "left").select("root", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")),
+                "hooks",
+            )
+            discard(hooks)
+            hooks = jumped
+            if hooks.filter("moved").isEmpty():
+                break
+        at = hooks.select("root", "to")
+        relabelled = labels.join(at.withColumnRenamed("root", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        after = materialize(relabelled, "comp")
+        ends = left.join(at.select(F.col("root").alias("a"), F.col("to").alias("_a")), "a", "left").join(
+            at.select(F.col("root").alias("b"), F.col("to").alias("_b")), "b", "left"
         )
-        discard(labels)
-        labels = after
-        if after.filter("comp <> before").isEmpty():
-            discard(both)
-            return labels
-    raise RuntimeError("the components did not settle")
+        ends = ends.select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")).filter("x <> y")
+        contracted = materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(hooks, left, labels)
+        left, labels = contracted, after
+    discard(left)
+    return labels
 
 
 def _postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, id, n, pos) of the class ids, for tokens of two or more lists only.
+    """(token, id, n, pos, m, pivot) of the class ids, for tokens that two or more have: m of them.
 
     Most prefix tokens occur once. A first count over 32 bits of each token finds those that may occur twice; only
     they are dealt out whole, and the exact lists come from those.
@@ -250,36 +278,41 @@ def _postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
     kept = map_arrow(own, run, "token bigint, id bigint, n bigint, pos int")
     kept = materialize(kept.join(classes.select("id"), "id", "left_semi").distinct(), "postings")
     lists = kept.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1")
-    found = materialize(kept.join(lists.select("token", "pivot"), "token"), "lists")
+    found = materialize(kept.join(lists, "token"), "lists")
     discard(kept)
     return found
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): rows (doc_id, n, sig); classes (sig, id); links (x, y) between class ids that connect
-    exactly what the threshold connects."""
+    """(rows, classes, links): rows (doc_id, n, sig, tie); classes (sig, id); links (x, y) between class ids that
+    connect exactly what the threshold connects."""
     full = materialize(prefixes(docs, frequent_filter(docs)), "prefixes")
-    rows = materialize(full.select("doc_id", "n", "sig"), "digests")
+    rows = materialize(full.select("doc_id", "n", "sig", "tie"), "digests")
     classes = materialize(
         rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("id")), "classes"
     )
     lists = _postings(full, classes)
     discard(full)
     pivots = lists.filter("id = pivot").select("token", F.col("n").alias("np"), F.col("pos").alias("pp"))
-    first = materialize(
-        lists.filter("id <> pivot")
-        .join(pivots, "token")
-        .filter(_possible("n", "pos", "np", "pp"))
-        .select(F.col("id").alias("x"), F.col("pivot").alias("y"))
-        .distinct(),
-        "pairs",
-    )
-    ends = first.select("x").union(first.select("y")).distinct()
-    answers = _exact(docs, first, ends)
+    met = lists.filter("id <> pivot").join(pivots, "token").filter(_possible("n", "pos", "np", "pp"))
+    met = met.groupBy(F.col("id").alias("x"), F.col("pivot").alias("y")).agg(F.max("m").alias("m"))
+    salt = F.pmod(F.xxhash64("x"), F.ceil(F.col("m") / SALT_ROWS))
+    first = materialize(met.select("x", "y", salt.alias("salt")), "pairs")
+    answers = _exact(docs, first)
+    comp = components(answers.filter(linked()).select("x", "y"))
+    told = _told(lists, answers, comp)
+    rest = materialize(_blocked_pairs(told).join(first, ["x", "y"], "left_anti"), "pairs")
+    discard(told, first, lists, comp)
     links = answers.filter(linked()).select("x", "y")
-    comp = components(links)
+    if not rest.isEmpty():
+        links = links.union(_derived_links(docs, rest, answers))
+    discard(rest)
+    return rows, classes, links
 
-    # What each member is known to have in common with its list's pivot, and beyond it, at most.
+
+def _told(lists: DataFrame, answers: DataFrame, comp: DataFrame) -> DataFrame:
+    """The lists whose members are not all in the pivot's component, with what each member is known to have in common
+    with the pivot (``within``) and beyond it (``beyond``), at most."""
     known = answers.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "overlap")
     told = (
         lists.join(comp, "id", "left")
@@ -287,36 +320,109 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .join(known, ["id", "pivot"], "left")
         .withColumn("within", F.coalesce("overlap", "n"))
         .withColumn("beyond", F.when(F.col("id") == F.col("pivot"), 0).otherwise(F.col("n") - F.coalesce("overlap", F.lit(0))))
-        .withColumn("band", F.floor(F.log("n") / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))))
-        .drop("overlap")
+        .drop("overlap", "m")
     )
     # Two members of the pivot's own component need no comparison, so one of a pair is always an outsider.
     own = comp.select(F.col("id").alias("pivot"), F.col("comp").alias("home"))
     told = told.join(own, "pivot", "left").withColumn("outside", F.col("comp") != F.coalesce("home", "pivot"))
     mixed = told.filter("outside").select("token").distinct()
-    told = materialize(told.join(mixed, "token"), "told")
-    discard(lists, comp)
+    return materialize(told.join(mixed, "token"), "told")
+
+
+def _size_class(n: str) -> str:
+    return f"CAST(floor(ln({n}) / ln({SIZE_CLASS}D)) AS int)"
+
+
+def reachable_blocks(n: str, pos: str) -> F.Column:
+    """The blocks (size class s, position block q) that can hold a set which links with one of size ``n`` whose token
+    is at ``pos``. A block's sizes lie between low and high, its positions begin at 2^q - 1; with the sizes and
+    positions most in favour of a link, both sets must have enough tokens left for the smallest overlap that links,
+    4/9 of the sum of the sizes."""
+    low, high = f"(pow({SIZE_CLASS}D, s) - 1)", f"(pow({SIZE_CLASS}D, s + 1) + 1)"
+    near = f"sequence({_size_class(n)} - 4, {_size_class(n)} + 4)"
+    most = f"CAST(floor(log2(greatest((5 * {high} - 4 * {n}) / 9, 0) + 1)) AS int)"
+    blocks = (
+        f"transform(filter({near}, s -> 9 * ({n} - {pos}) >= 4 * ({n} + {low}) AND 5 * {high} >= 4 * {n} AND 4 * {low} <= 5 * {n}), "
+        f"s -> transform(sequence(0, {most}), q -> named_struct('s', s, 'q', q)))"
+    )
+    return F.expr(f"flatten({blocks})")
+
+
+def _blocked_pairs(told: DataFrame) -> DataFrame:
+    """(x, y), x > y, of members of different components that meet in a block where a link is possible."""
     columns = ("id", "n", "pos", "comp", "within", "beyond", "outside")
     one = told.filter("outside").select(
-        *(F.col(c).alias(f"{c}1") for c in columns),
-        "token",
-        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-    )
-    other = told.select(*(F.col(c).alias(f"{c}2") for c in columns), "token", "band")
+        *(F.col(c).alias(f"{c}1") for c in columns), "token", F.explode(reachable_blocks("n", "pos")).alias("_b")
+    ).select("*", "_b.s", "_b.q").drop("_b")
+    block = F.expr("CAST(floor(log2(pos + 1)) AS int)").alias("q")
+    other = told.select(*(F.col(c).alias(f"{c}2") for c in columns), "token", F.expr(_size_class("n")).alias("s"), block)
     apart = F.expr(
         "comp1 <> comp2 AND (NOT outside2 OR id1 < id2) "
         f"AND least(within1, within2) + least(beyond1, beyond2) >= {_least('n1', 'n2')}"
     )
-    rest = one.join(other, ["token", "band"]).filter(apart & _possible("n1", "pos1", "n2", "pos2"))
-    rest = rest.select(F.least("id1", "id2").alias("y"), F.greatest("id1", "id2").alias("x")).distinct()
-    rest = materialize(rest.join(first, ["x", "y"], "left_anti"), "pairs")
-    discard(told, first)
-    if rest.isEmpty():
-        return rows, classes, links
-    ends = rest.select("x").union(rest.select("y")).distinct()
-    more = _exact(docs, rest, ends).filter(linked()).select("x", "y")
-    discard(rest)
-    return rows, classes, links.union(more)
+    met = one.join(other, ["token", "s", "q"]).filter(apart & _possible("n1", "pos1", "n2", "pos2"))
+    return met.select(F.least("id1", "id2").alias("y"), F.greatest("id1", "id2").alias("x")).distinct()
+
+
+def _derived_links(docs: DataFrame, pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """The links among ``pairs`` (x, y). The overlap of a pair is derived from that of a leader: a set whose overlap
+    with one of the two is known and links. Only pairs without one, and each leader with each partner of its
+    followers, are compared whole."""
+    by_leader = F.max_by("y", F.struct("overlap", "y"))
+    led = answers.filter(linked()).groupBy(F.col("x").alias("id")).agg(
+        by_leader.alias("leader"), F.max(F.struct("overlap", "y", "nx")).alias("_o")
+    )
+    led = led.select("id", "leader", F.col("_o.overlap").alias("shared"), F.col("_o.nx").alias("size"))
+    left = led.select(F.col("id").alias("x"), F.col("leader").alias("px"))
+    right = led.select(F.col("id").alias("y"), F.col("leader").alias("py"))
+    ends = pairs.join(left, "x", "left").join(right, "y", "left")
+    x_led, y_led = F.col("px").isNotNull() & (F.col("px") != F.col("y")), F.col("py").isNotNull() & (F.col("py") != F.col("x"))
+    turned = materialize(
+        ends.select(
+            F.when(x_led | ~y_led, F.col("x")).otherwise(F.col("y")).alias("x"),
+            F.when(x_led | ~y_led, F.col("y")).otherwise(F.col("x")).alias("y"),
+            F.when(x_led, F.col("px")).when(y_led, F.col("py")).alias("p"),
+        ),
+        "turned",
+    )
+    ordered = lambda a, b: (F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
+    whole = turned.filter("p IS NULL").select(*ordered("x", "y")).union(turned.filter("p IS NOT NULL").select(*ordered("p", "y"))).distinct()
+    known = answers.select(*ordered("x", "y"), *(F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("nx", "ny"), ("ny", "nx"))), "overlap")
+    asked = materialize(whole.join(known, ["x", "y"], "left_anti").select("x", "y", F.pmod(F.xxhash64("x"), F.lit(SALTS)).alias("salt")), "asked")
+    fresh = _exact(docs, asked)
+    links = fresh.filter(linked()).select("x", "y")
+    # What the leader has in common with y, and how much the follower may add to it.
+    base = fresh.select("x", "y", "nx", "ny", "overlap").union(known.select("x", "y", "nx", "ny", "overlap"))
+    base = base.select(F.col("x").alias("p"), "y", F.col("ny").alias("n"), "overlap").union(
+        base.select(F.col("y").alias("p"), F.col("x").alias("y"), F.col("nx").alias("n"), "overlap")
+    )
+    own = led.select(F.col("id").alias("x"), "shared", "size")
+    open_ = turned.filter("p IS NOT NULL").join(base, ["p", "y"]).join(own, "x")
+    open_ = open_.filter(f"overlap + size - shared >= {_least('size', 'n')}")
+    open_ = materialize(open_.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS))), "open")
+    if not open_.isEmpty():
+        ends = open_.select("x").union(open_.select("y")).union(open_.select("p")).distinct()
+        sets = materialize(shingle_sets(docs, bit_filter(ends, "x")), "sets")
+        followers = _with_sets(open_.select("x", "p").distinct().withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS))), sets, "p", "_tp")
+        followers = followers.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("_tx")), "x").select(
+            "x", "p", F.array_except("_tx", "_tp").alias("plus"), F.array_except("_tp", "_tx").alias("minus")
+        )
+        derived = (
+            _with_sets(open_, sets, "y", "_ty")
+            .join(followers, ["x", "p"])
+            .select(
+                "x",
+                "y",
+                F.col("size").alias("nx"),
+                F.col("n").alias("ny"),
+                (F.col("overlap") + F.size(F.array_intersect("plus", "_ty")) - F.size(F.array_intersect("minus", "_ty"))).alias("overlap"),
+            )
+        )
+        links = links.union(derived.filter(linked()).select("x", "y"))
+        links = materialize(links.distinct(), "links")
+        discard(sets)
+    discard(turned, asked, open_)
+    return links
 
 
 def _least(a: str, b: str) -> str:
@@ -332,8 +438,9 @@ def _possible(a: str, pos_a: str, b: str, pos_b: str) -> F.Column:
     )
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, ends: DataFrame) -> DataFrame:
-    """The overlaps of ``pairs`` from whole sets; only the documents in ``ends`` are read into sets."""
+def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The overlaps of ``pairs`` (x, y, salt) from whole sets; only the documents among them are read into sets."""
+    ends = pairs.select("x").union(pairs.select("y")).distinct()
     sets = materialize(shingle_sets(docs, bit_filter(ends, "x")), "sets")
     found = compared(pairs, sets).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("nx", "ny", "overlap")))
     found = materialize(found, "answers")
@@ -341,25 +448,32 @@ def _exact(docs: DataFrame, pairs: DataFrame, ends: DataFrame) -> DataFrame:
     return found
 
 
-def component_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text), n and comp of every document."""
     rows, classes, links = near_links(docs)
     comp = components(links)
     class_of = classes.select("sig", F.col("id").alias("_class")).join(
         comp.select(F.col("id").alias("_class"), "comp"), "_class", "left"
-    ).select("sig", F.coalesce("comp", "_class").alias("_comp"))
-    own = rows.select("doc_id", "n", "sig")
-    filled = own.filter("n > 0 AND doc_id IS NOT NULL").join(class_of, "sig")
-    bare = own.filter("n = 0 OR doc_id IS NULL").withColumn("_comp", F.col("doc_id"))
-    return filled.unionByName(bare).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("_comp").alias("component_id")
-    )
+    ).select("sig", F.coalesce("comp", "_class").alias("comp"))
+    filled = rows.filter("n > 0 AND doc_id IS NOT NULL").join(class_of, "sig").select("doc_id", "tie", "n", "comp")
+    bare = rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", "tie", "n", F.col("doc_id").alias("comp"))
+    return filled.unionByName(bare)
+
+
+def component_report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all their columns."""
-    gone = component_report(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are the smallest id of their component, with all their columns. Rows go by id and
+    text, so that a text is never dropped for another one that has the same id."""
+    with scratch(docs.sparkSession) as paths:
+        gone = labelled(docs).filter("doc_id <> comp").select("doc_id", "tie").distinct()
+        gone = materialize(gone, "near-copies")
+        paths.remove(gone.scratch_path)
+    own = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*all_columns(docs)).alias("_row"))
+    return own.join(gone, ["doc_id", "tie"], "left_anti").select("_row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Language identification by cross-parsing entropy.
 
-From labelled text of each language a suffix automaton is built. A text is parsed with each of them into the
-longest phrases that occur in that language's text; the language that needs the fewest phrases, normalised to
+From labelled text of each language a suffix automaton is built. A text is parsed with each of them into the longest
+phrases that occur in that language's text; the language that needs the fewest phrases, normalised to
 log2(training length) bits each over the letters read, wins. Ties go to the first language in alphabetical order.
 
-The automata are fitted on a bounded sample: the ``SAMPLE_DOCS`` training documents of each language with the
-smallest id hash, ``SAMPLE_CHARS`` characters in all over the languages (documented parameters). Every document is
-then parsed whole. Letters are lower-cased and everything else is one blank; letters that no sample has are one
-symbol. For speed a batch's texts are laid out in rows of ``ROW`` symbols that are parsed side by side; a phrase
-ends at the end of its row, for every language alike.
+The automata are fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` training documents with the smallest
+id hash, those of at most ``SAMPLE_LONG`` characters first (documented parameters); every sampled text is learned whole,
+each language's automaton in a task of its own. Every document is then parsed whole. Letters are lower-cased and
+everything else is one blank. The alphabet holds every letter of the sample; a letter that a language's sample lacks is
+a phrase by itself in that language.
+
+A batch's texts are laid out in rows of ``ROW`` symbols that are parsed side by side, each row first as if a phrase
+began there. Rows that are entered in the middle of a phrase are then parsed again from the state in which they are
+entered, until both parses are in the same state, and so on until no row's entry changes. The counts are those of one
+parse from the first symbol of a text to its last.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there is nothing to learn from;
 a null id counts as not held out. Repeated rows give repeated rows. Extra columns are ignored. An empty table gives
@@ -17,19 +22,23 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 import pickle
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import map_arrow, table
+from ..plans.session import all_columns, for_workers, map_arrow, quoted, table
+from .worker_state import held
 
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 160_000
-SYMBOLS = 64
+SAMPLE_DOCS = 48
+SAMPLE_LONG = 4096
 ROW = 256
+DENSE = 64  # letters of a language that have a column of their own in the branching states; no limit on letters
 UNKNOWN = "und"
 
 
@@ -42,13 +51,13 @@ def held_out() -> Column:
     return F.coalesce(id_bucket(4) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS) -> DataFrame:
+def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LONG) -> DataFrame:
     """(lang, text) of the sampled training documents. The rank limit is applied before the shuffle, so no
     language, however large, sends more than ``docs_each`` rows from a task."""
     hashed = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", "text", F.xxhash64("doc_id", "text").alias("_h"), "doc_id"
+        "lang", "text", (F.length("text") > long).alias("_long"), F.xxhash64("doc_id", "text").alias("_h"), "doc_id"
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h", "doc_id"))
     return hashed.withColumn("_rank", rank).filter(F.col("_rank") <= docs_each).select("lang", "_rank", "text")
 
 
@@ -58,7 +67,7 @@ class Cleaner:
     def __init__(self, alphabet: str):
         import numpy as np
 
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         numbers = {ch: i + 2 for i, ch in enumerate(alphabet)}
         for code in range(0x110000):
             ch = chr(code)
@@ -76,9 +85,15 @@ class Cleaner:
         return codes[keep], int(letter.sum())
 
 
-def suffix_automaton(text) -> list[dict[int, int]]:
+def letters_of(text: str) -> str:
+    """The letters of a training text in lower case, one character each, and one blank for what lies between."""
+    out = "".join(c.lower()[:1] if c.isalpha() else " " for c in text)
+    return " ".join(out.split())
+
+
+def suffix_automaton(text) -> list[dict]:
     """Transitions of the smallest automaton of all substrings of ``text``; state 0 is the start."""
-    moves: list[dict[int, int]] = [{}]
+    moves: list[dict] = [{}]
     link, length = [-1], [0]
     last = 0
     for ch in text:
@@ -107,72 +122,165 @@ def suffix_automaton(text) -> list[dict[int, int]]:
     return moves
 
 
-def phrase_table(moves: list[dict[int, int]], n_symbols: int):
-    """A dense table over (state * n_symbols + symbol): (next state * n_symbols) * 4, plus the phrases that end there:
-    one where the next phrase begins with the symbol, and one more where the symbol is unknown and a phrase by
-    itself."""
-    import numpy as np
+class Language:
+    """One language's automaton as arrays over its own letters; ``letters[i]`` has the local number i + 1, and 0 is any
+    other. An entry is 2 * (next state) + 1 if a phrase begins with the symbol, else 2 * (next state).
+
+    States with one way on come last and keep (symbol, entry) only. The ``n_branching`` others have a dense row for
+    the first ``DENSE`` letters and a sorted list of (state, symbol) for the rest. Where no way goes on, the symbol
+    begins the next phrase, as it does from state 0; a letter that the language lacks is a phrase by itself.
+    """
+
+    def __init__(self, name: str, text: str):
+        import numpy as np
+
+        self.name, self.bits = name, math.log2(len(text) + 1)
+        self.letters = "".join(c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0])))
+        number = {c: i + 1 for i, c in enumerate(self.letters)}
+        moves = suffix_automaton(text)
+        self.wide = len(self.letters) + 1
+        self.dense = min(self.wide, DENSE + 1)
+        branching = [s for s, own in enumerate(moves) if len(own) != 1 or s == 0]
+        self.n_branching = len(branching)
+        renumbered = np.full(len(moves), -1, np.int64)
+        renumbered[branching] = np.arange(len(branching))
+        renumbered[renumbered < 0] = np.arange(len(branching), len(moves))
+        restart = np.ones(self.dense, np.int32)
+        sparse = []
+        for c, to in moves[0].items():
+            if number[c] < self.dense:
+                restart[number[c]] = 2 * renumbered[to] + 1
+            else:
+                sparse.append((number[c], 2 * int(renumbered[to]) + 1))
+        rows = np.tile(restart, (self.n_branching + 1, 1))  # the last row is that of the single states
+        self.single = np.full(len(moves), -1, np.int64)
+        for s, own in enumerate(moves):
+            new = int(renumbered[s])
+            for c, to in own.items() if s else ():
+                entry = 2 * int(renumbered[to])
+                if new >= self.n_branching:
+                    self.single[new] = number[c] << 32 | entry
+                elif number[c] < self.dense:
+                    rows[new, number[c]] = entry
+                else:
+                    sparse.append((new * self.wide + number[c], entry))
+        self.rows = rows.reshape(-1)
+        sparse.sort()
+        self.keys = np.array([k for k, _ in sparse], np.int64)
+        self.values = np.array([v for _, v in sparse], np.int32)
+
+    def _rare(self, state, symbol):
+        """Entries for letters without a column: from the state's own list, else from that of state 0."""
+        import numpy as np
 
-    start = moves[0]
-    restart = np.array([start[s] * n_symbols * 4 + 1 if s in start else 2 for s in range(n_symbols)], np.int32)
-    out = np.tile(restart, (len(moves), 1))
-    out[0, restart == 2] = 1  # no phrase is open at the start
-    for state, own in enumerate(moves):
-        for s, to in own.items():
-            out[state, s] = to * n_symbols * 4
-    return out.reshape(-1)
+        out = np.ones(len(state), np.int32)
+        for from_ in (np.zeros_like(state), state):
+            key = from_.astype(np.int64) * self.wide + symbol
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.values[at], out)
+        return out
+
+    def step(self, state, symbol):
+        """The entry of each (state, local symbol)."""
+        import numpy as np
+
+        at = np.minimum(state, self.n_branching) * self.dense
+        if self.wide == self.dense:
+            out = self.rows[at + symbol]
+        else:
+            rare = symbol >= self.dense
+            out = self.rows[at + np.where(rare, 0, symbol)]
+            rare = np.flatnonzero(rare)
+            if len(rare):
+                out[rare] = self._rare(state[rare], symbol[rare])
+        single = self.single[state]
+        np.copyto(out, single & 0xFFFFFFFF, where=(single >> 32) == symbol, casting="unsafe")
+        return out
 
 
 class Model:
-    def __init__(self, languages: list[str], alphabet: str, tables: list, bits: list[float]):
-        self.languages, self.alphabet, self.tables, self.bits = languages, alphabet, tables, bits
-        self.n_symbols = len(alphabet) + 2
+    def __init__(self, languages: list[Language]):
+        self.languages = sorted(languages, key=lambda x: x.name)
+        self.alphabet = "".join(sorted(set().union(*(x.letters for x in languages)) - {" "}))
+
+    def prepare(self):
+        """The cleaner, and for each language its local number of every symbol."""
+        import numpy as np
+
+        self.cleaner = Cleaner(self.alphabet)
+        self.local = []
+        for own in self.languages:
+            number = {c: i + 1 for i, c in enumerate(own.letters)}
+            self.local.append(np.array([number.get(" ", 0), 0, *(number.get(c, 0) for c in self.alphabet)], np.int32))
+        return self
 
-    def phrases(self, rows):
-        """Phrases of each row (symbols, -1 past the end) for each language."""
+    def phrases(self, language: int, rows, lengths, follows):
+        """Phrases that begin in each row (steps x rows); ``follows`` marks rows that go on from the one before."""
         import numpy as np
 
-        n, width = rows.shape
-        counts = np.zeros((len(self.languages), n), np.int64)
-        by_step = np.ascontiguousarray(rows.T)
-        lengths = (rows >= 0).sum(1)
+        own = self.languages[language]
+        width, n = rows.shape
         order = np.argsort(-lengths, kind="stable")
-        by_step, lengths = by_step[:, order], lengths[order]
+        symbols, lengths = self.local[language][rows[:, order]], lengths[order]
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
         active = np.searchsorted(-lengths, -np.arange(width), side="left")  # rows longer than the step
-        for k, moves in enumerate(self.tables):
-            state = np.zeros(n, np.int32)
-            count = np.zeros(n, np.int32)
+        entries = np.zeros((width, n), np.int32)
+        end = np.zeros(n, np.int64)
+        for step in range(width):
+            m = active[step]
+            if not m:
+                break
+            entries[step, :m] = own.step(end[:m], symbols[step, :m])
+            np.right_shift(entries[step, :m], 1, out=end[:m])
+        entered = np.zeros(n, np.int64)
+        nxt = np.flatnonzero(follows)
+        before, nxt = place[nxt - 1], place[nxt]
+        while True:
+            moved = end[before] != entered[nxt]
+            at, state = nxt[moved], end[before[moved]]
+            if not len(at):
+                break
+            entered[at] = state
             for step in range(width):
-                m = active[step]
-                if not m:
+                going = lengths[at] > step
+                at, state = at[going], state[going]
+                if not len(at):
                     break
-                hit = moves[state[:m] + by_step[step, :m]]
-                count[:m] += hit & 3
-                state[:m] = hit >> 2
-            counts[k, order] = count + (state > 0)  # the phrase that is open at the end
-        return counts
-
-    def predict(self, texts: list[str | None], cleaner: Cleaner):
-        """(language, score, bits a letter) of each text."""
+                found = own.step(state, symbols[step, at])
+                state = found.astype(np.int64) >> 1
+                apart = entries[step, at] >> 1 != state
+                entries[step, at] = found
+                ended = apart & (lengths[at] == step + 1)
+                end[at[ended]] = state[ended]
+                at, state = at[apart], state[apart]
+        return (entries & 1).sum(0)[place]
+
+    def predict(self, texts: list[str | None]):
+        """(language, score, bits a letter) of each text; bits are null without a letter."""
         import numpy as np
 
-        parts, owner, letters = [], [], np.zeros(len(texts), np.int64)
+        parts, owner, lengths, letters = [], [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            symbols, letters[i] = cleaner.symbols(text)
+            symbols, letters[i] = self.cleaner.symbols(text)
             if letters[i]:
                 n_rows = -(-len(symbols) // ROW)
-                padded = np.full(n_rows * ROW, -1, np.int16)
+                padded = np.zeros(n_rows * ROW, np.int32)
                 padded[: len(symbols)] = symbols
                 parts.append(padded.reshape(n_rows, ROW))
                 owner += [i] * n_rows
-        blank = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+                lengths += [ROW] * (n_rows - 1) + [len(symbols) - ROW * (n_rows - 1)]
+        blank = [(UNKNOWN, 0.0, 0.0 if n else None) for n in letters]
         if not parts or not self.languages:
             return blank
-        counts = self.phrases(np.concatenate(parts))
-        totals = np.stack([np.bincount(owner, c, len(texts)) for c in counts])
-        bits = totals * np.array(self.bits)[:, None] / np.maximum(letters, 1)
+        rows, lengths, owner = np.ascontiguousarray(np.concatenate(parts).T), np.array(lengths), np.array(owner)
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]])
+        totals = np.stack(
+            [np.bincount(owner, self.phrases(k, rows, lengths, follows), len(texts)) for k in range(len(self.languages))]
+        )
+        bits = totals * np.array([x.bits for x in self.languages])[:, None] / np.maximum(letters, 1)
         best = bits.argmin(0)
         out = []
         for i in range(len(texts)):
@@ -181,38 +289,28 @@ class Model:
                 continue
             own = bits[best[i], i]
             rest = np.delete(bits[:, i], best[i]).min() if len(self.languages) > 1 else own
-            out.append((self.languages[best[i]], float(1 - own / rest) if len(self.languages) > 1 else 1.0, float(own)))
+            out.append((self.languages[best[i]].name, float(1 - own / rest) if rest > own else float(len(totals) == 1), float(own)))
         return out
 
 
-def fit(sample: list[tuple[str, int, str]], chars: int = SAMPLE_CHARS, symbols: int = SYMBOLS) -> Model:
-    """``sample``: (language, rank, text), at most ``SAMPLE_DOCS`` of each language."""
-    import math
-    from collections import Counter
-
-    by_language: dict[str, list[tuple[int, str]]] = {}
-    for lang, rank, text in sample:
-        by_language.setdefault(lang, []).append((rank, text))
-    share = chars // max(1, len(by_language))
-    letters: dict[str, str] = {}
-    for lang, texts in sorted(by_language.items()):
-        piece = max(1, share // len(texts))
-        joined = " ".join(t[:piece] for _, t in sorted(texts))
-        letters[lang] = "".join(c if c.isalpha() else " " for c in joined.lower())
-    seen = Counter(c for t in letters.values() for c in t if c != " ")
-    alphabet = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: symbols - 2])
-    cleaner = Cleaner(alphabet)
-    kept, tables, bits = [], [], []
-    for lang, text in letters.items():
-        coded, n = cleaner.symbols(text)
-        if n:
-            kept.append(lang)
-            tables.append(phrase_table(suffix_automaton(coded.tolist()), len(alphabet) + 2))
-            bits.append(math.log2(len(coded) + 1))
-    return Model(kept, alphabet, tables, bits)
-
-
-_models: dict = {}
+def fit(texts: dict[str, list[str]]) -> Model:
+    """A model of whole labelled texts."""
+    learned = {lang: " ".join(filter(None, map(letters_of, own))) for lang, own in texts.items()}
+    return Model([Language(lang, text) for lang, text in learned.items() if text]).prepare()
+
+
+def fit_on(docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LONG) -> Model:
+    """The model of ``docs``: a task of its own learns each language from its bounded sample; the driver gets arrays."""
+
+    def learn(part: pa.Table) -> pa.Table:
+        rows = sorted(zip(part.column("_rank").to_pylist(), part.column("text").to_pylist()))
+        text = " ".join(filter(None, (letters_of(t) for _, t in rows)))
+        made = [pickle.dumps(Language(part.column("lang")[0].as_py(), text), protocol=5)] if text else []
+        return pa.table({"model": pa.array(made, pa.binary())})
+
+    for_workers(docs.sparkSession)
+    made = training_sample(docs, docs_each, long).groupBy("lang").applyInArrow(learn, "model binary")
+    return Model([pickle.loads(r["model"]) for r in made.collect()])
 
 
 def predict(
@@ -221,28 +319,22 @@ def predict(
     keep: tuple[str, ...] = ("doc_id",),
     named: tuple[str, str, str] = ("lang_pred", "score", "bits"),
 ) -> DataFrame:
-    """``keep`` columns and lang_pred, score, bits. The broadcast model is bounded by SAMPLE_CHARS and SYMBOLS."""
+    """``keep`` columns and lang_pred, score, bits. The broadcast model is bounded by the sample for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))
-    schema = docs.select(*keep).schema.add(named[0], "string").add(named[1], "double").add(named[2], "double")
-    names = schema.names
+    # Columns go through the workers by number, whatever characters their names hold.
+    carried = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("t"))
+    schema = carried.drop("t").schema.add("lang", "string").add("score", "double").add("bits", "double")
+    names, key = schema.names, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        raw = shared.value
-        key = hashlib.sha256(raw).digest()
-        if key not in _models:
-            _models.clear()
-            own = pickle.loads(raw)
-            _models[key] = (own, Cleaner(own.alphabet))
-        own, cleaner = _models[key]
+        own = held("language_id", key, lambda: pickle.loads(shared.value).prepare())
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = own.predict(part.column("text").to_pylist(), cleaner)
+                found = own.predict(part.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(c) for c in keep),
+                        *(part.column(f"c{i}") for i in range(len(keep))),
                         pa.array([f[0] for f in found], pa.string()),
                         pa.array([f[1] for f in found], pa.float64()),
                         pa.array([f[2] for f in found], pa.float64()),
@@ -250,20 +342,19 @@ def predict(
                     names,
                 )
 
-    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
-
-
-def fit_on(docs: DataFrame) -> Model:
-    return fit([tuple(r) for r in training_sample(docs).collect()])
+    return map_arrow(carried, run, schema).toDF(*keep, *named)
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with all their columns."""
+    """The rows of ``docs`` whose language can be told, those with a letter, with all their columns. A row without a
+    ``lang`` gets the predicted one; a label that is there stays. Where there is nothing to learn from, it stays null."""
     names = ["lang_pred", "score", "bits"]
     while set(names) & set(docs.columns):
         names = [f"_{n}" for n in names]
     found = predict(docs, fit_on(docs), tuple(docs.columns), tuple(names))
-    return found.filter(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+    told = F.coalesce("lang", F.nullif(F.col(names[0]), F.lit(UNKNOWN)))
+    kept = found.filter(F.col(names[2]).isNotNull())
+    return kept.select(*(told.alias("lang") if c == "lang" else own for c, own in zip(docs.columns, all_columns(docs))))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

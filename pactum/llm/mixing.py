@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import map_arrow, materialize, table
+from ..plans.session import all_columns, map_arrow, materialize, table
 
 PERIOD = 1024
 LANES = 64
@@ -305,7 +305,7 @@ def mixed(
     docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 7
 ) -> DataFrame:
     """All rows of ``docs``, in the order of the mix: partitions are ranges of positions, sorted."""
-    own = docs.select("doc_id", "source", F.xxhash64("text").alias("_tie"), F.struct(*docs.columns).alias("_whole"))
+    own = docs.select("doc_id", "source", F.xxhash64("text").alias("_tie"), F.struct(*all_columns(docs)).alias("_whole"))
     rows = _scheduled(own, weights, block_rows, seed)
     return rows.repartitionByRange("_position").sortWithinPartitions("_position").select("_whole.*")
 

@@ -12,7 +12,8 @@ from . import language_id as lid
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or text) go: no language can be told."""
+    """Documents without a letter (or text) go: no language can be told. The others go on with a language: their
+    label, or the predicted one where that is null."""
     return lid.told_apart(docs)
 
 

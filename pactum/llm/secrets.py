@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import map_arrow, table
+from .worker_state import held
 
 
 @dataclass(frozen=True)
@@ -49,13 +50,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]+", least=32),
 )
+#: A rule whose match begins with a run looks behind, so that a long run is tried once and not from each of its
+#: characters on: scans stay linear in the text.
 MORE = (
     Rule("forge", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url", r"[a-z]+://[^\s:/@]+:[^\s:/@]{3,}@[A-Za-z0-9.-]+"),
+    Rule("url", r"(?<![a-z])[a-z]+://[^\s:/@]+:[^\s:/@]{3,}@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MORE
 
@@ -242,13 +245,8 @@ class Scanner:
         return out
 
 
-_scanners: dict[tuple[Rule, ...], Scanner] = {}
-
-
 def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _scanners:
-        _scanners[rules] = Scanner(rules)
-    return _scanners[rules]
+    return held("secrets", rules, lambda: Scanner(rules))
 
 
 def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

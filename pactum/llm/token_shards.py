@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import map_arrow, materialize, table
+from ..plans.session import map_arrow, table
+from .worker_state import held
 
 END_ID = 0
 SHARD_IDS = 1 << 20
@@ -242,16 +243,11 @@ class WordEncoder:
         return [self.one(t) for t in texts]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder_of(model_json: str) -> WordEncoder:
     import hashlib
 
     key = hashlib.sha256(model_json.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(model_json)
-    return _encoders[key]
+    return held("token_shards", key, lambda: WordEncoder(model_json))
 
 
 def _shard(part: int, seq: int, keys: list[int | None], ids: list[bytes], width: int) -> dict:
@@ -395,11 +391,14 @@ def fetch(shards: DataFrame, keys: list[int]) -> DataFrame:
                 starts = np.append(np.frombuffer(row["starts"], "<u4").astype(np.int64), row["n_ids"])
                 payload = np.frombuffer(row["ids"], f"<u{row['width']}")
                 ordinals, repeats = PerfectHash.from_bytes(row["index"]).find(ask)
+                # A foreign key has an equal fingerprint once in 2^32: the key that is stored decides.
+                stored = np.frombuffer(row["keys"], "<i8")
+                at = np.minimum(np.searchsorted(stored, ask), max(len(stored) - 1, 0))
+                repeats = np.where(stored[at] == ask, repeats, 0) if len(stored) else np.zeros_like(repeats)
                 hits = [
                     (k, o + j)
                     for k, o, n in zip(wanted, ordinals.tolist(), repeats.tolist(), strict=True)
                     for j in range(n)
-                    if row["first"] <= k <= row["last"]
                 ]
                 if hits:
                     ids = [payload[starts[o] : starts[o + 1]].astype(np.int64).tolist() for _, o in hits]

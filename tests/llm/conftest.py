@@ -34,7 +34,7 @@ def docs(spark, rows):
 
 
 #: Columns with names that the operators use inside.
-CLASHING = ("_h", "_row", "_text", "_tie", "_lane", "_hash", "n", "id", "token", "ids", "score", "bits", "lang_pred", "_sha", "_n", "word", "held_out", "_position", "_source", "prefix")
+CLASHING = ("_h", "_row", "_text", "_tie", "_lane", "_hash", "n", "id", "token", "ids", "score", "bits", "lang_pred", "_sha", "_n", "word", "held_out", "_position", "_source", "prefix", "a.b", "tie", "comp")
 
 
 @pytest.fixture(scope="session")

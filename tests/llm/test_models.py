@@ -191,27 +191,56 @@ def test_held_out_rows_teach_nothing(spark):
     assert key(lied) == key(df)
 
 
+def plain_phrases(text, known):
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while text[at] in known and at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
 def test_phrases_are_longest_matches():
-    """The table parse against a naive one."""
-    training = "abracadabra banana bandana"
-    model = language_id.fit([("x", 1, training)], chars=1000)
-    cleaner = language_id.Cleaner(model.alphabet)
-    known = " ".join("".join(c if c.isalpha() else " " for c in training.lower()).split())
-
-    def naive(text):
-        n, at = 0, 0
-        while at < len(text):
-            size = 1
-            while at + size < len(text) and text[at : at + size + 1] in known:
-                size += 1
-            n, at = n + 1, at + size
-        return n
-
-    for text in ("abra", "banana banana", "dadadada", "zzz", "cadabracadabra band"):
-        symbols, _ = cleaner.symbols(text)
-        rows = np.full((1, language_id.ROW), -1, np.int16)
-        rows[0, : len(symbols)] = symbols
-        assert model.phrases(rows)[0][0] == naive(text)
+    """The parse by rows against a naive one of the whole text, across row ends, for several scripts and for more
+    letters than a state has columns."""
+    rng = np.random.default_rng(5)
+    many = "".join(chr(0x4E00 + i) for i in rng.integers(0, 300, 900))
+    training = {
+        "de": ["Über den Bergen ist es still, über den Wolken auch."] * 2,
+        "ja": ["日本語の文章です。東京は日本の首都です。", many],
+        "ru": ["Съешь же ещё этих мягких французских булок", "да выпей чаю"],
+        "x": ["abracadabra banana bandana"],
+    }
+    model = language_id.fit(training)
+    known = {lang: " ".join(filter(None, map(language_id.letters_of, own))) for lang, own in training.items()}
+    names = " " + "\x01" + model.alphabet
+    texts = ["abra", "zzz", "cadabracadabra band", "Über den Wolken, Ελλάδα", many + "булок" * 90]
+    letters = list("abn dr") + list("日本語булок ÜΩ") + list(many[:40])
+    texts += ["".join(rng.choice(letters, n)) for n in (255, 256, 257, 600, 5000)]
+    texts.append("".join(t * 30 for own in training.values() for t in own[:1]))
+    for text in texts:
+        symbols, _ = model.cleaner.symbols(text)
+        n_rows = -(-len(symbols) // language_id.ROW)
+        padded = np.zeros(n_rows * language_id.ROW, np.int32)
+        padded[: len(symbols)] = symbols
+        lengths = np.array([language_id.ROW] * (n_rows - 1) + [len(symbols) - language_id.ROW * (n_rows - 1)])
+        rows = np.ascontiguousarray(padded.reshape(n_rows, -1).T)
+        plain = "".join(names[s] for s in symbols)
+        for k, own in enumerate(model.languages):
+            got = model.phrases(k, rows, lengths, np.arange(n_rows) > 0)
+            assert got.sum() == plain_phrases(plain, known[own.name])
+    bits = [[plain_phrases("".join(names[s] for s in model.cleaner.symbols(t)[0]), known[x.name]) * x.bits for x in model.languages] for t in texts]
+    assert [p[0] for p in model.predict(texts)] == [model.languages[int(np.argmin(b))].name for b in bits]
+
+
+def test_scripts_beyond_any_column_limit(spark):
+    """Languages of large alphabets are told apart, and sampled texts are learned whole."""
+    rng = np.random.default_rng(8)
+    words = {lang: ["".join(chr(start + i) for i in rng.integers(0, 400, 3)) for _ in range(80)] for lang, start in (("p", 0x4E00), ("q", 0x4E00 + 200), ("r", 0xAC00))}
+    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang, None, None) for i in range(300) for lang in [("p", "q", "r")[i % 3]]]
+    found = language_id.language_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["lang_pred"] == ("p", "q", "r")[r["doc_id"] % 3] for r in found)
 
 
 def test_language_edges(docs, rows, clashing, empty, nameless):
@@ -223,6 +252,9 @@ def test_language_edges(docs, rows, clashing, empty, nameless):
     told = language_id.told_apart(clashing)
     assert told.columns == clashing.columns
     assert told.count() == sum(v != "und" for v in found.values())
+    assert told.filter("lang IS NULL").count() == 0
+    untold = language_id.told_apart(docs.withColumn("lang", docs.lang.substr(9, 0).try_cast("int").cast("string")))
+    assert untold.count() == told.count() and untold.filter("lang IS NOT NULL").count() == 0
     assert language_id.language_report(nameless).count() == 6
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages, one after another, against brute force."""
 
 import base64
+import os
 import re
 import uuid
 
@@ -10,7 +11,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from pactum.llm import mixing, registry
+from pactum.llm import mixing, pipeline_stages, registry
 from pactum.plans.session import shared_folder
 
 from ..conftest import SMALL
@@ -64,9 +65,32 @@ def test_the_order_of_the_mix_survives_the_reread(spark, docs, rows):
     assert [r["doc_id"] for r in sorted(found, key=lambda r: r["position"])] == mix
 
 
-def test_pipeline_edges(spark, clashing, empty):
+def test_pipeline_edges(spark, docs, clashing, empty, nameless):
+    """Clashing and dotted column names, null and repeated ids, an empty table, through all five stages."""
     assert staged(spark, empty).count() == 0
-    staged(spark, clashing.drop("lang_pred"))
+    ids = lambda df: sorted((r["doc_id"], r["n_tokens"]) for r in df.collect())
+    assert ids(staged(spark, clashing)) == ids(staged(spark, docs))
+    left = staged(spark, nameless).select("doc_id", "n_tokens", "position").collect()
+    # "same words here" stays once under id 7, "other words" too, and the text without an id.
+    assert sorted(str(r["doc_id"]) for r in left) == ["7", "7", "None"]
+    assert sorted(r["position"] for r in left) == [0, 1, 2]
+
+
+def test_near_copies_with_one_id_lose_no_other_text(spark):
+    rows = [(3, "one two three four five six"), (7, "one two three four five six"), (7, "quite another text of seven words here")]
+    kept = pipeline_stages.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_run_leaves_only_its_result(spark, docs):
+    before = scratch_files(spark)
+    corpus_pipeline.run(spark, SMALL).count()
+    left = scratch_files(spark) - before
+    assert len(left) == 1 and all(name.startswith("pipeline-") for name in left)
+
+
+def scratch_files(spark):
+    return set(os.listdir(shared_folder(spark).removeprefix("file://")))
 
 
 def test_run_reads_the_table(spark):
