@@ -66,8 +66,8 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open_scratch: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, partitioned ``by`` columns, and read it back.
 
     The lineage is cut there, and losing an executor costs no more than the tasks it was running. The shuffle files of
     the write are dropped once it has ended, since nothing can ask for them again.
@@ -77,7 +77,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
