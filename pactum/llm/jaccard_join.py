@@ -42,6 +42,7 @@ SAMPLE_FREQUENT = 2
 SALT_ROWS = 256
 SALTS = 64
 SIZE_CLASS = 1.08
+SHORT_LIST = 16  # lists of no more members are one block
 FILTER_BITS = 26  # bit filters sent to the workers: 8 MB each, whatever the input
 WORDS_KEPT = 300_000
 
@@ -320,7 +321,7 @@ def _told(lists: DataFrame, answers: DataFrame, comp: DataFrame) -> DataFrame:
         .join(known, ["id", "pivot"], "left")
         .withColumn("within", F.coalesce("overlap", "n"))
         .withColumn("beyond", F.when(F.col("id") == F.col("pivot"), 0).otherwise(F.col("n") - F.coalesce("overlap", F.lit(0))))
-        .drop("overlap", "m")
+        .drop("overlap")
     )
     # Two members of the pivot's own component need no comparison, so one of a pair is always an outsider.
     own = comp.select(F.col("id").alias("pivot"), F.col("comp").alias("home"))
@@ -337,7 +338,7 @@ def reachable_blocks(n: str, pos: str) -> F.Column:
     """The blocks (size class s, position block q) that can hold a set which links with one of size ``n`` whose token
     is at ``pos``. A block's sizes lie between low and high, its positions begin at 2^q - 1; with the sizes and
     positions most in favour of a link, both sets must have enough tokens left for the smallest overlap that links,
-    4/9 of the sum of the sizes."""
+    4/9 of the sum of the sizes. A short list (``m``) is one block."""
     low, high = f"(pow({SIZE_CLASS}D, s) - 1)", f"(pow({SIZE_CLASS}D, s + 1) + 1)"
     near = f"sequence({_size_class(n)} - 4, {_size_class(n)} + 4)"
     most = f"CAST(floor(log2(greatest((5 * {high} - 4 * {n}) / 9, 0) + 1)) AS int)"
@@ -345,7 +346,7 @@ def reachable_blocks(n: str, pos: str) -> F.Column:
         f"transform(filter({near}, s -> 9 * ({n} - {pos}) >= 4 * ({n} + {low}) AND 5 * {high} >= 4 * {n} AND 4 * {low} <= 5 * {n}), "
         f"s -> transform(sequence(0, {most}), q -> named_struct('s', s, 'q', q)))"
     )
-    return F.expr(f"flatten({blocks})")
+    return F.expr(f"IF(m <= {SHORT_LIST}, array(named_struct('s', -1, 'q', -1)), flatten({blocks}))")
 
 
 def _blocked_pairs(told: DataFrame) -> DataFrame:
@@ -354,8 +355,14 @@ def _blocked_pairs(told: DataFrame) -> DataFrame:
     one = told.filter("outside").select(
         *(F.col(c).alias(f"{c}1") for c in columns), "token", F.explode(reachable_blocks("n", "pos")).alias("_b")
     ).select("*", "_b.s", "_b.q").drop("_b")
-    block = F.expr("CAST(floor(log2(pos + 1)) AS int)").alias("q")
-    other = told.select(*(F.col(c).alias(f"{c}2") for c in columns), "token", F.expr(_size_class("n")).alias("s"), block)
+    short = F.col("m") <= SHORT_LIST
+    size, block = F.expr(_size_class("n")), F.expr("CAST(floor(log2(pos + 1)) AS int)")
+    other = told.select(
+        *(F.col(c).alias(f"{c}2") for c in columns),
+        "token",
+        F.when(short, -1).otherwise(size).alias("s"),
+        F.when(short, -1).otherwise(block).alias("q"),
+    )
     apart = F.expr(
         "comp1 <> comp2 AND (NOT outside2 OR id1 < id2) "
         f"AND least(within1, within2) + least(beyond1, beyond2) >= {_least('n1', 'n2')}"

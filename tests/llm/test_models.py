@@ -76,6 +76,15 @@ def test_added_rules(spark):
     assert found[7] == "forge:0:40,hex:4:40,pem:41:72,assign:73:97"
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + "://", "eyJ" * 300_000, "://" * 300_000, "a://b:c" * 100_000])
+def test_long_runs_are_scanned_in_linear_time(text):
+    import time
+
+    began = time.time()
+    secrets.scanner_of(secrets.RULES).spans([text])
+    assert time.time() - began < 20
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
@@ -137,38 +146,110 @@ def check_scores(found, rows):
             (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:4] and math.isclose(r["base_score"], w[4], rel_tol=1e-9)
             for w in wanted[r["doc_id"]]
         )
-        assert r["score"] < 0
+        assert r["score"] < 0 or r["train_tokens"] == 0
+
+
+def plain_katz(rows):
+    """(score of each row, P(w | h), word counts, histories) of the same model, written out."""
+    words, pairs = Counter(), Counter()
+    for key, text, *_ in rows:
+        if key is None or crc(key, 5) != 1:
+            own = lm_scores.tokens(text)
+            words.update(own)
+            pairs.update(zip([None, *own], own))
+    n, v = sum(words.values()), len(words)
+    unigram = lambda w: (words[w] + 0.5) / (n + 0.5 * (v + 1))
+    times = Counter(pairs.values())
+    factors = lm_scores.good_turing([times[r] for r in range(1, lm_scores.CUTOFF + 2)])
+    mass = lambda c: c * (factors[c - 1] if c <= lm_scores.CUTOFF else 1)
+    after = {}
+    for (h, w), c in pairs.items():
+        after.setdefault(h, {})[w] = c
+    weights = {}
+    for h, own in after.items():
+        n_h, kept = sum(own.values()), sum(map(mass, own.values()))
+        by = n_h if n_h - kept > n_h * 1e-12 else kept + 1
+        weights[h] = by, (1 - kept / by) / (1 - sum(map(unigram, own)))
+
+    def p(h, w):
+        if h not in after:
+            return unigram(w)
+        by, alpha = weights[h]
+        return mass(after[h][w]) / by if w in after[h] else alpha * unigram(w)
+
+    scores = [sum(math.log10(p(h, w)) for h, w in zip([None, *own], own)) for own in (lm_scores.tokens(t) for _, t, *_ in rows)]
+    return scores, p, words, after
+
+
+def some_prose(n=300):
+    rng = np.random.default_rng(4)
+    words = [f"w{int(x)}" for x in rng.pareto(0.6, 3000)]
+    return [(i, " ".join(rng.choice(words, rng.integers(0, 60))), None, None, None) for i in range(n)]
+
+
+@pytest.mark.parametrize("block, part", [(1 << 20, 1 << 20), (500, 300)])
+def test_scores_are_those_of_a_plain_katz_model(spark, block, part):
+    """Whatever the cut into blocks and parts, hot histories that are split over the parts included."""
+    rows = [*some_prose(), (5, None, None, None, None), (None, "w1 w2 zz", None, None, None), (7, "q", None, None, None), (7, "q", None, None, None)]
+    found = dicts(lm_scores.score_report(spark.createDataFrame(rows, SCHEMA).repartition(3), block, part))
+    check_scores(found, rows)
+    scores = plain_katz(rows)[0]
+    key = lambda k, s: (k is None, k, round(s, 7))
+    assert sorted(key(r["doc_id"], r["score"]) for r in found) == sorted(key(r[0], s) for r, s in zip(rows, scores))
+
+
+def test_the_model_is_normalised(spark):
+    """Of the plain model every history sums to one, and the stored n-gram table is that model."""
+    rows = some_prose()
+    _, p, words, after = plain_katz(rows)
+    for h in after:
+        assert math.isclose(sum(p(h, w) for w in words) + p(h, b"never met"), 1, rel_tol=1e-9)
+    fitted = lm_scores.fit(spark.createDataFrame(rows, SCHEMA), 2000, 700)
+    model, seen = fitted.model, Counter()
+    for r in fitted.grams.filter("kind = 'grams'").collect():
+        counts = np.frombuffer(r["counts"], "<u4")
+        assert counts.sum() == r["n"] and len(counts) == r["kinds"] == len(r["words"]) // 4
+        if not r["hot"]:
+            sums = np.array([[r["n"], r["kinds"], *r["times"]]])
+            by, alpha = model.weights(sums, np.array([r["mass"]]))
+            total = (model.discounted(counts.astype(np.int64)) / by).sum() + alpha[0] * (1 - r["mass"])
+            assert math.isclose(total, 1, rel_tol=1e-9)
+        seen[r["h"]] += r["n"]
+    assert sorted(seen.values()) == sorted(sum(own.values()) for own in after.values())
+    assert 0 < len(model.hot) <= lm_scores.HOT_SHARE + 1
 
 
 def test_base_scores(docs, rows):
-    check_scores(dicts(lm_scores.score_report(docs, classes=20, head=40)), rows)
+    check_scores(dicts(lm_scores.score_report(docs)), rows)
 
 
-def test_score_edges(clashing, empty, nameless):
+def test_score_edges(spark, clashing, empty, nameless):
     assert lm_scores.score_report(empty).count() == 0
-    assert lm_scores.score_report(clashing, classes=8, head=8).count() == clashing.count()
+    assert lm_scores.score_report(clashing).count() == clashing.count()
     some = [tuple(r) for r in nameless.collect()]
-    check_scores(dicts(lm_scores.score_report(nameless, classes=8, head=8)), some)
+    check_scores(dicts(lm_scores.score_report(nameless)), some)
+    untaught = [(k, "a b", None, None, None) for k in range(30) if crc(k, 5) == 1]
+    found = dicts(lm_scores.score_report(spark.createDataFrame(untaught, SCHEMA)))
+    assert [(r["n_known"], r["train_tokens"], r["score"]) for r in found] == [(0, 0, 0.0)] * len(untaught)
 
 
-def test_model_is_normalised_and_beats_the_base(spark):
+def test_the_model_beats_the_base(spark):
     df = spark.read.parquet(f"{MIDDLE}/documents.parquet")
-    model, counts, grams = lm_scores.fit(df, classes=128, head=1000)
-    assert np.allclose((10.0 ** model.log_p.astype(float)).sum(1), 1, atol=1e-6)
-    rest = [r["c"] for r in counts.collect() if bytes(r["word"]) not in model.number]
-    inside = sum((c + 0.5) / 10**model.in_rest for c in rest) + 0.5 / 10**model.in_rest  # and one unknown word
-    assert math.isclose(inside, 1, rel_tol=1e-9)
-    assert {r["ngram_order"] for r in grams.select("ngram_order").distinct().collect()} == {1, 2}
-    held = lm_scores.score_report(df, classes=128, head=1000).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    held = lm_scores.score_report(df).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert held["sum(score)"] > held["sum(base_score)"]
 
 
-def test_good_turing(spark):
-    made = [(0, i, 1) for i in range(40)] + [(1, i, 2) for i in range(15)] + [(2, i, 3) for i in range(6)] + [(3, 0, 4), (3, 1, 4), (3, 2, 5)]
-    got = lm_scores.discounts(spark.createDataFrame(made, "h bigint, w bigint, c bigint"))
-    n = [0, 40, 15, 6, 2, 1, 0]
-    assert math.isclose(got[0], 2 * n[2] / n[1]) and math.isclose(got[1], 3 * n[3] / (2 * n[2]))
+def test_good_turing():
+    got = lm_scores.good_turing([40, 15, 6, 2, 1, 0])
+    assert math.isclose(got[0], 2 * 15 / 40) and math.isclose(got[1], 3 * 6 / (2 * 15))
     assert all(0 < d <= 1 for d in got)
+    assert lm_scores.good_turing([0] * 6) == [1.0] * 5
+
+
+def test_packed_arrays():
+    for own in ([], [0], [5, 3, 2**31, 9], [1, 2**40, 2**62]):
+        assert lm_scores.unpack(lm_scores.pack(np.array(own, np.int64))).tolist() == own
+        assert lm_scores.unpack(lm_scores.pack(np.array(sorted(own), np.int64), True)).tolist() == sorted(own)
 
 
 # Language identification ----------------------------------------------------------------------------------------
