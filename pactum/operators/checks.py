@@ -164,6 +164,67 @@ def propagate_parent_change(
     )
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A child table that references the table above it: ``column`` holds that table's key, ``key`` is its own."""
+
+    name: str
+    child: DataFrame
+    column: str
+    key: str
+    on_delete: str = "NO ACTION"
+    on_update: str = "NO ACTION"
+    default: Column | None = None
+    nullable: bool = True
+
+
+def propagate_chain(deleted: DataFrame, updated: DataFrame | None, key: str, references: Sequence[Reference]) -> dict[str, DataFrame]:
+    """The report of ``propagate_parent_change`` for each table of a chain. Rows that a table loses are deleted keys
+    for the table below it, and where the referencing column is itself the key, moved rows are updated keys."""
+    reports: dict[str, DataFrame] = {}
+    for r in references:
+        own = r.child.withColumn("_before", F.col(r.key))
+        report = propagate_parent_change(own, r.column, deleted, updated, key, r.on_delete, r.on_update, r.default, r.nullable)
+        deleted = report.filter("outcome = 'deleted'").select(F.col("_before").alias(r.key))
+        updated = None
+        if r.column == r.key:
+            moved = report.filter(f"outcome = 'updated' AND {r.key} IS NOT NULL")
+            updated = moved.select(F.col("_before").alias(r.key), F.col(r.key).alias("new_key"))
+        key = r.key
+        reports[r.name] = report.drop("_before")
+    return reports
+
+
+def contract_report(
+    df: DataFrame,
+    rules: Sequence[Rule] = (),
+    unique: Mapping[str, Sequence[str]] | None = None,
+    primary: Sequence[str] | None = None,
+    foreign: Mapping[str, tuple[Sequence[str], DataFrame, Sequence[str], str]] | None = None,
+) -> DataFrame:
+    """(rule, n) for every rule of a table's contract: rows that break it. Row rules come from one scan; ``unique``,
+    ``primary`` and ``foreign`` (columns, parent, keys, match) add their rows."""
+    parts = [rule_counts(df, rules)] if rules else []
+
+    def total(name: str, counted: DataFrame, n: Column) -> None:
+        parts.append(counted.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).select(F.lit(name).alias("rule"), "n"))
+
+    for name, columns in (unique or {}).items():
+        total(name, check_unique(df, columns), F.col("n"))
+    if primary is not None:
+        null = F.lit(False)
+        for c in primary:
+            null = null | F.col(c).isNull()
+        grouped = df.groupBy(*primary).agg(F.count(F.lit(1)).alias("_n"))
+        total("primary_key", grouped.filter(null | (F.col("_n") > 1)), F.col("_n"))
+    for name, (columns, parent, keys, match) in (foreign or {}).items():
+        total(name, check_foreign_key(df, columns, parent, keys, match), F.lit(1))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def cast_audit(df: DataFrame, column: str, kind: str, function: Column | None = None) -> DataFrame:
     """``df`` with ``cast_value`` and ``cast_failed``: the source has a value and the result is null."""
     value = F.col(column).try_cast(kind) if function is None else function
@@ -186,7 +247,8 @@ def encodable(column: Column, charset: str) -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """Rules of one key of a flat JSON document."""
+    """Rules of one value of a JSON document: its kind, then those that hold for values of that kind. ``fields`` are
+    the rules of an object, ``items`` those of every item of an array."""
 
     kind: str = "string"
     required: bool = False
@@ -198,6 +260,8 @@ class Field:
     max_length: int | None = None
     min_items: int | None = None
     unique_items: bool = False
+    fields: DocumentContract | None = None
+    items: Field | None = None
 
 
 @dataclass(frozen=True)
@@ -214,56 +278,117 @@ class DocumentContract:
     if_then: tuple[tuple[str, str], ...] = field(default=())
 
 
-# How each kind of JSON value looks as text.
-JSON_KINDS = {"integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$", "boolean": "^(true|false)$", "array": r"^\["}
+# How Spark names the types of the values of each kind of JSON value.
+JSON_KINDS = {
+    "integer": r"^BIGINT$",
+    "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)",
+    "boolean": r"^BOOLEAN$",
+    "string": r"^STRING$",
+    "array": r"^ARRAY",
+    "object": r"^OBJECT",
+}
 
 
 def document_violations(df: DataFrame, keys: Sequence[str], column: str, contract: DocumentContract) -> DataFrame:
-    """(keys, path, rule) for every rule that a JSON document breaks. The contract becomes one array expression, so
-    the documents are read once; a text that is no JSON object breaks ``type`` at the root only."""
-    text = F.col(column)
-    names = F.json_object_keys(text)
+    """(keys, path, rule) for every rule that a JSON document breaks. Each text is parsed once, to a variant; types are
+    those of its values, so that a quoted number is a string. Paths go through nested objects by dots; a rule that an
+    item of an array breaks is reported once, under ``path[]``. A text that is no JSON object breaks ``type`` at the
+    root only."""
+    parsed = df.select(*keys, F.try_parse_json(F.col(column)).alias("_v"))
+    broken = F.when(_kind(F.col("_v")).rlike(JSON_KINDS["object"]), _object_rules(F.col("_v"), contract, ""))
+    malformed = F.array(F.struct(F.lit("").alias("path"), F.lit("type").alias("rule")))
+    found = parsed.select(*keys, F.explode(F.coalesce(broken, malformed)).alias("_f"))
+    return found.select(*keys, "_f.*")
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def _held(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _object_rules(value: Column, contract: DocumentContract, at: str) -> Column:
+    """The array of (path, rule) that an object breaks."""
+    return _held(value.try_cast("map<string,variant>"), lambda own: _map_rules(own, contract, at))
+
+
+def _map_rules(own: Column, contract: DocumentContract, at: str) -> Column:
+    names = F.map_keys(own)
+    has = lambda k: F.array_contains(names, k)
+    inside = lambda k: f"{at}.{k}" if at else k
     found: list[Column] = []
 
     def rule(path: str, name: str, bad: Column) -> None:
-        found.append(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(name).alias("rule"))))
+        found.append(_broken(path, name, bad))
 
-    has = lambda k: F.array_contains(names, k)
-    for key, own in contract.fields.items():
-        value = F.get_json_object(text, f"$.{key}")
-        if own.required:
-            rule(key, "required", ~has(key))
-        if own.kind in JSON_KINDS:
-            rule(key, "type", has(key) & ~F.coalesce(value.rlike(JSON_KINDS[own.kind]), F.lit(False)))
-        if own.enum:
-            rule(key, "enum", ~value.isin([str(x) for x in own.enum]))
-        if own.pattern is not None:
-            rule(key, "pattern", ~value.rlike(own.pattern))
-        number = value.try_cast("double")
-        if own.minimum is not None:
-            rule(key, "minimum", number < own.minimum)
-        if own.maximum is not None:
-            rule(key, "maximum", number > own.maximum)
-        if own.min_length is not None:
-            rule(key, "min_length", F.length(value) < own.min_length)
-        if own.max_length is not None:
-            rule(key, "max_length", F.length(value) > own.max_length)
-        items = F.from_json(value, "array<string>")
-        if own.min_items is not None:
-            rule(key, "min_items", F.size(items) < own.min_items)
-        if own.unique_items:
-            rule(key, "unique_items", F.size(F.array_distinct(items)) < F.size(items))
+    deeper = []
+    for key, rules in contract.fields.items():
+        if rules.required:
+            rule(inside(key), "required", ~has(key))
+        deeper.append(F.when(has(key), _held(own[key], _rules_of(rules, inside(key)))))
     if contract.closed:
-        rule("", "closed", F.exists(names, lambda k: ~k.isin(list(contract.fields))))
+        rule(at, "closed", F.exists(names, lambda k: ~k.isin(list(contract.fields))))
     if contract.key_pattern is not None:
-        rule("", "key_pattern", F.exists(names, lambda k: ~k.rlike(contract.key_pattern)))
+        rule(at, "key_pattern", F.exists(names, lambda k: ~k.rlike(contract.key_pattern)))
     for group in contract.one_of:
         present = sum((has(k).cast("int") for k in group), F.lit(0))
-        rule("|".join(group), "one_of", present != 1)
+        rule("|".join(map(inside, group)), "one_of", present != 1)
     for a, b in contract.not_together:
-        rule(f"{a}&{b}", "not", has(a) & has(b))
+        rule(f"{inside(a)}&{inside(b)}", "not", has(a) & has(b))
     for a, b in contract.if_then:
-        rule(f"{a}->{b}", "if_then", has(a) & ~has(b))
-    malformed = F.array(F.struct(F.lit("").alias("path"), F.lit("type").alias("rule")))
-    broken = F.when(names.isNull(), malformed).otherwise(F.array_compact(F.array(*found)))
-    return df.select(*keys, F.explode(broken).alias("_v")).select(*keys, "_v.*")
+        rule(f"{inside(a)}->{inside(b)}", "if_then", has(a) & ~has(b))
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    return F.concat(F.array_compact(F.array(*found)) if found else none, *(F.coalesce(d, none) for d in deeper))
+
+
+def _rules_of(own: Field, path: str):
+    return lambda value: _value_rules(value, own, path)
+
+
+def _broken(path: str, name: str, bad: Column) -> Column:
+    return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(name).alias("rule")))
+
+
+def _value_rules(value: Column, own: Field, path: str) -> Column:
+    """The array of (path, rule) that a value breaks. A value of another kind breaks ``type`` and nothing else."""
+    kind = _kind(value)
+    right = kind.rlike(JSON_KINDS[own.kind])
+    number, text = value.try_cast("double"), value.try_cast("string")
+    if own.kind == "integer":
+        right = right | (kind.rlike(JSON_KINDS["number"]) & (number == F.floor(number)))
+    found = []
+
+    def rule(name: str, bad: Column) -> None:
+        found.append(_broken(path, name, right & bad))
+
+    if own.enum:
+        is_text = [x for x in own.enum if isinstance(x, str)]
+        rule("enum", ~(text.isin(is_text) if is_text else number.isin([float(x) for x in own.enum])))
+    if own.pattern is not None:
+        rule("pattern", ~text.rlike(own.pattern))
+    if own.minimum is not None:
+        rule("minimum", number < own.minimum)
+    if own.maximum is not None:
+        rule("maximum", number > own.maximum)
+    if own.min_length is not None:
+        rule("min_length", F.length(text) < own.min_length)
+    if own.max_length is not None:
+        rule("max_length", F.length(text) > own.max_length)
+    if own.min_items is not None or own.unique_items:
+        items = value.try_cast("array<variant>")
+        if own.min_items is not None:
+            rule("min_items", F.size(items) < own.min_items)
+        if own.unique_items:
+            shown = F.transform(items, lambda v: F.to_json(v))
+            rule("unique_items", F.size(F.array_distinct(shown)) < F.size(shown))
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    out = [F.array_compact(F.array(*found)) if found else none, F.when(~right, F.array(_broken(path, "type", ~right)))]
+    if own.fields is not None:
+        out.append(F.when(right, _object_rules(value, own.fields, path)))
+    if own.items is not None:
+        each = F.flatten(F.transform(value.try_cast("array<variant>"), _rules_of(own.items, f"{path}[]")))
+        out.append(F.when(right, F.array_distinct(each)))
+    return F.concat(out[0], *(F.coalesce(x, none) for x in out[1:]))

@@ -84,6 +84,12 @@ def conform(df: DataFrame, contract: Mapping[str, str]) -> tuple[DataFrame, list
     return df.select(*columns), [c for c in df.columns if c not in contract]
 
 
+def portable_hash(*keys: Column) -> Column:
+    """The first 60 bits of the MD5 of the keys as text: the same number on every engine. Null counts as no text."""
+    text = F.concat_ws("|", *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 @dataclass(frozen=True)
 class Partition:
     """LIST: ``values``. RANGE: ``lower`` (inclusive) and ``upper`` (exclusive), None for unbounded. HASH: ``modulus``
@@ -105,7 +111,7 @@ class Partition:
             hit = key.isNotNull()
             hit = hit & (key >= F.lit(self.lower)) if self.lower is not None else hit
             return hit & (key < F.lit(self.upper)) if self.upper is not None else hit
-        return F.pmod(F.xxhash64(key), F.lit(self.modulus)) == self.remainder
+        return F.pmod(portable_hash(key), F.lit(self.modulus)) == self.remainder
 
 
 def overlaps(partitions: Sequence[Partition], kind: str) -> list[tuple[str, str]]:
@@ -157,31 +163,47 @@ def unpack(df: DataFrame, name: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c != name), f"{name}.*")
 
 
-# Range values: structs of lower, upper, lower_inc, upper_inc; a null bound is unbounded.
+# Range values: structs of lower, upper, lower_inc, upper_inc; a null bound is unbounded, a null struct no range.
 
 
 def range_value(lower: Column, upper: Column, bounds: str = "[)") -> Column:
+    """A range; a lower bound above the upper one is refused."""
+    refused = F.raise_error(F.lit("range lower bound must be less than or equal to range upper bound"))
     return F.struct(
-        lower.alias("lower"), upper.alias("upper"), F.lit(bounds[0] == "[").alias("lower_inc"), F.lit(bounds[1] == "]").alias("upper_inc")
+        F.when(lower > upper, refused).otherwise(lower).alias("lower"),
+        upper.alias("upper"),
+        F.lit(bounds[0] == "[").alias("lower_inc"),
+        F.lit(bounds[1] == "]").alias("upper_inc"),
     )
 
 
+def range_empty(r: Column) -> Column:
+    """Whether no value is in the range; null for null."""
+    touching = F.coalesce(r["lower"] == r["upper"], F.lit(False)) & ~(r["lower_inc"] & r["upper_inc"])
+    return F.when(r.isNotNull(), touching)
+
+
 def range_contains(r: Column, value: Column) -> Column:
+    """Null for a null range or value; an empty range holds nothing."""
     above = r["lower"].isNull() | (value > r["lower"]) | (r["lower_inc"] & (value == r["lower"]))
     below = r["upper"].isNull() | (value < r["upper"]) | (r["upper_inc"] & (value == r["upper"]))
-    return above & below
+    return F.when(r.isNotNull() & value.isNotNull(), ~range_empty(r) & above & below)
 
 
 def range_overlaps(a: Column, b: Column) -> Column:
+    """Null for a null range; an empty range overlaps none."""
+
     def starts_before_end(x: Column, y: Column) -> Column:
         touching = (x["lower"] == y["upper"]) & x["lower_inc"] & y["upper_inc"]
         return x["lower"].isNull() | y["upper"].isNull() | (x["lower"] < y["upper"]) | touching
 
-    return starts_before_end(a, b) & starts_before_end(b, a)
+    met = ~range_empty(a) & ~range_empty(b) & starts_before_end(a, b) & starts_before_end(b, a)
+    return F.when(a.isNotNull() & b.isNotNull(), met)
 
 
 def range_length(r: Column) -> Column:
-    return r["upper"] - r["lower"]
+    """Upper minus lower bound; null where a bound is missing or the range is empty."""
+    return F.when(~range_empty(r), r["upper"] - r["lower"])
 
 
 def range_join(points: DataFrame, point: Column, ranges: DataFrame, lower: Column, upper: Column, width: int, on: Sequence[str] = ()) -> DataFrame:

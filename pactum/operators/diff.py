@@ -33,13 +33,19 @@ def snapshot_diff(
     keys: Sequence[str],
     ignore: Iterable[str] = (),
     skip: Column | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """Keys, ``change``, and both rows as structs ``desired`` and ``actual``.
 
     The sides meet in one full outer join on null-safe keys; presence is told by a marker, never by null data.
     ``ignore`` names columns that are not compared. ``skip`` is a predicate over the key columns: rows outside
-    management are reported as Skipped.
+    management are reported as Skipped. ``checked`` first refuses a side whose keys are not unique; on such a side
+    the diff is not defined.
     """
+    if checked:
+        for name, df in (("desired", desired), ("actual", actual)):
+            if not duplicate_keys(df, keys).isEmpty():
+                raise ValueError(f"the {name} snapshot repeats a key")
     kinds = dict(desired.dtypes)
     sides = [
         df.select(
@@ -68,9 +74,15 @@ def snapshot_diff(
     return merged
 
 
-def diff_summary(diff: DataFrame, *by: str) -> DataFrame:
-    """Rows of each class, in all and within ``by``; classes without rows do not appear."""
-    return diff.groupBy("change", *by).agg(F.count(F.lit(1)).alias("n"))
+def diff_summary(diff: DataFrame, *by: str, totals: bool = False) -> DataFrame:
+    """Rows of each class within ``by``; classes without rows do not appear. With ``totals`` also of each class in all
+    and of all rows, from the same aggregate: ``summed`` names the columns that a row is summed over (null there)."""
+    count = F.count(F.lit(1)).alias("n")
+    if not totals:
+        return diff.groupBy("change", *by).agg(count)
+    names = ("change", *by)
+    over = F.concat_ws(",", *(F.when(F.grouping(c) == 1, F.lit(c)) for c in names)).alias("summed")
+    return diff.rollup(*names).agg(count, over)
 
 
 # Type names that mean the same, as PostgreSQL defines them.
@@ -249,7 +261,7 @@ def classify_resolution(changes: DataFrame, rules: DataFrame, keys: Sequence[str
     """(keys, resolution): the severest resolution of a key's changed fields. ``rules``: (field, resolution), a small
     table of the contract; a field without a rule gets ``default``."""
     severity = F.array_position(F.array(*map(F.lit, RESOLUTIONS)), F.coalesce("resolution", F.lit(default)))
-    ranked = changes.join(F.broadcast(rules), "field", "left").withColumn("_s", severity)
+    ranked = changes.join(rules, "field", "left").withColumn("_s", severity)
     worst = ranked.groupBy(*keys).agg(F.max("_s").alias("_s"))
     return worst.select(*keys, F.element_at(F.array(*map(F.lit, RESOLUTIONS)), F.col("_s").cast("int")).alias("resolution"))
 

@@ -9,34 +9,60 @@ from pyspark.sql import functions as F
 
 from .graph import reachable
 
-# Privileges that each kind of object knows, as PostgreSQL defines them.
+# Privileges that each kind of object knows, and what an object of a section may be called.
 LEGAL = {
     "columns": ("SELECT", "INSERT", "UPDATE", "REFERENCES"),
     "databases": ("CREATE", "CONNECT", "TEMPORARY"),
+    "domains": ("USAGE",),
+    "foreign_data_wrappers": ("USAGE",),
+    "foreign_servers": ("USAGE",),
     "functions": ("EXECUTE",),
     "languages": ("USAGE",),
+    "large_objects": ("SELECT", "UPDATE"),
     "schemata": ("CREATE", "USAGE"),
-    "sequences": ("USAGE", "SELECT", "UPDATE"),
-    "servers": ("USAGE",),
-    "tables": ("SELECT", "INSERT", "UPDATE", "DELETE", "TRUNCATE", "REFERENCES", "TRIGGER"),
-    "tablespaces": ("CREATE",),
+    "sequences": ("SELECT", "UPDATE", "USAGE"),
+    "tables": ("SELECT", "INSERT", "UPDATE", "DELETE", "TRUNCATE", "REFERENCES", "TRIGGER", "MAINTAIN"),
+    "tablespaces": ("CREATE", "USAGE"),
     "types": ("USAGE",),
+    "views": ("SELECT",),
 }
-#: What an object of a section may be called.
+_WORD, _DOTTED = r"[A-Za-z0-9_\-]+", r"[A-Za-z0-9_\-.]+"
 NAMES = {
-    "columns": r"^[A-Za-z_][A-Za-z0-9_$]*\.[A-Za-z_][A-Za-z0-9_$]*\.[A-Za-z_][A-Za-z0-9_$]*$",
-    "tables": r"^[A-Za-z_][A-Za-z0-9_$]*\.[A-Za-z_][A-Za-z0-9_$]*$",
-    "schemata": r"^[A-Za-z_][A-Za-z0-9_$]*$",
+    "columns": rf"^{_WORD}\.{_WORD}\.{_WORD}$",
+    "databases": r"^[A-Za-z_\-.]+$",
+    "domains": rf"^{_WORD}\.{_WORD}$",
+    "foreign_data_wrappers": rf"^{_DOTTED}$",
+    "foreign_servers": rf"^{_DOTTED}$",
+    "functions": rf"^{_WORD}\.{_WORD}\(.*\)$",
+    "languages": rf"^{_DOTTED}$",
+    "large_objects": r"^[0-9]+$",
+    "schemata": rf"^{_WORD}$",
+    "sequences": rf"^{_WORD}\.{_WORD}$",
+    "tables": rf"^{_WORD}\.{_WORD}$",
+    "tablespaces": rf"^{_WORD}$",
+    "types": rf"^{_WORD}\.{_WORD}$",
+    "views": rf"^{_WORD}\.{_WORD}$",
 }
+#: Other spellings of a privilege.
+SAME = {"TEMP": "TEMPORARY", "ALL PRIVILEGES": "ALL"}
 GRANTABLE = " WITH GRANT OPTION"
 
 
+def plain_privilege(privilege: Column) -> Column:
+    """A privilege without the grant marker, in its usual spelling."""
+    bare = F.regexp_replace(privilege, f"{GRANTABLE}$", "")
+    spelled = F.create_map(*(F.lit(x) for pair in SAME.items() for x in pair))
+    return F.coalesce(spelled[bare], bare)
+
+
 def explode_grants(statements: DataFrame) -> DataFrame:
     """Distinct (role, section, object, privilege). ``statements`` holds arrays roles, objects, privileges and columns
     (null: the whole object), section and grantable; a column privilege is of section columns and is keyed
-    object.column; a grantable one carries the marker."""
+    object.column; a grantable one carries the marker. Equal statements are one before they are taken apart."""
+    lists = ("roles", "objects", "privileges", "columns")
+    once = statements.select("section", "grantable", *(F.array_sort(F.array_distinct(c)).alias(c) for c in lists)).distinct()
     rows = (
-        statements.withColumn("role", F.explode("roles"))
+        once.withColumn("role", F.explode("roles"))
         .withColumn("object", F.explode("objects"))
         .withColumn("privilege", F.explode("privileges"))
         .withColumn("column", F.explode_outer("columns"))
@@ -90,26 +116,24 @@ def membership_edges(statements: DataFrame) -> DataFrame:
     return pairs.filter("is_grant").select("member", "role").distinct().join(revoked, ["member", "role"], "left_anti")
 
 
-def legal_table(spark, legal: Mapping[str, Iterable[str]] = LEGAL) -> DataFrame:
-    return spark.createDataFrame([(s, p) for s, ps in legal.items() for p in ps], "section string, legal string")
-
-
 def effective_privileges(grants: DataFrame, revocations: DataFrame, members: DataFrame) -> DataFrame:
     """(role, section, object, privilege) each role ends up with: ALL is expanded to the section's list, revocations
-    are taken away, and what a role has its members inherit, through any number of memberships."""
-    legal = F.broadcast(legal_table(grants.sparkSession))
-
-    def expanded(df: DataFrame) -> DataFrame:
-        joined = df.join(legal, "section")
-        every = F.col("privilege").isin("ALL", "ALL PRIVILEGES")
-        return joined.filter(every | (F.col("privilege") == F.col("legal"))).select("role", "section", "object", F.col("legal").alias("privilege")).distinct()
-
-    own = expanded(grants).join(expanded(revocations), ["role", "section", "object", "privilege"], "left_anti")
+    are taken away, and what a role has its members inherit, through any number of memberships. The privileges of a
+    role on an object travel as one mask over the section's list."""
+    order = [(s, p, 1 << i) for s, ps in LEGAL.items() for i, p in enumerate(ps)]
+    legal = F.broadcast(grants.sparkSession.createDataFrame(order, "section string, legal string, bit int"))
+    key = ["role", "section", "object"]
+
+    def masks(df: DataFrame, name: str) -> DataFrame:
+        plain = plain_privilege(F.col("privilege"))
+        return df.join(legal, "section").filter((plain == "ALL") | (plain == F.col("legal"))).groupBy(*key).agg(F.bit_or("bit").alias(name))
+
+    own = masks(grants, "mask").join(masks(revocations, "taken"), key, "left")
+    own = own.select(*key, F.expr("mask & ~coalesce(taken, 0)").alias("mask")).filter("mask <> 0")
     through = reachable(members.select(F.col("member").alias("src"), F.col("role").alias("dst")))
-    inherited = own.join(through.select(F.col("dst").alias("role"), "src"), "role").select(
-        F.col("src").alias("role"), "section", "object", "privilege"
-    )
-    return own.unionByName(inherited).distinct()
+    inherited = own.join(through.select(F.col("dst").alias("role"), "src"), "role").select(F.col("src").alias("role"), "section", "object", "mask")
+    held = own.unionByName(inherited).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
+    return held.join(legal, "section").filter("mask & bit <> 0").select(*key, F.col("legal").alias("privilege"))
 
 
 def privilege_violations(entries: DataFrame) -> DataFrame:
@@ -120,10 +144,10 @@ def privilege_violations(entries: DataFrame) -> DataFrame:
         )
     )
     joined = entries.join(known, "section", "left")
-    plain = F.regexp_replace("privilege", f"{GRANTABLE}$", "")
+    plain = plain_privilege(F.col("privilege"))
     rule = (
         F.when(F.col("legal").isNull(), "section")
-        .when(~(F.array_contains("legal", plain) | plain.isin("ALL", "ALL PRIVILEGES")), "privilege")
+        .when(~(F.array_contains("legal", plain) | (plain == "ALL")), "privilege")
         .when(F.col("name").isNotNull() & ~F.regexp_like(F.col("object"), F.col("name")), "name")
     )
     return joined.withColumn("rule", rule).filter("rule IS NOT NULL").drop("legal", "name")

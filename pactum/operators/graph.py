@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.session import materialize
+from ..plans.session import discard, map_arrow, materialize
 
 
 def resolve_edges(refs: DataFrame, objects: DataFrame, schemaless: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -38,27 +39,70 @@ def derive_reference_edges(references: DataFrame) -> DataFrame:
     return edges.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+#: Edges that one task may finish by itself; a documented bound on its memory, not on the graph.
+TASK_EDGES = 200_000
+
+
+def dependency_levels(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, level): 0 for nodes without parents, else one more than the highest parent; null for nodes on or behind a
-    cycle. ``edges``: (child, parent) among the nodes. Every round takes out the nodes whose parents are all placed;
-    waiting nodes and edges are written to the shared folder, so a round's plan never holds the rounds before it."""
+    cycle. ``edges``: (child, parent) among the nodes.
+
+    Every round takes out the nodes whose parents are all placed, for as many rounds as the graph is deep. The waiting
+    edges are written to the shared folder, so a round's plan never holds the rounds before it. Once no more than
+    ``task_edges`` are left, one task places the rest, so that a long thin graph does not cost a round for each level.
+    """
     waiting = materialize(edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
-    open_ = materialize(nodes.select("id").distinct(), "open")
-    placed, level = None, 0
-    while level < most_rounds:
-        frontier = materialize(
-            open_.join(waiting.select(F.col("child").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)),
-            "frontier",
-        )
-        if frontier.isEmpty():
-            break
-        placed = frontier if placed is None else placed.unionByName(frontier)
-        done = frontier.select("id")
-        open_ = materialize(open_.join(done, "id", "left_anti"), "open")
-        waiting = materialize(waiting.join(done.withColumnRenamed("id", "parent"), "parent", "left_anti").select("child", "parent"), "edges")
+    children = waiting.select(F.col("child").alias("id")).distinct()
+    frontier = materialize(nodes.select("id").distinct().join(children, "id", "left_anti"), "frontier")
+    placed, level = frontier.withColumn("level", F.lit(0)), 0
+    while True:
+        if waiting.count() <= task_edges:
+            return placed.unionByName(_placed_in_one_task(waiting, frontier, level))
+        after = materialize(waiting.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_anti").select("child", "parent"), "edges")
+        still = after.select(F.col("child").alias("id")).distinct()
+        found = materialize(children.join(still, "id", "left_anti"), "frontier")
+        if found.isEmpty():
+            return placed.unionByName(children.withColumn("level", F.lit(None).cast("int")))
         level += 1
-    cyclic = open_.withColumn("level", F.lit(None).cast("int"))
-    return cyclic if placed is None else placed.unionByName(cyclic)
+        placed = placed.unionByName(found.withColumn("level", F.lit(level)))
+        discard(waiting)
+        waiting, frontier, children = after, found, still
+
+
+def _placed_in_one_task(waiting: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
+    """(id, level) of the children of ``waiting``, whose parents are in ``frontier``, of ``level``, or among them."""
+    kind = waiting.schema["child"].dataType
+    # Only those of the frontier that are parents here matter.
+    start = frontier.select(F.col("id").alias("parent")).join(waiting.select("parent").distinct(), "parent", "left_semi")
+    rows = waiting.unionByName(start.select(F.lit(None).cast(kind).alias("child"), "parent"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        below, open_parents, ready = {}, {}, []
+        for batch in batches:
+            for child, parent in zip(batch.column("child").to_pylist(), batch.column("parent").to_pylist()):
+                if child is None:
+                    ready.append(parent)
+                else:
+                    below.setdefault(parent, []).append(child)
+                    open_parents[child] = open_parents.get(child, 0) + 1
+        levels, at = dict.fromkeys(open_parents), level
+        while ready:
+            at, done, ready = at + 1, ready, []
+            for parent in done:
+                for child in below.get(parent, ()):
+                    open_parents[child] -= 1
+                    if not open_parents[child]:
+                        levels[child] = at
+                        ready.append(child)
+        arrow = to_arrow_type(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(levels.keys(), arrow), pa.array(levels.values(), pa.int32())], ["id", "level"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("level", T.IntegerType())])
+    return map_arrow(rows.repartition(1), run, schema)
 
 
 def dependency_order(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -66,20 +110,21 @@ def dependency_order(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> Da
     Nodes of cycles have no level and come last. ``ranks``: (kind, rank), a small fixed table."""
     from .ordering import global_ordinal
 
-    leveled = nodes.join(dependency_levels(nodes, edges), "id").join(F.broadcast(ranks), "kind", "left")
+    leveled = nodes.join(dependency_levels(nodes, edges), "id").join(ranks, "kind", "left")
     order = [F.col("level").asc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("id")]
     return global_ordinal(leveled, order, "position")
 
 
-def reachable(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(src, dst): the transitive closure of (src, dst), by joining the new pairs with the edges until none is new."""
-    base = materialize(edges.select("src", "dst").distinct(), "closure")
-    total = fresh = base
-    for _ in range(most_rounds):
-        step = fresh.join(base.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst")
-        found = step.select("src", F.col("_to").alias("dst")).distinct()
-        fresh = materialize(found.join(total, ["src", "dst"], "left_anti"), "closure")
-        if fresh.isEmpty():
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst): the transitive closure of (src, dst). Paths double in length every round, until none is new, so the
+    rounds are logarithmic in the longest way."""
+    total = fresh = materialize(edges.select("src", "dst").distinct(), "closure")
+    while True:
+        known = total.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
+        ahead = fresh.join(known, fresh["dst"] == known["_via"]).select("src", F.col("_to").alias("dst"))
+        back = total.join(fresh.select(F.col("src").alias("_via"), F.col("dst").alias("_to")), F.col("dst") == F.col("_via"))
+        found = ahead.union(back.select("src", F.col("_to").alias("dst"))).distinct()
+        new = materialize(found.join(total, ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
             return total
-        total = materialize(total.unionByName(fresh), "closure")
-    raise RuntimeError("the closure did not settle")
+        total, fresh = materialize(total.unionByName(new), "closure"), new

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import delete_path, discard, materialize, path_exists
 from . import diff as D
 
 
@@ -50,6 +51,38 @@ def merge_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], prun
     )
 
 
+BUCKETS = 64
+
+
+def staged_merge(path: str, source: DataFrame, keys: Sequence[str], prune: bool = False, buckets: int = BUCKETS) -> dict[str, int]:
+    """Merge ``source`` into the table that is stored at ``path``, and return the counts of written, kept, stale and
+    pruned rows and of rewritten buckets.
+
+    The table lies in ``buckets`` folders by a hash of the key. Buckets without a written or pruned row are not
+    touched, so a second merge of the same source writes nothing. The others are worked out in the shared folder
+    first and then swapped in one by one by Spark's dynamic partition overwrite, which moves a finished folder into
+    place; a bucket whose rows are all pruned is deleted. A table that is not there yet is written whole.
+    """
+    spark = source.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    target = spark.createDataFrame([], source.schema)
+    if path_exists(spark, path):
+        target = spark.read.schema(f"{source.schema.toDDL()}, _bucket int").parquet(path).drop("_bucket")
+    states = materialize(merged_states(target, source, keys, prune).withColumn("_bucket", bucket), "merge")
+    changed = states.filter(F.col("state").isin("written", "pruned")).select("_bucket").distinct()
+    touched = sorted(r["_bucket"] for r in changed.collect())  # at most ``buckets`` numbers
+    counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
+    staged = states.filter(F.col("_bucket").isin(touched) & (F.col("state") != "pruned")).select("row.*", "_bucket")
+    if touched:
+        writer = staged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("_bucket").parquet(path)
+        left = {r["_bucket"] for r in staged.select("_bucket").distinct().collect()}
+        for gone in set(touched) - left:
+            delete_path(spark, f"{path}/_bucket={gone}")
+    discard(states)
+    return {"rewritten": len(touched), **{s: counts.get(s, 0) for s in ("written", "kept", "stale", "pruned")}}
+
+
 def overlay_last_non_null(base: DataFrame, patches: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key: each field is the last non-null one by ``order``, the base coming first. Keys that only the
     patches have are inserted. ``max_by`` over the non-null values combines before the shuffle."""
@@ -107,14 +140,18 @@ def group_nested(rows: DataFrame, keys: Sequence[str], seq: str, values: Sequenc
     return rows.groupBy(*keys).agg(F.transform(listed, pick).alias(name))
 
 
-def inject_defaults(df: DataFrame, container: DataFrame, on: Column, columns: Sequence[str], fallback: Mapping[str, Column]) -> DataFrame:
+def inject_defaults(df: DataFrame, container: DataFrame, on: Column, columns: Sequence[str], fallback: Mapping[str, Column], presence: str | None = None) -> DataFrame:
     """Fill absent values from the container's column of the same name, then from the global ``fallback``; explicit
-    values win. The container is joined on its key, at most one row each."""
+    values win. The container is joined on its key, at most one row each. With ``presence``, a map column (column ->
+    given), an explicit null is a value and stays; without it null counts as absent."""
     box = container.select(*(F.col(c).alias(f"_c_{c}") for c in container.columns))
     joined = df.join(box, on, "left")
     for c in columns:
         own = [F.col(c)] + ([F.col(f"_c_{c}")] if c in container.columns else []) + ([fallback[c]] if c in fallback else [])
-        joined = joined.withColumn(c, F.coalesce(*own))
+        value = F.coalesce(*own)
+        if presence is not None:
+            value = F.when(F.coalesce(F.col(presence)[c], F.lit(False)), F.col(c)).otherwise(value)
+        joined = joined.withColumn(c, value)
     return joined.select(*df.columns)
 
 

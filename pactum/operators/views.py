@@ -24,18 +24,17 @@ def define_view(spark: SparkSession, name: str, query: str | DataFrame, columns:
     return df
 
 
-def recursive_view(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 1000) -> DataFrame:
-    """The seed's rows and those that ``step`` derives from the newest ones, until none is new (UNION semantics). Each
-    round is written to the shared folder."""
+def recursive_view(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The seed's rows and those that ``step`` derives from the newest ones, until none is new (UNION semantics),
+    however many rounds that takes. Each round is written to the shared folder."""
     from ..plans.session import materialize
 
     total = fresh = materialize(seed.distinct(), "recursion")
-    for _ in range(most_rounds):
+    while True:
         fresh = materialize(step(fresh).distinct().subtract(total), "recursion")
         if fresh.isEmpty():
             return total
         total = total.unionByName(fresh)
-    raise RuntimeError("the recursion did not end")
 
 
 @dataclass(frozen=True)

@@ -93,6 +93,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames that ``materialize`` returned, once nothing will read them again."""
     for df in frames:

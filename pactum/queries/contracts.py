@@ -60,6 +60,37 @@ UNION ALL SELECT event_id, 'name', 'max_length' FROM e WHERE m > 5 AND length(ev
 """
 
 
+def con1_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted numbers and booleans, numbers for strings, keys with dots, nested objects and arrays."""
+    e = table(spark, sf_dir, "events")
+    id_ = F.col("event_id")
+    kinds = ['{"k":"5"}', '{"k":1,"s":7}', '{"k":1,"b":"true"}', '{"k":1,"a.b":{"c":"x"}}', '{"k":1,"o":{"tags":[1,"x",2,"y"]}}']
+    kinds += ['{"k":1.0,"s":"7","b":true,"o":{"z":1}}', '{"k":1.5}', '{"k":1,"o":[]}']
+    body = F.when(id_ % 10 == 9, F.concat(F.lit('{"k":'), id_ % 200, F.lit("}")))
+    for i, text in enumerate(kinds):
+        body = body.when(id_ % 10 == i, F.lit(text))
+    contract = C.DocumentContract(
+        fields={
+            "k": C.Field(kind="integer", required=True, maximum=100),
+            "s": C.Field(),
+            "b": C.Field(kind="boolean"),
+            "a.b": C.Field(kind="object", fields=C.DocumentContract(fields={"c": C.Field(kind="number")})),
+            "o": C.Field(
+                kind="object",
+                fields=C.DocumentContract(fields={"tags": C.Field(kind="array", items=C.Field(kind="integer"))}, closed=True),
+            ),
+        }
+    )
+    return C.document_violations(e.select("event_id", body.alias("body")), ["event_id"], "body", contract)
+
+
+SQL_CON1_NESTED = """
+SELECT event_id, path, rule FROM events JOIN (VALUES (0, 'k', 'type'), (1, 's', 'type'), (2, 'b', 'type'), (3, 'a.b.c', 'type'), (4, 'o.tags[]', 'type'),
+  (5, 'o', 'closed'), (6, 'k', 'type'), (7, 'o', 'type'), (8, '', 'type'), (9, 'k', 'maximum')) v(m, path, rule) ON event_id % 10 = m
+WHERE m <> 9 OR event_id % 200 > 100
+"""
+
+
 def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with nulls put in by modulus."""
     o = table(spark, sf_dir, "orders")
@@ -149,6 +180,29 @@ FROM o CROSS JOIN a
 """
 
 
+def con8_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers % 9 = 0 are deleted; their orders go with them, and those orders' lines; lines of other orders stay."""
+    deleted = table(spark, sf_dir, "customer").select("c_custkey").filter("c_custkey % 9 = 0")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    chain = [
+        C.Reference("orders", orders, "o_custkey", "o_orderkey", on_delete="CASCADE"),
+        C.Reference("lineitem", lines, "l_orderkey", "l_orderkey", on_delete="CASCADE"),
+    ]
+    reports = C.propagate_chain(deleted, None, "c_custkey", chain)
+    lost = [r.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(name)) for name, r in reports.items()]
+    return lost[0].unionByName(lost[1])
+
+
+SQL_CON8_CHAIN = """
+SELECT CASE WHEN o_custkey % 9 = 0 AND c_custkey IS NOT NULL THEN 'deleted' ELSE 'kept' END AS outcome, count(*) AS n, 'orders' AS level
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1
+UNION ALL
+SELECT CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 9 = 0) THEN 'deleted' ELSE 'kept' END,
+       count(*), 'lineitem' FROM lineitem GROUP BY 1
+"""
+
+
 def con9(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -199,6 +253,28 @@ def con11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rule_counts(table(spark, sf_dir, "lineitem"), _line_rules())
 
 
+def con11_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row rules and unique, primary and foreign keys of one table in one report."""
+    parents = table(spark, sf_dir, "customer").filter("c_custkey % 9 <> 0").select("c_custkey")
+    return C.contract_report(
+        _holed(spark, sf_dir),
+        rules=[*C.not_null("o_custkey"), C.check("cheap", "o_totalprice < 100000")],
+        unique={"unique:customer": ["o_custkey"]},
+        primary=["o_custkey", "o_orderstatus"],
+        foreign={"customer": (["o_custkey"], parents, ["c_custkey"], "SIMPLE")},
+    )
+
+
+SQL_CON11_SETS = f"""
+WITH {SQL_HOLED}
+SELECT 'not_null:o_custkey' AS rule, count(*) AS n FROM holed WHERE o_custkey IS NULL
+UNION ALL SELECT 'cheap', count(*) FROM holed WHERE NOT o_totalprice < 100000
+UNION ALL SELECT 'unique:customer', coalesce(CAST(sum(n) AS BIGINT), 0) FROM (SELECT count(*) AS n FROM holed WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1)
+UNION ALL SELECT 'primary_key', coalesce(CAST(sum(n) AS BIGINT), 0) FROM (SELECT o_custkey IS NULL OR o_orderstatus IS NULL AS null_key, count(*) AS n FROM holed GROUP BY o_custkey, o_orderstatus HAVING null_key OR count(*) > 1)
+UNION ALL SELECT 'customer', count(*) FROM holed WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)
+"""
+
+
 def con11_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = C.quarantined(table(spark, sf_dir, "lineitem"), _line_rules())[1]
     return bad.groupBy(F.array_join("failed", ",").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
@@ -311,18 +387,17 @@ FROM supplier WHERE s_suppkey % 10 <> 0 GROUP BY 1
 
 
 def _memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        F.array(F.concat(F.lit("r"), k % 40)).alias("members"),
-        F.array(F.concat(F.lit("r"), F.floor((k % 40) / 2)), F.concat(F.lit("r"), F.floor((k % 40) / 3))).alias("roles"),
-        (k % 200 != 7).alias("is_grant"),
-    )
+    """Every customer is a member of those with a half and a third of its key; some of the first are taken back."""
+    own = F.array(F.concat(F.lit("r"), "c_custkey")).alias("members")
+    up = [F.concat(F.lit("r"), F.expr(f"c_custkey div {n}")) for n in (2, 3)]
+    c = table(spark, sf_dir, "customer")
+    granted = c.select(own, F.array(*up).alias("roles"), F.lit(True).alias("is_grant"))
+    return granted.union(c.filter("c_custkey % 50 = 7").select(own, F.array(up[0]), F.lit(False)))
 
 
 SQL_MEMBERS = """
-m0 AS (SELECT c_custkey % 40 AS a, unnest([(c_custkey % 40) // 2, (c_custkey % 40) // 3]) AS b, c_custkey % 200 <> 7 AS is_grant FROM customer),
-m AS (SELECT DISTINCT 'r' || a AS member, 'r' || b AS role FROM m0 WHERE is_grant
-      EXCEPT SELECT 'r' || a, 'r' || b FROM m0 WHERE NOT is_grant)"""
+m AS (SELECT DISTINCT 'r' || c_custkey AS member, 'r' || b AS role FROM (SELECT c_custkey, unnest([c_custkey // 2, c_custkey // 3]) AS b FROM customer)
+      EXCEPT SELECT 'r' || c_custkey, 'r' || (c_custkey // 2) FROM customer WHERE c_custkey % 50 = 7)"""
 
 
 def acl5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,21 +408,24 @@ def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("privilege", f"{A.GRANTABLE}$", "")
     grants = acl1(spark, sf_dir).withColumn("privilege", plain).distinct()
     revoked = grants.filter(F.col("role").isin("r3", "r5") & (F.col("section") == "tables")).withColumn("privilege", F.lit("UPDATE")).distinct()
-    return A.effective_privileges(grants, revoked, acl5(spark, sf_dir))
+    held = A.effective_privileges(grants, revoked, acl5(spark, sf_dir))
+    return held.groupBy("role", "section", "object").agg(F.array_join(F.array_sort(F.collect_set("privilege")), ",").alias("privileges"))
 
 
 SQL_EFFECTIVE = f"""
 WITH RECURSIVE {SQL_GRANTS}, {SQL_MEMBERS},
 legal(section, p) AS (VALUES ('tables','SELECT'),('tables','INSERT'),('tables','UPDATE'),('tables','DELETE'),('tables','TRUNCATE'),('tables','REFERENCES'),
-  ('tables','TRIGGER'),('columns','SELECT'),('columns','INSERT'),('columns','UPDATE'),('columns','REFERENCES')),
+  ('tables','TRIGGER'),('tables','MAINTAIN'),('columns','SELECT'),('columns','INSERT'),('columns','UPDATE'),('columns','REFERENCES')),
 own AS (
   SELECT DISTINCT role, g.section, object, p AS privilege FROM g JOIN legal l ON l.section = g.section
     AND (replace(privilege, ' WITH GRANT OPTION', '') = 'ALL' OR replace(privilege, ' WITH GRANT OPTION', '') = p)
   WHERE NOT (role IN ('r3', 'r5') AND g.section = 'tables' AND p = 'UPDATE')
 ),
 closure AS (SELECT member, role FROM m UNION SELECT c.member, m.role FROM closure c JOIN m ON m.member = c.role)
-SELECT role, section, object, privilege FROM own
-UNION SELECT c.member, o.section, o.object, o.privilege FROM own o JOIN closure c ON c.role = o.role
+SELECT role, section, object, string_agg(privilege, ',' ORDER BY privilege) AS privileges FROM (
+  SELECT role, section, object, privilege FROM own
+  UNION SELECT c.member, o.section, o.object, o.privilege FROM own o JOIN closure c ON c.role = o.role
+) GROUP BY 1, 2, 3
 """
 
 
@@ -378,6 +456,7 @@ def acl8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "con1_validate_documents": con1,
+    "con1_validate_nested": con1_nested,
     "con2_not_null": con2,
     "con3_check_expression": con3,
     "con4_unique": con4,
@@ -386,9 +465,11 @@ QUERIES = {
     "con7_foreign_key_simple": _con7("SIMPLE"),
     "con7_foreign_key_full": _con7("FULL"),
     "con8_propagate_parent_change": con8,
+    "con8_propagate_chain": con8_chain,
     "con9_domain": con9,
     "con10_enum": con10,
     "con11_contract_report": con11,
+    "con11_set_rules": con11_sets,
     "con11_quarantine": con11_quarantine,
     "con12_checked_cast": con12,
     "con13_encodable": con13,
@@ -413,6 +494,9 @@ SELECT CAST(sum(CASE WHEN l IS NULL THEN n ELSE 0 END) AS BIGINT) AS null_rows,
     "con7_foreign_key_simple": SQL_CON7,
     "con7_foreign_key_full": SQL_CON7 + "UNION ALL SELECT o_orderkey, o_custkey, second FROM c WHERE (o_custkey IS NULL) <> (second IS NULL)",
     "con8_propagate_parent_change": SQL_CON8,
+    "con8_propagate_chain": SQL_CON8_CHAIN,
+    "con11_set_rules": SQL_CON11_SETS,
+    "con1_validate_nested": SQL_CON1_NESTED,
     "con9_domain": SQL_CON9,
     "con10_enum": "SELECT o_orderpriority, CAST(list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH'], o_orderpriority) AS INTEGER) AS ordinal, 0 AS violations FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1 UNION ALL SELECT o_orderpriority, 0, count(*) FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
     "con11_contract_report": SQL_LINE_RULES + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (WHERE r{i}) AS n FROM r" for i, n in enumerate(RULE_NAMES)),

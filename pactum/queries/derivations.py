@@ -77,7 +77,7 @@ def der6_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def der7(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), "c_mktsegment")
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), "s_acctbal")
-    parent = c.filter("key < 0").select("key", "name", "nation")
+    parent = c.filter("key % 50 = 0").select("key", "name", "nation")
     return V.inheritance_scan(("party", parent), [("customer", c), ("supplier", s)])
 
 
@@ -99,8 +99,11 @@ def der9_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     a = V.range_value(k % 10, k % 10 + k % 3, "[]")
     b = V.range_value(k % 7, F.when(k % 5 != 0, k % 7 + 4), "[)")
+    c = V.range_value(k % 4, k % 4 + k % 2, "[)")  # half of them empty
+    none = F.when(k % 6 != 0, c)
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", V.range_contains(a, k % 8).alias("has"), V.range_overlaps(a, b).alias("meets"), V.range_length(b).alias("length")
+        "o_orderkey", V.range_contains(a, k % 8).alias("has"), V.range_overlaps(a, b).alias("meets"), V.range_length(b).alias("length"),
+        V.range_contains(none, F.when(k % 8 != 1, k % 4)).alias("c_has"), V.range_overlaps(a, c).alias("c_meets"), V.range_length(c).alias("c_length"),
     )
 
 
@@ -220,11 +223,13 @@ SQL = {
     "der5_conform": "SELECT p_partkey, CASE WHEN p_partkey % 6 <> 0 THEN p_size END AS p_size, CAST(NULL AS VARCHAR) AS p_comment FROM part",
     "der6_route_list": "SELECT o_orderkey, status, CASE WHEN status = 'O' THEN 'open' WHEN status = 'F' OR status IS NULL THEN 'closed' END AS partition FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS status FROM orders)",
     "der6_route_range": "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'small' WHEN o_totalprice < 200000 THEN 'middle' WHEN o_totalprice >= 300000 THEN 'large' ELSE 'rest' END AS partition FROM orders",
-    "der7_inheritance_scan": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, 'supplier' FROM supplier",
+    "der6_route_hash": "SELECT 'h' || (CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 4) AS partition, count(*) AS n FROM orders GROUP BY 1",
+    "der7_inheritance_scan": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, 'supplier' FROM supplier UNION ALL SELECT c_custkey, c_name, c_nationkey, 'party' FROM customer WHERE c_custkey % 50 = 0",
     "der8_composite": "SELECT c_custkey, c_nationkey, c_mktsegment, substr(c_mktsegment, 1, 1) AS first FROM customer",
     "der9_range_join": "WITH e AS (SELECT user_id, epoch(date_trunc('second', ts)) AS s FROM events), w AS (SELECT user_id, min(s) AS b FROM e GROUP BY 1) SELECT e.user_id, count(*) AS n FROM e JOIN w ON w.user_id = e.user_id AND s >= b AND s < b + 604800 GROUP BY 1",
     "der9_range_values": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 10 AS lo, o_orderkey % 10 + o_orderkey % 3 AS hi, o_orderkey % 7 AS b, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 + 4 END AS e FROM orders)
-SELECT k AS o_orderkey, k % 8 BETWEEN lo AND hi AS has, (e IS NULL OR lo < e) AND b <= hi AS meets, e - b AS length FROM r""",
+SELECT k AS o_orderkey, k % 8 BETWEEN lo AND hi AS has, (e IS NULL OR lo < e) AND b <= hi AS meets, e - b AS length,
+       CASE WHEN k % 6 <> 0 AND k % 8 <> 1 THEN k % 2 = 1 END AS c_has, k % 2 = 1 AND k % 4 <= hi AND lo < k % 4 + 1 AS c_meets, CASE WHEN k % 2 = 1 THEN 1 END AS c_length FROM r""",
     "der10_ordered_scan": "SELECT o_orderkey, p AS o_totalprice FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 500 <> 0 THEN o_totalprice END AS p FROM orders) ORDER BY p DESC NULLS FIRST, o_orderkey LIMIT 100",
     "der11_row_trigger": SQL_DIFF + """, t AS (
   SELECT diff.o_orderkey, CASE change WHEN 'Added' THEN 'insert' WHEN 'Changed' THEN 'update' ELSE 'delete' END AS event,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import merge as M
 from ..operators.ordering import global_ordinal
-from ..plans.session import table
+from ..plans.session import shared_folder, table
 from .pairs import SQL_PAIR, actual_orders, desired_orders
 
 KEY = ["o_orderkey"]
@@ -36,6 +38,17 @@ def mrg1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_counts(actual_orders(spark, sf_dir), desired_orders(spark, sf_dir), KEY, prune=True)
 
 
+def mrg1_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after two merges of the same source, with what the second one wrote."""
+    path = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    M.staged_merge(path, actual_orders(spark, sf_dir), KEY)
+    M.staged_merge(path, desired_orders(spark, sf_dir), KEY, prune=True)
+    again = M.staged_merge(path, desired_orders(spark, sf_dir), KEY, prune=True)
+    return spark.read.parquet(path).select(
+        "o_orderkey", "o_totalprice", F.lit(again["written"] + again["pruned"]).alias("written"), F.lit(again["rewritten"]).alias("rewritten")
+    )
+
+
 def mrg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
@@ -267,6 +280,7 @@ QUERIES = {
     "mrg1_merge_update": _merged(False),
     "mrg1_merge_prune": _merged(True),
     "mrg1_merge_counts": mrg1_counts,
+    "mrg1_staged_merge": mrg1_staged,
     "mrg2_overlay_last_non_null": mrg2,
     "mrg3_attach_children": mrg3,
     "mrg3_orphans": mrg3_orphans,
@@ -288,6 +302,7 @@ QUERIES = {
 SQL = {
     "mrg1_merge_update": _sql_merged(False),
     "mrg1_merge_prune": _sql_merged(True),
+    "mrg1_staged_merge": f"WITH {SQL_PAIR} SELECT o_orderkey, o_totalprice, 0 AS written, 0 AS rewritten FROM desired",
     "mrg1_merge_counts": f"""WITH {SQL_PAIR}
 SELECT count(*) FILTER (WHERE d.o_orderkey IS NOT NULL AND (a.o_orderkey IS NULL OR a.o_totalprice <> d.o_totalprice)) AS written,
        count(*) FILTER (WHERE d.o_orderkey IS NULL) AS stale, count(*) FILTER (WHERE d.o_orderkey IS NULL) AS pruned

@@ -139,6 +139,29 @@ def src3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.join(addresses, users["id"] == addresses["user_id"], "left").drop("user_id")
 
 
+def _drawn(salt: str, below: int, *keys: str) -> str:
+    text = " || '|' || ".join([f"'42:{salt}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
+    return f"(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) % {below})"
+
+
+def _picked(items, salt: str) -> str:
+    return f"[{', '.join(repr(x) for x in items)}][{_drawn(salt, len(items), 'k')} + 1]"
+
+
+SQL_SRC3 = f"""
+WITH c AS (SELECT c_custkey AS k FROM customer),
+u AS (
+  SELECT k AS id, CASE WHEN {_drawn('modified', 100, 'k')} >= 45 THEN CAST(DATE '2020-01-01' + CAST({_drawn('day', 700, 'k')} AS INTEGER) AS DATE) END AS last_modified_at,
+         {_picked(('unverified', 'verified', 'suspended'), 'state')} AS state, 'user' || {_drawn('mail', 1_000_000, 'k')} || '@example.com' AS email,
+         {_picked(S.LANGUAGES, 'language')} || '-' || {_picked(S.COUNTRIES, 'country')} AS locale,
+         CASE WHEN {_drawn('display', 100, 'k')} >= 50 THEN 'User ' || k END AS display_name,
+         CASE WHEN {_drawn('icon', 100, 'k')} >= 25 THEN {_drawn('oid', 100_000, 'k')} END AS icon
+  FROM c
+)
+SELECT *, nullif({_drawn('addresses', 3, 'id')}, 0) AS addresses FROM u QUALIFY row_number() OVER (PARTITION BY email ORDER BY id) = 1
+"""
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a change feed: users are rows, event types operations, and one truncate."""
     e = table(spark, sf_dir, "events")
@@ -224,6 +247,7 @@ QUERIES = {
     "cdc_stream_rules": cdc_windowed,
 }
 SQL = {
+    "src3_generate_fixtures": SQL_SRC3,
     "udf1_scalar_function": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 2 THEN CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) END AS own, CAST(round(l_extendedprice * (1 - CAST(0.1 AS DOUBLE)) * 100) AS BIGINT) AS usual FROM lineitem",
     "udf2_table_function": "SELECT o_orderkey, CAST(n AS INTEGER) AS n, o_orderkey % 100 + n AS share FROM (SELECT o_orderkey, unnest(generate_series(1, o_orderkey % 3 + 1)) AS n FROM orders)",
     "udf3_window_function": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM events",

@@ -35,7 +35,7 @@ def pair_diff(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def dif1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_diff(spark, sf_dir).select(
+    return pair_diff(spark, sf_dir, checked=True).select(
         "o_orderkey",
         "change",
         F.col("desired.o_totalprice").alias("new_price"),
@@ -289,7 +289,7 @@ def dif15(spark: SparkSession, sf_dir: str) -> DataFrame:
     diff = pair_diff(spark, sf_dir).withColumn(
         "priority", F.coalesce(F.col("desired.o_orderpriority"), F.col("actual.o_orderpriority"))
     )
-    return D.diff_summary(diff, "priority")
+    return D.diff_summary(diff, "priority", totals=True)
 
 
 def dif16(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +337,7 @@ SQL = {
     "dif12_classify_resolution": SQL_RESOLUTIONS + "SELECT o_orderkey, resolution FROM res",
     "dif13_destructive_gate": SQL_RESOLUTIONS + "SELECT count(*) FILTER (WHERE resolution <> 'rebuild') AS included, count(*) FILTER (WHERE resolution = 'rebuild') AS excluded, 0 AS included_destructive, count(*) FILTER (WHERE resolution = 'rebuild') = 0 AS may_apply FROM res",
     "dif14_ordered_plan": SQL_DIF14,
-    "dif15_diff_summary": SQL_DIFF + "SELECT change, o_orderpriority AS priority, count(*) AS n FROM diff GROUP BY 1, 2",
+    "dif15_diff_summary": SQL_DIFF + "SELECT change, o_orderpriority AS priority, count(*) AS n, CASE WHEN grouping(change) = 1 THEN 'change,priority' WHEN grouping(o_orderpriority) = 1 THEN 'priority' ELSE '' END AS summed FROM diff GROUP BY ROLLUP (change, o_orderpriority)",
     "dif16_converges": "SELECT 0 AS differences",
     "mrg10_delta_keep_redacted": f"WITH {SQL_OPTIONS} SELECT c_custkey, key, action FROM d WHERE action IS NOT NULL AND NOT (key = 'password' AND action = 'DROP')",
 }

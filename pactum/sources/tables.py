@@ -37,7 +37,7 @@ def seed_write(df: DataFrame, path: str, null: str = "\\N") -> None:
 
 def draw(salt: str, below: int, *keys: Column) -> Column:
     """A number 0..below-1 that depends on the keys and the salt only, however the rows are dealt out."""
-    return F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(below))
+    return F.pmod(derive.portable_hash(F.lit(salt), *keys), F.lit(below))
 
 
 # Language and country parts of the generated locales.

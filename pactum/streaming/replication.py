@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import shared_folder
+from ..plans.session import delete_path, discard, materialize, path_exists, shared_folder
 
 
 def publish(feed: DataFrame, operations: Sequence[str], tables: Sequence[str] | None = None, op: str = "op", table: str = "table_name") -> DataFrame:
@@ -58,21 +58,47 @@ def subscribed_state(feed: DataFrame, key: str, ordinal: str, op: str = "op", in
 class StreamSubscriber:
     """Applies a feed that arrives as a stream. Every micro-batch adds the feed rows that are not applied yet to a log
     of its own path; a batch that is replayed writes the same path again, so it is applied once. The state is folded
-    from the logs, in commit order, whatever order the batches came in."""
+    from the logs, in commit order, whatever order the batches came in. A subscription that is not ``enabled`` takes
+    no batches. ``schema`` is that of the feed, for the state before any batch has come."""
 
-    def __init__(self, spark, key: str, ordinal: str, op: str = "op"):
-        self.spark, self.key, self.ordinal, self.op = spark, key, ordinal, op
+    def __init__(self, spark, key: str, ordinal: str, op: str = "op", schema=None, enabled: bool = True):
+        self.spark, self.key, self.ordinal, self.op, self.schema, self.enabled = spark, key, ordinal, op, schema, enabled
         self.path = f"{shared_folder(spark)}/subscription-{uuid.uuid4().hex}"
+        self.base, self.below = None, None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        if self.enabled:
+            self.schema = self.schema or batch.schema
+            batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def feed(self) -> DataFrame:
+        """The logged rows that are not in the base."""
+        if not path_exists(self.spark, self.path):
+            if self.schema is None:
+                raise ValueError("no batch has come yet, and the feed's schema is not known")
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.parquet(self.path).drop("batch_id").dropDuplicates([self.ordinal])
+        return rows if self.below is None else rows.filter(F.col(self.ordinal) > self.below)
+
     def state(self) -> DataFrame:
-        feed = self.spark.read.parquet(self.path).drop("batch_id").dropDuplicates([self.ordinal])
-        return subscribed_state(feed, self.key, self.ordinal, self.op)
+        return subscribed_state(self.feed(), self.key, self.ordinal, self.op, self.base)
+
+    def compact(self, below: int) -> None:
+        """Fold the rows up to ordinal ``below`` into the base, and delete the logs that hold no others. The caller
+        knows that no row up to there is still to come."""
+        feed = self.feed()
+        old = self.base
+        self.base = materialize(subscribed_state(feed.filter(F.col(self.ordinal) <= below), self.key, self.ordinal, self.op, old), "subscription-base")
+        self.below = below
+        if old is not None:
+            discard(old)
+        if path_exists(self.spark, self.path):
+            logs = self.spark.read.parquet(self.path).groupBy("batch_id").agg(F.max(self.ordinal).alias("last"))
+            for r in logs.filter(F.col("last") <= below).collect():  # one row for each batch
+                delete_path(self.spark, f"{self.path}/batch_id={r['batch_id']}")
 
 
 def operation(event: Column, mapping: dict[str, str]) -> Column:

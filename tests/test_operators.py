@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactum.functions import text
-from pactum.operators import checks, derive, diff, graph, merge, ordering, views
+from pactum.operators import checks, derive, diff, grants, graph, merge, ordering, views
 from pactum.queries.pairs import actual_orders, desired_orders
 from pactum.sources import tables
 from pactum.streaming import replication
@@ -195,3 +195,117 @@ def test_quarantine(spark):
     good, bad = merge.quarantine(rows, "body", "k INT")
     assert [r["parsed"]["k"] for r in good.collect()] == [1]
     assert sorted(r["reason"] for r in bad.collect()) == ["malformed", "missing"]
+
+
+def test_deep_chains_have_levels_to_the_end(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(1200)], "id long")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(1199)], "child long, parent long")
+    found = {r["id"]: r["level"] for r in graph.dependency_levels(nodes, edges).collect()}
+    assert found == {i: i for i in range(1200)}
+
+
+@pytest.mark.parametrize("task_edges", [0, 3, 100])
+def test_levels_do_not_depend_on_where_a_task_takes_over(spark, task_edges):
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(9)], "id string")
+    pairs = [(1, 0), (2, 1), (3, 2), (3, 0), (4, 3), (6, 7), (7, 6), (8, 7), (8, 4)]
+    edges = spark.createDataFrame([(f"n{c}", f"n{p}") for c, p in pairs], "child string, parent string")
+    found = {r["id"]: r["level"] for r in graph.dependency_levels(nodes, edges, task_edges).collect()}
+    assert found == {**{f"n{i}": i for i in range(5)}, "n5": 0, "n6": None, "n7": None, "n8": None}
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(150, 149)], "src int, dst int")
+    found = {(r["src"], r["dst"]) for r in graph.reachable(edges).collect()}
+    assert found == {(i, j) for i in range(149) for j in range(i + 1, 151)} | {(i, j) for i in (149, 150) for j in (149, 150)}
+
+
+def test_repeated_keys_are_refused(spark):
+    once = spark.createDataFrame([(1,), (2,)], "k int")
+    twice = spark.createDataFrame([(1,), (1,)], "k int")
+    assert diff.snapshot_diff(once, once, ["k"], checked=True).count() == 2
+    for pair in ((once, twice), (twice, once)):
+        with pytest.raises(ValueError):
+            diff.snapshot_diff(*pair, ["k"], checked=True)
+
+
+def test_staged_merge_touches_changed_buckets_only(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = [(i, "a") for i in range(100)]
+    frame = lambda r: spark.createDataFrame(r, "k int, v string")
+    assert merge.staged_merge(path, frame(rows), ["k"], buckets=8) == {"rewritten": 8, "written": 100, "kept": 0, "stale": 0, "pruned": 0}
+    times = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t").iterdir() if f.name.startswith("_bucket")}
+    changed = [(3, "b"), *rows[:3], *rows[4:99]]
+    assert merge.staged_merge(path, frame(changed), ["k"], buckets=8) == {"rewritten": 1, "written": 1, "kept": 98, "stale": 1, "pruned": 0}
+    assert sum((tmp_path / "t" / name).stat().st_mtime_ns != t for name, t in times.items()) == 1
+    pruned = merge.staged_merge(path, frame(changed), ["k"], prune=True, buckets=8)
+    assert (pruned["pruned"], pruned["written"]) == (1, 0)
+    again = merge.staged_merge(path, frame(changed), ["k"], prune=True, buckets=8)
+    assert (again["rewritten"], again["written"], again["pruned"]) == (0, 0, 0)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()) == sorted(changed)
+    assert merge.staged_merge(path, frame([(3, "b")]), ["k"], prune=True, buckets=8)["pruned"] == 98
+    assert [tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()] == [(3, "b")]
+
+
+def test_types_of_document_values(spark):
+    kinds = {"i": "integer", "n": "number", "b": "boolean", "s": "string", "a": "array", "o": "object"}
+    contract = checks.DocumentContract(fields={k: checks.Field(kind=v) for k, v in kinds.items()})
+    bad = {"i": ['"5"', "1.5", "true", "null"], "n": ['"1"', "false"], "b": ['"true"', "0"], "s": ["7", "true", "[]"], "a": ["{}", '"[1]"'], "o": ["[]", '"{}"']}
+    good = {"i": ["5", "-7", "5.0"], "n": ["1", "2.5", "1e3"], "b": ["true", "false"], "s": ['"7"', '""'], "a": ["[]", "[1]"], "o": ["{}", '{"x":1}']}
+    rows = [(k, f'{{"{k}":{v}}}', wrong) for wrong, table in ((True, bad), (False, good)) for k, vs in table.items() for v in vs]
+    found = checks.document_violations(spark.createDataFrame(rows, "k string, body string, wrong boolean"), ["k", "body", "wrong"], "body", contract).collect()
+    assert sorted((r["k"], r["body"], r["path"], r["rule"]) for r in found) == sorted((k, b, k, "type") for k, b, wrong in rows if wrong)
+    assert all(r["wrong"] for r in found)
+
+
+def test_null_and_empty_ranges(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    r = lambda a, b, how="[)": derive.range_value(F.lit(a), F.lit(b), how)
+    none = F.when(F.lit(False), r(1, 2))
+    assert value(derive.range_contains(none, F.lit(1))) is None and value(derive.range_contains(r(1, 5), F.lit(None).cast("int"))) is None
+    assert value(derive.range_contains(r(5, 5), F.lit(5))) is False and value(derive.range_contains(r(5, 5, "[]"), F.lit(5))) is True
+    assert value(derive.range_overlaps(r(5, 5), r(1, 10))) is False and value(derive.range_overlaps(r(1, 10), none)) is None
+    assert value(derive.range_overlaps(r(1, 5), r(5, 9))) is False and value(derive.range_overlaps(r(1, 5, "[]"), r(5, 9))) is True
+    assert value(derive.range_length(r(5, 5))) is None
+    with pytest.raises(Exception, match="lower bound"):
+        value(r(6, 5))
+
+
+def test_privileges_of_every_section(spark):
+    rows = [
+        ("a", "views", "s.v", "ALL", None), ("a", "large_objects", "17", "UPDATE", None), ("a", "foreign_servers", "x.y-1", "USAGE", None),
+        ("a", "domains", "s.1-d", "USAGE WITH GRANT OPTION", None), ("a", "databases", "d-b.x", "TEMP", None), ("a", "tables", "s.t", "MAINTAIN", None),
+        ("a", "views", "v", "SELECT", "name"), ("a", "large_objects", "x", "SELECT", "name"), ("a", "views", "s.v", "INSERT", "privilege"), ("a", "servers", "x", "USAGE", "section"),
+    ]
+    entries = spark.createDataFrame(rows, "role string, section string, object string, privilege string, wanted string")
+    assert sorted((r["section"], r["object"], r["rule"]) for r in grants.privilege_violations(entries).collect()) == sorted((r[1], r[2], r[4]) for r in rows if r[4])
+    no = entries.limit(0).select("role", "section", "object", "privilege")
+    members = spark.createDataFrame([("m", "a")], "member string, role string")
+    held = grants.effective_privileges(entries.filter("wanted IS NULL").drop("wanted"), no, members).filter("role = 'm'")
+    found = {(r["section"], r["privilege"]) for r in held.collect()}
+    assert found == {("views", "SELECT"), ("large_objects", "UPDATE"), ("foreign_servers", "USAGE"), ("domains", "USAGE"), ("databases", "TEMPORARY"), ("tables", "MAINTAIN")}
+
+
+def test_explicit_null_is_not_absence(spark):
+    rows = spark.createDataFrame([(1, None, {"v": True}), (2, None, {}), (3, "x", {"v": True})], "k int, v string, given map<string,boolean>")
+    box = spark.createDataFrame([("box",)], "v string")
+    found = merge.inject_defaults(rows, box, F.lit(True), ["v"], {}, presence="given").collect()
+    assert {r["k"]: r["v"] for r in found} == {1: None, 2: "box", 3: "x"}
+
+
+def test_subscription_before_and_after_compaction(spark):
+    schema = "id int, n long, op string, v string"
+    subscriber = replication.StreamSubscriber(spark, "id", "n", schema=spark.createDataFrame([], schema).schema)
+    assert subscriber.state().count() == 0
+    batches = [[(1, 1, "insert", "a"), (2, 2, "insert", "b")], [(1, 3, "update", "c"), (2, 4, "delete", None)], [(2, 5, "insert", "d"), (1, 6, "delete", None)]]
+    for i, rows in enumerate(batches[:2]):
+        subscriber.apply(spark.createDataFrame(rows, schema), i)
+    subscriber.compact(3)
+    state = lambda: sorted((r["id"], r["v"]) for r in subscriber.state().collect())
+    assert state() == [(1, "c")]
+    subscriber.apply(spark.createDataFrame(batches[2], schema), 2)
+    subscriber.apply(spark.createDataFrame(batches[0], schema), 0)  # replayed
+    assert state() == [(2, "d")]
+    subscriber.enabled = False
+    subscriber.apply(spark.createDataFrame([(9, 9, "insert", "x")], schema), 3)
+    assert state() == [(2, "d")]
