@@ -1,9 +1,14 @@
 """Document fingerprints by winnowing.
 
-Native: DataFrame functions only. A text is cut into tokens (runs of non-white-space, at most 32 characters
-each), every k tokens are hashed, and of each window of w hashes the smallest is chosen, the rightmost one on
-ties. A chosen hash keeps its position. Any passage of at least w + k - 1 tokens that two texts share leaves at
-least one hash in both fingerprints; texts that share nothing of k tokens share none.
+Native: DataFrame functions only. A text is cut into tokens, every k tokens are hashed, and of each window of w
+hashes the smallest is chosen, the rightmost one on ties. A chosen hash keeps its position. Any passage of at least
+w + k - 1 tokens that two texts share leaves at least one hash in both fingerprints; texts that share nothing of k
+tokens share none.
+
+Tokens are runs of non-white-space of at most 32 characters; where a script puts no blanks between words (Han, Kana,
+Thai, Lao, Khmer, Myanmar) every character is one. A longer run is cut by its content, after the first of some common
+characters from the fourth on (or after 32), so that the cuts fall together again soon behind an insertion and a copy
+of unspaced text keeps its grams.
 
 Spark has no running fold over arrays, so each k-gram is hashed where it stands instead of being updated from
 its neighbour; the hashes play the same part. The window minimum is taken in log2(w) passes over the array.
@@ -21,9 +26,15 @@ from pyspark.sql import functions as F
 
 from ..plans.session import materialize, table
 
-K = 5
-WINDOW = 8
-TOKEN = r"[^\\x20\\x09-\\x0D]{1,32}"
+K = 4
+WINDOW = 4
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_IN_WORD = rf"[^\x20\x09-\x0D{_UNSPACED}]"
+_CUT_AFTER = r"[aeiouAEIOU048/+=,.;:(){}\[\]]"
+TOKEN = (
+    rf"(?<!{_IN_WORD}){_IN_WORD}{{1,32}}(?!{_IN_WORD})|[{_UNSPACED}]"
+    rf"|{_IN_WORD}{{3,31}}?(?<={_CUT_AFTER})|{_IN_WORD}{{1,32}}"
+)
 BUCKET_BITS = 8
 LEVEL_BITS = 12
 
@@ -43,7 +54,8 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> Column:
         f"WHEN size(t) < {k} THEN array({packed.format('t', '0L')}) "
         f"ELSE transform(sequence(0, size(t) - {k}), i -> {packed.format(gram, 'CAST(i AS bigint)')}) END"
     )
-    expr, shift = f"transform(array(regexp_extract_all({text}, '{TOKEN}', 0)), t -> {hashes})[0]", 1
+    pattern = TOKEN.replace("\\", "\\\\")
+    expr, shift = f"transform(array(regexp_extract_all({text}, '{pattern}', 0)), t -> {hashes})[0]", 1
     while shift < window:
         expr = (
             f"transform(array({expr}), a -> zip_with(a, slice(a, {shift + 1}, size(a)), (x, y) -> least(x, y)))[0]"
@@ -65,6 +77,12 @@ def positions(chosen: str) -> Column:
     )
 
 
+def chosen_grams(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+    """(doc_id, position, hash) of every gram that a document's fingerprint keeps; positions count tokens from 0."""
+    made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).select("doc_id", fingerprint("_text", k, window).alias("_f"))
+    return made.select("doc_id", F.explode(positions("_f")).alias("_p")).select("doc_id", "_p.*")
+
+
 def likeness(a: str, b: str) -> Column:
     """Jaccard likeness of two arrays of gram hashes."""
     both = F.size(F.array_intersect(a, b))

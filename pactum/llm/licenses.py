@@ -3,7 +3,8 @@
 Native: DataFrame functions only. A text is brought into a canonical form: lower case, copyright lines removed,
 equivalent spellings made one, and everything that is neither letter nor digit turned into single blanks. The MD5
 of the form is looked up among the digests of known licences in a hash join. Looked up are the whole text, each of
-its paragraphs and each of its lines, so that a notice inside a document is found as well as a licence file.
+its lines and paragraphs, and each run of as many paragraphs as a known form has, so that a notice or a whole licence
+inside a document is found as well as a licence file. Long licences are known by their digests alone.
 
 A unit whose canonical length no known form has cannot have a known digest, so those units are left out before the
 hash is taken. The licence table is broadcast: it is a list of ``KNOWN`` forms, whatever the input.
@@ -33,9 +34,37 @@ SPELLINGS = (
     ("whilst", "while"),
     ("fulfil ", "fulfill "),
 )
-COPYRIGHT_LINE = r"(?m)^[^\w\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(copyright[ \t:,-]*(\(c\)|©|[0-9<\[{]|by |the )|\(c\)|©|all rights reserved)"
+COPYRIGHT_LINE = rf"(?m)^[^\w\n]*{COPYRIGHT}[^\n]*$"
 OTHER = r"[^\p{L}\p{N}\n]+"
 
+# Parts of the BSD licences.
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:"
+)
+_BSD_SOURCE = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer."
+)
+_BSD_BINARY = (
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 # Texts and notices of common licences.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -98,13 +127,33 @@ KNOWN = (
         "Unlicense",
         "This is free and unencumbered software released into the public domain.",
     ),
+    ("BSD-2-Clause", f"{_BSD_START}\n\n{_BSD_SOURCE}\n\n{_BSD_BINARY}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_START}\n\n{_BSD_SOURCE}\n\n{_BSD_BINARY}\n\n{_BSD_NAMES}\n\n{_BSD_END}"),
+)
+
+# Canonical digests of whole licence texts as their stewards publish them: licence, MD5, characters,
+# paragraphs.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "1bca074a1b9800bdf6fd0eb214469b96", 9821, 32),
+    ("Artistic-1.0-Perl", "c1b81bf4478b19597097b63e59382266", 5823, 29),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48", 6692, 13),
+    ("GFDL-1.2", "8d0843544e24727fdc5e9df92d1f8263", 19576, 57),
+    ("GFDL-1.3", "93019451609b1c5343aaffc95cde060b", 22005, 67),
+    ("GPL-1.0", "b37a688f44419d3168b23775b65749eb", 11762, 50),
+    ("GPL-2.0", "422f821c6c0b1812cbde7c1c3be04922", 17113, 59),
+    ("GPL-3.0", "6c7bdf1b2028403454e44e3c32401ce2", 33397, 122),
+    ("LGPL-2.0", "ebf358251bfe9161668a8c8251261977", 24126, 83),
+    ("LGPL-2.1", "1ff066c677365f47fea81c911a7c822e", 25213, 85),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d", 7104, 37),
+    ("MPL-1.1", "a708f02208e9c42d3644490185833425", 22339, 73),
+    ("MPL-2.0", "35fb4d2625087f7fd780039aa7b4ebb2", 14271, 83),
 )
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with line ends kept: words with single blanks, and newlines."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.replace(out, F.lit("\r"), F.lit("\n"))
+    out = F.replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -115,25 +164,55 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, digest, n_chars) of the known forms, made by the same functions as those of the documents."""
+def paragraphs(lines: Column) -> Column:
+    """The canonical paragraphs that hold a word."""
+    return F.filter(F.transform(F.split(lines, r"\n *(\n *)+"), whole), lambda x: x != "")
+
+
+def known_digests(
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple, ...] = KNOWN_DIGESTS
+) -> DataFrame:
+    """(license, digest, n_chars, n_paragraphs) of the known forms; texts go through the functions that the documents
+    go through."""
     forms = spark.createDataFrame(list(known), "license string, text string")
-    form = whole(canonical_lines(F.col("text")))
-    return (
-        forms.select("license", form.alias("form"))
-        .select("license", F.md5("form").alias("digest"), F.length("form").alias("n_chars"))
-        .distinct()
+    lines = forms.select("license", canonical_lines(F.col("text")).alias("lines"))
+    made = lines.select("license", whole(F.col("lines")).alias("form"), F.size(paragraphs(F.col("lines"))).alias("n_paragraphs"))
+    made = made.select("license", F.md5("form").alias("digest"), F.length("form").alias("n_chars"), "n_paragraphs")
+    listed = spark.createDataFrame(list(digests), "license string, digest string, n_chars int, n_paragraphs int")
+    return made.union(listed).distinct()
+
+
+def _runs(known: list) -> Column:
+    """The runs of paragraphs (column ``_paras``, their lengths ``_sizes``), but not all of them, that have as many
+    paragraphs and characters as a known form of several paragraphs."""
+    by_size: dict[int, set[int]] = {}
+    for r in known:
+        if r["n_paragraphs"] > 1:
+            by_size.setdefault(r["n_paragraphs"], set()).add(r["n_chars"])
+    if not by_size:
+        return F.array().cast("array<string>")
+    forms = ", ".join(f"named_struct('m', {m}, 'l', array({', '.join(map(str, sorted(n)))}))" for m, n in sorted(by_size.items()))
+    length = "aggregate(slice(_sizes, i + 1, k.m), k.m - 1, (a, x) -> a + x)"
+    return F.expr(
+        f"flatten(transform(filter(array({forms}), k -> size(_paras) > k.m), k -> transform("
+        f"filter(sequence(0, size(_paras) - k.m), i -> array_contains(k.l, {length})), "
+        "i -> array_join(slice(_paras, i + 1, k.m), ' '))))"
     )
 
 
-def license_report(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """doc_id, text_digest, whole_license (null if none), licenses (comma-joined), n_hits (lines and paragraphs)."""
-    digests = known_digests(docs.sparkSession, known)
-    lengths = sorted({r["n_chars"] for r in digests.select("n_chars").distinct().collect()})
+def license_report(
+    docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, listed: tuple[tuple, ...] = KNOWN_DIGESTS
+) -> DataFrame:
+    """doc_id, text_digest, whole_license (null if none), licenses (comma-joined), n_hits (lines, paragraphs and runs
+    of paragraphs that are known)."""
+    digests = known_digests(docs.sparkSession, known, listed)
+    forms = digests.select("n_chars", "n_paragraphs").distinct().collect()  # of the known forms
+    lengths = sorted({r["n_chars"] for r in forms})
     fits = lambda x: F.length(x).isin(lengths) & (F.length(x) > 0)
     rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines")).select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", "_lines", whole(F.col("_lines")).alias("_whole")
+        F.monotonically_increasing_id().alias("_row"), "doc_id", "_lines", whole(F.col("_lines")).alias("_whole"), paragraphs(F.col("_lines")).alias("_paras")
     )
+    rows = rows.withColumn("_sizes", F.transform("_paras", F.length))
     lines = F.filter(F.transform(F.split("_lines", "\n"), lambda x: F.trim(x)), fits)
     blocks = F.filter(F.split("_lines", r"\n *(\n *)+"), lambda x: F.instr(F.trim(F.translate(x, "\n", "\x00")), "\x00") > 0)
     blocks = F.filter(F.transform(blocks, whole), fits)
@@ -146,7 +225,7 @@ def license_report(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN)
             F.concat(
                 F.transform(own, lambda x: F.struct(F.lit(True).alias("is_whole"), F.md5(x).alias("digest"))),
                 F.transform(
-                    F.concat(lines, blocks), lambda x: F.struct(F.lit(False).alias("is_whole"), F.md5(x).alias("digest"))
+                    F.concat(lines, blocks, _runs(forms)), lambda x: F.struct(F.lit(False).alias("is_whole"), F.md5(x).alias("digest"))
                 ),
             )
         ).alias("_unit"),
@@ -167,13 +246,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
-def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
+def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple, ...] = KNOWN_DIGESTS) -> str:
     """The same report in DuckDB SQL, which normalises the known texts itself."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canonical(text: str) -> str:
-        out = f"replace(lower(coalesce({text}, '')), chr(13), chr(10))"
-        out = rf"regexp_replace({out}, '(?m)^[^\w\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+        out = f"replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+        out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g')"
         for old, new in SPELLINGS:
             out = f"replace({out}, {quote(old)}, {quote(new)})"
         return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
@@ -182,9 +261,16 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
         return rf"trim(regexp_replace({text}, '[ \n]+', ' ', 'g'))"
 
     values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in known)
+    listed = ", ".join(f"({quote(name)}, {quote(digest)}, {n})" for name, digest, _, n in digests)
+
+    def split(lines: str) -> str:
+        return f"list_filter(list_transform(regexp_split_to_array({lines}, '\\n *(\\n *)+'), lambda b: {one('b')}), lambda b: b <> '')"
     return rf"""
 WITH k AS (
-  SELECT DISTINCT name AS license, md5({one(canonical("body"))}) AS digest FROM (VALUES {values}) v(name, body)
+  SELECT DISTINCT name AS license, md5({one(canonical("body"))}) AS digest, len({split(canonical("body"))}) AS m FROM (VALUES {values}) v(name, body)
+  UNION SELECT * FROM (VALUES {listed}) v(name, digest, m)
+), p AS (
+  SELECT doc_id, {split(canonical("text"))} AS ps FROM documents
 ), d AS (
   SELECT doc_id, {canonical("text")} AS lines FROM documents
 ), w AS (
@@ -197,6 +283,10 @@ WITH k AS (
   SELECT doc_id, false, md5({one("b")}) FROM (
     SELECT doc_id, unnest(regexp_split_to_array(lines, '\n *(\n *)+')) AS b FROM w
   ) WHERE instr(trim(trim(b, chr(10) || ' ')), chr(10)) > 0
+  UNION ALL
+  SELECT doc_id, false, md5(array_to_string(ps[i:i + m - 1], ' ')) FROM (
+    SELECT doc_id, ps, m, unnest(range(1, len(ps) - m + 2)) AS i FROM p JOIN (SELECT DISTINCT m FROM k WHERE m > 1) s ON len(ps) > m
+  )
 ), f AS (
   SELECT u.doc_id, max(CASE WHEN is_whole THEN license END) AS whole_license,
          string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,

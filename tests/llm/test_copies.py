@@ -1,9 +1,12 @@
 """Exact dedup, the Jaccard join, fingerprints and licences against brute force."""
 
 import hashlib
+import os
 import re
+import textwrap
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pactum.llm import exact_dedup, fingerprints, jaccard_join, licenses
@@ -118,8 +121,24 @@ def test_join_edges(docs, rows, clashing, empty, nameless):
 # Fingerprints ---------------------------------------------------------------------------------------------------
 
 
+def plain_tokens(text):
+    """Words of at most 32 characters, single characters of unspaced scripts, and longer runs cut by their content."""
+    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    out = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text):
+        for piece in regex.findall(rf"{unspaced.pattern}|[^{unspaced.pattern[1:-1]}]+", run):
+            if unspaced.match(piece) or len(piece) <= 32:
+                out.append(piece)
+                continue
+            while piece:
+                cut = next((i for i in range(3, min(31, len(piece)) + 1) if piece[i - 1] in "aeiouAEIOU048/+=,.;:(){}[]"), min(32, len(piece)))
+                out.append(piece[:cut])
+                piece = piece[cut:]
+    return out
+
+
 def plain_fingerprint(text, hashed, k=fingerprints.K, w=fingerprints.WINDOW):
-    tokens = re.findall(r"[^\x20\x09-\x0D]{1,32}", text)
+    tokens = plain_tokens(text)
     grams = [tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1)] if len(tokens) >= k else [tuple(tokens)] * bool(tokens)
     values = [hashed[g] for g in grams]
     chosen = []
@@ -132,47 +151,65 @@ def plain_fingerprint(text, hashed, k=fingerprints.K, w=fingerprints.WINDOW):
     return list(dict.fromkeys(chosen))
 
 
-def test_winnowing(spark, docs, rows):
-    made = docs.fillna({"text": ""}).select("text", fingerprints.fingerprint("text").alias("_f"))
-    found = made.select("text", fingerprints.positions("_f").alias("p"))
-    for r in found.collect():
-        got = [(p["position"], p["hash"]) for p in r["p"]]
-        tokens = re.findall(r"[^\x20\x09-\x0D]{1,32}", r["text"])
-        # Every window of w grams has a chosen position, and chosen positions only move to the right.
-        assert [p for p, _ in got] == sorted({p for p, _ in got})
-        last = max(0, len(tokens) - fingerprints.K + 1)
-        for start in range(max(0, last - fingerprints.WINDOW + 1)):
-            assert any(start <= p < start + fingerprints.WINDOW for p, _ in got)
-        assert bool(got) == bool(tokens)
-
-
-def test_winnowing_picks_the_rightmost_minimum(spark):
-    words = ["a", "b", "c", "d", "e"] * 8
-    df = spark.createDataFrame([(" ".join(words),)], "text string")
-    grams = sorted({tuple(words[i : i + 5]) for i in range(36)})
-    hashed = {
-        tuple(r["g"]): (r["h"] & 0x7FFFFFFF00000000) >> 32
-        for r in spark.createDataFrame([(list(g),) for g in grams], "g array<string>").select("g", F.xxhash64(*(F.col("g")[i] for i in range(5))).alias("h")).collect()
-    }
-    got = df.select(fingerprints.fingerprint("text").alias("f")).select(fingerprints.positions("f").alias("p")).first()["p"]
-    assert [(p["position"], p["hash"]) for p in got] == plain_fingerprint(" ".join(words), hashed)
-
-
-def test_edited_texts(docs, rows):
-    found = {r["doc_id"]: r for r in fingerprints.fingerprint_report(docs).collect()}
-    assert len(found) == len(rows)
-    by_id = sorted(rows)
-    prints = {}
-    for at, (key, text, *_) in enumerate(by_id):
-        text, following = text or "", by_id[at - 1][1] or ""
+UNSPACED = ["日本語の文章です。東京は日本の首都です。" * 3, "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 9, "function(a,b){return a+b}" * 12, "x" * 100, "ภาษาไทยไม่มีช่องว่าง ok"]
+
+
+def hashes_of(spark, texts, k=fingerprints.K):
+    """The operator's hash of every gram of the texts."""
+    grams = set()
+    for text in texts:
+        tokens = plain_tokens(text)
+        grams |= {tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1)} if len(tokens) >= k else {tuple(tokens)} - {()}
+    made = spark.createDataFrame([(list(g),) for g in sorted(grams)], "g array<string>")
+    full = F.when(F.size("g") == k, F.xxhash64(*(F.get("g", F.lit(i)) for i in range(k)))).otherwise(F.xxhash64("g"))
+    return {tuple(r["g"]): (r["h"] & 0x7FFFFFFF00000000) >> 32 for r in made.select("g", full.alias("h")).collect()}
+
+
+def test_fingerprints_are_those_of_plain_winnowing(spark, docs, rows):
+    """Every chosen gram and position of every text, and both likenesses of every row, against brute force."""
+    more = [(10_000 + i, text, None, None, None) for i, text in enumerate(UNSPACED)]
+    every = sorted([*rows, *more])
+    edited = {}
+    for at, (key, text, *_) in enumerate(every):
+        text, following = text or "", every[at - 1][1] or ""
         half = len(text) // 2
-        edited = text[: len(text) - half] + following[:half]
+        edited[key] = text, text[: len(text) - half] + following[:half], following
+    hashed = hashes_of(spark, {t for own in edited.values() for t in own})
+    df = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = {}
+    for r in fingerprints.chosen_grams(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["position"], r["hash"]))
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_report(df).collect()}
+    prints = {t: plain_fingerprint(t, hashed) for own in edited.values() for t in own}
+
+    def likeness(a, b):
+        a, b = ({h for _, h in prints[t]} for t in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for key, (text, changed, following) in edited.items():
         r = found[key]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        if edited == text:
-            assert r["near_edited"] == 1 and r["edited_fingerprint"] == r["fingerprint"]
+        assert got.get(key, []) == prints[text]
+        assert (r["n_chars"], r["edited_sha256"], r["n_chosen"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest(), len(prints[text]))
+        assert abs(r["near_edited"] - likeness(text, changed)) < 1e-12 and abs(r["near_next"] - likeness(text, following)) < 1e-12
+    same = {}
+    for key, (text, changed, _) in edited.items():
+        for t, column in ((text, "fingerprint"), (changed, "edited_fingerprint")):
+            assert same.setdefault(t, found[key][column]) == found[key][column]
+
+
+def test_an_insertion_into_unspaced_text_keeps_its_grams(spark):
+    for text in UNSPACED[:3]:
+        df = spark.createDataFrame([(1, text), (2, text[:20] + "Z" + text[20:])], "doc_id bigint, text string")
+        near = {r["doc_id"]: set() for r in df.collect()}
+        for r in fingerprints.chosen_grams(df).collect():
+            near[r["doc_id"]].add(r["hash"])
+        assert len(near[1] & near[2]) >= 0.4 * len(near[1])
+
+
+def test_half_edited_short_texts_stay_near(spark):
+    words = [f"word{i}" for i in range(40)]
+    df = spark.createDataFrame([(1, " ".join(words[:14])), (2, " ".join(words[20:34]))], "doc_id bigint, text string")
+    assert all(r["near_edited"] > 0 for r in fingerprints.fingerprint_report(df).collect())
 
 
 def test_next_document_over_scattered_ids(spark):
@@ -196,6 +233,8 @@ def test_license_texts_are_found_in_any_spelling(spark):
     rows = [
         (1, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(", ", " ,\n")),
         (2, "some words\nreleased under the  MIT Licence!\nmore"),
+        (8, "intro words\n\n" + mit + "\n\nlast words"),
+        (9, "\n".join(textwrap.wrap(mit.split("\n\n")[0], 40)) + "\n\nNo more."),
         (3, "intro\n\n" + mit.split("\n\n")[0] + "\n\nend"),
         (4, mit + " except on Sundays"),
         (5, None),
@@ -214,9 +253,32 @@ def test_license_texts_are_found_in_any_spelling(spark):
         (6, None, "", 0),
         (7, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1),
         (7, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1),
+        (8, None, "MIT", 1),
+        (9, None, "", 0),
     ]
 
 
+def test_whole_published_licences(spark):
+    """Texts that many systems carry are found whole and inside another text, and not when a word differs."""
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {f: n for f, n in names.items() if os.path.exists(f"{folder}/{f}")}
+    if not there:
+        pytest.skip("no licence texts here")
+    rows, wanted = [], []
+    for i, (file, name) in enumerate(there.items()):
+        with open(f"{folder}/{file}", encoding="utf-8") as f:
+            text = f.read()
+        rows += [(3 * i, text.replace("\n", "\r\n").upper()), (3 * i + 1, "before\n\n" + text + "\n\nafter"), (3 * i + 2, text.replace(" the ", " no ", 1))]
+        wanted += [(3 * i, name, name), (3 * i + 1, None, name), (3 * i + 2, None, "")]
+    found = licenses.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {r["doc_id"]: (r["whole_license"], r["licenses"]) for r in found}
+    for key, whole, name in wanted:
+        assert got[key][0] == whole
+        # The Apache notice stands in its licence's appendix, and is still found there when a word before it differs.
+        assert name in got[key][1].split(",") if name else got[key][1] in ("", "Apache-2.0")
+
+
 def test_license_edges(clashing, empty, nameless):
     assert licenses.license_report(empty).count() == 0
     assert licenses.license_report(clashing).count() == clashing.count()
