@@ -77,7 +77,7 @@ def materialize(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) ->
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.partitionBy(*by).parquet(path)
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
