@@ -119,11 +119,12 @@ def with_next(docs: DataFrame) -> DataFrame:
         "_text",
         F.coalesce("doc_id", F.lit(-(2**63))).alias("_ord"),
         F.xxhash64("_text").alias("_tie"),
-        F.shiftright(F.coalesce("doc_id", F.lit(-(2**63))), BUCKET_BITS).alias("_run"),
+        # Rows without an id come first and are dealt out by their texts, in the order of those.
+        F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.shiftright(F.xxhash64("_text"), 44) - F.lit(2**62)).alias("_run"),
     )
     runs = materialize(rows.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")), "runs").select("_run")
     tails = rows.groupBy("_run").agg(F.max_by("_text", F.struct("_ord", "_tie")).alias("_tail"))
-    order = _previous(runs, "_run", 64 - BUCKET_BITS)
+    order = _previous(runs, "_run", 64)
     top = F.lit(runs.agg(F.max("_run")).first()[0]).cast("bigint")
     order = order.select("_run", F.coalesce("_prev", top).alias("_prev"))
     before = order.join(tails.withColumnRenamed("_run", "_prev"), "_prev").select("_run", "_tail")

@@ -14,7 +14,7 @@ what remains after T both fit their slots (by counting the windows inside any in
 agree. The driver and the tasks hold one entry for each source and none for each block.
 
 A source's ranks come from counts per hash bucket and a row number within the bucket, so that a source with a third of
-all rows is ranked by many tasks.
+all rows is ranked by many tasks; rows without an id, or with one that is repeated, are dealt out by their texts.
 
 Defined results: a null source is a source of its own. ``lane`` numbers the sources by size, from LANES - 1 on all
 alike; it is a label and decides nothing. Ties are ordered by id, then text hash; rows that repeat both are
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 from ..plans.session import all_columns, map_arrow, materialize, table
 
-PERIOD = 1024
 LANES = 64
 BLOCK_ROWS = 32
 BUCKET_ROWS = 20_000
@@ -44,61 +43,6 @@ TEMPERATURE = 0.5
 SEGMENT = 1 << 14
 
 
-def slot_shares(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Slots of a period for each lane: in proportion, at least one, ``period`` in all (largest remainders)."""
-    total = sum(weights)
-    free = period - len(weights)
-    exact = [w / total * free for w in weights]
-    shares = [1 + math.floor(x) for x in exact]
-    by_remainder = sorted(range(len(weights)), key=lambda i: (math.floor(exact[i]) - exact[i], i))
-    for i in by_remainder[: period - sum(shares)]:
-        shares[i] += 1
-    return shares
-
-
-def one_period(shares: list[int], period: int = PERIOD) -> list[list[int]]:
-    """The slots each lane gets in a period, earliest deadline first among released blocks."""
-    slots: list[list[int]] = [[] for _ in shares]
-    waiting = [(0, i, 1) for i in range(len(shares))]  # (release, lane, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # (deadline, lane, block)
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, lane, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-block * period // shares[lane]), lane, block))
-        _, lane, block = heapq.heappop(ready)
-        slots[lane].append(slot)
-        if block < shares[lane]:
-            heapq.heappush(waiting, (block * period // shares[lane], lane, block + 1))
-    return slots
-
-
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """The schedule for weights that are multiples of 1/``period``, for comparison; the mix itself uses ``Fluid``.
-
-    One entry for each phase and lane: first and one past last block, first slot of the phase, and the lane's
-    slots in a period."""
-    done = [0] * len(blocks)
-    begin, out, number = 0, [], 0
-    while active := [i for i in range(len(blocks)) if done[i] < blocks[i]]:
-        slots = one_period(slot_shares([weights[i] for i in active], period), period)
-
-        def slot_of(k: int, n: int, slots=slots) -> int:
-            return n // len(slots[k]) * period + slots[k][n % len(slots[k])]
-
-        end = min(slot_of(k, blocks[i] - done[i] - 1) for k, i in enumerate(active)) + 1
-        for k, i in enumerate(active):
-            rounds, rest = divmod(end, period)
-            n = rounds * len(slots[k]) + sum(s < rest for s in slots[k])
-            out.append(
-                {"phase": number, "lane": i, "first": done[i], "past": done[i] + n, "begin": begin, "slots": slots[k]}
-            )
-            done[i] += n
-        begin += end
-        number += 1
-    return out
-
-
 def target_weights(counts: list[int], temperature: float = TEMPERATURE) -> list[float]:
     return [c**temperature for c in counts]
 
@@ -252,7 +196,7 @@ def _scheduled(
     )
     bits = max(4, math.ceil(math.log2(total / BUCKET_ROWS))) if total else 4
     rows = docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn(
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_tie")).withColumn(
         "_bucket", F.shiftright("_hash", 64 - bits)
     )
     sizes = rows.groupBy("_lane", "_bucket").agg(F.count(F.lit(1)).alias("_n"))

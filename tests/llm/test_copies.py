@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import textwrap
 
@@ -107,6 +108,54 @@ def test_chains_of_near_copies_and_a_shared_passage(spark):
     assert joined(df) == plain_components(rows)
 
 
+def test_answers_are_derived_from_those_of_a_leader(spark):
+    """Overlaps that come from a leader's and two differences link what whole sets link."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(3) if i else 0):
+            words[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = plain_sets(rows)
+    both = lambda x, y: len(sets[x] & sets[y])
+    near = lambda x, y: 100 * both(x, y) >= 80 * (len(sets[x]) + len(sets[y]) - both(x, y))
+    known = [(x, 0, len(sets[x]), len(sets[0]), both(x, 0)) for x in range(1, 40)]
+    answers = spark.createDataFrame(known, "x bigint, y bigint, nx bigint, ny bigint, overlap bigint")
+    pairs = [(x, y) for x in range(1, 40) for y in range(1, x)]
+    assert any(near(x, 0) for x in range(1, 40)) and any(not near(x, 0) for x in range(1, 40))
+    links = jaccard_join._derived_links(df, spark.createDataFrame(pairs, "x bigint, y bigint"), answers)
+    found = {(max(r["x"], r["y"]), min(r["x"], r["y"])) for r in links.collect()} - {(x, 0) for x in range(40)}
+    assert found == {(x, y) for x, y in pairs if near(x, y)}
+
+
+@pytest.mark.parametrize("n, pos", [(5, 0), (40, 3), (100, 10), (100, 16), (333, 40), (2000, 300)])
+def test_blocks_that_are_skipped_hold_no_link(spark, n, pos):
+    sizes = range(max(1, int(0.75 * n)), int(1.35 * n) + 2)
+    places = [(m, p) for m in sizes for p in range(m - jaccard_join.needed_overlap(m) + 1)]
+    df = spark.createDataFrame([(m, p, n, pos, 99) for m, p in places], "m2 int, p2 int, n int, pos int, m int")
+    block = (F.expr(jaccard_join._size_class("m2")), F.expr("CAST(floor(log2(p2 + 1)) AS int)"))
+    told = df.select("m2", "p2", F.exists(jaccard_join.reachable_blocks("n", "pos"), lambda b: (b["s"] == block[0]) & (b["q"] == block[1])).alias("in_"))
+    for r in told.collect():
+        least = -(-4 * (n + r["m2"]) // 9)
+        if min(n - pos, r["m2"] - r["p2"]) >= least and 5 * min(n, r["m2"]) >= 4 * max(n, r["m2"]):
+            assert r["in_"]
+
+
+def test_components_of_long_paths(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10**6), 700)
+    edges = [(names[i], names[i + 1]) for i in range(499)] + [(names[i], names[500 + i % 7]) for i in range(507, 700)]
+    found = {r["id"]: r["comp"] for r in jaccard_join.components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}
+    wanted = {}
+    groups = [set(names[:500])] + [{names[500 + k], *(names[i] for i in range(507, 700) if i % 7 == k)} for k in range(7)]
+    for g in groups:
+        wanted |= dict.fromkeys(g, min(g))
+    assert found == wanted
+
+
 def test_join_edges(docs, rows, clashing, empty, nameless):
     kept = jaccard_join.one_of_each(clashing)
     assert kept.columns == clashing.columns
@@ -219,6 +268,15 @@ def test_next_document_over_scattered_ids(spark):
     assert found == {k: str(keys[i - 1]) for i, k in enumerate(keys)}
 
 
+def test_next_document_of_rows_without_an_id(spark):
+    texts = [f"text {i}" for i in range(50)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(4, "four"), (9, "nine")], "doc_id bigint, text string")
+    ties = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [*sorted(texts, key=ties.get), "four", "nine"]
+    found = {r["_text"]: r["_next"] for r in fingerprints.with_next(df).collect()}
+    assert found == {t: order[i - 1] for i, t in enumerate(order)}
+
+
 def test_fingerprint_edges(clashing, empty, nameless):
     assert fingerprints.fingerprint_report(empty).count() == 0
     assert fingerprints.fingerprint_report(clashing).count() == clashing.count()
