@@ -8,7 +8,7 @@ shingle whatever the order is, so the sample only decides how long the lists get
 1. Answers of one set per list. Every list's smallest id is its pivot; each member whose size and position allow it
    is compared with its pivot, and the links give first components. Lists of near copies end here: their members are
    in one component. A pivot with many members is dealt out under as many salts as its longest list has runs of
-   ``SALT_ROWS``, and so is a long text with many pivots.
+   ``SALT_ROWS``.
 2. The lists are cut into blocks by size class and by position of the token in the set. A member looks only into the
    blocks where a set that it links with can be; all other blocks are skipped whole. Pairs inside a component are never
    made, nor pairs whose known overlaps with their list's pivot rule a link out.
@@ -179,21 +179,20 @@ def prefixes(docs: DataFrame, frequent: bytes) -> DataFrame:
     return map_arrow(rows, run, "doc_id bigint, tie bigint, n bigint, sig binary, prefix array<bigint>")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, named: str) -> DataFrame:
-    """``pairs`` with the set of their ``end``, x or y. Where ``{end}_copies`` is above one, the pairs of that end are
-    dealt out under as many salts by their other end, and the set is sent once for each."""
-    own = sets.select(F.col("id").alias(end), F.col("tokens").alias(named))
-    copies, other = f"{end}_copies", "y" if end == "x" else "x"
-    plain = pairs.filter(f"{copies} <= 1").join(own, end)
-    salted = pairs.filter(f"{copies} > 1").withColumn("_salt", F.pmod(F.xxhash64(other), F.col(copies)))
-    wanted = salted.select(end, "_salt").distinct()
-    return plain.unionByName(salted.join(own.join(wanted, end), [end, "_salt"]).drop("_salt"))
+def _with_sets(pairs: DataFrame, sets: DataFrame, named: str) -> DataFrame:
+    """``pairs`` with the set of y. Where ``copies`` is above one, the pairs of a y are dealt out under as many salts
+    by their x, and the set is sent once for each."""
+    own = sets.select(F.col("id").alias("y"), F.col("tokens").alias(named))
+    plain = pairs.filter("copies <= 1").join(own, "y")
+    salted = pairs.filter("copies > 1").withColumn("_salt", F.pmod(F.xxhash64("x"), F.col("copies")))
+    wanted = salted.select("y", "_salt").distinct()
+    return plain.unionByName(salted.join(own.join(wanted, "y"), ["y", "_salt"]).drop("_salt"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, nx, ny, overlap) of every pair, from the whole sets. ``pairs``: x, y, x_copies, y_copies."""
-    both = _with_sets(_with_sets(pairs.select("x", "y", "x_copies", "y_copies"), sets, "y", "_ty"), sets, "x", "_tx")
-    return both.select(
+    """(x, y, nx, ny, overlap) of every pair, from the whole sets. ``pairs``: x, y, copies."""
+    other = sets.select(F.col("id").alias("x"), F.col("tokens").alias("_tx"))
+    return _with_sets(pairs.select("x", "y", "copies"), sets, "_ty").join(other, "x").select(
         "x",
         "y",
         F.size("_tx").cast("long").alias("nx"),
@@ -298,10 +297,8 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     discard(full)
     pivots = lists.filter("id = pivot").select("token", F.col("n").alias("np"), F.col("pos").alias("pp"))
     met = lists.filter("id <> pivot").join(pivots, "token").filter(_possible("n", "pos", "np", "pp"))
-    met = met.groupBy(F.col("id").alias("x"), F.col("pivot").alias("y")).agg(F.max("m").alias("m"), F.max("n").alias("n"))
-    # A pivot has many members, and a long text has many pivots.
-    copies = (F.ceil(F.col("m") / SALT_ROWS).alias("y_copies"), F.ceil(F.col("n") / (4 * SALT_ROWS)).alias("x_copies"))
-    first = materialize(met.select("x", "y", *copies), "pairs")
+    met = met.groupBy(F.col("id").alias("x"), F.col("pivot").alias("y")).agg(F.max("m").alias("m"))
+    first = materialize(met.select("x", "y", F.ceil(F.col("m") / SALT_ROWS).alias("copies")), "pairs")
     answers = _exact(docs, first)
     comp = components(answers.filter(linked()).select("x", "y"))
     told = _told(lists, answers, comp)
@@ -401,8 +398,8 @@ def _derived_links(docs: DataFrame, pairs: DataFrame, answers: DataFrame) -> Dat
     ordered = lambda a, b: (F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
     whole = turned.filter("p IS NULL").select(*ordered("x", "y")).union(turned.filter("p IS NOT NULL").select(*ordered("p", "y"))).distinct()
     known = answers.select(*ordered("x", "y"), *(F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("nx", "ny"), ("ny", "nx"))), "overlap")
-    spread = (F.lit(SALTS).alias("x_copies"), F.lit(SALTS).alias("y_copies"))
-    asked = materialize(whole.join(known, ["x", "y"], "left_anti").select("x", "y", *spread), "asked")
+    spread = F.lit(SALTS).alias("copies")
+    asked = materialize(whole.join(known, ["x", "y"], "left_anti").select("x", "y", spread), "asked")
     fresh = _exact(docs, asked)
     links = fresh.filter(linked()).select("x", "y")
     # What the leader has in common with y, and how much the follower may add to it.
@@ -413,17 +410,17 @@ def _derived_links(docs: DataFrame, pairs: DataFrame, answers: DataFrame) -> Dat
     own = led.select(F.col("id").alias("x"), "shared", "size")
     open_ = turned.filter("p IS NOT NULL").join(base, ["p", "y"]).join(own, "x")
     open_ = open_.filter(f"overlap + size - shared >= {_least('size', 'n')}")
-    open_ = materialize(open_.select("*", *spread), "open")
+    open_ = materialize(open_.select("*", spread), "open")
     if not open_.isEmpty():
         ends = open_.select("x").union(open_.select("y")).union(open_.select("p")).distinct()
         sets = materialize(shingle_sets(docs, bit_filter(ends, "x")), "sets")
-        pairs = open_.select("x", F.col("p").alias("y")).distinct().select("*", *spread)
-        followers = _with_sets(pairs, sets, "y", "_tp").join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("_tx")), "x")
+        pairs = open_.select("x", F.col("p").alias("y")).distinct().select("*", spread)
+        followers = _with_sets(pairs, sets, "_tp").join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("_tx")), "x")
         followers = followers.select(
             "x", F.col("y").alias("p"), F.array_except("_tx", "_tp").alias("plus"), F.array_except("_tp", "_tx").alias("minus")
         )
         derived = (
-            _with_sets(open_, sets, "y", "_ty")
+            _with_sets(open_, sets, "_ty")
             .join(followers, ["x", "p"])
             .select(
                 "x",
@@ -454,7 +451,7 @@ def _possible(a: str, pos_a: str, b: str, pos_b: str) -> F.Column:
 
 
 def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The overlaps of ``pairs`` (x, y, x_copies, y_copies) from whole sets; only the documents among them are read into sets."""
+    """The overlaps of ``pairs`` (x, y, copies) from whole sets; only the documents among them are read into sets."""
     ends = pairs.select("x").union(pairs.select("y")).distinct()
     sets = materialize(shingle_sets(docs, bit_filter(ends, "x")), "sets")
     found = compared(pairs, sets).groupBy("x", "y").agg(*(F.max(c).alias(c) for c in ("nx", "ny", "overlap")))
