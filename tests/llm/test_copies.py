@@ -172,7 +172,7 @@ def test_join_edges(docs, rows, clashing, empty, nameless):
 
 def plain_tokens(text):
     """Words of at most 32 characters, single characters of unspaced scripts, and longer runs cut by their content."""
-    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    unspaced = regex.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
     out = []
     for run in re.findall(r"[^\x20\x09-\x0D]+", text):
         for piece in regex.findall(rf"{unspaced.pattern}|[^{unspaced.pattern[1:-1]}]+", run):
