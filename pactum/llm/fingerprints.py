@@ -59,10 +59,7 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> Column:
         f"ELSE transform(sequence(0, size(t) - {k}), i -> {packed.format(gram, 'CAST(i AS bigint)')}) END"
     )
     pattern = TOKEN.replace("\\", "\\\\")
-    # Without a long run or an unspaced script the tokens are the runs themselves.
-    word = r"[^\\x20\\x09-\\x0D]"
-    plain = f"NOT {text} RLIKE '{word}{{33}}|[{_UNSPACED}]'".replace("\\x{", "\\\\x{")
-    words = f"IF({plain}, regexp_extract_all({text}, '{word}+', 0), regexp_extract_all({text}, '{pattern}', 0))"
+    words = f"regexp_extract_all({text}, '{pattern}', 0)"
     expr, shift = f"transform(array({words}), t -> {hashes})[0]", 1
     while shift < window:
         expr = (
