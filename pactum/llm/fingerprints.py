@@ -28,7 +28,7 @@ from ..plans.session import materialize, table
 
 K = 4
 WINDOW = 4
-# Code blocks: a test of their scripts cost three times the whole scan.
+# Code blocks: tests of scripts, or of whether a text needs the full pattern, cost more than the scan itself.
 _UNSPACED = (
     r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
     r"\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
