@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_bpe import op1_byte_bpe
+from .divergence import SQL_OP12, op12_divergence
+from .embedding_dedup import SQL_OP11, op11_embedding_dedup
 from .exact_dedup import SQL_OP7, op7_exact_dedup
 from .fingerprints import op2_fingerprints
 from .jaccard_join import op3_jaccard_join
@@ -24,9 +26,11 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_shards": op9_token_shards,
     "op10_licenses": op10_licenses,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_divergence": op12_divergence,
 }
 
-SQL = {"op7_exact_dedup": SQL_OP7, "op10_licenses": SQL_OP10}
+SQL = {"op7_exact_dedup": SQL_OP7, "op10_licenses": SQL_OP10, "op11_embedding_dedup": SQL_OP11, "op12_divergence": SQL_OP12}
 
 
 def queries() -> dict:
