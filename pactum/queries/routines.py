@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routines as R
 from ..functions import text as X
+from ..operators import scan as W
 from ..operators.checks import enum_ordinal
 from ..plans.session import shared_folder, table
 from ..sources import tables as S
@@ -62,6 +63,38 @@ def agg3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", R.moving(F.sum, F.col("cents"), ["user_id"], [F.col("event_id")], 7).alias("last7"))
 
 
+def _user_events(spark: SparkSession, sf_dir: str, partition: list[str]) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return W.numbered(e, partition, [F.col("event_id")], "place")
+
+
+def udf3_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window function with a state of its own: count and total of a user's cents so far."""
+    e = _user_events(spark, sf_dir, ["user_id"])
+    pair = F.when(F.col("cents").isNotNull(), F.struct(F.lit(1).cast("long").alias("n"), F.col("cents").alias("total")))
+    add = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["total"] + b["total"]).alias("total"))
+    return W.running_state(e, ["user_id"], "place", pair, add).select("event_id", "place", "state.n", "state.total")
+
+
+def agg3_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _user_events(spark, sf_dir, ["user_id"])
+    moved = W.moving_state(e, ["user_id"], "place", F.col("cents"), lambda a, b: a + b, 7, inverse=lambda a, b: a - b, name="last7")
+    return moved.select("event_id", "last7")
+
+
+def agg3_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _user_events(spark, sf_dir, ["user_id"])
+    return W.moving_state(e, ["user_id"], "place", F.col("cents"), F.greatest, 7, name="top7").select("event_id", "top7")
+
+
+def agg3_one_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events are one partition."""
+    return W.moving_state(_user_events(spark, sf_dir, []), [], "place", F.col("cents"), F.greatest, 100, name="top").select("event_id", "place", "top")
+
+
+SQL_CENTS = "WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS cents FROM events) "
+
+
 def agg4(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("pactum_lines")
     return spark.sql(
@@ -226,6 +259,10 @@ QUERIES = {
     "udf1_scalar_function": udf1,
     "udf2_table_function": udf2,
     "udf3_window_function": udf3,
+    "udf3_user_window": udf3_user,
+    "agg3_moving_inverse": agg3_inverse,
+    "agg3_moving_maximum": agg3_maximum,
+    "agg3_moving_one_partition": agg3_one_partition,
     "agg1_user_aggregate": agg1,
     "agg2_partial_aggregate": agg2,
     "agg3_moving_aggregate": agg3,
@@ -251,6 +288,10 @@ SQL = {
     "udf1_scalar_function": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 2 THEN CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) END AS own, CAST(round(l_extendedprice * (1 - CAST(0.1 AS DOUBLE)) * 100) AS BIGINT) AS usual FROM lineitem",
     "udf2_table_function": "SELECT o_orderkey, CAST(n AS INTEGER) AS n, o_orderkey % 100 + n AS share FROM (SELECT o_orderkey, unnest(generate_series(1, o_orderkey % 3 + 1)) AS n FROM orders)",
     "udf3_window_function": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM events",
+    "udf3_user_window": SQL_CENTS + "SELECT event_id, row_number() OVER w AS place, CASE WHEN count(cents) OVER w > 0 THEN count(cents) OVER w END AS n, CAST(sum(cents) OVER w AS BIGINT) AS total FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "agg3_moving_inverse": SQL_CENTS + "SELECT event_id, CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS last7 FROM e",
+    "agg3_moving_maximum": SQL_CENTS + "SELECT event_id, max(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS top7 FROM e",
+    "agg3_moving_one_partition": SQL_CENTS + "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, max(cents) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS top FROM e",
     "agg1_user_aggregate": SQL_AGG,
     "agg2_partial_aggregate": SQL_AGG,
     "agg3_moving_aggregate": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS last7 FROM events",
