@@ -12,6 +12,7 @@ from .language_id import op6_language_id
 from .licenses import SQL_OP10, op10_licenses
 from .lm_scores import op5_lm_scores
 from .mixing import op8_source_mixing
+from .prefix_trie import SQL_OP13, op13_prefix_trie
 from .secrets import op4_secrets
 from .token_shards import op9_token_shards
 
@@ -28,9 +29,10 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_embedding_dedup": op11_embedding_dedup,
     "op12_divergence": op12_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL = {"op7_exact_dedup": SQL_OP7, "op10_licenses": SQL_OP10, "op11_embedding_dedup": SQL_OP11, "op12_divergence": SQL_OP12}
+SQL = {"op7_exact_dedup": SQL_OP7, "op10_licenses": SQL_OP10, "op11_embedding_dedup": SQL_OP11, "op12_divergence": SQL_OP12, "op13_prefix_trie": SQL_OP13}
 
 
 def queries() -> dict:
