@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ADDED, CHANGED, UNCHANGED, REMOVED, SKIPPED = "Added", "Changed", "Unchanged", "Removed", "Skipped"
@@ -33,42 +33,43 @@ def snapshot_diff(
     keys: Sequence[str],
     ignore: Iterable[str] = (),
     skip: Column | None = None,
-    checked: bool = False,
+    checked: bool | None = None,
 ) -> DataFrame:
     """Keys, ``change``, and both rows as structs ``desired`` and ``actual``.
 
     The sides meet in one full outer join on null-safe keys; presence is told by a marker, never by null data.
     ``ignore`` names columns that are not compared. ``skip`` is a predicate over the key columns: rows outside
-    management are reported as Skipped. ``checked`` first refuses a side whose keys are not unique; on such a side
-    the diff is not defined.
+    management are reported as Skipped.
+
+    A diff is not defined where a side repeats a key. Such a row raises once ``change`` is worked out: the rows of a
+    key are counted where the join has brought them together, without a shuffle or a job of its own. ``checked=True``
+    refuses the sides before, in a job for each; ``checked=False`` leaves the check out.
     """
     if checked:
         for name, df in (("desired", desired), ("actual", actual)):
             if not duplicate_keys(df, keys).isEmpty():
                 raise ValueError(f"the {name} snapshot repeats a key")
     kinds = dict(desired.dtypes)
-    sides = [
-        df.select(
-            *(F.col(k).alias(f"_{side}_{k}") for k in keys),
-            F.lit(True).alias(f"_{side}"),
-            F.struct(*desired.columns).alias(name),
-        )
-        for df, side, name in ((desired, "d", "desired"), (actual, "a", "actual"))
-    ]
-    on = [F.col(f"_d_{k}").eqNullSafe(F.col(f"_a_{k}")) for k in keys]
+    # One column for the whole key: its nulls are equal, and the join and the count are dealt out alike.
+    key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    sides = []
+    for df, side, name in ((desired, "d", "desired"), (actual, "a", "actual")):
+        own = df.select(key.alias(f"_{side}_key"), F.lit(True).alias(f"_{side}"), F.struct(*desired.columns).alias(name))
+        if checked is None:
+            own = own.withColumn(f"_{side}_n", F.count(F.lit(1)).over(Window.partitionBy(f"_{side}_key")))
+        sides.append(own)
     equal = F.lit(True)
     for c in compared_columns(desired, keys, ignore):
         equal = equal & same(F.col("desired")[c], F.col("actual")[c], kinds[c].startswith("map"))
     change = (
         F.when(F.col("_a").isNull(), ADDED).when(F.col("_d").isNull(), REMOVED).when(equal, UNCHANGED).otherwise(CHANGED)
     )
-    joined = sides[0].join(sides[1], on, "full_outer")
-    merged = joined.select(
-        *(F.when(F.col("_d"), F.col(f"_d_{k}")).otherwise(F.col(f"_a_{k}")).alias(k) for k in keys),
-        change.alias("change"),
-        "desired",
-        "actual",
-    )
+    if checked is None:
+        for side, name in (("d", "desired"), ("a", "actual")):
+            change = F.when(F.col(f"_{side}_n") > 1, F.raise_error(F.lit(f"the {name} snapshot repeats a key"))).otherwise(change)
+    joined = sides[0].join(sides[1], F.col("_d_key") == F.col("_a_key"), "full_outer")
+    either = F.coalesce("_d_key", "_a_key")
+    merged = joined.select(*(either[f"k{i}"].alias(k) for i, k in enumerate(keys)), change.alias("change"), "desired", "actual")
     if skip is not None:
         merged = merged.withColumn("change", F.when(skip, SKIPPED).otherwise(F.col("change")))
     return merged

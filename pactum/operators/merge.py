@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import delete_path, discard, materialize, path_exists
+from ..plans.session import materialize, scratch
+from ..sources.keyed_table import BUCKETS, KeyedTable
 from . import diff as D
 
 
@@ -51,36 +52,45 @@ def merge_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], prun
     )
 
 
-BUCKETS = 64
+def staged_merge(
+    path: str, source: DataFrame, keys: Sequence[str], prune: bool = False, buckets: int | None = None, ignored: DataFrame | None = None
+) -> dict[str, int]:
+    """Merge ``source`` into the keyed table that is stored at ``path`` (``sources.keyed_table``), and return the counts
+    of written, kept, stale, pruned and ignored rows and of rewritten buckets, with the version that has the result.
 
-
-def staged_merge(path: str, source: DataFrame, keys: Sequence[str], prune: bool = False, buckets: int = BUCKETS) -> dict[str, int]:
-    """Merge ``source`` into the table that is stored at ``path``, and return the counts of written, kept, stale and
-    pruned rows and of rewritten buckets.
-
-    The table lies in ``buckets`` folders by a hash of the key. Buckets without a written or pruned row are not
-    touched, so a second merge of the same source writes nothing. The others are worked out in the shared folder
-    first and then swapped in one by one by Spark's dynamic partition overwrite, which moves a finished folder into
-    place; a bucket whose rows are all pruned is deleted. A table that is not there yet is written whole.
+    Only buckets with a written or pruned row are rewritten, so a second merge of the same source writes no version.
+    Without ``prune`` only the buckets of the source's keys are read. A table that is not there yet is made, with
+    ``buckets`` buckets; for a table that was made with another number, ``buckets`` deals it out anew first. Other key
+    columns or other columns than the table's are refused, as are repeated keys in the source. Readers of a version are
+    not disturbed; a writer that lost the race for the next version gets ``VersionConflict`` and may begin again.
     """
     spark = source.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    target = spark.createDataFrame([], source.schema)
-    if path_exists(spark, path):
-        target = spark.read.schema(f"{source.schema.toDDL()}, _bucket int").parquet(path).drop("_bucket")
-    states = materialize(merged_states(target, source, keys, prune).withColumn("_bucket", bucket), "merge")
-    changed = states.filter(F.col("state").isin("written", "pruned")).select("_bucket").distinct()
-    touched = sorted(r["_bucket"] for r in changed.collect())  # at most ``buckets`` numbers
-    counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
-    staged = states.filter(F.col("_bucket").isin(touched) & (F.col("state") != "pruned")).select("row.*", "_bucket")
-    if touched:
-        writer = staged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("_bucket").parquet(path)
-        left = {r["_bucket"] for r in staged.select("_bucket").distinct().collect()}
-        for gone in set(touched) - left:
-            delete_path(spark, f"{path}/_bucket={gone}")
-    discard(states)
-    return {"rewritten": len(touched), **{s: counts.get(s, 0) for s in ("written", "kept", "stale", "pruned")}}
+    stored = KeyedTable(spark, path)
+    manifest = stored.manifest() if stored.exists() else stored.create(source.schema, keys, buckets or BUCKETS)
+    columns = stored.schema(manifest).names
+    if manifest["keys"] != list(keys) or sorted(columns) != sorted(source.columns):
+        raise ValueError(f"the table has keys {manifest['keys']} and columns {columns}")
+    if buckets and manifest["first_buckets"] != buckets:
+        manifest = stored.rebucket(buckets)
+    with scratch(spark):
+        source = source.select(*(F.col(f"`{c}`") for c in columns))
+        wanted = set(manifest["buckets"])
+        if not prune:
+            source = materialize(source, "merge-source")
+            wanted = {r["_b"] for r in source.select(stored.bucket(manifest).alias("_b")).distinct().collect()}  # a row a bucket
+        target = stored.read(manifest=manifest, buckets=wanted)
+        states = merged_states(target, source, keys, prune, ignored).select("state", "row.*")
+        states = materialize(states.withColumn("_bucket", stored.bucket(manifest)), "merge")
+        told = states.groupBy("_bucket", "state").agg(F.count(F.lit(1)).alias("n")).collect()  # a few rows a bucket
+        counts = dict.fromkeys(("written", "kept", "stale", "pruned", "ignored"), 0)
+        for r in told:
+            counts[r["state"]] += r["n"]
+        counts["stale"] += sum(b["rows"] for name, b in manifest["buckets"].items() if name not in wanted)
+        touched = {r["_bucket"] for r in told if r["state"] in ("written", "pruned")}
+        if touched:
+            rows = states.filter(F.col("_bucket").isin(sorted(touched)) & (F.col("state") != "pruned")).drop("state", "_bucket")
+            manifest = stored.rewrite(manifest, rows, touched)
+    return {"rewritten": len(touched), **counts, "version": manifest["version"]}
 
 
 def overlay_last_non_null(base: DataFrame, patches: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -28,20 +28,26 @@ def _key(partition: Sequence[str]) -> Column:
     return F.struct(F.lit(0).alias("_0"), *(F.col(quoted(c)) for c in partition))
 
 
+def _segmented(df: DataFrame, partition: Sequence[str], order: Sequence[Column], ties: Sequence[Column] = ()) -> DataFrame:
+    """``df`` range sorted and written, with _key, _part (number of the sort's part) and _row (place in the part): a
+    partition's rows in one part are a segment of it."""
+    return materialize(
+        df.withColumn("_key", _key(partition))
+        .repartitionByRange("_key", *order)
+        .sortWithinPartitions("_key", *order, *ties)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "segments",
+    )
+
+
 def numbered(df: DataFrame, partition: Sequence[str], order: Sequence[Column], name: str = "number", ties: Sequence[Column] = ()) -> DataFrame:
     """``df`` with the 1-based number of each row in its partition. The order, then ``ties``, have to be total there.
     Rows that only ``ties`` tell apart are not cut into segments; wide columns do not go into the range sort's sample.
 
     The only windows run over segments: one row for each partition and part of the range sort.
     """
-    keyed = df.withColumn("_key", _key(partition))
-    placed = materialize(
-        keyed.repartitionByRange("_key", *order)
-        .sortWithinPartitions("_key", *order, *ties)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
-        "numbered",
-    )
+    placed = _segmented(df, partition, order, ties)
     segments = placed.groupBy("_key", "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     segments = segments.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -49,6 +55,19 @@ def numbered(df: DataFrame, partition: Sequence[str], order: Sequence[Column], n
     return joined.withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + 1).select(*(F.col(quoted(c)) for c in df.columns), name)
 
 
+def last_before(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the last value that is not null among the rows before each one in its partition.
+
+    Windows run within a segment, and over the last values of a partition's segments."""
+    placed = _segmented(df.withColumn("_value", value), partition, order)
+    within = Window.partitionBy("_key", "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = placed.groupBy("_key", "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_row"))).alias("_last"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("_key", "_part", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    local = placed.withColumn("_local", F.last("_value", ignorenulls=True).over(within)).join(lasts, ["_key", "_part"])
+    return local.withColumn(name, F.coalesce("_local", "_carry")).select(*(F.col(quoted(c)) for c in df.columns), name)
+
+
 def combined(a: Column, b: Column, combine: Combine) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +66,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_open_scratch: list[list[str]] = []
+#: The scopes that are open in this thread or task: another one's tables are not deleted with them.
+_open_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
+_cleanup_lock = threading.Lock()
+_cleaning: dict[int, list] = {}
+
+
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Drop shuffle files once a query has ended, until the last of the writes that ask for it at a time is over."""
+    with _cleanup_lock:
+        state = _cleaning.setdefault(id(spark), [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(SHUFFLE_CLEANUP, "false")
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _cleanup_lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(SHUFFLE_CLEANUP, state[1])
+                del _cleaning[id(spark)]
 
 
 def materialize(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataFrame:
@@ -74,29 +99,67 @@ def materialize(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with _shuffle_cleanup(spark):
         df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    for paths in _open_scratch:
+    for paths in _open_scratch.get():
         paths.append(path)
     return out
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def _store(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the store that holds ``path``."""
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    store, target = _store(spark, path)
+    store.delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    context = spark.sparkContext
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
+    store, target = _store(spark, path)
+    return store.exists(target)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it is not there."""
+    store, target = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(target)] if store.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    store, target = _store(spark, path)
+    stream = store.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a file in place whole. False if there is one already: the rename does not overwrite."""
+    store, target = _store(spark, path)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    store.mkdirs(target.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(f"{target.getParent()}/.{target.getName()}.{uuid.uuid4().hex}")
+    stream = store.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(draft, target, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except Py4JJavaError as refused:
+        store.delete(draft, False)
+        if "FileAlreadyExists" in str(refused.java_exception):
+            return False
+        raise
 
 
 def discard(*frames: DataFrame) -> None:
@@ -110,11 +173,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Delete everything that is materialized inside, at the end: for callers that write their result inside, too.
     Paths taken out of the list are kept."""
     paths: list[str] = []
-    _open_scratch.append(paths)
+    outer = _open_scratch.set((*_open_scratch.get(), paths))
     try:
         yield paths
     finally:
-        _open_scratch.remove(paths)
+        _open_scratch.reset(outer)
         for path in paths:
             delete_path(spark, path)
 

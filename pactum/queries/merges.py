@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import merge as M
 from ..operators.ordering import global_ordinal
 from ..plans.session import shared_folder, table
+from ..sources.keyed_table import KeyedTable
 from .pairs import SQL_PAIR, actual_orders, desired_orders
 
 KEY = ["o_orderkey"]
@@ -44,11 +45,23 @@ def mrg1_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     M.staged_merge(path, actual_orders(spark, sf_dir), KEY)
     M.staged_merge(path, desired_orders(spark, sf_dir), KEY, prune=True)
     again = M.staged_merge(path, desired_orders(spark, sf_dir), KEY, prune=True)
-    return spark.read.parquet(path).select(
+    return KeyedTable(spark, path).read().select(
         "o_orderkey", "o_totalprice", F.lit(again["written"] + again["pruned"]).alias("written"), F.lit(again["rewritten"]).alias("rewritten")
     )
 
 
+def mrg1_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is merged, dealt out anew and merged again, in small buckets that split: its rows in each version.
+    The first version is read last, when the others are long there."""
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    stored = KeyedTable(spark, path)
+    actual, desired = actual_orders(spark, sf_dir), desired_orders(spark, sf_dir)
+    stored.create(actual.schema, KEY, buckets=4, split_rows=1000)
+    states = [M.staged_merge(path, actual, KEY), M.staged_merge(path, desired.filter("o_orderkey % 2 = 0"), KEY, buckets=16), M.staged_merge(path, desired, KEY, prune=True)]
+    views = [stored.read(s["version"]).select("o_orderkey", "o_totalprice", F.lit(i).alias("step")) for i, s in enumerate(states)]
+    return views[2].unionByName(views[1]).unionByName(views[0])
+
+
 def mrg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
@@ -281,6 +294,7 @@ QUERIES = {
     "mrg1_merge_prune": _merged(True),
     "mrg1_merge_counts": mrg1_counts,
     "mrg1_staged_merge": mrg1_staged,
+    "mrg1_table_versions": mrg1_versions,
     "mrg2_overlay_last_non_null": mrg2,
     "mrg3_attach_children": mrg3,
     "mrg3_orphans": mrg3_orphans,
@@ -307,6 +321,11 @@ SQL = {
 SELECT count(*) FILTER (WHERE d.o_orderkey IS NOT NULL AND (a.o_orderkey IS NULL OR a.o_totalprice <> d.o_totalprice)) AS written,
        count(*) FILTER (WHERE d.o_orderkey IS NULL) AS stale, count(*) FILTER (WHERE d.o_orderkey IS NULL) AS pruned
 FROM desired d FULL OUTER JOIN actual a ON a.o_orderkey = d.o_orderkey""",
+    "mrg1_table_versions": f"""WITH {SQL_PAIR}
+SELECT o_orderkey, o_totalprice, 0 AS step FROM actual
+UNION ALL SELECT o_orderkey, o_totalprice, 1 FROM desired WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, o_totalprice, 1 FROM actual WHERE o_orderkey NOT IN (SELECT o_orderkey FROM desired WHERE o_orderkey % 2 = 0)
+UNION ALL SELECT o_orderkey, o_totalprice, 2 FROM desired""",
     "mrg2_overlay_last_non_null": SQL_MRG2,
     "mrg3_attach_children": SQL_MRG3,
     "mrg3_orphans": "SELECT l_orderkey AS k, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0)",

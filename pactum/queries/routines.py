@@ -240,6 +240,18 @@ def cdc2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subscriber.state()
 
 
+def cdc2_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed in two runs of the stream: the second one is another subscriber, which has the name only."""
+    name = uuid.uuid4().hex
+    source = f"{shared_folder(spark)}/feed-{name}"
+    feed = _feed(spark, sf_dir)
+    for half in (0, 1):
+        feed.filter(F.col("ord") % 2 == half).coalesce(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        P.StreamSubscriber(spark, "user_id", "ord", name=name).start(stream, f"{source}-checkpoint").awaitTermination()
+    return P.StreamSubscriber(spark, "user_id", "ord", name=name).state()
+
+
 def cdc_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-local rules on a stream: violations of the feed, counted after the stream has ended."""
     from ..operators import checks as C
@@ -281,6 +293,7 @@ QUERIES = {
     "cdc1_publish": cdc1,
     "cdc2_subscribe": cdc2,
     "cdc2_subscribe_stream": cdc2_stream,
+    "cdc2_subscribe_restart": cdc2_restart,
     "cdc_stream_rules": cdc_windowed,
 }
 SQL = {
@@ -309,5 +322,6 @@ SQL = {
     "cdc1_publish": "SELECT event_id AS ord, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'insert' END AS op FROM events WHERE event_id <> 1000 AND (event_id % 5 = 0 OR event_id % 2 = 0)",
     "cdc2_subscribe": SQL_CDC2,
     "cdc2_subscribe_stream": "SELECT user_id, kind FROM (" + SQL_CDC2 + ") WHERE present",
+    "cdc2_subscribe_restart": "SELECT user_id, kind FROM (" + SQL_CDC2 + ") WHERE present",
     "cdc_stream_rules": "SELECT 'not_null:value' AS rule, count(*) AS n FROM events WHERE value IS NULL HAVING count(*) > 0 UNION ALL SELECT 'bounded', count(*) FROM events WHERE value >= 50 HAVING count(*) > 0 UNION ALL SELECT 'enum:event_type', count(*) FROM events WHERE event_type NOT IN ('click', 'view') HAVING count(*) > 0",
 }

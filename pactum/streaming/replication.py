@@ -9,10 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.session import delete_path, discard, materialize, path_exists, shared_folder
+from ..operators.scan import last_before
+from ..plans.session import materialize, scratch, shared_folder
+from ..sources.keyed_table import KeyedTable
 
 
 def publish(feed: DataFrame, operations: Sequence[str], tables: Sequence[str] | None = None, op: str = "op", table: str = "table_name") -> DataFrame:
@@ -21,24 +24,28 @@ def publish(feed: DataFrame, operations: Sequence[str], tables: Sequence[str] |
     return out if tables is None else out.filter(F.col(table).isin(list(tables)))
 
 
+def last_truncate(feed: DataFrame, ordinal: str, op: str = "op") -> int | None:
+    return feed.filter(F.col(op) == "truncate").agg(F.max(ordinal)).first()[0]
+
+
 def fold_feed(feed: DataFrame, key: str, ordinal: str, op: str = "op", initial: DataFrame | None = None) -> DataFrame:
     """Final state and conflicts of a feed applied in commit order per key.
 
     One row per key: (key, payload columns of the last write, present, conflicts, skipped). An insert of a present row
     is a conflict and changes nothing; an update or delete of a missing row is skipped; a truncate, whatever its key,
     clears every row before it. ``initial`` are the rows copied first. Whether a row is present before an operation
-    depends on the key's last insert, delete or truncate only, so windows per key do without a fold.
+    depends on the key's last insert, delete or truncate only; that is carried along the segments of a range sort, so
+    that a key with many operations is not one task's.
     """
     payload = [c for c in feed.columns if c not in (key, ordinal, op)]
-    cut = feed.filter(F.col(op) == "truncate").agg(F.max(ordinal)).first()[0]
+    cut = last_truncate(feed, ordinal, op)
     rows = feed.filter(F.col(op) != "truncate").select(key, F.col(ordinal).cast("long").alias("_ord"), F.col(op).alias("_op"), *payload)
     if initial is not None:
         rows = rows.unionByName(initial.select(key, F.lit(-1).cast("long").alias("_ord"), F.lit("insert").alias("_op"), *payload))
     if cut is not None:
         rows = rows.filter(F.col("_ord") > cut)
-    before = Window.partitionBy(key).orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    toggle = F.last(F.when(F.col("_op").isin("insert", "delete"), F.col("_op")), ignorenulls=True).over(before)
-    marked = rows.withColumn("_there", F.coalesce(toggle == "insert", F.lit(False)))
+    toggle = F.when(F.col("_op").isin("insert", "delete"), F.col("_op"))
+    marked = last_before(rows, [key], [F.col("_ord")], toggle, "_was").withColumn("_there", F.coalesce(F.col("_was") == "insert", F.lit(False)))
     writes = ((F.col("_op") == "insert") & ~F.col("_there")) | ((F.col("_op") == "update") & F.col("_there"))
     alive = F.max_by(F.col("_op"), F.when(F.col("_op").isin("insert", "delete"), F.col("_ord"))) == "insert"
     return marked.groupBy(key).agg(
@@ -56,49 +63,118 @@ def subscribed_state(feed: DataFrame, key: str, ordinal: str, op: str = "op", in
 
 
 class StreamSubscriber:
-    """Applies a feed that arrives as a stream. Every micro-batch adds the feed rows that are not applied yet to a log
-    of its own path; a batch that is replayed writes the same path again, so it is applied once. The state is folded
-    from the logs, in commit order, whatever order the batches came in. A subscription that is not ``enabled`` takes
-    no batches. ``schema`` is that of the feed, for the state before any batch has come."""
+    """A subscription to a feed that arrives as a stream: durable, found again by its name, each batch applied once.
+
+    The state is a keyed table (``sources.keyed_table``), dealt into buckets by the feed's key, that holds three kinds of
+    rows: ``now``, the present row of a key; ``base``, its row as of the horizon; and ``op``, the operations since then.
+    A micro-batch reads and rewrites the buckets of its keys only: their operations are joined by the new ones, and
+    their rows of now are folded again. The version that a batch makes carries the batch's number, so a batch that is
+    replayed after a failure is left out, and one that failed before its version was in place is applied whole. A
+    truncate concerns all buckets. Batches may bring operations in any order, as long as none is at or below the
+    horizon, which only ``compact`` moves: up to there operations are folded into the base and dropped.
+
+    ``name`` finds the subscription again in the shared folder; without one it is new. ``schema`` is that of the feed,
+    needed before any batch has come. Whether it is enabled is part of the stored state.
+    """
 
-    def __init__(self, spark, key: str, ordinal: str, op: str = "op", schema=None, enabled: bool = True):
-        self.spark, self.key, self.ordinal, self.op, self.schema, self.enabled = spark, key, ordinal, op, schema, enabled
-        self.path = f"{shared_folder(spark)}/subscription-{uuid.uuid4().hex}"
-        self.base, self.below = None, None
+    def __init__(self, spark, key: str, ordinal: str, op: str = "op", schema=None, enabled: bool | None = None, name: str | None = None, buckets: int = 16):
+        self.spark, self.key, self.ordinal, self.op, self.schema, self.buckets = spark, key, ordinal, op, schema, buckets
+        self.table = KeyedTable(spark, f"{shared_folder(spark)}/subscription-{name or uuid.uuid4().hex}")
+        self.first_enabled = enabled
+        if self.table.exists() and enabled is not None:
+            self.enabled = enabled
+
+    # Stored state --------------------------------------------------------------------------------------------------
+
+    def _manifest(self, schema=None) -> dict:
+        if self.table.exists():
+            return self.table.manifest()
+        schema = schema or self.schema
+        if schema is None:
+            raise ValueError("no batch has come yet, and the feed's schema is not known")
+        own = T.StructType([T.StructField("_kind", T.StringType()), *(T.StructField(f.name, f.dataType) for f in schema.fields)])
+        meta = {"batch": -1, "enabled": self.first_enabled is not False, "horizon": None, "truncated": None}
+        return self.table.create(own, [self.key, "_kind", self.ordinal], self.buckets, by=[self.key], meta=meta)
+
+    @property
+    def enabled(self) -> bool:
+        return self.table.manifest()["meta"]["enabled"] if self.table.exists() else self.first_enabled is not False
+
+    @enabled.setter
+    def enabled(self, value: bool) -> None:
+        self.first_enabled = value
+        if self.table.exists():
+            manifest = self.table.manifest()
+            if manifest["meta"]["enabled"] != value:
+                self.table.commit(manifest | {"meta": manifest["meta"] | {"enabled": value}})
+
+    # Batches -------------------------------------------------------------------------------------------------------
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        if self.enabled:
-            self.schema = self.schema or batch.schema
-            batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        """Apply one micro-batch, unless its number has been applied. A disabled subscription takes none."""
+        manifest = self._manifest(batch.schema)
+        meta = manifest["meta"]
+        if not meta["enabled"] or batch_id <= meta["batch"]:
+            return
+        with scratch(self.spark):
+            ops = batch.select(F.lit("op").alias("_kind"), *batch.columns).dropDuplicates([self.ordinal])
+            if meta["horizon"] is not None:
+                ops = ops.filter(F.col(self.ordinal) > meta["horizon"])
+            ops = materialize(ops, "batch")
+            cut = last_truncate(ops, self.ordinal, self.op)
+            cuts = [c for c in (cut, meta["truncated"]) if c is not None]
+            after = meta | {"batch": batch_id, "truncated": max(cuts, default=None)}
+            ops = ops.filter(F.col(self.op) != "truncate")
+            if after["truncated"] != meta["truncated"]:
+                touched = set(manifest["buckets"])
+            else:
+                touched = {r["_b"] for r in ops.select(self.table.bucket(manifest).alias("_b")).distinct().collect()}  # a row a bucket
+            rows = self._advanced(self.table.read(manifest=manifest, buckets=touched), ops, after)
+            self.table.rewrite(manifest, rows, touched, after)
+
+    def _advanced(self, held: DataFrame, ops: DataFrame, meta: dict) -> DataFrame:
+        """The rows of the touched buckets with ``ops`` applied. A row of the base stands at the horizon."""
+        kept = held.filter("_kind <> 'now'").unionByName(ops)
+        if meta["truncated"] is not None:
+            horizon = F.lit(-1 if meta["horizon"] is None else meta["horizon"])
+            kept = kept.filter(F.coalesce(F.col(self.ordinal), horizon) > meta["truncated"] - F.when(F.col("_kind") == "base", 1).otherwise(0))
+        # An operation that was sent before is the same row again.
+        kept = materialize(kept.dropDuplicates([self.key, "_kind", self.ordinal]), "kept")
+        moved = kept.filter("_kind = 'op'").select(self.key).distinct()
+        base = kept.filter("_kind = 'base'")
+        initial = base.join(moved, base[self.key].eqNullSafe(moved[self.key]), "left_semi").drop("_kind", self.ordinal, self.op)
+        folded = subscribed_state(kept.filter("_kind = 'op'").drop("_kind"), self.key, self.ordinal, self.op, initial)
+        still = base.join(moved, base[self.key].eqNullSafe(moved[self.key]), "left_anti").drop("_kind", self.ordinal, self.op)
+        now = still.unionByName(folded).select(F.lit("now").alias("_kind"), "*")
+        for name in (self.ordinal, self.op):
+            now = now.withColumn(name, F.lit(None).cast(kept.schema[name].dataType))
+        return materialize(kept.unionByName(now), "advanced")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def feed(self) -> DataFrame:
-        """The logged rows that are not in the base."""
-        if not path_exists(self.spark, self.path):
-            if self.schema is None:
-                raise ValueError("no batch has come yet, and the feed's schema is not known")
-            return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.parquet(self.path).drop("batch_id").dropDuplicates([self.ordinal])
-        return rows if self.below is None else rows.filter(F.col(self.ordinal) > self.below)
+    # Reading -------------------------------------------------------------------------------------------------------
 
-    def state(self) -> DataFrame:
-        return subscribed_state(self.feed(), self.key, self.ordinal, self.op, self.base)
+    def state(self, version: int | None = None) -> DataFrame:
+        """The target's rows, of the newest or an earlier version. Nothing is folded here."""
+        manifest = self._manifest() if version is None else self.table.manifest(version)
+        return self.table.read(manifest=manifest).filter("_kind = 'now'").drop("_kind", self.ordinal, self.op)
 
     def compact(self, below: int) -> None:
-        """Fold the rows up to ordinal ``below`` into the base, and delete the logs that hold no others. The caller
-        knows that no row up to there is still to come."""
-        feed = self.feed()
-        old = self.base
-        self.base = materialize(subscribed_state(feed.filter(F.col(self.ordinal) <= below), self.key, self.ordinal, self.op, old), "subscription-base")
-        self.below = below
-        if old is not None:
-            discard(old)
-        if path_exists(self.spark, self.path):
-            logs = self.spark.read.parquet(self.path).groupBy("batch_id").agg(F.max(self.ordinal).alias("last"))
-            for r in logs.filter(F.col("last") <= below).collect():  # one row for each batch
-                delete_path(self.spark, f"{self.path}/batch_id={r['batch_id']}")
+        """Move the horizon: operations up to ordinal ``below`` are folded into the base and dropped. The caller knows
+        that no other one up to there is still to come."""
+        manifest = self._manifest()
+        with scratch(self.spark):
+            held = materialize(self.table.read(manifest=manifest), "held")
+            ops = held.filter(F.col("_kind") == "op")
+            early = ops.filter(F.col(self.ordinal) <= below).drop("_kind")
+            initial = held.filter("_kind = 'base'").drop("_kind", self.ordinal, self.op)
+            base = subscribed_state(early, self.key, self.ordinal, self.op, initial).select(F.lit("base").alias("_kind"), "*")
+            for name in (self.ordinal, self.op):
+                base = base.withColumn(name, F.lit(None).cast(held.schema[name].dataType))
+            rows = held.filter("_kind = 'now'").unionByName(ops.filter(F.col(self.ordinal) > below)).unionByName(base)
+            horizon = max(below, manifest["meta"]["horizon"] if manifest["meta"]["horizon"] is not None else below)
+            self.table.rewrite(manifest, materialize(rows, "compacted"), manifest["buckets"], manifest["meta"] | {"horizon": horizon})
 
 
 def operation(event: Column, mapping: dict[str, str]) -> Column:

@@ -228,24 +228,6 @@ def test_repeated_keys_are_refused(spark):
             diff.snapshot_diff(*pair, ["k"], checked=True)
 
 
-def test_staged_merge_touches_changed_buckets_only(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    rows = [(i, "a") for i in range(100)]
-    frame = lambda r: spark.createDataFrame(r, "k int, v string")
-    assert merge.staged_merge(path, frame(rows), ["k"], buckets=8) == {"rewritten": 8, "written": 100, "kept": 0, "stale": 0, "pruned": 0}
-    times = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t").iterdir() if f.name.startswith("_bucket")}
-    changed = [(3, "b"), *rows[:3], *rows[4:99]]
-    assert merge.staged_merge(path, frame(changed), ["k"], buckets=8) == {"rewritten": 1, "written": 1, "kept": 98, "stale": 1, "pruned": 0}
-    assert sum((tmp_path / "t" / name).stat().st_mtime_ns != t for name, t in times.items()) == 1
-    pruned = merge.staged_merge(path, frame(changed), ["k"], prune=True, buckets=8)
-    assert (pruned["pruned"], pruned["written"]) == (1, 0)
-    again = merge.staged_merge(path, frame(changed), ["k"], prune=True, buckets=8)
-    assert (again["rewritten"], again["written"], again["pruned"]) == (0, 0, 0)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()) == sorted(changed)
-    assert merge.staged_merge(path, frame([(3, "b")]), ["k"], prune=True, buckets=8)["pruned"] == 98
-    assert [tuple(r) for r in spark.read.parquet(path).select("k", "v").collect()] == [(3, "b")]
-
-
 def test_types_of_document_values(spark):
     kinds = {"i": "integer", "n": "number", "b": "boolean", "s": "string", "a": "array", "o": "object"}
     contract = checks.DocumentContract(fields={k: checks.Field(kind=v) for k, v in kinds.items()})
