@@ -206,20 +206,6 @@ def range_length(r: Column) -> Column:
     return F.when(~range_empty(r), r["upper"] - r["lower"])
 
 
-def range_join(points: DataFrame, point: Column, ranges: DataFrame, lower: Column, upper: Column, width: int, on: Sequence[str] = ()) -> DataFrame:
-    """Points (bigint) joined to the half-open ranges [lower, upper) that hold them: both sides meet in buckets of
-    ``width``, so that the join is on equality and only bucket mates are compared."""
-    left = points.withColumn("_point", point).withColumn("_bucket", F.floor(F.col("_point") / width))
-    right = (
-        ranges.withColumn("_lower", lower)
-        .withColumn("_upper", upper)
-        .filter("_upper > _lower")
-        .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lower") / width), F.floor((F.col("_upper") - 1) / width))))
-    )
-    joined = left.join(right, [*on, "_bucket"])
-    return joined.filter("_point >= _lower AND _point < _upper").drop("_bucket", "_point", "_lower", "_upper")
-
-
 def index_order(name: str, descending: bool = False, nulls: str | None = None) -> Column:
     """A sort key with PostgreSQL's default null placement: ascending puts nulls last, descending first."""
     first = (nulls or ("FIRST" if descending else "LAST")).upper() == "FIRST"

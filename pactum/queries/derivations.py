@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checks as C
 from ..operators import derive as V
 from ..operators import diff as D
+from ..operators import interval as I
 from ..operators import views as W
 from ..plans.session import table
 from .pairs import SQL_PAIR, actual_orders, desired_orders
@@ -91,10 +92,40 @@ def der9(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     weeks = e.groupBy("user_id").agg(F.min("s").alias("begins"))
     week = 7 * 86400
-    found = V.range_join(e, F.col("s"), weeks, F.col("begins"), F.col("begins") + week, week, on=["user_id"])
+    found = I.range_join(e, F.col("s"), weeks, F.col("begins"), F.col("begins") + week, on=["user_id"])
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def der9_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part keys in ranges of suppliers: short ones, one of 10^10, and some without a lower or an upper bound."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("long").alias("key"))
+    k = F.col("s_suppkey").cast("long")
+    lower = F.when(k % 10 != 3, F.when(k == 1, F.lit(-(10**9))).otherwise(k * 5))
+    upper = F.when(k % 10 != 7, F.when(k == 1, F.lit(9 * 10**9)).otherwise(k * 5 + k % 40))
+    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", lower.alias("low"), upper.alias("high"))
+    found = I.range_join(part, F.col("key"), ranges, F.col("low"), F.col("high"))
+    return found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("total"))
+
+
+def der9_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of customers in ranges of suppliers' balances, as decimals, upper bound included."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
+    low = F.col("s_acctbal").cast("decimal(12,2)")
+    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + F.lit(50)).cast("decimal(12,1)").alias("high"))
+    return I.range_join(c, F.col("balance"), ranges, F.col("low"), F.col("high"), "(]").select("c_custkey", "s_suppkey")
+
+
+def der9_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose days meet a supplier's season; every 25th season has no end, every 10th order takes no day."""
+    o = F.col("o_orderdate").cast("date")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", V.range_value(o, F.date_add(o, F.col("o_orderkey").cast("int") % 10)).alias("days"))
+    k = F.col("s_suppkey").cast("int")
+    begins = F.date_add(F.lit("1992-01-01").cast("date"), k * 17 % 2400)
+    seasons = table(spark, sf_dir, "supplier").select("s_suppkey", V.range_value(begins, F.when(k % 25 != 0, F.date_add(begins, k % 15)), "[]").alias("season"))
+    met = I.overlap_join(orders, F.col("days"), seasons, F.col("season"))
+    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
 def der9_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     a = V.range_value(k % 10, k % 10 + k % 3, "[]")
@@ -200,6 +231,9 @@ QUERIES = {
     "der7_inheritance_scan": der7,
     "der8_composite": der8,
     "der9_range_join": der9,
+    "der9_interval_join": der9_interval,
+    "der9_decimal_join": der9_decimal,
+    "der9_overlap_join": der9_overlap,
     "der9_range_values": der9_values,
     "der10_ordered_scan": der10,
     "der11_row_trigger": der11,
@@ -227,6 +261,14 @@ SQL = {
     "der7_inheritance_scan": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, 'supplier' FROM supplier UNION ALL SELECT c_custkey, c_name, c_nationkey, 'party' FROM customer WHERE c_custkey % 50 = 0",
     "der8_composite": "SELECT c_custkey, c_nationkey, c_mktsegment, substr(c_mktsegment, 1, 1) AS first FROM customer",
     "der9_range_join": "WITH e AS (SELECT user_id, epoch(date_trunc('second', ts)) AS s FROM events), w AS (SELECT user_id, min(s) AS b FROM e GROUP BY 1) SELECT e.user_id, count(*) AS n FROM e JOIN w ON w.user_id = e.user_id AND s >= b AND s < b + 604800 GROUP BY 1",
+    "der9_interval_join": """WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 <> 3 THEN CASE WHEN s_suppkey = 1 THEN -1000000000 ELSE s_suppkey * 5 END END AS low,
+  CASE WHEN s_suppkey % 10 <> 7 THEN CASE WHEN s_suppkey = 1 THEN 9000000000 ELSE s_suppkey * 5 + s_suppkey % 40 END END AS high FROM supplier)
+SELECT s_suppkey, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM part JOIN r ON (low IS NULL OR p_partkey >= low) AND (high IS NULL OR p_partkey < high) GROUP BY 1""",
+    "der9_decimal_join": """WITH r AS (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(12,2)) AS low, CAST(CAST(s_acctbal AS DECIMAL(12,2)) + 50 AS DECIMAL(12,1)) AS high FROM supplier)
+SELECT c_custkey, s_suppkey FROM customer JOIN r ON CAST(c_acctbal AS DECIMAL(12,2)) > low AND CAST(c_acctbal AS DECIMAL(12,2)) <= high""",
+    "der9_overlap_join": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS b, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 10 AS INTEGER) AS e FROM orders),
+s AS (SELECT s_suppkey, DATE '1992-01-01' + CAST(s_suppkey * 17 % 2400 AS INTEGER) AS b, CASE WHEN s_suppkey % 25 <> 0 THEN DATE '1992-01-01' + CAST(s_suppkey * 17 % 2400 + s_suppkey % 15 AS INTEGER) END AS e FROM supplier)
+SELECT s_suppkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM o JOIN s ON o.b < o.e AND (s.e IS NULL OR o.b <= s.e) AND s.b < o.e GROUP BY 1""",
     "der9_range_values": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 10 AS lo, o_orderkey % 10 + o_orderkey % 3 AS hi, o_orderkey % 7 AS b, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 + 4 END AS e FROM orders)
 SELECT k AS o_orderkey, k % 8 BETWEEN lo AND hi AS has, (e IS NULL OR lo < e) AND b <= hi AS meets, e - b AS length,
        CASE WHEN k % 6 <> 0 AND k % 8 <> 1 THEN k % 2 = 1 END AS c_has, k % 2 = 1 AND k % 4 <= hi AND lo < k % 4 + 1 AS c_meets, CASE WHEN k % 2 = 1 THEN 1 END AS c_length FROM r""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routines as R
 from ..functions import text as X
+from ..operators import interval as I
 from ..operators import scan as W
 from ..operators.checks import enum_ordinal
 from ..plans.session import shared_folder, table
@@ -124,6 +125,21 @@ def opr1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("a", "b", "x")
 
 
+def opr1_inequality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier the customers with a smaller balance and a key that is not below its own, times ten."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") * 10).alias("tenfold"))
+    met = I.inequality_join(c, s, [("c_acctbal", "<", "s_acctbal"), ("c_custkey", ">=", "tenfold")], block=64)
+    return met.groupBy(F.col("right.s_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.min("left.c_custkey").alias("first"))
+
+
+def opr1_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of orders whose prices lie apart by less than a quarter, the dearer one second."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"), (F.col("o_totalprice") + 0.25).alias("limit"))
+    met = I.inequality_join(o, o, [("p", "<", "p"), ("limit", ">", "p")], block=256)
+    return met.select(F.col("left.o_orderkey").alias("a"), F.col("right.o_orderkey").alias("b"))
+
+
 def opr1_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("other", F.pmod(F.col("p_partkey") * 7, F.lit(50)).cast("int"))
     less = lambda x, y: x * x < y * y
@@ -282,6 +298,8 @@ QUERIES = {
     "agg5_hypothetical_set": agg5,
     "agg6_sort_operator": agg6,
     "opr1_operator_join": opr1,
+    "opr1_inequality_join": opr1_inequality,
+    "opr1_band_join": opr1_band,
     "opr1_operator_laws": opr1_laws,
     "col1_collation": col1,
     "txt1_lexemes": txt1,
@@ -312,6 +330,8 @@ SQL = {
     "agg5_hypothetical_set": "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice < 1500) + 1 AS rank, count(DISTINCT CASE WHEN o_totalprice < 1500 THEN o_totalprice END) + 1 AS dense_rank FROM orders GROUP BY 1",
     "agg6_sort_operator": "WITH p AS (SELECT o_custkey, list_position(['5-LOW', '3-MEDIUM', '1-URGENT', '4-NOT SPECIFIED', '2-HIGH'], o_orderpriority) AS r FROM orders) SELECT o_custkey, ['5-LOW', '3-MEDIUM', '1-URGENT', '4-NOT SPECIFIED', '2-HIGH'][max(r)] AS highest, ['5-LOW', '3-MEDIUM', '1-URGENT', '4-NOT SPECIFIED', '2-HIGH'][min(r)] AS lowest FROM p GROUP BY 1",
     "opr1_operator_join": "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size * a.p_size AS x FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1",
+    "opr1_inequality_join": "SELECT s_suppkey, count(*) AS n, min(c_custkey) AS first FROM customer JOIN supplier ON c_acctbal < s_acctbal AND c_custkey >= s_suppkey * 10 GROUP BY 1",
+    "opr1_band_join": "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_totalprice < b.o_totalprice AND a.o_totalprice + 0.25 > b.o_totalprice",
     "opr1_operator_laws": "SELECT 0 AS commutator_breaks, count(*) FILTER (WHERE p_size = p_partkey * 7 % 50) AS negator_breaks FROM part",
     "col1_collation": "SELECT upper(c_mktsegment) AS segment, count(*) AS n FROM customer GROUP BY 1",
     "txt1_lexemes": "WITH w AS (SELECT doc_id, unnest(t) AS lexeme, unnest(range(1, len(t) + 1)) AS position FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)) SELECT lexeme, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(min(position) AS INTEGER) AS first FROM w WHERE lexeme NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ") GROUP BY 1",
