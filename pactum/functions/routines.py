@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def scalar_function(spark: SparkSession, name: str, parameters: str, returns: str, body: str, strict: Sequence[str] = ()) -> None:
     """A temporary SQL function. ``parameters`` may carry defaults; a null in a ``strict`` parameter makes the result
-    null. Overloads are functions of different names, one per signature."""
+    null. For several signatures of one name see ``overloads``."""
     guard = " OR ".join(f"{p} IS NULL" for p in strict)
     text = f"CASE WHEN {guard} THEN NULL ELSE {body} END" if strict else body
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {text}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import diff as D
 from .ordering import global_ordinal
+from .routing import MAXVALUE, MINVALUE, Partition, Partitioning, overlaps, portable_hash, route_partitions  # noqa: F401
 
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, str | Column], presence: str | None = None) -> DataFrame:
@@ -84,68 +85,6 @@ def conform(df: DataFrame, contract: Mapping[str, str]) -> tuple[DataFrame, list
     return df.select(*columns), [c for c in df.columns if c not in contract]
 
 
-def portable_hash(*keys: Column) -> Column:
-    """The first 60 bits of the MD5 of the keys as text: the same number on every engine. Null counts as no text."""
-    text = F.concat_ws("|", *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-
-
-@dataclass(frozen=True)
-class Partition:
-    """LIST: ``values``. RANGE: ``lower`` (inclusive) and ``upper`` (exclusive), None for unbounded. HASH: ``modulus``
-    and ``remainder``."""
-
-    name: str
-    values: tuple = ()
-    lower: object = None
-    upper: object = None
-    modulus: int | None = None
-    remainder: int = 0
-
-    def holds(self, key: Column, kind: str) -> Column:
-        if kind == "LIST":
-            known = [v for v in self.values if v is not None]
-            hit = key.isin(known) if known else F.lit(False)
-            return F.coalesce(hit, F.lit(False)) | (key.isNull() if None in self.values else F.lit(False))
-        if kind == "RANGE":
-            hit = key.isNotNull()
-            hit = hit & (key >= F.lit(self.lower)) if self.lower is not None else hit
-            return hit & (key < F.lit(self.upper)) if self.upper is not None else hit
-        return F.pmod(portable_hash(key), F.lit(self.modulus)) == self.remainder
-
-
-def overlaps(partitions: Sequence[Partition], kind: str) -> list[tuple[str, str]]:
-    """Pairs of partitions that could take the same row."""
-    found = []
-    for i, a in enumerate(partitions):
-        for b in partitions[i + 1 :]:
-            if kind == "LIST":
-                hit = bool(set(a.values) & set(b.values))
-            elif kind == "RANGE":
-                below = a.upper is not None and b.lower is not None and a.upper <= b.lower
-                above = b.upper is not None and a.lower is not None and b.upper <= a.lower
-                hit = not (below or above)
-            else:
-                from math import gcd
-
-                hit = (a.remainder - b.remainder) % gcd(a.modulus, b.modulus) == 0
-            if hit:
-                found.append((a.name, b.name))
-    return found
-
-
-def route_partitions(df: DataFrame, key: str, kind: str, partitions: Sequence[Partition], default: str | None = None) -> DataFrame:
-    """``df`` with ``partition``; null marks a violation: no partition takes the row and there is no default."""
-    if clash := overlaps(partitions, kind):
-        raise ValueError(f"overlapping partitions: {clash}")
-    chain = None
-    for p in partitions:
-        hit = p.holds(F.col(key), kind)
-        chain = F.when(hit, p.name) if chain is None else chain.when(hit, p.name)
-    other = F.lit(default)
-    return df.withColumn("partition", other if chain is None else chain.otherwise(other))
-
-
 def inheritance_scan(parent: tuple[str, DataFrame], children: Sequence[tuple[str, DataFrame]], only: bool = False) -> DataFrame:
     """The parent's columns over the parent and, unless ``only``, all its descendants, with ``origin``."""
     name, frame = parent

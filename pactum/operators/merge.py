@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize, scratch
 from ..sources.keyed_table import BUCKETS, KeyedTable
 from . import diff as D
+from .scan import numbered
 
 
 def merge_update(
@@ -186,27 +187,25 @@ def redact(options: Column, secrets: Sequence[str]) -> Column:
 
 def number_duplicates(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """``df`` with ``unique_name``: the first of equal names keeps it, later ones get _1, _2, ..., leaving out numbers
-    that a literal name already has."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1)
-    repeats = ranked.groupBy(name).agg(F.max("_rn").alias("_most")).filter("_most > 0")
-    literal = (
-        df.select(
-            F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("_base"),
-            F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,8})$", 2).alias("_suffix"),
-        )
-        .filter("_suffix <> ''")
-        .select(F.col("_base").alias(name), F.col("_suffix").cast("int").alias("_k"))
-        .distinct()
-    )
-    taken = literal.groupBy(name).agg(F.count(F.lit(1)).alias("_taken"))
-    numbers = repeats.join(taken, name, "left").select(
-        name, F.explode(F.sequence(F.lit(1), (F.col("_most") + F.coalesce("_taken", F.lit(0))).cast("int"))).alias("_k")
-    )
-    free = numbers.join(literal, [name, "_k"], "left_anti")
-    free = free.withColumn("_rn", F.row_number().over(Window.partitionBy(name).orderBy("_k")))
-    joined = ranked.join(free, [name, "_rn"], "left")
-    unique = F.when(F.col("_rn") == 0, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_k").cast("string")))
-    return joined.withColumn("unique_name", unique).drop("_rn", "_k")
+    that a literal name already has.
+
+    The n-th repeat takes the n-th number that is free. With the taken numbers in order, the j-th one, t, has t - j free
+    ones below; so where repeats and taken numbers are merged by n and t - j, a repeat's place in the merged order is
+    its number. All three numberings come from range sorts that split a name with many rows.
+    """
+    ranked = numbered(df, [name], [F.col(c) for c in order], "_n")
+    pattern = r"^(.*)_([1-9][0-9]{0,8})$"
+    literal = df.select(F.regexp_extract(name, pattern, 1).alias("_base"), F.regexp_extract(name, pattern, 2).try_cast("long").alias("_t"))
+    repeated = ranked.filter("_n = 2").select(F.col(name).alias("_base"))
+    taken = literal.filter("_t IS NOT NULL").distinct().join(repeated, "_base", "left_semi")
+    taken = numbered(taken, ["_base"], [F.col("_t")], "_j")
+    repeats = ranked.filter("_n > 1").select(F.col(name).alias("_base"), (F.col("_n") - 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_n").alias("_tie"))
+    merged = repeats.unionByName(taken.select("_base", (F.col("_t") - F.col("_j")).alias("_at"), F.lit(1).alias("_kind"), F.col("_j").alias("_tie")))
+    places = numbered(merged, ["_base"], [F.col("_at"), F.col("_kind"), F.col("_tie")], "_k").filter("_kind = 0")
+    places = places.select(F.col("_base").alias("_name"), F.col("_tie").alias("_number"), "_k")
+    joined = ranked.join(places, ranked[name].eqNullSafe(places["_name"]) & (ranked["_n"] == places["_number"]), "left")
+    unique = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_k").cast("string")))
+    return joined.withColumn("unique_name", unique).drop("_n", "_k", "_name", "_number")
 
 
 def glob_to_regex(pattern: str) -> str:

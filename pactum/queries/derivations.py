@@ -75,6 +75,25 @@ def der6_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
 
 
+def der6_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RANGE over (status, price), the last partition hashed once more, the middle one by list."""
+    hashed = V.Partitioning("HASH", ("o_orderkey",), tuple(V.Partition(f"p{i}", modulus=3, remainder=i) for i in range(3)))
+    listed = V.Partitioning("LIST", ("o_orderpriority",), (V.Partition("hot", values=("1-URGENT", "2-HIGH")),), "cold")
+    parts = [
+        V.Partition("f_low", lower=("F", V.MINVALUE), upper=("F", 150000.0)),
+        V.Partition("f_high", lower=("F", 150000.0), upper=("F", V.MAXVALUE), parts=listed),
+        V.Partition("rest", lower=("O", 100000.0), parts=hashed),
+    ]
+    o = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice")))
+    return V.route_partitions(o, ["o_orderstatus", "o_totalprice"], "RANGE", parts, default="other").select("o_orderkey", "partition")
+
+
+def der6_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000 ranges of order keys, every tenth of them missing."""
+    parts = [V.Partition(f"r{i}", lower=i * 7, upper=i * 7 + 7) for i in range(10_000) if i % 10]
+    return V.route_partitions(table(spark, sf_dir, "orders"), "o_orderkey", "RANGE", parts, default="none").select("o_orderkey", "partition")
+
+
 def der7(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), "c_mktsegment")
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), "s_acctbal")
@@ -228,6 +247,8 @@ QUERIES = {
     "der6_route_list": der6_list,
     "der6_route_range": der6_range,
     "der6_route_hash": der6_hash,
+    "der6_route_two_columns": der6_two_columns,
+    "der6_route_many_ranges": der6_many,
     "der7_inheritance_scan": der7,
     "der8_composite": der8,
     "der9_range_join": der9,
@@ -258,6 +279,11 @@ SQL = {
     "der6_route_list": "SELECT o_orderkey, status, CASE WHEN status = 'O' THEN 'open' WHEN status = 'F' OR status IS NULL THEN 'closed' END AS partition FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS status FROM orders)",
     "der6_route_range": "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'small' WHEN o_totalprice < 200000 THEN 'middle' WHEN o_totalprice >= 300000 THEN 'large' ELSE 'rest' END AS partition FROM orders",
     "der6_route_hash": "SELECT 'h' || (CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 4) AS partition, count(*) AS n FROM orders GROUP BY 1",
+    "der6_route_two_columns": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END AS p FROM orders)
+SELECT o_orderkey, CASE WHEN p IS NULL OR o_orderstatus IS NULL THEN 'other' WHEN o_orderstatus = 'F' AND p < 150000 THEN 'f_low'
+  WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'hot' ELSE 'cold' END
+  WHEN o_orderstatus > 'O' OR o_orderstatus = 'O' AND p >= 100000 THEN 'p' || (CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) % 3) ELSE 'other' END AS partition FROM o""",
+    "der6_route_many_ranges": "SELECT o_orderkey, CASE WHEN o_orderkey < 70000 AND (o_orderkey // 7) % 10 <> 0 THEN 'r' || (o_orderkey // 7) ELSE 'none' END AS partition FROM orders",
     "der7_inheritance_scan": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, 'supplier' FROM supplier UNION ALL SELECT c_custkey, c_name, c_nationkey, 'party' FROM customer WHERE c_custkey % 50 = 0",
     "der8_composite": "SELECT c_custkey, c_nationkey, c_mktsegment, substr(c_mktsegment, 1, 1) AS first FROM customer",
     "der9_range_join": "WITH e AS (SELECT user_id, epoch(date_trunc('second', ts)) AS s FROM events), w AS (SELECT user_id, min(s) AS b FROM e GROUP BY 1) SELECT e.user_id, count(*) AS n FROM e JOIN w ON w.user_id = e.user_id AND s >= b AND s < b + 604800 GROUP BY 1",

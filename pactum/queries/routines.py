@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routines as R
 from ..functions import text as X
+from ..functions.overloads import Functions
 from ..operators import interval as I
 from ..operators import scan as W
 from ..operators.checks import enum_ordinal
@@ -23,6 +24,18 @@ def udf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.expr("pactum_discounted(l_extendedprice, d)").alias("own"), F.expr("pactum_discounted(l_extendedprice)").alias("usual"))
 
 
+def udf1_overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three signatures of one name in one query; a whole number goes to the signature of doubles, the preferred one."""
+    own = Functions(spark, "pactum_size")
+    own.define("size_of", [("x", "double"), ("step", "int", "100")], "bigint", "CAST(round(x * step) AS bigint)", strict=True, volatility="immutable")
+    own.define("size_of", [("x", "string")], "bigint", "length(x)", strict=True, volatility="immutable")
+    own.define("size_of", [("x", "date")], "bigint", "year(x)", volatility="stable")
+    o = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    call = lambda *a: own.call(o, "size_of", *a)
+    status = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority"))
+    return o.select("o_orderkey", call(F.col("o_totalprice")).alias("cents"), call(F.col("o_custkey"), F.lit(7)).alias("week"), call(status).alias("letters"), call(F.col("day")).alias("year"))
+
+
 def udf2(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").select("o_orderkey").createOrReplaceTempView("pactum_order_keys")
     R.table_function(spark, "pactum_parts", "k BIGINT", "n INT, share BIGINT", "SELECT CAST(n AS INT), k % 100 + n FROM explode(sequence(1, CAST(k % 3 + 1 AS INT))) AS t(n)")
@@ -285,6 +298,7 @@ def cdc_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "udf1_scalar_function": udf1,
+    "udf1_overloads": udf1_overloads,
     "udf2_table_function": udf2,
     "udf3_window_function": udf3,
     "udf3_user_window": udf3_user,
@@ -317,6 +331,7 @@ QUERIES = {
 SQL = {
     "src3_generate_fixtures": SQL_SRC3,
     "udf1_scalar_function": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 2 THEN CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) END AS own, CAST(round(l_extendedprice * (1 - CAST(0.1 AS DOUBLE)) * 100) AS BIGINT) AS usual FROM lineitem",
+    "udf1_overloads": "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_custkey * 7 AS week, CASE WHEN o_orderkey % 9 <> 0 THEN length(o_orderpriority) END AS letters, year(o_orderdate) AS year FROM orders",
     "udf2_table_function": "SELECT o_orderkey, CAST(n AS INTEGER) AS n, o_orderkey % 100 + n AS share FROM (SELECT o_orderkey, unnest(generate_series(1, o_orderkey % 3 + 1)) AS n FROM orders)",
     "udf3_window_function": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM events",
     "udf3_user_window": SQL_CENTS + "SELECT event_id, row_number() OVER w AS place, CASE WHEN count(cents) OVER w > 0 THEN count(cents) OVER w END AS n, CAST(sum(cents) OVER w AS BIGINT) AS total FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
