@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.session import discard, map_arrow, materialize
+from ..plans.session import materialize
 
 
 def resolve_edges(refs: DataFrame, objects: DataFrame, schemaless: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -39,70 +39,87 @@ def derive_reference_edges(references: DataFrame) -> DataFrame:
     return edges.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
 
 
-#: Edges that one task may finish by itself; a documented bound on its memory, not on the graph.
-TASK_EDGES = 200_000
-
-
-def dependency_levels(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): 0 for nodes without parents, else one more than the highest parent; null for nodes on or behind a
     cycle. ``edges``: (child, parent) among the nodes.
 
-    Every round takes out the nodes whose parents are all placed, for as many rounds as the graph is deep. The waiting
-    edges are written to the shared folder, so a round's plan never holds the rounds before it. Once no more than
-    ``task_edges`` are left, one task places the rest, so that a long thin graph does not cost a round for each level.
+    A round has two steps. (1) A node with one parent left has the level max(base, level of that parent + weight), so
+    it points to its parent; pointers double until they end at nodes with several parents or none, which takes the
+    logarithm of the longest such path. The nodes are set aside, and edges from them come from their ends instead, with
+    more weight. (2) Nodes without a parent left are placed, and what they give their children goes into the children's
+    base. Trees and chains of any depth take one round; a round is needed for each level of what is left, where every
+    node still has several parents. Nodes set aside are placed at the end, the last ones first. Every step is written
+    to the shared folder; no task sees more than its share of the edges.
     """
-    waiting = materialize(edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
-    children = waiting.select(F.col("child").alias("id")).distinct()
-    frontier = materialize(nodes.select("id").distinct().join(children, "id", "left_anti"), "frontier")
-    placed, level = frontier.withColumn("level", F.lit(0)), 0
-    while True:
-        if waiting.count() <= task_edges:
-            return placed.unionByName(_placed_in_one_task(waiting, frontier, level))
-        after = materialize(waiting.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_anti").select("child", "parent"), "edges")
-        still = after.select(F.col("child").alias("id")).distinct()
-        found = materialize(children.join(still, "id", "left_anti"), "frontier")
-        if found.isEmpty():
-            return placed.unionByName(children.withColumn("level", F.lit(None).cast("int")))
-        level += 1
-        placed = placed.unionByName(found.withColumn("level", F.lit(level)))
-        discard(waiting)
-        waiting, frontier, children = after, found, still
-
-
-def _placed_in_one_task(waiting: DataFrame, frontier: DataFrame, level: int) -> DataFrame:
-    """(id, level) of the children of ``waiting``, whose parents are in ``frontier``, of ``level``, or among them."""
-    kind = waiting.schema["child"].dataType
-    # Only those of the frontier that are parents here matter.
-    start = frontier.select(F.col("id").alias("parent")).join(waiting.select("parent").distinct(), "parent", "left_semi")
-    rows = waiting.unionByName(start.select(F.lit(None).cast(kind).alias("child"), "parent"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        below, open_parents, ready = {}, {}, []
-        for batch in batches:
-            for child, parent in zip(batch.column("child").to_pylist(), batch.column("parent").to_pylist()):
-                if child is None:
-                    ready.append(parent)
-                else:
-                    below.setdefault(parent, []).append(child)
-                    open_parents[child] = open_parents.get(child, 0) + 1
-        levels, at = dict.fromkeys(open_parents), level
-        while ready:
-            at, done, ready = at + 1, ready, []
-            for parent in done:
-                for child in below.get(parent, ()):
-                    open_parents[child] -= 1
-                    if not open_parents[child]:
-                        levels[child] = at
-                        ready.append(child)
-        arrow = to_arrow_type(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(levels.keys(), arrow), pa.array(levels.values(), pa.int32())], ["id", "level"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = T.StructType([T.StructField("id", kind), T.StructField("level", T.IntegerType())])
-    return map_arrow(rows.repartition(1), run, schema)
+    waiting = edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct()
+    waiting = materialize(waiting.withColumn("weight", F.lit(1)), "edges")
+    ids = nodes.select("id").union(waiting.select("child")).distinct()
+    base = materialize(ids.withColumn("base", F.lit(0)), "base")
+    aside, placed = [], []
+    while not base.isEmpty():
+        ends, alone = _ends_of_paths(waiting, base)
+        gifts = None
+        if ends is not None:
+            aside.append(ends)
+            # Edges of nodes set aside go; the others' parents move to the ends, and bring the base of what was between.
+            rest = waiting.join(alone.select(F.col("id").alias("child")), "child", "left_anti")
+            moved = rest.join(ends.select(F.col("id").alias("parent"), "end", F.col("weight").alias("_w"), F.col("base").alias("_b")), "parent", "left")
+            moved = materialize(
+                moved.select("child", F.coalesce("end", "parent").alias("parent"), (F.col("weight") + F.coalesce("_w", F.lit(0))).alias("weight"), (F.col("_b") + F.col("weight")).alias("gift")), "moved"
+            )
+            waiting = moved.groupBy("child", "parent").agg(F.max("weight").alias("weight"))
+            gifts = moved.filter("gift IS NOT NULL").select("child", "gift")
+            base = base.join(alone.select("id"), "id", "left_anti")
+        base = _with_gifts(base, gifts)
+        ready = materialize(base.join(waiting.select(F.col("child").alias("id")).distinct(), "id", "left_anti"), "ready")
+        if ends is None and ready.isEmpty():
+            break  # what is left is on or behind cycles
+        placed.append(ready.select("id", F.col("base").alias("level")))
+        level_of = ready.select(F.col("id").alias("parent"), F.col("base").alias("_level"))
+        met = waiting.join(level_of, "parent", "left")
+        met = materialize(met, "met")
+        waiting = met.filter("_level IS NULL").drop("_level")
+        base = base.join(ready.select("id"), "id", "left_anti")
+        base = materialize(_with_gifts(base, met.filter("_level IS NOT NULL").select("child", (F.col("_level") + F.col("weight")).alias("gift"))), "base")
+    found = reduce(DataFrame.unionByName, placed) if placed else ids.limit(0).withColumn("level", F.lit(0))
+    for ends in reversed(aside):
+        level_of = found.select(F.col("id").alias("end"), F.col("level").alias("_level"))
+        told = ends.join(level_of, "end").select("id", F.greatest("base", F.col("_level") + F.col("weight")).alias("level"))
+        found = materialize(found.unionByName(told), "levels")
+    return ids.join(found, "id", "left")
+
+
+def _with_gifts(base: DataFrame, gifts: DataFrame | None) -> DataFrame:
+    if gifts is None:
+        return base
+    most = gifts.groupBy(F.col("child").alias("id")).agg(F.max("gift").alias("_gift"))
+    return base.join(most, "id", "left").select("id", F.greatest("base", F.coalesce("_gift", F.lit(0))).alias("base"))
+
+
+def _ends_of_paths(waiting: DataFrame, base: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """((id, end, weight, base), (id)): the nodes with one parent left, with the first node on the way up that has not:
+    their level is max(base, level of end + weight); and all such nodes, also those on a cycle, which have no end."""
+    one = waiting.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("end"), F.max("weight").alias("weight"))
+    alone = materialize(one.filter("n = 1").drop("n").join(base, "id").withColumn("moved", F.lit(True)), "alone")
+    number = alone.count()
+    if not number:
+        return None, None
+    at = alone
+    for _ in range(number.bit_length() + 1):  # by then a pointer has passed every node there is
+        onward = at.select(F.col("id").alias("end"), F.col("end").alias("_end"), F.col("weight").alias("_w"), F.col("base").alias("_b"))
+        at = materialize(
+            at.join(onward, "end", "left").select(
+                "id",
+                F.coalesce("_end", "end").alias("end"),
+                F.greatest("base", F.col("_b") + F.col("weight")).alias("base"),
+                (F.col("weight") + F.coalesce("_w", F.lit(0))).alias("weight"),
+                F.col("_end").isNotNull().alias("moved"),
+            ),
+            "paths",
+        )
+        if at.filter("moved").isEmpty():
+            break
+    return at.filter("NOT moved").drop("moved"), alone
 
 
 def dependency_order(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:

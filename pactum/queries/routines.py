@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import collations as L
 from ..functions import routines as R
 from ..functions import text as X
 from ..functions.overloads import Functions
@@ -166,6 +167,23 @@ def col1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).select(F.upper(F.collate("segment", "UTF8_BINARY")).alias("segment"), "n")
 
 
+def col1_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that are the same without accents and case, with the number of rows."""
+    k = F.col("c_custkey")
+    accented = F.when(k % 3 == 0, F.translate("c_mktsegment", "AEO", "ÁÉÔ")).otherwise(F.col("c_mktsegment"))
+    c = table(spark, sf_dir, "customer").select(F.when(k % 2 == 0, F.lower(accented)).otherwise(accented).alias("segment"))
+    same = L.unique_violations(c, "segment", L.Collation(accents=False, case=False, deterministic=False))
+    return same.select(F.translate(F.upper("example"), "ÁÉÔ", "AEO").alias("segment"), "n")
+
+
+def col1_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in the order of two French locales, which weigh accents from the front and from the back."""
+    word = F.element_at(F.array(*map(F.lit, ["cote", "coté", "côte", "côté"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", word.alias("word"))
+    out = L.collated_ordinal(p, "word", L.Collation("fr_FR.utf8"), [F.col("p_partkey")], "france")
+    return L.collated_ordinal(out, "word", L.Collation("fr_CA"), [F.col("p_partkey")], "canada")
+
+
 def txt1(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = X.lexemes(table(spark, sf_dir, "documents"), "doc_id", "text")
     return words.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("position").alias("first"))
@@ -316,6 +334,8 @@ QUERIES = {
     "opr1_band_join": opr1_band,
     "opr1_operator_laws": opr1_laws,
     "col1_collation": col1,
+    "col1_accent_insensitive": col1_accents,
+    "col1_locale_order": col1_order,
     "txt1_lexemes": txt1,
     "txt1_match": txt1_match,
     "txt1_headline": txt1_headline,
@@ -349,6 +369,8 @@ SQL = {
     "opr1_band_join": "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_totalprice < b.o_totalprice AND a.o_totalprice + 0.25 > b.o_totalprice",
     "opr1_operator_laws": "SELECT 0 AS commutator_breaks, count(*) FILTER (WHERE p_size = p_partkey * 7 % 50) AS negator_breaks FROM part",
     "col1_collation": "SELECT upper(c_mktsegment) AS segment, count(*) AS n FROM customer GROUP BY 1",
+    "col1_accent_insensitive": "SELECT upper(c_mktsegment) AS segment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1",
+    "col1_locale_order": "SELECT p_partkey, ['cote', 'coté', 'côte', 'côté'][p_partkey % 4 + 1] AS word, row_number() OVER (ORDER BY p_partkey % 4, p_partkey) AS france, row_number() OVER (ORDER BY [1, 3, 2, 4][p_partkey % 4 + 1], p_partkey) AS canada FROM part",
     "txt1_lexemes": "WITH w AS (SELECT doc_id, unnest(t) AS lexeme, unnest(range(1, len(t) + 1)) AS position FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)) SELECT lexeme, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(min(position) AS INTEGER) AS first FROM w WHERE lexeme NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ") GROUP BY 1",
     "txt1_match": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) SELECT doc_id, 'and' AS mode FROM t WHERE list_contains(t, 'when') UNION ALL SELECT doc_id, 'or' FROM t WHERE list_contains(t, 'license') OR list_contains(t, 'token')",
     "txt1_headline": r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b(license|token)\b', '<b>\1</b>', 'g')) AS marked FROM documents",

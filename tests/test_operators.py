@@ -1,5 +1,7 @@
 """Laws and edge cases of the contract and snapshot operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,19 +199,46 @@ def test_quarantine(spark):
     assert sorted(r["reason"] for r in bad.collect()) == ["malformed", "missing"]
 
 
-def test_deep_chains_have_levels_to_the_end(spark):
-    nodes = spark.createDataFrame([(i,) for i in range(1200)], "id long")
-    edges = spark.createDataFrame([(i + 1, i) for i in range(1199)], "child long, parent long")
-    found = {r["id"]: r["level"] for r in graph.dependency_levels(nodes, edges).collect()}
-    assert found == {i: i for i in range(1200)}
-
-
-@pytest.mark.parametrize("task_edges", [0, 3, 100])
-def test_levels_do_not_depend_on_where_a_task_takes_over(spark, task_edges):
+def test_deep_chains_have_levels_to_the_end(spark, monkeypatch):
+    """A chain of 10,000 in a number of steps that is logarithmic."""
+    steps = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: steps.append(name) or write(df, name))
+    nodes = spark.range(10_000)
+    edges = spark.range(9_999).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+    found = graph.dependency_levels(nodes, edges)
+    assert len(steps) <= 30 and found.filter("level = id").count() == 10_000
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(12)
+    for most in (2, 5):
+        pairs = {(c, rng.randrange(max(0, c - 12), c)) for c in range(1, 80) for _ in range(rng.randint(0, most))} | {(70, 75), (90, 91), (91, 90), (92, 91)}
+        level = {}
+
+        def at(n, path=()):
+            if n in path:
+                return None
+            if n not in level:
+                above = [at(p, (*path, n)) for c, p in pairs if c == n]
+                own = None if None in above else max((a + 1 for a in above), default=0)
+                if path and own is None:
+                    return None  # decided from its own start
+                level[n] = own
+            return level[n]
+
+        wanted = {n: at(n) for n in range(95)}
+        nodes = spark.createDataFrame([(n,) for n in range(95)], "id int")
+        found = graph.dependency_levels(nodes, spark.createDataFrame(sorted(pairs), "child int, parent int"))
+        assert {r["id"]: r["level"] for r in found.collect()} == wanted
+
+
+def test_levels_of_branches_and_cycles(spark):
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(9)], "id string")
     pairs = [(1, 0), (2, 1), (3, 2), (3, 0), (4, 3), (6, 7), (7, 6), (8, 7), (8, 4)]
     edges = spark.createDataFrame([(f"n{c}", f"n{p}") for c, p in pairs], "child string, parent string")
-    found = {r["id"]: r["level"] for r in graph.dependency_levels(nodes, edges, task_edges).collect()}
+    found = {r["id"]: r["level"] for r in graph.dependency_levels(nodes, edges).collect()}
     assert found == {**{f"n{i}": i for i in range(5)}, "n5": 0, "n6": None, "n7": None, "n8": None}
 
 
