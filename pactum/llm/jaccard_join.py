@@ -20,7 +20,7 @@ A group of copies or near copies costs links in proportion to its size.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; a text of fewer than five
 words is one shingle. Rows without an id link with nothing and have a null component. Rows that repeat an id are
-one node. Extra columns are ignored. An empty table gives an empty result.
+one node of the report: all their texts' links are its links. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -461,7 +461,29 @@ def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), n and comp of every document."""
+    """doc_id, tie (a hash of the text), n, comp and kept of every document: the smallest id that its id reaches, and
+    whether it is the one document of those that its text reaches."""
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _by_text(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("comp")))
+    # The texts of a repeated id are joined under ids of their own; a further round of components unites what shares an id.
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    nodes = own.filter("doc_id IS NOT NULL").select("doc_id", "tie").distinct()
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    renamed = own.join(nodes, ["doc_id", "tie"], "left").select(F.col("node").alias("doc_id"), "text")
+    told = materialize(_by_text(materialize(renamed, "renamed")).withColumnRenamed("doc_id", "node"), "told")
+    placed = materialize(told.filter("node IS NOT NULL").select("node", "comp").distinct().join(nodes, "node"), "placed")
+    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "node"))["node"].alias("_first"))
+    shared = placed.groupBy("doc_id").agg(F.min("comp").alias("y"))
+    united = components(placed.join(shared, "doc_id").select(F.col("comp").alias("x"), "y")).select(F.col("id").alias("comp"), F.col("comp").alias("_whole"))
+    least = placed.join(united, "comp").groupBy("_whole").agg(F.min("doc_id").alias("_least"))
+    final = placed.join(first, "comp").join(united, "comp").join(least, "_whole")
+    final = final.select("node", "doc_id", F.col("_least").alias("comp"), (F.col("node") == F.col("_first")).alias("kept"))
+    nameless = told.filter("node IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "tie", "n", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("kept"))
+    return told.select("node", "tie", "n").join(final, "node").select("doc_id", "tie", "n", "comp", "kept").unionByName(nameless)
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """doc_id, tie, n and comp of documents whose ids are not repeated with different texts."""
     rows, classes, links = near_links(docs)
     comp = components(links)
     class_of = classes.select("sig", F.col("id").alias("_class")).join(
@@ -478,10 +500,10 @@ def component_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all their columns. Rows go by id and
-    text, so that a text is never dropped for another one that has the same id."""
+    """The rows of ``docs`` with the smallest id of those that their texts reach, with all their columns. Rows go by id
+    and text, so that a text is never dropped for another one that has the same id."""
     with scratch(docs.sparkSession) as paths:
-        gone = labelled(docs).filter("doc_id <> comp").select("doc_id", "tie").distinct()
+        gone = labelled(docs).filter("NOT kept").select("doc_id", "tie").distinct()
         gone = materialize(gone, "near-copies")
         paths.remove(gone.scratch_path)
     own = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*all_columns(docs)).alias("_row"))

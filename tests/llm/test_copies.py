@@ -144,6 +144,42 @@ def test_blocks_that_are_skipped_hold_no_link(spark, n, pos):
             assert r["in_"]
 
 
+def test_links_of_repeated_ids(spark):
+    """An id with several long texts has the links of all of them, and of near copies one row stays."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    near = lambda words: [*words[:-1], f"v{rng.randrange(10**9)}"]
+    b, big, c = fresh(60), fresh(300), fresh(50)
+    rows = [(3, big), (3, b), (7, near(b)), (7, near(big)), (20, c), (20, near(c)), (21, near(c)), (30, fresh(40)), (30, []), (31, fresh(40)), (5, near(near(b)))]
+    rows += [(i // 3, fresh(30)) for i in range(120, 150)] + [(41, rows[7][1]), (40, near(rows[9][1])), (41, near(rows[9][1]))]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(30, None), (None, " ".join(b)), (3, " ".join(big))]
+    by_row = plain_components([(k, text) for k, (_, text) in enumerate(rows)])
+    named = {k for k, (i, _) in enumerate(rows) if i is not None}
+    texts = plain_components([(k, text if k in named else None) for k, (_, text) in enumerate(rows)])  # a row without an id links with nothing
+    root = {rows[k][0]: rows[k][0] for k in named}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k in named:
+        x, y = sorted((find(rows[k][0]), find(rows[texts[k][1]][0])))
+        root[y] = x
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.component_report(df).collect()), key=str)
+    wanted = [(i, by_row[k][0], find(i) if k in named else None) for k, (i, _) in enumerate(rows)]
+    assert found == sorted(wanted, key=str)
+    groups = {}
+    for k in named:
+        groups.setdefault(texts[k][1], []).append(k)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect()]
+    for own in groups.values():
+        same = [rows[k] for k in own if rows[k] in kept]
+        assert len(set(same)) == 1 and same[0][0] == min(rows[k][0] for k in own)
+    assert (None, " ".join(b)) in kept
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(2)
     names = rng.sample(range(10**6), 700)
