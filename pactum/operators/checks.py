@@ -358,7 +358,9 @@ def _value_rules(value: Column, own: Field, path: str) -> Column:
     right = kind.rlike(JSON_KINDS[own.kind])
     number, text = value.try_cast("double"), value.try_cast("string")
     if own.kind == "integer":
-        right = right | (kind.rlike(JSON_KINDS["number"]) & (number == F.floor(number)))
+        # Exact where 38 digits do; beyond them a double has no fraction.
+        exact = value.try_cast("decimal(38,18)")
+        right = right | (kind.rlike(JSON_KINDS["number"]) & F.coalesce(exact % 1 == 0, number % 1 == 0))
     found = []
 
     def rule(name: str, bad: Column) -> None:

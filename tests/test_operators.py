@@ -260,8 +260,8 @@ def test_repeated_keys_are_refused(spark):
 def test_types_of_document_values(spark):
     kinds = {"i": "integer", "n": "number", "b": "boolean", "s": "string", "a": "array", "o": "object"}
     contract = checks.DocumentContract(fields={k: checks.Field(kind=v) for k, v in kinds.items()})
-    bad = {"i": ['"5"', "1.5", "true", "null"], "n": ['"1"', "false"], "b": ['"true"', "0"], "s": ["7", "true", "[]"], "a": ["{}", '"[1]"'], "o": ["[]", '"{}"']}
-    good = {"i": ["5", "-7", "5.0"], "n": ["1", "2.5", "1e3"], "b": ["true", "false"], "s": ['"7"', '""'], "a": ["[]", "[1]"], "o": ["{}", '{"x":1}']}
+    bad = {"i": ['"5"', "1.5", "9007199254740993.5", "true", "null"], "n": ['"1"', "false"], "b": ['"true"', "0"], "s": ["7", "true", "[]"], "a": ["{}", '"[1]"'], "o": ["[]", '"{}"']}
+    good = {"i": ["5", "-7", "5.0", "12345678901234567890", "1e19", "1e300"], "n": ["1", "2.5", "1e3"], "b": ["true", "false"], "s": ['"7"', '""'], "a": ["[]", "[1]"], "o": ["{}", '{"x":1}']}
     rows = [(k, f'{{"{k}":{v}}}', wrong) for wrong, table in ((True, bad), (False, good)) for k, vs in table.items() for v in vs]
     found = checks.document_violations(spark.createDataFrame(rows, "k string, body string, wrong boolean"), ["k", "body", "wrong"], "body", contract).collect()
     assert sorted((r["k"], r["body"], r["path"], r["rule"]) for r in found) == sorted((k, b, k, "type") for k, b, wrong in rows if wrong)
