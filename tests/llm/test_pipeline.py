@@ -101,7 +101,8 @@ def test_run_reads_the_table(spark):
 
 def test_oracle_sql(spark):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for view in ("documents", "embeddings", "conversations"):
+        connection.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SMALL}/{view}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, SMALL)
         result = connection.execute(sql)
