@@ -5,8 +5,10 @@ phrases that occur in that language's text; the language that needs the fewest p
 log2(training length) bits each over the letters read, wins. Ties go to the first language in alphabetical order.
 
 The automata are fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` training documents with the smallest
-id hash, those of at most ``SAMPLE_LONG`` characters first (documented parameters); every sampled text is learned whole,
-each language's automaton in a task of its own. Every document is then parsed whole. Letters are lower-cased and
+id hash, those of at most ``SAMPLE_LONG`` characters first, as many of them as hold ``SAMPLE_CHARS`` characters together
+(documented parameters). Every sampled text is learned whole, each language's automaton in a task of its own, whose
+memory the last bound sets. Only a language all of whose texts are longer than ``SAMPLE_CHARS`` learns the first so many
+characters of its shortest one. Every document is then parsed whole. Letters are lower-cased and
 everything else is one blank. The alphabet holds every letter of the sample; a letter that a language's sample lacks is
 a phrase by itself in that language.
 
@@ -37,6 +39,7 @@ from .worker_state import held
 
 SAMPLE_DOCS = 48
 SAMPLE_LONG = 4096
+SAMPLE_CHARS = 1 << 18
 ROW = 256
 DENSE = 64  # letters of a language that have a column of their own in the branching states; no limit on letters
 UNKNOWN = "und"
@@ -51,14 +54,27 @@ def held_out() -> Column:
     return F.coalesce(id_bucket(4) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LONG) -> DataFrame:
-    """(lang, text) of the sampled training documents. The rank limit is applied before the shuffle, so no
-    language, however large, sends more than ``docs_each`` rows from a task."""
+def training_sample(
+    docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LONG, chars: int = SAMPLE_CHARS
+) -> DataFrame:
+    """(lang, _rank, text) of the sampled training documents. The rank limit is applied before the shuffle, so no
+    language, however large, sends more than ``docs_each`` rows from a task; texts over ``chars`` characters, of which
+    the shortest one may be needed, travel as their first ``chars``."""
+    size = F.length("text")
+    band = F.when(size <= long, 0).when(size <= chars, 1).otherwise(2)
     hashed = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", "text", (F.length("text") > long).alias("_long"), F.xxhash64("doc_id", "text").alias("_h"), "doc_id"
+        "lang",
+        F.substring("text", 1, chars).alias("text"),
+        band.alias("_band"),
+        F.when(band == 2, size).alias("_size"),
+        F.xxhash64("doc_id", "text").alias("_h"),
+        "doc_id",
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h", "doc_id"))
-    return hashed.withColumn("_rank", rank).filter(F.col("_rank") <= docs_each).select("lang", "_rank", "text")
+    order = Window.partitionBy("lang").orderBy("_band", "_size", "_h", "doc_id")
+    ranked = hashed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= docs_each)
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_rank"))
+    ranked = ranked.withColumn("_so_far", so_far)
+    return ranked.filter((F.col("_rank") == 1) | (F.col("_so_far") <= chars) & (F.col("_band") < 2)).select("lang", "_rank", "text")
 
 
 class Cleaner:
@@ -299,7 +315,9 @@ def fit(texts: dict[str, list[str]]) -> Model:
     return Model([Language(lang, text) for lang, text in learned.items() if text]).prepare()
 
 
-def fit_on(docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LONG) -> Model:
+def fit_on(
+    docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LONG, chars: int = SAMPLE_CHARS
+) -> Model:
     """The model of ``docs``: a task of its own learns each language from its bounded sample; the driver gets arrays."""
 
     def learn(part: pa.Table) -> pa.Table:
@@ -309,7 +327,7 @@ def fit_on(docs: DataFrame, docs_each: int = SAMPLE_DOCS, long: int = SAMPLE_LON
         return pa.table({"model": pa.array(made, pa.binary())})
 
     for_workers(docs.sparkSession)
-    made = training_sample(docs, docs_each, long).groupBy("lang").applyInArrow(learn, "model binary")
+    made = training_sample(docs, docs_each, long, chars).groupBy("lang").applyInArrow(learn, "model binary")
     return Model([pickle.loads(r["model"]) for r in made.collect()])
 
 

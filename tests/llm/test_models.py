@@ -216,7 +216,23 @@ def test_the_model_is_normalised(spark):
             assert math.isclose(total, 1, rel_tol=1e-9)
         seen[r["h"]] += r["n"]
     assert sorted(seen.values()) == sorted(sum(own.values()) for own in after.values())
-    assert 0 < len(model.hot) <= lm_scores.HOT_SHARE + 1
+    assert fitted.grams.filter("kind = 'grams' AND hot").count() > 0
+
+
+def test_no_group_is_larger_than_a_part(spark):
+    """A history just below one in 512 of all tokens, over many small blocks and parts, is spread like any other."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'h' if rng.random() < 1 / 600 else 'f' + str(int(rng.integers(400)))} x{int(rng.integers(10**6))}" for _ in range(150)), None, None, None) for i in range(400)]
+    entries = 4000
+    fitted = lm_scores.fit(spark.createDataFrame(rows, SCHEMA), 2000, entries)
+    assert fitted.model.sizes.parts > 25
+    sent = Counter()
+    for r in fitted.grams.filter("kind = 'answer'").select("part", "totals").collect():
+        sent[r["part"]] += len(lm_scores.unpack(r["totals"]))
+    assert max(sent.values()) <= 1.75 * sum(sent.values()) / fitted.model.sizes.parts + entries / 8
+    start = fitted.grams.filter(f"kind = 'grams' AND h = {lm_scores.START}")
+    few = lm_scores.fit(spark.createDataFrame(rows, SCHEMA), 2000, 400).grams.filter(f"kind = 'grams' AND h = {lm_scores.START}")
+    assert start.count() == 1 and few.count() > 4
 
 
 def test_base_scores(docs, rows):
@@ -324,6 +340,21 @@ def test_scripts_beyond_any_column_limit(spark):
     assert all(r["lang_pred"] == ("p", "q", "r")[r["doc_id"] % 3] for r in found)
 
 
+def test_sample_is_bounded_by_characters(spark):
+    """Whole texts up to the budget, short ones first; a language of longer texts only has the start of its shortest."""
+    rows = [(i, "ab " * 1000, "s", None, None) for i in range(40)] + [(100 + i, "cd " * 30_000, "l", None, None) for i in range(40)]
+    rows += [(200 + i, "e" * (300_000 + i), "x", None, None) for i in range(9)] + [(300, "f" * 500, "y", None, None), (301, "g" * 10**6, "y", None, None)]
+    df = spark.createDataFrame([r for r in rows if crc(r[0], 4) != 2], SCHEMA)
+    got = {}
+    for r in language_id.training_sample(df).collect():
+        got.setdefault(r["lang"], []).append(r["text"])
+    assert {t for t in got["s"]} == {"ab " * 1000} and len(got["s"]) == sum(crc(i, 4) != 2 for i in range(40))
+    assert got["l"] == ["cd " * 30_000] * 2
+    assert got["x"] == ["e" * language_id.SAMPLE_CHARS]
+    assert all(sum(map(len, t)) <= language_id.SAMPLE_CHARS for t in got.values())
+    assert all(set(t) in ({"f"}, {"g"}) for t in got["y"])
+
+
 def test_language_edges(docs, rows, clashing, empty, nameless):
     assert language_id.language_report(empty).count() == 0
     found = {r["doc_id"]: r["lang_pred"] for r in language_id.language_report(docs).collect()}
