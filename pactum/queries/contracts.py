@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
 from ..operators import grants as A
+from ..operators import references as R
 from ..plans.session import table
 
 
@@ -203,6 +206,59 @@ SELECT CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c
 """
 
 
+def con8_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement deletes customers, suppliers and parts. Customers go with the one who referred them (key / 4), orders
+    with their customer and lines with their order; lines lose a supplier, and must not lose a part unless they go."""
+    key = F.col("c_custkey")
+    referred = F.when(key >= 4, F.floor(key / 4).cast("bigint"))
+    tables = {
+        "customer": R.Table(table(spark, sf_dir, "customer").select(key.cast("bigint").alias("c_custkey"), referred.alias("referrer")), "c_custkey"),
+        "orders": R.Table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"),
+        "supplier": R.Table(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey"),
+        "part": R.Table(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"),
+        "lineitem": R.Table(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
+    }
+    links = [
+        R.Link("customer", "referrer", "customer", "CASCADE"),
+        R.Link("orders", "o_custkey", "customer", "CASCADE"),
+        R.Link("lineitem", "l_orderkey", "orders", "CASCADE"),
+        R.Link("lineitem", "l_suppkey", "supplier", "SET NULL"),
+        R.Link("lineitem", "l_partkey", "part"),
+    ]
+    deleted = {
+        "customer": tables["customer"].rows.select("c_custkey").filter("c_custkey % 97 = 5"),
+        "supplier": tables["supplier"].rows.filter("s_suppkey % 11 = 0"),
+        "part": tables["part"].rows.filter("p_partkey % 40 = 0"),
+    }
+    reports = R.propagate_deletes(tables, links, deleted)
+    null = {"customer": "referrer", "orders": "o_custkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_suppkey"}
+    counts = [
+        r.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(null[n]).isNull()).alias("nulls")).withColumn("name", F.lit(n))
+        for n, r in reports.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+SQL_CON8_BRANCHES = """
+WITH RECURSIVE g AS (
+  SELECT c_custkey FROM customer WHERE c_custkey % 97 = 5
+  UNION SELECT c.c_custkey FROM g JOIN customer c ON c.c_custkey >= 4 AND c.c_custkey // 4 = g.c_custkey
+), o AS (SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM g) AS gone FROM orders),
+l AS (
+  SELECT CASE WHEN l_orderkey IN (SELECT o_orderkey FROM o WHERE gone) THEN 'deleted'
+              WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 40 = 0) THEN 'violation'
+              WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 11 = 0) THEN 'updated' ELSE 'kept' END AS outcome
+  FROM lineitem
+)
+SELECT 'customer' AS name, CASE WHEN c_custkey IN (SELECT c_custkey FROM g) THEN 'deleted' ELSE 'kept' END AS outcome,
+       count(*) AS n, count(*) FILTER (WHERE c_custkey < 4) AS nulls FROM customer GROUP BY 2
+UNION ALL SELECT 'orders', CASE WHEN gone THEN 'deleted' ELSE 'kept' END, count(*), 0 FROM o GROUP BY 2
+UNION ALL SELECT 'supplier', CASE WHEN s_suppkey % 11 = 0 THEN 'deleted' ELSE 'kept' END, count(*), 0 FROM supplier GROUP BY 2
+UNION ALL SELECT 'part', CASE WHEN p_partkey % 40 = 0 THEN 'deleted' ELSE 'kept' END, count(*), 0 FROM part GROUP BY 2
+UNION ALL SELECT 'lineitem', outcome, count(*), CASE WHEN outcome = 'updated' THEN count(*) ELSE 0 END FROM l GROUP BY 2
+"""
+
+
 def con9(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -466,6 +522,7 @@ QUERIES = {
     "con7_foreign_key_full": _con7("FULL"),
     "con8_propagate_parent_change": con8,
     "con8_propagate_chain": con8_chain,
+    "con8_propagate_branches": con8_branches,
     "con9_domain": con9,
     "con10_enum": con10,
     "con11_contract_report": con11,
@@ -495,6 +552,7 @@ SELECT CAST(sum(CASE WHEN l IS NULL THEN n ELSE 0 END) AS BIGINT) AS null_rows,
     "con7_foreign_key_full": SQL_CON7 + "UNION ALL SELECT o_orderkey, o_custkey, second FROM c WHERE (o_custkey IS NULL) <> (second IS NULL)",
     "con8_propagate_parent_change": SQL_CON8,
     "con8_propagate_chain": SQL_CON8_CHAIN,
+    "con8_propagate_branches": SQL_CON8_BRANCHES,
     "con11_set_rules": SQL_CON11_SETS,
     "con1_validate_nested": SQL_CON1_NESTED,
     "con9_domain": SQL_CON9,
