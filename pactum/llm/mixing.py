@@ -257,10 +257,10 @@ def mixed(
 def placed(
     docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 7
 ) -> DataFrame:
-    """doc_id, source, text and position of every row: the place that ``mixed`` gives it, from the rows alone."""
-    own = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_tie"))
+    """doc_id, lang, source, text and position of every row: the place that ``mixed`` gives it, from the rows alone."""
+    own = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("_tie"))
     rows = _scheduled(own, weights, block_rows, seed)
-    return rows.select("doc_id", "source", "text", F.col("_position").alias("position"))
+    return rows.select("doc_id", "lang", "source", "text", F.col("_position").alias("position"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

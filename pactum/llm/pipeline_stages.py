@@ -32,7 +32,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, position in the mix, n_tokens, digests and the packed ids of every document.
+    """doc_id, lang (labelled, else predicted), source, position in the mix, n_tokens, digests and the packed ids of every document.
 
     Rereading files keeps no order of rows, so the position is worked out again from the rows themselves; it is the
     one that the mixing stage gave them.
@@ -43,5 +43,5 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         mixing.placed(docs),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
-        keep=("doc_id", "source", "position"),
+        keep=("doc_id", "lang", "source", "position"),
     )

@@ -11,7 +11,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from pactum.llm import mixing, pipeline_stages, registry
+from pactum.llm import language_id, mixing, pipeline_stages, registry
 from pactum.plans.session import shared_folder
 
 from ..conftest import SMALL
@@ -53,8 +53,11 @@ def staged(spark, docs):
 def test_pipeline(spark, docs, rows):
     own = library()
     wanted = {r[0]: own.encode_ordinary(r[1]) for r in plain_pipeline(rows)}
-    found = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in staged(spark, docs).collect()}
-    assert found == wanted
+    result = staged(spark, docs).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in result} == wanted
+    label = {r[0]: r[2] for r in rows}
+    predicted = {r["doc_id"]: r["lang_pred"] for r in language_id.language_report(docs).collect()}
+    assert {r["doc_id"]: r["lang"] for r in result} == {k: label[k] or predicted[k] for k in wanted}
 
 
 def test_the_order_of_the_mix_survives_the_reread(spark, docs, rows):
