@@ -32,7 +32,8 @@ def moving(aggregate: Callable[[Column], Column], value: Column, partition: Sequ
 
 def user_aggregate(values: Column, order: Column, initial: Column, step: Callable[[Column, Column], Column], final: Callable[[Column], Column], strict: bool = True) -> Column:
     """An aggregate from a transition, an initial state and a final function, folded in the order given. A strict
-    transition does not see nulls. A group's rows are gathered, so it is for bounded groups; see ``two_level``."""
+    transition does not see nulls. A group's rows are gathered, so it is for bounded groups; ``scan.ordered_fold`` folds
+    groups of any size in order, and ``two_level`` combines states in any order."""
     gathered = F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v"))))
     inputs = F.transform(gathered, lambda x: x["v"])
     if strict:

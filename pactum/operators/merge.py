@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize, scratch
+from ..plans.session import materialize, quoted, scratch
 from ..sources.keyed_table import BUCKETS, KeyedTable
 from . import diff as D
-from .scan import numbered
+from .scan import gathered_pieces, numbered
 
 
 def merge_update(
@@ -110,10 +110,36 @@ def overlay_last_non_null(base: DataFrame, patches: DataFrame, keys: Sequence[st
     return rows.groupBy(*keys).agg(*last)
 
 
+#: Rows of one key that may be gathered in one array.
+GATHERED = 1_000_000
+
+
+def bounded(df: DataFrame, keys: Sequence[str], limit: int = GATHERED) -> DataFrame:
+    """``df``, which fails where a key has more than ``limit`` rows. The count is a window over the keys, which spills,
+    so it fails before anything is gathered; a following ``groupBy`` of the keys needs no other shuffle."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*(F.col(quoted(k)) for k in keys)))
+    refused = F.raise_error(F.concat(F.lit("a key has "), F.col("_n"), F.lit(f" rows, more than {limit}: gather them in pieces")))
+    # The filter is not known to be true, so it is not left out.
+    return df.withColumn("_n", n).filter(F.when(F.col("_n") > limit, refused.cast("boolean")).otherwise(True)).drop("_n")
+
+
+def children_pieces(parents: DataFrame, children: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, size: int = 10_000) -> DataFrame:
+    """Parents with ``piece`` (from 1) and an ordered array of at most ``size`` children: a row for each piece, one with
+    an empty array for a parent without children. No task holds more than a piece of a parent's children."""
+    rest = [c for c in children.columns if c not in keys and c not in order]
+    values = [F.col(quoted(c)) for c in (*order, *rest)]
+    nested = gathered_pieces(children.dropna(subset=list(keys)), keys, values[: len(order)], values, name, size, ties=values[len(order) :])
+    joined = parents.join(nested, list(keys), "left")
+    none = F.array().cast(nested.schema[name].dataType)
+    return joined.withColumns({"piece": F.coalesce("piece", F.lit(1)), name: F.coalesce(quoted(name), none)})
+
+
 def attach_children(parents: DataFrame, children: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Parents with an ordered array of their children (empty if none)."""
+    """Parents with an ordered array of their children (empty if none). A parent with more than ``GATHERED`` children is
+    refused; ``children_pieces`` takes any number."""
     rest = [c for c in children.columns if c not in keys and c not in order]
-    nested = children.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+    matching = children.dropna(subset=list(keys))  # no parent has a null key, which may stand often
+    nested = bounded(matching, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
     joined = parents.join(nested, list(keys), "left")
     kind = nested.schema[name].dataType
     return joined.withColumn(name, F.coalesce(name, F.array().cast(kind)))
@@ -145,10 +171,11 @@ def resolve_exact_else_unambiguous(refs: DataFrame, objects: DataFrame, full: st
 
 
 def group_nested(rows: DataFrame, keys: Sequence[str], seq: str, values: Sequence[str], name: str) -> DataFrame:
-    """One record per key with its rows' values as an array in arrival order."""
+    """One record per key with its rows' values as an array in arrival order. A key with more than ``GATHERED`` rows is
+    refused; ``scan.gathered_pieces`` takes any number."""
     listed = F.array_sort(F.collect_list(F.struct(seq, *values)))
     pick = (lambda x: x[values[0]]) if len(values) == 1 else (lambda x: F.struct(*(x[v].alias(v) for v in values)))
-    return rows.groupBy(*keys).agg(F.transform(listed, pick).alias(name))
+    return bounded(rows, keys).groupBy(*keys).agg(F.transform(listed, pick).alias(name))
 
 
 def inject_defaults(df: DataFrame, container: DataFrame, on: Column, columns: Sequence[str], fallback: Mapping[str, Column], presence: str | None = None) -> DataFrame:
@@ -168,15 +195,14 @@ def inject_defaults(df: DataFrame, container: DataFrame, on: Column, columns: Se
 
 def round_trip(text: Column, schema: str, allowed: Sequence[str]) -> Column:
     """The JSON document reprinted through ``schema`` without nulls, or null if it is malformed, holds a key that is
-    not ``allowed``, or holds a value that the schema's type cannot carry."""
-    keys = F.json_object_keys(text)
-    known = F.forall(keys, lambda k: k.isin(list(allowed)))
+    not ``allowed`` or a key twice, or holds a value that the schema's type cannot carry."""
+    own = F.try_parse_json(text).try_cast("map<string,variant>")
+    known = F.forall(F.map_keys(own), lambda k: k.isin(list(allowed)))
     parsed = F.from_json(text, schema)
     lost = F.lit(False)
     for k in allowed:
-        given = F.get_json_object(text, f"$.{k}")
-        lost = lost | (given.isNotNull() & parsed[k].isNull())
-    return F.when(keys.isNotNull() & known & ~lost, F.to_json(parsed))
+        lost = lost | (own[k].isNotNull() & ~F.is_variant_null(own[k]) & parsed[k].isNull())
+    return F.when(own.isNotNull() & known & ~lost, F.to_json(parsed))
 
 
 def redact(options: Column, secrets: Sequence[str]) -> Column:

@@ -153,3 +153,94 @@ def moving_state(
     )
     joined = heads.withColumn("_key", key).withColumn("_at", F.col("_in")).join(tails, ["_key", "_at"], "left")
     return joined.withColumn(name, combined(F.col("_tail"), F.col("_head"), combine)).select(*kept, name)
+
+
+def gathered_pieces(
+    df: DataFrame, partition: Sequence[str], order: Sequence[Column], values: Sequence[Column], name: str, size: int, ties: Sequence[Column] = ()
+) -> DataFrame:
+    """(partition, piece, ``name``): the rows of a partition in order as arrays of at most ``size`` structs of
+    ``values``, numbered from 1. A partition of any length is spread over tasks, and none holds more than a piece."""
+    if size < 1:
+        raise ValueError("a piece has at least one row")
+    keys = [F.col(quoted(c)) for c in partition]
+    # The range sort has names of its own, so that columns called like its helpers do no harm.
+    named = df.select(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("v"), F.struct(*order).alias("o"), F.struct(F.lit(0), *ties).alias("t"))
+    own = [f"k{i}" for i in range(len(keys))]
+    placed = numbered(named, own, [F.col("o")], "at", [F.col("t")])
+    items = F.array_sort(F.collect_list(F.struct("at", "v")), lambda x, y: (x["at"] - y["at"]).cast("int"))
+    pieces = placed.groupBy(*own, F.expr(f"(at - 1) div {size} + 1").alias("piece")).agg(F.transform(items, lambda x: x["v"]).alias(name))
+    return pieces.select(*(F.col(k).alias(c) for k, c in zip(own, partition)), "piece", F.col(quoted(name)))
+
+
+def ordered_fold(
+    df: DataFrame,
+    partition: Sequence[str],
+    order: Sequence[Column],
+    value: Column,
+    initial: Column,
+    step: Combine,
+    final: Callable[[Column], Column],
+    name: str = "state",
+    strict: bool = True,
+    size: int = 100_000,
+) -> DataFrame:
+    """(partition, ``name``): a transition that need not be associative, folded over each partition's values in order.
+
+    Partitions of up to ``size`` rows are folded at once. A longer one is folded piece by piece, a round each, with its
+    state carried in a written table: rows beyond one another's pieces never meet in a task. The order has to be total.
+    A strict transition does not see nulls. The state's type is that of ``initial``.
+    """
+    pieces = gathered_pieces(df, partition, order, [value.alias("v")], "_items", size)
+    pieces = materialize(pieces.select(_key(partition).alias("_key"), F.col("piece").alias("_piece"), F.col("_items.v").alias("_items")), "pieces")
+    given = (lambda items: F.filter(items, lambda x: x.isNotNull())) if strict else (lambda items: items)
+    long = pieces.filter("_piece = 2").select("_key")
+    begun = pieces.filter("_piece = 1").withColumn("_state", F.aggregate(given(F.col("_items")), initial, step)).select("_key", "_state")
+    rounds = pieces.agg(F.max("_piece")).first()[0] or 0
+    if rounds < 2:
+        done = begun
+    else:
+        carried = materialize(begun.join(long, "_key", "left_semi"), "fold")
+        for at in range(2, rounds + 1):
+            more = carried.join(pieces.filter(F.col("_piece") == at), "_key", "left")
+            folded = F.aggregate(given(F.col("_items")), F.col("_state"), step)
+            carried = materialize(more.select("_key", F.when(F.col("_items").isNull(), F.col("_state")).otherwise(folded).alias("_state")), "fold")
+        done = begun.join(long, "_key", "left_anti").unionByName(carried)
+    return done.select(*(F.col("_key")[c].alias(c) for c in partition), final(F.col("_state")).alias(name))
+
+
+def ordered_set(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    continuous: dict[str, float] | None = None,
+    discrete: dict[str, float] | None = None,
+    mode: str | None = None,
+) -> DataFrame:
+    """One row for each group with the named percentiles and the most frequent value (of equally frequent ones the
+    smallest). Nulls do not count; a group of nulls only has null results.
+
+    Equal values are counted before they are sorted, so neither a frequent value nor a large group fills a task, and no
+    group's values are held in memory. A percentile is the value whose running count covers its position.
+    """
+    wanted = {**(continuous or {}), **(discrete or {})}
+    if any(not 0 <= p <= 1 for p in wanted.values()):
+        raise ValueError("a percentile lies between 0 and 1")
+    counts = df.select(_key(keys).alias("g"), value.alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "values")
+    sizes = counts.groupBy("g").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n"))
+    found = counts.filter("v IS NOT NULL")
+    if wanted:
+        found = running_state(numbered(found, ["g"], [F.col("v")], "at"), ["g"], "at", F.col("c"), lambda a, b: a + b, "upto")
+        found = found.join(sizes, "g")
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("c") < place) & (place <= F.col("upto")), F.col("v")))
+    n, out = F.col("n"), []
+    for name, p in (discrete or {}).items():
+        out.append(at(F.greatest(F.ceil(F.lit(float(p)) * n), F.lit(1))).alias(name))
+    for name, p in (continuous or {}).items():
+        place = F.lit(float(p)) * (n - 1)
+        low, high = at(F.floor(place) + 1), at(F.ceil(place) + 1)
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    if mode:
+        out.append(F.min(F.struct((-F.col("c")).alias("c"), F.col("v").alias("v")))["v"].alias(mode))
+    joined = sizes.select("g").join(found.groupBy("g").agg(*out), "g", "left")
+    return joined.select(*(F.col("g")[c].alias(c) for c in keys), *(F.col(quoted(x)) for x in joined.columns if x != "g"))

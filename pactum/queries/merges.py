@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import merge as M
 from ..operators.ordering import global_ordinal
+from ..operators.scan import gathered_pieces
 from ..plans.session import shared_folder, table
 from ..sources.keyed_table import KeyedTable
 from .pairs import SQL_PAIR, actual_orders, desired_orders
@@ -95,6 +96,22 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
 """
 
 
+def mrg3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders in pieces of four; a customer without orders has one empty piece."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") - F.col("o_custkey") % 3).alias("k"), "o_orderkey", "o_orderstatus")
+    nested = M.children_pieces(customers, orders, ["k"], ["o_orderkey"], "orders", size=4)
+    shown = F.transform("orders", lambda x: F.concat_ws(":", x["o_orderkey"], x["o_orderstatus"]))
+    return nested.select("k", F.col("piece").cast("long").alias("piece"), F.array_join(shown, ",").alias("orders"))
+
+
+SQL_MRG3_PIECES = """
+WITH o AS (SELECT o_custkey - o_custkey % 3 AS k, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey - o_custkey % 3 ORDER BY o_orderkey) AS n FROM orders)
+SELECT c_custkey AS k, coalesce((n - 1) // 4 + 1, 1) AS piece, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY n), '') AS orders
+FROM customer LEFT JOIN o ON k = c_custkey GROUP BY 1, 2
+"""
+
+
 def mrg3_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = table(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("k"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey")
@@ -138,6 +155,22 @@ def mrg6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("conv_id", F.array_join("roles", ",").alias("roles"))
 
 
+def mrg6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each type in pieces of 500, in order: how many, the first and last, and a digest of all."""
+    e = table(spark, sf_dir, "events")
+    folded = gathered_pieces(e, ["event_type"], [F.col("event_id")], [F.col("event_id"), F.col("user_id")], "events", 500)
+    text = F.array_join(F.transform("events", lambda x: F.concat_ws(":", x["event_id"], x["user_id"])), ",")
+    ids = F.col("events.event_id")
+    return folded.select("event_type", "piece", F.size(ids).cast("long").alias("n"), F.get(ids, F.lit(0)).alias("first"), F.element_at(ids, -1).alias("last"), F.md5(text).alias("digest"))
+
+
+SQL_MRG6_PIECES = """
+WITH e AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 + 1 AS piece FROM events)
+SELECT event_type, piece, count(*) AS n, min(event_id) AS "first", max(event_id) AS "last", md5(string_agg(event_id || ':' || user_id, ',' ORDER BY event_id)) AS digest
+FROM e GROUP BY 1, 2
+"""
+
+
 def mrg7(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(
         "c_custkey",
@@ -297,10 +330,12 @@ QUERIES = {
     "mrg1_table_versions": mrg1_versions,
     "mrg2_overlay_last_non_null": mrg2,
     "mrg3_attach_children": mrg3,
+    "mrg3_children_pieces": mrg3_pieces,
     "mrg3_orphans": mrg3_orphans,
     "mrg4_resolve_first_of": mrg4,
     "mrg5_resolve_exact_else_unambiguous": mrg5,
     "mrg6_group_nested": mrg6,
+    "mrg6_group_pieces": mrg6_pieces,
     "mrg7_inject_defaults": mrg7,
     "mrg8_round_trip": mrg8,
     "mrg9_redact": mrg9,
@@ -328,9 +363,11 @@ UNION ALL SELECT o_orderkey, o_totalprice, 1 FROM actual WHERE o_orderkey NOT IN
 UNION ALL SELECT o_orderkey, o_totalprice, 2 FROM desired""",
     "mrg2_overlay_last_non_null": SQL_MRG2,
     "mrg3_attach_children": SQL_MRG3,
+    "mrg3_children_pieces": SQL_MRG3_PIECES,
     "mrg3_orphans": "SELECT l_orderkey AS k, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0)",
     "mrg4_resolve_first_of": SQL_MRG4,
     "mrg5_resolve_exact_else_unambiguous": SQL_MRG5,
+    "mrg6_group_pieces": SQL_MRG6_PIECES,
     "mrg6_group_nested": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1",
     "mrg7_inject_defaults": SQL_MRG7,
     "mrg8_round_trip": SQL_MRG8,

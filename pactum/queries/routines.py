@@ -63,6 +63,15 @@ def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_partkey").agg(mean.alias("mean"))
 
 
+def agg1_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check value over the customers of all orders of a status, in order: a transition that is not associative, over
+    three groups that hold all rows."""
+    o = table(spark, sf_dir, "orders").withColumn("c", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")))
+    step = lambda s, v: (s * 31 + v) % 1000003
+    folded = W.ordered_fold(o, ["o_orderstatus"], [F.col("o_orderkey")], F.col("c"), F.lit(7).cast("long"), step, lambda s: s, "check_value", size=4096)
+    return folded
+
+
 def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_linenumber") != 4, F.col("l_quantity").cast("long")))
     partial = [F.sum("q").alias("w"), F.sum(F.col("q") * F.col("l_linenumber")).alias("x")]
@@ -70,6 +79,10 @@ def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.two_level(lines, ["l_partkey"], partial, combine, salt_by=["l_orderkey"])
 
 
+SQL_FOLD = """
+SELECT o_orderstatus, CAST(list_reduce(list_prepend(CAST(7 AS BIGINT), list(o_custkey ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 11 <> 0)), lambda s, v: (s * 31 + v) % 1000003) AS BIGINT) AS check_value
+FROM orders GROUP BY 1
+"""
 SQL_AGG = "SELECT l_partkey, CAST(floor(sum(q * l_linenumber) * 1000 / sum(q)) AS BIGINT) AS mean FROM (SELECT l_partkey, l_linenumber, CASE WHEN l_linenumber <> 4 THEN CAST(l_quantity AS BIGINT) END AS q FROM lineitem) GROUP BY 1"
 
 
@@ -111,11 +124,24 @@ SQL_CENTS = "WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 TH
 
 
 def agg4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("pactum_lines")
-    return spark.sql(
-        "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS median, "
-        "percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS high FROM pactum_lines GROUP BY l_returnflag"
-    )
+    return W.ordered_set(table(spark, sf_dir, "lineitem"), ["l_returnflag"], F.col("l_quantity"), {"median": 0.5}, {"high": 0.9})
+
+
+def agg4_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles and the most frequent day of the orders of each status and priority; every seventh day is unknown."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    o = table(spark, sf_dir, "orders").withColumn("day", F.when(day % 7 != 0, day.cast("long")))
+    return W.ordered_set(o, ["o_orderstatus", "o_orderpriority"], F.col("day"), {"quarter": 0.25}, {"first": 0.0, "third": 0.75, "last": 1.0}, mode="usual")
+
+
+SQL_AGG4_MODE = """
+WITH o AS (SELECT *, CASE WHEN d % 7 <> 0 THEN d END AS day FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders)),
+m AS (SELECT o_orderstatus, o_orderpriority, day, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY count(*) DESC, day) AS r
+      FROM o WHERE day IS NOT NULL GROUP BY 1, 2, 3)
+SELECT g.*, m.day AS usual FROM
+(SELECT o_orderstatus, o_orderpriority, quantile_cont(day, 0.25) AS quarter, min(day) AS "first", quantile_disc(day, 0.75) AS third, max(day) AS "last" FROM o GROUP BY 1, 2) g
+LEFT JOIN m ON m.o_orderstatus = g.o_orderstatus AND m.o_orderpriority = g.o_orderpriority AND m.r = 1
+"""
 
 
 def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +232,33 @@ def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.foreign_table(spark, "parquet", {"n_nationkey": "bigint", "n_name": "string"}, server, user, own)
 
 
+def src1_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders behind a CSV source. The separator and the null marker of the table win over those of the server and the
+    user mapping, columns are found by name, and a word in a column of numbers is null."""
+    path = f"{shared_folder(spark)}/foreign-{uuid.uuid4().hex}"
+    key = F.when(F.col("o_orderkey") % 5 == 0, "none").when(F.col("o_orderkey") % 5 != 1, F.col("o_custkey").cast("string"))
+    table(spark, sf_dir, "orders").select("o_orderstatus", key.alias("o_custkey"), "o_orderkey").write.csv(path, header=True, sep="|", nullValue="-")
+    layers = ({"header": "true", "sep": ",", "nullValue": "?"}, {"sep": ";"}, {"SEP": "|", "nullValue": "-", "path": path})
+    return S.foreign_table(spark, "csv", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_comment": "string"}, *layers)
+
+
+def src1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a declaration differs from the file behind it, with the prices that it cannot hold."""
+    declared = {"o_orderkey": "bigint", "o_custkey": "int", "o_totalprice": "decimal(7,2)", "o_orderstatus": "string", "o_comment": "string"}
+    return S.foreign_columns(spark, "parquet", declared, {"mergeSchema": "false"}, {"path": f"{sf_dir}/orders.parquet"})
+
+
+SQL_SRC1_OVERLAY = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 1 THEN o_custkey END AS o_custkey, CAST(NULL AS VARCHAR) AS o_comment FROM orders
+"""
+SQL_SRC1_COLUMNS = """
+SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'bigint', 'same', 0), ('o_orderstatus', 'string', 'string', 'same', 0), ('o_comment', 'string', NULL, 'missing', 0),
+  ('o_orderdate', NULL, 'timestamp_ntz', 'extra', 0), ('o_orderpriority', NULL, 'string', 'extra', 0)) AS t(column_name, declared, found, state, lost)
+UNION ALL SELECT 'o_custkey', 'int', 'bigint', 'cast', count(*) FILTER (WHERE o_custkey > 2147483647) FROM orders
+UNION ALL SELECT 'o_totalprice', 'decimal(7,2)', 'double', 'cast', count(*) FILTER (WHERE TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL AND o_totalprice IS NOT NULL) FROM orders
+"""
+
+
 def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("c_name"), "c_acctbal")
     path = f"{shared_folder(spark)}/seed-{uuid.uuid4().hex}"
@@ -324,9 +377,11 @@ QUERIES = {
     "agg3_moving_maximum": agg3_maximum,
     "agg3_moving_one_partition": agg3_one_partition,
     "agg1_user_aggregate": agg1,
+    "agg1_ordered_fold": agg1_ordered_fold,
     "agg2_partial_aggregate": agg2,
     "agg3_moving_aggregate": agg3,
     "agg4_ordered_set": agg4,
+    "agg4_percentiles_and_mode": agg4_mode,
     "agg5_hypothetical_set": agg5,
     "agg6_sort_operator": agg6,
     "opr1_operator_join": opr1,
@@ -340,6 +395,8 @@ QUERIES = {
     "txt1_match": txt1_match,
     "txt1_headline": txt1_headline,
     "src1_foreign_table": src1,
+    "src1_option_overlay": src1_overlay,
+    "src1_foreign_columns": src1_columns,
     "src2_seed_load": src2,
     "src3_generate_fixtures": src3,
     "cdc1_publish": cdc1,
@@ -359,6 +416,10 @@ SQL = {
     "agg3_moving_maximum": SQL_CENTS + "SELECT event_id, max(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS top7 FROM e",
     "agg3_moving_one_partition": SQL_CENTS + "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, max(cents) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS top FROM e",
     "agg1_user_aggregate": SQL_AGG,
+    "agg1_ordered_fold": SQL_FOLD,
+    "agg4_percentiles_and_mode": SQL_AGG4_MODE,
+    "src1_option_overlay": SQL_SRC1_OVERLAY,
+    "src1_foreign_columns": SQL_SRC1_COLUMNS,
     "agg2_partial_aggregate": SQL_AGG,
     "agg3_moving_aggregate": "SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS last7 FROM events",
     "agg4_ordered_set": "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS median, quantile_disc(l_quantity, 0.9) AS high FROM lineitem GROUP BY 1",

@@ -6,21 +6,60 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import derive
+from ..plans.session import quoted
+
+
+def overlaid(*layers: Mapping[str, str]) -> dict[str, tuple[str, int]]:
+    """The options in force, each with the number of the layer that gave it: later layers win. Names are those of a
+    data source, so their case does not count."""
+    found: dict[str, tuple[str, int]] = {}
+    for number, layer in enumerate(layers):
+        found |= {name.lower(): (value, number) for name, value in layer.items()}
+    return found
+
+
+def _loaded(spark: SparkSession, wrapper: str, contract: Mapping[str, str], options: tuple[Mapping[str, str], ...]) -> DataFrame:
+    """What the source holds. A CSV file without a header has no names: its columns are the declared ones in order."""
+    given = {name: value for name, (value, _) in overlaid(*options).items()}
+    path = given.pop("path", None)
+    reader = spark.read.format(wrapper).options(**given)
+    if wrapper == "csv" and given.get("header", "false").lower() != "true":
+        reader = reader.schema(", ".join(f"{quoted(c)} STRING" for c in contract))
+    return reader.load(path) if path else reader.load()
 
 
 def foreign_table(spark: SparkSession, wrapper: str, contract: Mapping[str, str], *options: Mapping[str, str]) -> DataFrame:
     """A table behind a data source. Option maps overlay each other in the order server, user mapping, table; the
-    declared columns are enforced. ``path`` names the place of file sources."""
-    merged: dict[str, str] = {}
-    for layer in options:
-        merged |= layer
-    path = merged.pop("path", None)
-    reader = spark.read.format(wrapper).options(**merged)
-    if wrapper in ("csv", "json"):
-        reader = reader.schema(", ".join(f"`{c}` {t}" for c, t in contract.items()))
-    return derive.conform(reader.load(path) if path else reader.load(), contract)[0]
+    declared columns are enforced by name. ``path`` names the place of file sources. A value that does not cast is
+    null; ``foreign_columns`` tells which columns are missing, extra or of another type."""
+    if wrapper == "json":
+        # Declared names and types spare the pass that finds them out.
+        given = {name: value for name, (value, _) in overlaid(*options).items()}
+        path = given.pop("path", None)
+        reader = spark.read.format(wrapper).options(**given).schema(", ".join(f"{quoted(c)} {t}" for c, t in contract.items()))
+        return derive.conform(reader.load(path) if path else reader.load(), contract)[0]
+    return derive.conform(_loaded(spark, wrapper, contract, options), contract)[0]
+
+
+def foreign_columns(spark: SparkSession, wrapper: str, contract: Mapping[str, str], *options: Mapping[str, str]) -> DataFrame:
+    """(column_name, declared, found, state, lost): a row for each column of the declaration or the source. State is
+    same, cast, missing or extra; ``lost`` counts values that the declared type cannot hold, in one pass over the
+    columns to be cast."""
+    source = _loaded(spark, wrapper, contract, options)
+    found = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    declared = {c: T.DataType.fromDDL(t).simpleString() for c, t in contract.items()}
+    rows = []
+    for c in [*declared, *(c for c in found if c not in declared)]:
+        state = "extra" if c not in declared else "missing" if c not in found else "same" if declared[c] == found[c] else "cast"
+        rows.append((c, declared.get(c), found.get(c), state))
+    cast = [c for c, _, _, state in rows if state == "cast"]
+    lost = [F.count_if(F.col(quoted(c)).isNotNull() & F.col(quoted(c)).try_cast(contract[c]).isNull()).alias(c) for c in cast]
+    counted = source.agg(*lost).first().asDict() if cast else {}
+    schema = "column_name string, declared string, found string, state string, lost long"
+    return spark.createDataFrame([(*row, counted.get(row[0], 0)) for row in rows], schema)
 
 
 def seed_load(spark: SparkSession, path: str, contract: Mapping[str, str], null: str = "\\N") -> tuple[DataFrame, DataFrame]:
