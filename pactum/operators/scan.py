@@ -200,8 +200,10 @@ def ordered_fold(
         done = begun
     else:
         carried = materialize(begun.join(long, "_key", "left_semi"), "fold")
+        # Sorted by piece, so that a round reads the files and row groups of its own pieces only.
+        later = materialize(pieces.filter("_piece > 1").repartitionByRange("_piece", "_key").sortWithinPartitions("_piece"), "later")
         for at in range(2, rounds + 1):
-            more = carried.join(pieces.filter(F.col("_piece") == at), "_key", "left")
+            more = carried.join(later.filter(F.col("_piece") == at), "_key", "left")
             folded = F.aggregate(given(F.col("_items")), F.col("_state"), step)
             carried = materialize(more.select("_key", F.when(F.col("_items").isNull(), F.col("_state")).otherwise(folded).alias("_state")), "fold")
         done = begun.join(long, "_key", "left_anti").unionByName(carried)
