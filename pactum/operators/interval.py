@@ -3,7 +3,8 @@
 Points and intervals. Values are put on a line of whole numbers (integers, days, microseconds, decimals without their
 point). A dyadic node (level k, index i) holds the numbers from i 2^k up to (i + 1) 2^k - 1. An interval is at most two
 nodes a level, and a point lies in one node of each level, so both meet on (level, index): an interval of any width,
-or without a bound, costs the logarithm of its width, and no pair has to be compared afterwards.
+or without a bound, costs the logarithm of its width, and no pair has to be compared afterwards. The pairs of a node are
+cut into cells (``cells.paired``). Where only totals of the pairs are wanted, nodes are totalled and no pair is made.
 
 Inequalities. Both sides are sorted into blocks; a block is known by the least and greatest value of each column. Blocks
 that may have a pair are found by an interval join on the ranks of their bounds, those that another inequality rules
@@ -12,7 +13,7 @@ out are skipped, and only rows of the blocks that are left meet, on their blocks
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import all_columns, materialize
+from .cells import paired
 from .ordering import global_ordinal
 from .scan import numbered
 
@@ -44,21 +46,29 @@ def on_line(value: Column, kind: T.DataType, scale: int = 0) -> Column:
     return F.when(number.between(LEAST, MOST), number).when(number.isNotNull(), F.raise_error(F.lit("value beyond 2^62")))
 
 
-def nodes(lower: Column, upper: Column) -> Column:
-    """The dyadic nodes (k, i) of the numbers from ``lower`` to ``upper``, both included."""
+def nodes(lower: Column, upper: Column, bits: int = 1) -> Column:
+    """The dyadic nodes (k, i) of the numbers from ``lower`` to ``upper``, both included. A level is ``bits`` binary
+    digits: more of them mean fewer levels, and more nodes of each."""
+    top = TOP // bits
 
-    def at(k: Column) -> Column:
+    def ends(k: Column) -> tuple[Column, Column]:
         # The first node that begins at or after lower, and the first one that does not end by upper.
-        low = -F.call_function("shiftright", -lower, k)
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
-        high = F.call_function("shiftright", upper, k) + (upper.bitwiseAND(mask) == mask).cast("long")
-        own = F.array(
-            F.when((low < high) & (low.bitwiseAND(F.lit(1)) == 1), F.struct(k.alias("k"), low.alias("i"))),
-            F.when((low < high) & (high.bitwiseAND(F.lit(1)) == 1), F.struct(k.alias("k"), (high - 1).alias("i"))),
-        )
-        return F.array_compact(own)
+        digits = (k * bits).cast("int")
+        low = -F.call_function("shiftright", -lower, digits)
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), digits) - 1
+        return low, F.call_function("shiftright", upper, digits) + (upper.bitwiseAND(mask) == mask).cast("long")
+
+    def run(first: Column, end: Column) -> Column:
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def at(k: Column) -> Column:
+        low, high = ends(k)
+        over, under = ends(k + 1)
+        above = (k < top) & (over < under)  # nodes of the next level take what is between
+        own = F.when(above, F.concat(run(low, over * (1 << bits)), run(under * (1 << bits), high))).otherwise(run(low, high))
+        return F.transform(own, lambda i: F.struct(k.alias("k"), i.alias("i")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP)), at))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), at))
 
 
 def _placed(rows: DataFrame, lower: Column, upper: Column, kinds: Sequence[T.DataType], bounds: str | tuple[Column, Column]) -> DataFrame:
@@ -71,25 +81,73 @@ def _placed(rows: DataFrame, lower: Column, upper: Column, kinds: Sequence[T.Dat
     return rows.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
 
 
+def _held(placed: DataFrame, numbers: DataFrame, rows: int) -> tuple[DataFrame, list[int], int]:
+    """``placed`` (with _lo, _hi; a table of ``rows`` rows) with _k and _i of each of its nodes, the levels in use, and
+    the binary digits of a level: few where the intervals are many, more where the numbers that meet them (_at of
+    ``numbers``) are. Intervals are cut to the span of the numbers, so one without a bound has no more levels than that."""
+    least, most, asked = numbers.agg(F.min("_at"), F.max("_at"), F.count("_at")).first()
+    bits = min((1, 2, 4), key=lambda b: (asked + rows * ((1 << b) - 1)) / b)
+    cut = placed.withColumns({"_cl": F.greatest("_lo", F.lit(least).cast("long")), "_ch": F.least("_hi", F.lit(most).cast("long"))})
+    cut = cut.filter("_cl <= _ch" if asked else "false").withColumn("_node", F.explode(nodes(F.col("_cl"), F.col("_ch"), bits)))
+    cut = cut.select(*all_columns(placed), F.col("_node.k").alias("_k"), F.col("_node.i").alias("_i"))
+    levels = sorted(r["_k"] for r in cut.select("_k").distinct().collect())  # at most one a level
+    return cut, levels or [0], bits
+
+
+def _at_levels(numbers: DataFrame, levels: Sequence[int], bits: int) -> DataFrame:
+    asked = numbers.withColumn("_k", F.explode(F.array(*map(F.lit, levels))))
+    return asked.withColumn("_i", F.expr(f"shiftright(_at, _k * {bits})"))
+
+
 def _met(points: DataFrame, placed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``points`` (with _at) and ``placed`` (with _lo, _hi) whose interval holds the point."""
-    held = placed.withColumn("_node", F.explode(nodes(F.col("_lo"), F.col("_hi"))))
-    held = held.select(*all_columns(placed), F.col("_node.k").alias("_k"), F.col("_node.i").alias("_i"))
-    levels = sorted(r["_k"] for r in held.select("_k").distinct().collect())  # at most one a level
-    if not levels:
-        levels = [0]
-    asked = points.filter("_at IS NOT NULL").withColumn("_k", F.explode(F.array(*map(F.lit, levels))))
-    asked = asked.withColumn("_i", F.expr("shiftright(_at, _k)"))
-    return asked.join(held, [*on, "_k", "_i"]).drop("_k", "_i")
+    # Written with ids, since the pieces of a large node's rows have to be the same whenever they are made.
+    points = materialize(points.filter("_at IS NOT NULL").withColumn("_pid", F.monotonically_increasing_id()), "points")
+    placed = materialize(placed.withColumn("_rid", F.monotonically_increasing_id()), "intervals")
+    held, levels, bits = _held(placed, points, placed.count())
+    return paired(_at_levels(points, levels, bits), held, [*on, "_k", "_i"], "_pid", "_rid").drop("_k", "_i", "_pid", "_rid")
+
+
+#: Name of a total: the aggregate over rows, and the function that makes one of several such values. The function does
+#: not see nulls (sum, min, max, bit_or, ...).
+Totals = Mapping[str, tuple[Column, Callable[[str], Column]]]
+
+
+def _total(df: DataFrame, by: Sequence[str], totals: Totals) -> DataFrame:
+    return df.groupBy(*by).agg(*(combine(name).alias(name) for name, (_, combine) in totals.items()))
+
+
+def _held_totals(numbers: DataFrame, placed: DataFrame, on: Sequence[str], keys: Sequence[str], totals: Totals) -> DataFrame:
+    """(keys, totals): for each interval the totals of the numbers in it. ``numbers``: on, _at, totals."""
+    numbers = materialize(numbers.filter("_at IS NOT NULL"), "numbers")
+    placed = materialize(placed.select(*dict.fromkeys([*on, *keys]), "_lo", "_hi"), "intervals")
+    held, levels, bits = _held(placed, numbers, placed.count())
+    at_node = _total(_at_levels(numbers, levels, bits), [*on, "_k", "_i"], totals)
+    return _total(held.join(at_node.hint("merge"), [*on, "_k", "_i"]), keys, totals)
+
+
+def range_totals(
+    points: DataFrame, point: Column, ranges: DataFrame, lower: Column, upper: Column, keys: Sequence[str], totals: Totals, bounds: str = "[)", on: Sequence[str] = ()
+) -> DataFrame:
+    """What a ``range_join`` grouped by ``keys`` of the ranges gives, without making its pairs: points are totalled for
+    each value, then for each dyadic node, and a range takes the totals of its nodes."""
+    asked, placed = _on_one_line(points, point, ranges, lower, upper, bounds)
+    numbers = asked.groupBy(*on, "_at").agg(*(own.alias(name) for name, (own, _) in totals.items()))
+    return _held_totals(numbers, placed, on, keys, totals)
+
+
+def _on_one_line(points: DataFrame, point: Column, ranges: DataFrame, lower: Column, upper: Column, bounds: str) -> tuple[DataFrame, DataFrame]:
+    """The points with _at, the ranges with _lo and _hi."""
+    kinds = [points.select(point).schema[0].dataType, *(ranges.select(c).schema[0].dataType for c in (lower, upper))]
+    common = _common(kinds)
+    asked = points.withColumn("_at", on_line(point, kinds[0], _scale(kinds)))
+    return asked, _placed(ranges, lower.cast(common), upper.cast(common), [common] * 2, bounds)
 
 
 def range_join(points: DataFrame, point: Column, ranges: DataFrame, lower: Column, upper: Column, bounds: str = "[)", on: Sequence[str] = ()) -> DataFrame:
     """Points joined to the ranges that hold them, with all columns of both. A null bound is unbounded, a null point is
     in no range. ``on`` names columns that also have to be equal."""
-    kinds = [points.select(point).schema[0].dataType, *(ranges.select(c).schema[0].dataType for c in (lower, upper))]
-    scale = _scale(kinds)
-    asked = points.withColumn("_at", on_line(point, kinds[0], scale))
-    placed = _placed(ranges, lower.cast(_common(kinds)), upper.cast(_common(kinds)), [_common(kinds)] * 2, bounds)
+    asked, placed = _on_one_line(points, point, ranges, lower, upper, bounds)
     return _met(asked, placed, on).drop("_at", "_lo", "_hi")
 
 
@@ -100,27 +158,46 @@ def _common(kinds: Sequence[T.DataType]) -> T.DataType:
     return T.DecimalType(38, scale) if scale else real[0]
 
 
+def _ranges_on_one_line(left: DataFrame, left_range: Column, right: DataFrame, right_range: Column) -> list[DataFrame]:
+    """Both sides with the least and greatest number of their ranges: _llo and _lhi, _rlo and _rhi."""
+    kinds = [df.select(r).schema[0].dataType[end].dataType for df, r in ((left, left_range), (right, right_range)) for end in ("lower", "upper")]
+    common = _common(kinds)
+    return [
+        _placed(df.filter(r.isNotNull()), r["lower"].cast(common), r["upper"].cast(common), [common] * 2, (r["lower_inc"], r["upper_inc"])).withColumnsRenamed({"_lo": f"_{s}lo", "_hi": f"_{s}hi"})
+        for df, r, s in ((left, left_range, "l"), (right, right_range, "r"))
+    ]
+
+
 def overlap_join(left: DataFrame, left_range: Column, right: DataFrame, right_range: Column, on: Sequence[str] = ()) -> DataFrame:
     """Rows whose ranges (structs of ``range_value``) share a value: of two such ranges, one holds the other's first
     value. Null and empty ranges meet none."""
-    sides = []
-    for df, r, side in ((left, left_range, "l"), (right, right_range, "r")):
-        kind = df.select(r).schema[0].dataType
-        kinds = [kind["lower"].dataType, kind["upper"].dataType]
-        whole = df.filter(r.isNotNull())
-        sides.append((whole, r, kinds, side))
-    scale_kind = _common([k for *_, kinds, _ in sides for k in kinds])
-    placed = [
-        _placed(df, r["lower"].cast(scale_kind), r["upper"].cast(scale_kind), [scale_kind] * 2, (r["lower_inc"], r["upper_inc"])).withColumnsRenamed({"_lo": f"_{s}lo", "_hi": f"_{s}hi"})
-        for df, r, _, s in sides
-    ]
+    placed = _ranges_on_one_line(left, left_range, right, right_range)
     starts_in_right = _met(placed[0].withColumn("_at", F.col("_llo")), placed[1].withColumnsRenamed({"_rlo": "_lo", "_rhi": "_hi"}), on)
-    starts_in_left = _met(placed[1].withColumn("_at", F.col("_rlo")), placed[0].withColumnsRenamed({"_llo": "_lo", "_lhi": "_hi"}), on)
+    # Equal starts are found once: here the left range begins before the right one.
+    after = placed[0].withColumn("_lo", F.col("_llo") + 1).withColumnRenamed("_lhi", "_hi").filter("_lo <= _hi")
+    starts_in_left = _met(placed[1].withColumn("_at", F.col("_rlo")), after, on)
     first = starts_in_right.drop("_at", "_lo", "_hi", "_llo", "_lhi")
-    second = starts_in_left.filter("_at > _lo").drop("_at", "_lo", "_hi", "_rlo", "_rhi")  # equal starts are found once
+    second = starts_in_left.drop("_at", "_lo", "_hi", "_llo", "_rlo", "_rhi")
     return first.unionByName(second)
 
 
+def overlap_totals(left: DataFrame, left_range: Column, right: DataFrame, right_range: Column, keys: Sequence[str], totals: Totals, on: Sequence[str] = ()) -> DataFrame:
+    """What an ``overlap_join`` grouped by ``keys`` of the right side gives (totals are of the left side), without making
+    its pairs. A right range takes the totals of the left ones that begin in it, from its nodes, and of those that
+    begin before its first number and hold it, from the nodes of that number."""
+    one, two = _ranges_on_one_line(left, left_range, right, right_range)
+    alike = one.groupBy(*on, "_llo", "_lhi").agg(*(own.alias(name) for name, (own, _) in totals.items()))
+    alike = materialize(alike, "alike")
+    begun = _total(alike.withColumnRenamed("_llo", "_at"), [*on, "_at"], totals)
+    inside = _held_totals(begun, two.withColumnsRenamed({"_rlo": "_lo", "_rhi": "_hi"}), on, keys, totals)
+    starts = materialize(two.select(*dict.fromkeys([*on, *keys]), F.col("_rlo").alias("_at")), "starts")
+    before = alike.select(*on, *totals, (F.col("_llo") + 1).alias("_lo"), F.col("_lhi").alias("_hi")).filter("_lo <= _hi")
+    held, levels, bits = _held(before, starts, alike.count())
+    at_node = _total(held, [*on, "_k", "_i"], totals)
+    across = _total(_at_levels(starts, levels, bits).join(at_node.hint("merge"), [*on, "_k", "_i"]), keys, totals)
+    return _total(inside.unionByName(across), keys, totals)
+
+
 BLOCK = 2048
 Inequality = tuple[str, str, str]
 

@@ -122,8 +122,8 @@ def der9_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.when(k % 10 != 3, F.when(k == 1, F.lit(-(10**9))).otherwise(k * 5))
     upper = F.when(k % 10 != 7, F.when(k == 1, F.lit(9 * 10**9)).otherwise(k * 5 + k % 40))
     ranges = table(spark, sf_dir, "supplier").select("s_suppkey", lower.alias("low"), upper.alias("high"))
-    found = I.range_join(part, F.col("key"), ranges, F.col("low"), F.col("high"))
-    return found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("total"))
+    totals = {"n": (F.count(F.lit(1)), F.sum), "total": (F.sum("key"), F.sum)}
+    return I.range_totals(part, F.col("key"), ranges, F.col("low"), F.col("high"), ["s_suppkey"], totals)
 
 
 def der9_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +141,8 @@ def der9_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("int")
     begins = F.date_add(F.lit("1992-01-01").cast("date"), k * 17 % 2400)
     seasons = table(spark, sf_dir, "supplier").select("s_suppkey", V.range_value(begins, F.when(k % 25 != 0, F.date_add(begins, k % 15)), "[]").alias("season"))
-    met = I.overlap_join(orders, F.col("days"), seasons, F.col("season"))
-    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+    totals = {"n": (F.count(F.lit(1)), F.sum), "total": (F.sum("o_orderkey"), F.sum)}
+    return I.overlap_totals(orders, F.col("days"), seasons, F.col("season"), ["s_suppkey"], totals)
 
 
 def der9_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,26 @@ def test_blocks_that_cannot_match_never_meet(spark):
     assert joined.count() == 3999
     with pytest.raises(ValueError):
         interval.inequality_join(rows, rows, [("v", "=", "v")])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nodes_of_ranges_are_not_broadcast(spark):
+    """A range is some dozens of nodes, which the planner does not count: it took them for small."""
+    points = spark.range(2000).select((F.col("id") % 20).alias("g"), F.col("id").alias("x"))
+    ranges = spark.range(20).select(F.col("id").alias("g"), (F.col("id") * 50).alias("a"), (F.col("id") * 50 + 777).alias("b"))
+    found = interval.range_join(points, F.col("x"), ranges, F.col("a"), F.col("b"), on=["g"])
+    assert "Broadcast" not in plan_of(found)
+    assert found.count() == sum(g * 50 <= x < g * 50 + 777 for g in range(20) for x in range(g, 2000, 20))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_nodes_cover_a_range_once(spark, bits):
+    rng = random.Random(bits)
+    ends = [sorted((rng.randrange(-700, 700), rng.randrange(-700, 700))) for _ in range(60)]
+    df = spark.createDataFrame([tuple(e) for e in ends], "a long, b long").select("a", "b", interval.nodes(F.col("a"), F.col("b"), bits).alias("n"))
+    for r in df.collect():
+        covered = [x for n in r["n"] for x in range(n["i"] << n["k"] * bits, (n["i"] + 1) << n["k"] * bits)]
+        assert sorted(covered) == list(range(r["a"], r["b"] + 1))
