@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import materialize
 from .graph import reachable
 
 # Privileges that each kind of object knows, and what an object of a section may be called.
@@ -116,12 +118,39 @@ def membership_edges(statements: DataFrame) -> DataFrame:
     return pairs.filter("is_grant").select("member", "role").distinct().join(revoked, ["member", "role"], "left_anti")
 
 
-def effective_privileges(grants: DataFrame, revocations: DataFrame, members: DataFrame) -> DataFrame:
-    """(role, section, object, privilege) each role ends up with: ALL is expanded to the section's list, revocations
-    are taken away, and what a role has its members inherit, through any number of memberships. The privileges of a
-    role on an object travel as one mask over the section's list."""
+#: Memberships that are followed step by step; what lies further up is found by doubling.
+STEPS = 64
+
+
+def _sources(members: DataFrame, granted: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Distinct (role, source): the roles of ``granted`` (role) that each role has privileges from, itself included. Only
+    pairs that end at such a role are made, a round for each membership on the way."""
+    edges = materialize(members.select(F.col("member").alias("_member"), F.col("role").alias("_role")).dropna().distinct(), "members")
+    total = fresh = materialize(granted.select("role", F.col("role").alias("source")).dropna().distinct(), "sources")
+    found = [total]
+    for _ in range(steps):
+        below = fresh.join(edges.hint("merge"), F.col("role") == F.col("_role")).select(F.col("_member").alias("role"), "source").distinct()
+        fresh = materialize(below.join(total.hint("merge"), ["role", "source"], "left_anti"), "sources")
+        if fresh.isEmpty():
+            return total
+        found.append(fresh)
+        total = reduce(DataFrame.unionByName, found)
+    through = reachable(edges.select(F.col("_member").alias("src"), F.col("_role").alias("dst")))
+    beyond = fresh.join(through.hint("merge"), F.col("role") == F.col("dst")).select(F.col("src").alias("role"), "source")
+    return materialize(total.unionByName(beyond).distinct(), "sources")
+
+
+def effective_lists(grants: DataFrame, revocations: DataFrame, members: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(role, section, object, privileges): what each role ends up with, as a sorted array. ALL is expanded to the
+    section's list, revocations are taken away, and what a role has its members inherit, through any number of
+    memberships. The privileges of a role on an object travel as one mask over the section's list; null is no role.
+
+    Roles that have their privileges from the same roles are one class, told by the number of those and 128 bits of
+    hashes; masks are put together once for each class and then given to its roles."""
     order = [(s, p, 1 << i) for s, ps in LEGAL.items() for i, p in enumerate(ps)]
     legal = F.broadcast(grants.sparkSession.createDataFrame(order, "section string, legal string, bit int"))
+    listed = [(s, [(p, 1 << i) for i, p in sorted(enumerate(ps), key=lambda x: x[1])]) for s, ps in LEGAL.items()]
+    lists = F.broadcast(grants.sparkSession.createDataFrame(listed, "section string, _list array<struct<p: string, bit: int>>"))
     key = ["role", "section", "object"]
 
     def masks(df: DataFrame, name: str) -> DataFrame:
@@ -129,11 +158,21 @@ def effective_privileges(grants: DataFrame, revocations: DataFrame, members: Dat
         return df.join(legal, "section").filter((plain == "ALL") | (plain == F.col("legal"))).groupBy(*key).agg(F.bit_or("bit").alias(name))
 
     own = masks(grants, "mask").join(masks(revocations, "taken"), key, "left")
-    own = own.select(*key, F.expr("mask & ~coalesce(taken, 0)").alias("mask")).filter("mask <> 0")
-    through = reachable(members.select(F.col("member").alias("src"), F.col("role").alias("dst")))
-    inherited = own.join(through.select(F.col("dst").alias("role"), "src"), "role").select(F.col("src").alias("role"), "section", "object", "mask")
-    held = own.unionByName(inherited).groupBy(*key).agg(F.bit_or("mask").alias("mask"))
-    return held.join(legal, "section").filter("mask & bit <> 0").select(*key, F.col("legal").alias("privilege"))
+    own = materialize(own.select(*key, F.expr("mask & ~coalesce(taken, 0)").alias("mask")).filter("mask <> 0"), "own")
+    sources = _sources(members, own, steps)
+    kind = F.struct(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(x), "source")).alias(f"h{x}") for x in (1, 2)))
+    classes = materialize(sources.groupBy("role").agg(kind.alias("_class")), "classes")
+    shown = classes.groupBy("_class").agg(F.min("role").alias("role"))
+    parts = shown.join(sources.hint("merge"), "role").select("_class", "source").join(own.withColumnRenamed("role", "source").hint("merge"), "source")
+    held = parts.groupBy("_class", "section", "object").agg(F.bit_or("mask").alias("mask")).join(lists, "section")
+    names = F.transform(F.filter("_list", lambda x: F.col("mask").bitwiseAND(x["bit"]) != 0), lambda x: x["p"])
+    held = materialize(held.select("_class", "section", "object", names.alias("privileges")), "held")
+    return classes.join(held.hint("merge"), "_class").select(*key, "privileges")
+
+
+def effective_privileges(grants: DataFrame, revocations: DataFrame, members: DataFrame) -> DataFrame:
+    """(role, section, object, privilege): ``effective_lists``, a row for each privilege."""
+    return effective_lists(grants, revocations, members).withColumn("privilege", F.explode("privileges")).drop("privileges")
 
 
 def privilege_violations(entries: DataFrame) -> DataFrame:

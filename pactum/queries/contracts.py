@@ -464,8 +464,8 @@ def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace("privilege", f"{A.GRANTABLE}$", "")
     grants = acl1(spark, sf_dir).withColumn("privilege", plain).distinct()
     revoked = grants.filter(F.col("role").isin("r3", "r5") & (F.col("section") == "tables")).withColumn("privilege", F.lit("UPDATE")).distinct()
-    held = A.effective_privileges(grants, revoked, acl5(spark, sf_dir))
-    return held.groupBy("role", "section", "object").agg(F.array_join(F.array_sort(F.collect_set("privilege")), ",").alias("privileges"))
+    held = A.effective_lists(grants, revoked, acl5(spark, sf_dir))
+    return held.select("role", "section", "object", F.array_join("privileges", ",").alias("privileges"))
 
 
 SQL_EFFECTIVE = f"""
