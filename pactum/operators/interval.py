@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from .scan import numbered
 
 TOP = 62  # levels of the line; its ends are -2^62 and 2^62 - 1
 LEAST, MOST = -(1 << TOP), (1 << TOP) - 1
+DEALT = 5_000  # intervals of one task
 
 
 def _scale(kinds: Sequence[T.DataType]) -> int:
@@ -46,10 +48,11 @@ def on_line(value: Column, kind: T.DataType, scale: int = 0) -> Column:
     return F.when(number.between(LEAST, MOST), number).when(number.isNotNull(), F.raise_error(F.lit("value beyond 2^62")))
 
 
-def nodes(lower: Column, upper: Column, bits: int = 1) -> Column:
+def nodes(lower: Column, upper: Column, bits: int = 1, most: int = 1 << TOP) -> Column:
     """The dyadic nodes (k, i) of the numbers from ``lower`` to ``upper``, both included. A level is ``bits`` binary
-    digits: more of them mean fewer levels, and more nodes of each."""
-    top = TOP // bits
+    digits: more of them mean fewer levels, and more nodes of each. No interval has more than ``most`` numbers, so there
+    are no levels of larger nodes."""
+    top = (most.bit_length() - 1) // bits
 
     def ends(k: Column) -> tuple[Column, Column]:
         # The first node that begins at or after lower, and the first one that does not end by upper.
@@ -88,8 +91,10 @@ def _held(placed: DataFrame, numbers: DataFrame, rows: int) -> tuple[DataFrame,
     least, most, asked = numbers.agg(F.min("_at"), F.max("_at"), F.count("_at")).first()
     bits = min((1, 2, 4), key=lambda b: (asked + rows * ((1 << b) - 1)) / b)
     cut = placed.withColumns({"_cl": F.greatest("_lo", F.lit(least).cast("long")), "_ch": F.least("_hi", F.lit(most).cast("long"))})
-    cut = cut.filter("_cl <= _ch" if asked else "false").withColumn("_node", F.explode(nodes(F.col("_cl"), F.col("_ch"), bits)))
-    cut = cut.select(*all_columns(placed), F.col("_node.k").alias("_k"), F.col("_node.i").alias("_i"))
+    # Nodes are slow to find, and a table of intervals may be one small file: it is dealt out, and they are found once.
+    cut = cut.filter("_cl <= _ch" if asked else "false").repartition(max(1, ceil(rows / DEALT)))
+    cut = cut.withColumn("_node", F.explode(nodes(F.col("_cl"), F.col("_ch"), bits, most - least + 1 if asked else 1)))
+    cut = materialize(cut.select(*all_columns(placed), F.col("_node.k").alias("_k"), F.col("_node.i").alias("_i")), "nodes")
     levels = sorted(r["_k"] for r in cut.select("_k").distinct().collect())  # at most one a level
     return cut, levels or [0], bits
 

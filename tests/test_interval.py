@@ -112,3 +112,18 @@ def test_nodes_cover_a_range_once(spark, bits):
     for r in df.collect():
         covered = [x for n in r["n"] for x in range(n["i"] << n["k"] * bits, (n["i"] + 1) << n["k"] * bits)]
         assert sorted(covered) == list(range(r["a"], r["b"] + 1))
+
+
+def test_no_levels_above_the_longest_interval(spark):
+    ends = spark.sql("SELECT id * 7 - 300 AS a, id * 7 - 300 + id % 41 AS b FROM range(120)")
+    for bits in (1, 2, 4):
+        n = lambda *most: interval.nodes(F.col("a"), F.col("b"), bits, *most)  # noqa: B023, E731
+        assert ends.filter(n() != n(41)).isEmpty()
+    assert str(interval.nodes(F.col("a"), F.col("b"), 1, 41)).count("62") < str(interval.nodes(F.col("a"), F.col("b"))).count("62")
+
+
+def test_intervals_of_one_file_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(interval, "DEALT", 25)
+    placed = spark.range(100).coalesce(1).selectExpr("id AS _lo", "id + 9 AS _hi")
+    held = interval._held(placed, spark.range(100).selectExpr("id AS _at"), 100)[0]
+    assert len(held.inputFiles()) == 4 and held.select("_k", "_i").distinct().count() > 1
