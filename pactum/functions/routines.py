@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cells import paired
+from ..plans.session import materialize
+
 
 def scalar_function(spark: SparkSession, name: str, parameters: str, returns: str, body: str, strict: Sequence[str] = ()) -> None:
     """A temporary SQL function. ``parameters`` may carry defaults; a null in a ``strict`` parameter makes the result
@@ -60,8 +63,12 @@ def collated(column: Column, collation: str = "UTF8_LCASE") -> Column:
 
 
 def operator_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
-    """A join on a user operator that a key function makes hashable: equal keys, one shuffle each."""
-    return left.withColumn("_lk", left_key).join(right.withColumn("_rk", right_key), F.col("_lk") == F.col("_rk")).drop("_lk", "_rk")
+    """A join on a user operator that a key function makes hashable. The pairs of a frequent key are cut into cells, and
+    there are as many parts as the pairs need (``operators.cells``)."""
+    one = left.withColumns({"_key": left_key, "_pid": F.monotonically_increasing_id()}).filter("_key IS NOT NULL")
+    two = right.withColumns({"_key": right_key, "_rid": F.monotonically_increasing_id()}).filter("_key IS NOT NULL")
+    # Written with ids, since the pieces of a frequent key's rows have to be the same whenever they are made.
+    return paired(materialize(one, "operands"), materialize(two, "operands"), ["_key"], "_pid", "_rid").drop("_key", "_pid", "_rid")
 
 
 def operator_laws(pairs: DataFrame, op: Callable[[Column, Column], Column], commutator: Callable[[Column, Column], Column], negator: Callable[[Column, Column], Column], a: str, b: str) -> DataFrame:

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pactum.functions import text
-from pactum.operators import checks, derive, diff, grants, graph, merge, ordering, views
+from pactum.functions import routines, text
+from pactum.operators import cells, checks, derive, diff, grants, graph, merge, ordering, views
 from pactum.queries.pairs import actual_orders, desired_orders
 from pactum.sources import tables
 from pactum.streaming import replication
@@ -320,3 +320,13 @@ def test_subscription_before_and_after_compaction(spark):
     subscriber.enabled = False
     subscriber.apply(spark.createDataFrame([(9, 9, "insert", "x")], schema), 3)
     assert state() == [(2, "d")]
+
+
+def test_pairs_of_an_operator_join_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PAIRS", 50)
+    a = spark.createDataFrame([(i, None if i == 3 else i % 2) for i in range(40)], "a int, x int")
+    b = spark.createDataFrame([(i, None if i == 5 else -(i % 2)) for i in range(30)], "b int, y int")
+    met = routines.operator_join(a, b, F.col("x") * F.col("x"), F.col("y") * F.col("y"))
+    assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
+    wanted = [(i, j) for i in range(40) for j in range(30) if i != 3 and j != 5 and i % 2 == j % 2]
+    assert sorted((r["a"], r["b"]) for r in met.collect()) == wanted and met.columns == ["a", "x", "b", "y"]
