@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..plans.session import materialize, quoted
 
 BLOCK = 64
+ROUND = 1 << 18  # rows of a partition that one round of an ordered fold takes
 
 Combine = Callable[[Column, Column], Column]
 
@@ -189,10 +190,11 @@ def ordered_fold(
 ) -> DataFrame:
     """(partition, ``name``): a transition that need not be associative, folded over each partition's values in order.
 
-    Partitions of up to ``size`` rows are folded at once. A longer one is folded piece by piece, a round each, with its
-    state carried in a written table: rows beyond one another's pieces never meet in a task. The order has to be total.
-    A strict transition does not see nulls. The state's type is that of ``initial``.
+    Partitions of up to ``size`` rows are folded at once. Of a longer one each round folds as many pieces as have ``ROUND``
+    rows, with the state carried in a written table: no task sees more of a partition. The order has to be total. A
+    strict transition does not see nulls. The state's type is that of ``initial``.
     """
+    run = max(1, ROUND // size)
     pieces = gathered_pieces(df, partition, order, [value.alias("v")], "_items", size)
     pieces = materialize(pieces.select(_key(partition).alias("_key"), F.col("piece").alias("_piece"), F.col("_items.v").alias("_items")), "pieces")
     given = (lambda items: F.filter(items, lambda x: x.isNotNull())) if strict else (lambda items: items)
@@ -205,10 +207,11 @@ def ordered_fold(
         carried = materialize(begun.join(long, "_key", "left_semi"), "fold")
         # Sorted by piece, so that a round reads the files and row groups of its own pieces only.
         later = materialize(pieces.filter("_piece > 1").repartitionByRange("_piece", "_key").sortWithinPartitions("_piece"), "later")
-        for at in range(2, rounds + 1):
-            more = carried.join(later.filter(F.col("_piece") == at), "_key", "left")
-            folded = F.aggregate(given(F.col("_items")), F.col("_state"), step)
-            carried = materialize(more.select("_key", F.when(F.col("_items").isNull(), F.col("_state")).otherwise(folded).alias("_state")), "fold")
+        for at in range(2, rounds + 1, run):
+            own = later.filter(F.col("_piece").between(at, at + run - 1)).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_piece", "_items"))).alias("_run"))
+            folded = F.aggregate(F.col("_run"), F.col("_state"), lambda s, piece: F.aggregate(given(piece["_items"]), s, step))
+            more = carried.join(own, "_key", "left")
+            carried = materialize(more.select("_key", F.when(F.col("_run").isNull(), F.col("_state")).otherwise(folded).alias("_state")), "fold")
         done = begun.join(long, "_key", "left_anti").unionByName(carried)
     return done.select(*(F.col("_key")[c].alias(c) for c in partition), final(F.col("_state")).alias(name))
 

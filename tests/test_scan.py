@@ -88,3 +88,16 @@ def test_no_broadcast_of_tables_that_grow_with_the_rows(spark):
     assert "Broadcast" not in _plan(moved) and moved.agg(F.sum("top")).first()[0] == sum(range(300))
     levels = graph.dependency_levels(df.select(F.col("v").alias("id")), df.selectExpr("v AS child", "v div 2 AS parent").filter("v > 0"))
     assert "Broadcast" not in _plan(levels) and levels.agg(F.max("level")).first()[0] == 9
+
+
+def test_a_fold_takes_several_pieces_a_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(scan, "materialize", lambda df, name="stage", by=(), own=scan.materialize: made.append(name) or own(df, name, by))
+    monkeypatch.setattr(scan, "ROUND", 40)
+    df = spark.range(103).selectExpr("0 AS k", "id AS at", "IF(id % 5 = 0, NULL, id) AS v").union(spark.sql("SELECT 1, 1L, 9L"))
+    found = scan.ordered_fold(df, ["k"], [F.col("at")], F.col("v"), F.lit(7).cast("long"), lambda s, v: (s * 31 + v) % 1000003, lambda s: s, size=4)
+    wanted = 7
+    for v in range(103):
+        wanted = (wanted * 31 + v) % 1000003 if v % 5 else wanted
+    assert {r["k"]: r["state"] for r in found.collect()} == {0: wanted, 1: 226}
+    assert made.count("fold") <= 4
