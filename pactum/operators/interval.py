@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.session import all_columns, materialize
+from ..plans.session import all_columns, materialize, quoted
 from .cells import paired
 from .ordering import global_ordinal
-from .scan import numbered
+from .scan import numbered, segment_totals
 
 TOP = 62  # levels of the line; its ends are -2^62 and 2^62 - 1
 LEAST, MOST = -(1 << TOP), (1 << TOP) - 1
@@ -257,3 +257,33 @@ def inequality_join(left: DataFrame, right: DataFrame, inequalities: Sequence[In
     met = pairs.join(one.select(F.col("_block").alias("_a"), F.col("_whole").alias("left"), *(F.col(f"_v{i}").alias(f"_l{i}") for i in number)), "_a")
     met = met.join(two.select(F.col("_block").alias("_b"), F.col("_whole").alias("right"), *(F.col(f"_v{i}").alias(f"_r{i}") for i in number)), "_b")
     return met.filter(reduce(lambda x, y: x & y, (F.expr(f"_l{i} {o} _r{i}") for i, (_, o, _) in enumerate(inequalities)))).select("left", "right")
+
+
+def inequality_totals(left: DataFrame, right: DataFrame, inequalities: Sequence[Inequality], keys: Sequence[str], totals: Totals) -> DataFrame:
+    """What an ``inequality_join`` of two inequalities grouped by ``keys`` of the right side gives (totals are of the left
+    side), without making its pairs. The first inequality gives a right row the dyadic nodes of the left ranks it allows;
+    in each node both sides are put in the second one's order, and a right row takes the totals of the rows before it."""
+    if len(inequalities) != 2 or any(op not in ("<", "<=", ">", ">=") for _, op, _ in inequalities):
+        raise ValueError("two inequalities of < <= > >=")
+    (a0, op, b0), (a1, then, b1) = inequalities
+    known = lambda df, *names: df.filter(reduce(lambda x, y: x & y, (F.col(quoted(c)).isNotNull() for c in names)))
+    alike = known(left, a0, a1).groupBy(F.col(quoted(a0)).alias("_v0"), F.col(quoted(a1)).alias("_v1"))
+    alike = materialize(alike.agg(*(own.alias(name) for name, (own, _) in totals.items()), F.count(F.lit(1)).alias("_pairs")), "alike")
+    asked = known(right, b0, b1).select(F.col(quoted(b0)).alias("_v0"), F.col(quoted(b1)).alias("_v1"), F.struct(*map(quoted, keys)).alias("_keys"))
+    asked = materialize(asked, "asked")
+    ranks = global_ordinal(alike.select("_v0").union(asked.select("_v0")).distinct(), [F.col("_v0")], "_at").hint("merge")
+    points = materialize(alike.join(ranks, "_v0").drop("_v0"), "points")
+    none, at = F.lit(None).cast("long"), F.col("_at")
+    lower, upper = (none, at) if op in ("<", "<=") else (at, none)
+    placed = _placed(asked.join(ranks, "_v0").drop("_v0"), lower, upper, [T.LongType()] * 2, "[]" if "=" in op else "()").drop("_at")
+    placed = materialize(placed, "intervals")
+    held, levels, bits = _held(placed, points, placed.count())
+    total = {**totals, "_pairs": (F.count(F.lit(1)), F.sum)}
+    # Of equal values the points come first if they count.
+    first = int("=" in then)
+    both = _at_levels(points, levels, bits).drop("_at").withColumn("_turn", F.lit(1 - first))
+    both = both.unionByName(held.drop("_lo", "_hi").withColumn("_turn", F.lit(first)), allowMissingColumns=True)
+    order = [F.col("_v1").asc() if then in ("<", "<=") else F.col("_v1").desc(), F.col("_turn")]
+    met = segment_totals(both, ["_k", "_i"], order, {name: combine for name, (_, combine) in total.items()}, F.col("_keys").isNotNull(), ["_keys"])
+    out = _total(met, ["_keys"], total).filter("_pairs > 0")
+    return out.select(*(F.col("_keys")[c].alias(c) for c in keys), *totals)

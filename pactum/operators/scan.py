@@ -14,7 +14,7 @@ send one of a million short keys through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +72,21 @@ def last_before(df: DataFrame, partition: Sequence[str], order: Sequence[Column]
     return local.withColumn(name, F.coalesce("_local", "_carry")).select(*(F.col(quoted(c)) for c in df.columns), name)
 
 
+def segment_totals(
+    df: DataFrame, partition: Sequence[str], order: Sequence[Column], totals: Mapping[str, Callable[[str], Column]], wanted: Column, keep: Sequence[str]
+) -> DataFrame:
+    """(keep, totals): for the ``wanted`` rows the totals (sum, min, ... of a column's name; nulls do not count) of the
+    rows of their partition up to each one, in two rows at most: of its own segment, and of those before."""
+    placed = _segmented(df, partition, order)
+    at = Window.partitionBy("_key", "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    within = placed.select("_key", "_part", *keep, wanted.alias("_wanted"), *(f(name).over(at).alias(name) for name, f in totals.items())).filter("_wanted")
+    segments = placed.groupBy("_key", "_part").agg(*(f(name).alias(name) for name, f in totals.items()))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = segments.select("_key", "_part", *(f(name).over(before).alias(name) for name, f in totals.items()))
+    asking = placed.filter(wanted).select("_key", "_part", *keep)
+    return within.select(*keep, *totals).unionByName(asking.join(carry.hint("merge"), ["_key", "_part"]).select(*keep, *totals))
+
+
 def combined(a: Column, b: Column, combine: Combine) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
 

@@ -169,8 +169,8 @@ def opr1_inequality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each supplier the customers with a smaller balance and a key that is not below its own, times ten."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") * 10).alias("tenfold"))
-    met = I.inequality_join(c, s, [("c_acctbal", "<", "s_acctbal"), ("c_custkey", ">=", "tenfold")], block=64)
-    return met.groupBy(F.col("right.s_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.min("left.c_custkey").alias("first"))
+    totals = {"n": (F.count(F.lit(1)), F.sum), "first": (F.min("c_custkey"), F.min)}
+    return I.inequality_totals(c, s, [("c_acctbal", "<", "s_acctbal"), ("c_custkey", ">=", "tenfold")], ["s_suppkey"], totals)
 
 
 def opr1_band(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,20 @@ def test_intervals_of_one_file_are_dealt_out(spark, monkeypatch):
     placed = spark.range(100).coalesce(1).selectExpr("id AS _lo", "id + 9 AS _hi")
     held = interval._held(placed, spark.range(100).selectExpr("id AS _at"), 100)[0]
     assert len(held.inputFiles()) == 4 and held.select("_k", "_i").distinct().count() > 1
+
+
+@pytest.mark.parametrize("ops", [("<", ">="), ("<=", "<"), (">", "<="), (">=", ">")])
+def test_totals_of_inequalities_without_pairs(spark, ops):
+    rng = random.Random(6)
+    value = lambda: rng.choice([None, *range(30)])
+    rows = [[(i, value(), float(value() or 0)) for i in range(200)] for _ in range(2)]
+    left, right = (spark.createDataFrame(r, "i int, a int, b double") for r in rows)
+    totals = {"n": (F.count(F.lit(1)), F.sum), "first": (F.min("i"), F.min)}
+    found = interval.inequality_totals(left, right.withColumn("k", F.col("i") % 150), [("a", ops[0], "a"), ("b", ops[1], "b")], ["k"], totals)
+    holds = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+    wanted = {}
+    for i, a, b in rows[0]:
+        for j, c, d in rows[1]:
+            if a is not None and c is not None and holds[ops[0]](a, c) and holds[ops[1]](b, d):
+                wanted.setdefault(j % 150, []).append(i)
+    assert {r["k"]: (r["n"], r["first"]) for r in found.collect()} == {k: (len(v), min(v)) for k, v in wanted.items()}
