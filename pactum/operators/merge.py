@@ -89,7 +89,10 @@ def staged_merge(
         counts["stale"] += sum(b["rows"] for name, b in manifest["buckets"].items() if name not in wanted)
         touched = {r["_bucket"] for r in told if r["state"] in ("written", "pruned")}
         if touched:
-            rows = states.filter(F.col("_bucket").isin(sorted(touched)) & (F.col("state") != "pruned")).drop("state", "_bucket")
+            rows = states.filter(F.col("state") != "pruned")
+            if len(touched) < len({r["_bucket"] for r in told}):  # else every row lies in a touched bucket
+                rows = rows.filter(F.col("_bucket").isin(sorted(touched)))
+            rows = rows.drop("state", "_bucket")
             manifest = stored.rewrite(manifest, rows, touched)
     return {"rewritten": len(touched), **counts, "version": manifest["version"]}
 

@@ -168,3 +168,11 @@ def test_batches_touch_the_buckets_of_their_keys(spark):
     own.apply(ops(spark, [(7, 1000, "update", "z")]), 1)
     after = own.table.manifest()["buckets"]
     assert sum(before[b] != after[b] for b in before) == 1 and json.dumps(after)
+
+
+def test_listing_many_buckets_takes_few_tasks(spark, tmp_path):
+    own = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(own)
+    with KeyedTable(spark, f"file://{tmp_path}")._few_listing_tasks():
+        assert spark.conf.get(own) == "64"
+    assert spark.conf.get(own) == before
