@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions.overloads import Functions
 from ..operators import interval as I
 from ..operators import scan as W
 from ..operators.checks import enum_ordinal
-from ..plans.session import shared_folder, table
+from ..plans.session import list_names, shared_folder, table
 from ..sources import tables as S
 from ..streaming import replication as P
 
@@ -328,13 +329,19 @@ SELECT user_id, present, conflicts, skipped, CASE WHEN present THEN kind END AS
 """
 
 
+def _half_of_files(spark: SparkSession, folder: str, before: Collection[str] = ()) -> int:
+    """So many files a batch that the new ones in ``folder`` come in two batches, however many tasks wrote them."""
+    new = [n for n in list_names(spark, folder) if n.startswith("part-") and n not in before]
+    return max(1, -(-len(new) // 2))
+
+
 def cdc2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same feed as a stream of files, applied by micro-batches; the final rows."""
     subscriber = P.StreamSubscriber(spark, "user_id", "ord")
     source = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     feed = _feed(spark, sf_dir)
-    feed.repartition(4, "ord").write.parquet(source)
-    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    feed.repartition(max(4, feed.rdd.getNumPartitions()), "ord").write.parquet(source)
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", _half_of_files(spark, source)).parquet(source)
     published = P.publish(stream, ["insert", "update", "delete", "truncate"])
     subscriber.start(published, f"{source}-checkpoint").awaitTermination()
     return subscriber.state()
@@ -346,8 +353,9 @@ def cdc2_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{shared_folder(spark)}/feed-{name}"
     feed = _feed(spark, sf_dir)
     for half in (0, 1):
-        feed.filter(F.col("ord") % 2 == half).coalesce(2).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        before = set(list_names(spark, source))
+        feed.filter(F.col("ord") % 2 == half).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", _half_of_files(spark, source, before)).parquet(source)
         P.StreamSubscriber(spark, "user_id", "ord", name=name).start(stream, f"{source}-checkpoint").awaitTermination()
     return P.StreamSubscriber(spark, "user_id", "ord", name=name).state()
 

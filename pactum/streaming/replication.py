@@ -17,6 +17,7 @@ from ..operators.scan import last_before
 from ..plans.session import materialize, scratch, shared_folder
 from ..sources.keyed_table import KeyedTable
 
+PIECE_ROWS, PIECES = 1_000_000, 64
 
 def publish(feed: DataFrame, operations: Sequence[str], tables: Sequence[str] | None = None, op: str = "op", table: str = "table_name") -> DataFrame:
     """The part of a feed that a publication carries; also on a stream."""
@@ -28,6 +29,18 @@ def last_truncate(feed: DataFrame, ordinal: str, op: str = "op") -> int | None:
     return feed.filter(F.col(op) == "truncate").agg(F.max(ordinal)).first()[0]
 
 
+def _operations(feed: DataFrame, key: str, ordinal: str, op: str, initial: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """(key, _ord, _op, payload) of what comes after the last truncate, ``initial`` rows as inserts, and the payload's names."""
+    payload = [c for c in feed.columns if c not in (key, ordinal, op)]
+    cut = last_truncate(feed, ordinal, op)
+    rows = feed.filter(F.col(op) != "truncate").select(key, F.col(ordinal).cast("long").alias("_ord"), F.col(op).alias("_op"), *payload)
+    if initial is not None:
+        rows = rows.unionByName(initial.select(key, F.lit(-1).cast("long").alias("_ord"), F.lit("insert").alias("_op"), *payload))
+    if cut is not None:
+        rows = rows.filter(F.col("_ord") > cut)
+    return rows, payload
+
+
 def fold_feed(feed: DataFrame, key: str, ordinal: str, op: str = "op", initial: DataFrame | None = None) -> DataFrame:
     """Final state and conflicts of a feed applied in commit order per key.
 
@@ -37,13 +50,7 @@ def fold_feed(feed: DataFrame, key: str, ordinal: str, op: str = "op", initial:
     depends on the key's last insert, delete or truncate only; that is carried along the segments of a range sort, so
     that a key with many operations is not one task's.
     """
-    payload = [c for c in feed.columns if c not in (key, ordinal, op)]
-    cut = last_truncate(feed, ordinal, op)
-    rows = feed.filter(F.col(op) != "truncate").select(key, F.col(ordinal).cast("long").alias("_ord"), F.col(op).alias("_op"), *payload)
-    if initial is not None:
-        rows = rows.unionByName(initial.select(key, F.lit(-1).cast("long").alias("_ord"), F.lit("insert").alias("_op"), *payload))
-    if cut is not None:
-        rows = rows.filter(F.col("_ord") > cut)
+    rows, payload = _operations(feed, key, ordinal, op, initial)
     toggle = F.when(F.col("_op").isin("insert", "delete"), F.col("_op"))
     marked = last_before(rows, [key], [F.col("_ord")], toggle, "_was").withColumn("_there", F.coalesce(F.col("_was") == "insert", F.lit(False)))
     writes = ((F.col("_op") == "insert") & ~F.col("_there")) | ((F.col("_op") == "update") & F.col("_there"))
@@ -57,9 +64,32 @@ def fold_feed(feed: DataFrame, key: str, ordinal: str, op: str = "op", initial:
 
 
 def subscribed_state(feed: DataFrame, key: str, ordinal: str, op: str = "op", initial: DataFrame | None = None) -> DataFrame:
-    """The rows of the target after the whole feed."""
-    folded = fold_feed(feed, key, ordinal, op, initial)
-    return folded.filter("present").drop("present", "conflicts", "skipped")
+    """The rows of the target after the whole feed: (key, payload columns), as ``fold_feed`` has them where present.
+
+    A row is there if an insert comes after its key's last delete. The first such insert wrote it, or the last update,
+    if that is later. So aggregates tell it, and no rows are sorted by their order. The last deletes are joined to the
+    operations by merge; a key with more than ``PIECE_ROWS`` operations is dealt out in ``PIECES`` pieces there.
+    """
+    rows, payload = _operations(feed, key, ordinal, op, initial)
+    deletes = rows.groupBy(key).agg(F.max(F.when(F.col("_op") == "delete", F.col("_ord"))).alias("_gone"), F.count(F.lit(1)).alias("_n"))
+    deletes = materialize(deletes, "deletes")
+    hashed = F.xxhash64(key)
+    large = [r["h"] for r in deletes.filter(F.col("_n") > PIECE_ROWS).select(hashed.alias("h")).collect()]  # at most rows / PIECE_ROWS
+    pieces = F.when(hashed.isin(large), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
+    deletes = deletes.select(F.col(key).alias("_of"), "_gone", F.explode(pieces).alias("_in"))
+    piece = F.when(hashed.isin(large), F.pmod(F.xxhash64("_ord"), F.lit(PIECES)).cast("int")).otherwise(0)
+    writes = rows.filter(F.col("_op").isin("insert", "update")).withColumn("_piece", piece)
+    since = writes.join(
+        deletes.hint("merge"),
+        writes[key].eqNullSafe(deletes["_of"]) & (F.col("_piece") == F.col("_in")) & (F.col("_gone").isNull() | (F.col("_ord") > F.col("_gone"))),
+    )
+    inserted, updated = (F.when(F.col("_op") == name, F.col("_ord")) for name in ("insert", "update"))
+    written = F.struct(F.lit(0), *(F.col(c).alias(f"p{i}") for i, c in enumerate(payload)))
+    found = since.groupBy(key).agg(
+        F.min(inserted).alias("_first"), F.max(updated).alias("_last"), F.min_by(written, inserted).alias("_own"), F.max_by(written, updated).alias("_later")
+    )
+    row = F.when(F.col("_last") > F.col("_first"), F.col("_later")).otherwise(F.col("_own"))
+    return found.filter(F.col("_first").isNotNull()).select(key, *(row[f"p{i}"].alias(c) for i, c in enumerate(payload)))
 
 
 class StreamSubscriber:
@@ -117,38 +147,36 @@ class StreamSubscriber:
         if not meta["enabled"] or batch_id <= meta["batch"]:
             return
         with scratch(self.spark):
-            ops = batch.select(F.lit("op").alias("_kind"), *batch.columns).dropDuplicates([self.ordinal])
+            ops = batch.select(F.lit("op").alias("_kind"), *batch.columns)
             if meta["horizon"] is not None:
                 ops = ops.filter(F.col(self.ordinal) > meta["horizon"])
             ops = materialize(ops, "batch")
-            cut = last_truncate(ops, self.ordinal, self.op)
-            cuts = [c for c in (cut, meta["truncated"]) if c is not None]
+            truncate = F.col(self.op) == "truncate"
+            found = ops.groupBy(self.table.bucket(manifest).alias("b"), F.coalesce(truncate, F.lit(False)).alias("cut"))
+            found = found.agg(F.max(self.ordinal).alias("last")).collect()  # two rows a bucket
+            cuts = [c for c in (*(r["last"] for r in found if r["cut"]), meta["truncated"]) if c is not None]
             after = meta | {"batch": batch_id, "truncated": max(cuts, default=None)}
-            ops = ops.filter(F.col(self.op) != "truncate")
             if after["truncated"] != meta["truncated"]:
                 touched = set(manifest["buckets"])
             else:
-                touched = {r["_b"] for r in ops.select(self.table.bucket(manifest).alias("_b")).distinct().collect()}  # a row a bucket
-            rows = self._advanced(self.table.read(manifest=manifest, buckets=touched), ops, after)
-            self.table.rewrite(manifest, rows, touched, after)
+                touched = {r["b"] for r in found if not r["cut"]}
+            rows = self._advanced(self.table.read(manifest=manifest, buckets=touched), ops.filter(~truncate), after)
+            self.table.rewrite(manifest, rows, touched, after, once=True)
 
     def _advanced(self, held: DataFrame, ops: DataFrame, meta: dict) -> DataFrame:
-        """The rows of the touched buckets with ``ops`` applied. A row of the base stands at the horizon."""
+        """The rows of the touched buckets with ``ops`` applied. A row of the base stands at the horizon. An operation that
+        was sent before is the same row again: it changes nothing in the fold, and the rewrite keeps one. The operations
+        held are read again where they lie; only the rows of now are written aside."""
         kept = held.filter("_kind <> 'now'").unionByName(ops)
         if meta["truncated"] is not None:
             horizon = F.lit(-1 if meta["horizon"] is None else meta["horizon"])
             kept = kept.filter(F.coalesce(F.col(self.ordinal), horizon) > meta["truncated"] - F.when(F.col("_kind") == "base", 1).otherwise(0))
-        # An operation that was sent before is the same row again.
-        kept = materialize(kept.dropDuplicates([self.key, "_kind", self.ordinal]), "kept")
-        moved = kept.filter("_kind = 'op'").select(self.key).distinct()
-        base = kept.filter("_kind = 'base'")
-        initial = base.join(moved, base[self.key].eqNullSafe(moved[self.key]), "left_semi").drop("_kind", self.ordinal, self.op)
-        folded = subscribed_state(kept.filter("_kind = 'op'").drop("_kind"), self.key, self.ordinal, self.op, initial)
-        still = base.join(moved, base[self.key].eqNullSafe(moved[self.key]), "left_anti").drop("_kind", self.ordinal, self.op)
-        now = still.unionByName(folded).select(F.lit("now").alias("_kind"), "*")
+        base = None if meta["horizon"] is None else kept.filter("_kind = 'base'").drop("_kind", self.ordinal, self.op)
+        now = subscribed_state(kept.filter("_kind = 'op'").drop("_kind"), self.key, self.ordinal, self.op, base)
+        now = now.select(F.lit("now").alias("_kind"), "*")
         for name in (self.ordinal, self.op):
             now = now.withColumn(name, F.lit(None).cast(kept.schema[name].dataType))
-        return materialize(kept.unionByName(now), "advanced")
+        return kept.unionByName(materialize(now, "now"))
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

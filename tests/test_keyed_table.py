@@ -1,6 +1,8 @@
 """Stored tables and subscriptions: versions, buckets, failures half way, restarts."""
 
+import contextlib
 import json
+import random
 
 import pytest
 
@@ -176,3 +178,54 @@ def test_listing_many_buckets_takes_few_tasks(spark, tmp_path):
     with KeyedTable(spark, f"file://{tmp_path}")._few_listing_tasks():
         assert spark.conf.get(own) == "64"
     assert spark.conf.get(own) == before
+
+
+def test_a_batch_writes_aside_what_is_new_only(spark, monkeypatch):
+    """Operations held are read where they lie: what a batch writes aside does not grow with those before it."""
+    schema, written = "id long, n long, op string, v string", []
+    kept = replication.materialize
+    monkeypatch.setattr(replication, "materialize", lambda df, name="stage": written.append((name, kept(df, name))) or written[-1][1])
+    monkeypatch.setattr(replication, "scratch", lambda spark: contextlib.nullcontext())
+    subscriber = replication.StreamSubscriber(spark, "id", "n", buckets=2)
+    subscriber.apply(spark.createDataFrame([(i % 5, i, "update" if i > 4 else "insert", str(i)) for i in range(500)], schema), 0)
+    written.clear()
+    late = [(i, 500 + i, "delete" if i == 3 else "update", "z") for i in range(5)]
+    # Sent again, and twice: the same rows again.
+    subscriber.apply(spark.createDataFrame(late + late[:1] + [(4, 4, "insert", "4")], schema), 1)
+    assert all(df.count() <= 7 for _, df in written)
+    assert state(subscriber) == [(0, "z"), (1, "z"), (2, "z"), (4, "z")]
+    assert subscriber.table.read().filter("_kind = 'op'").count() == 505
+
+
+@pytest.mark.parametrize("rows", (1_000_000, 20))
+def test_rows_of_a_subscription_are_those_of_the_fold(spark, monkeypatch, rows):
+    """Large keys are dealt out in pieces, nulls among keys and values included."""
+    monkeypatch.setattr(replication, "PIECE_ROWS", rows)
+    rng = random.Random(rows)
+    ops = [(rng.choice([None, 1, 2, 3, *[9] * 6, *range(10, 60)]), n, "truncate" if n == 20 else rng.choice(["insert", "update", "update", "delete"]), rng.choice([None, "a", "b"])) for n in range(900)]
+    rng.shuffle(ops)
+    feed, initial = spark.createDataFrame(ops, "k long, n long, op string, v string"), spark.createDataFrame([(70, None)], "k long, v string")
+    for cut in (feed, feed.filter("op <> 'truncate'")):
+        folded = replication.fold_feed(cut, "k", "n", initial=initial).filter("present")
+        found = replication.subscribed_state(cut.unionByName(cut.filter("n % 7 = 0")), "k", "n", initial=initial)
+        assert sorted(map(str, found.collect())) == sorted(map(str, folded.select("k", "v").collect()))
+
+
+def test_the_feed_of_a_restart_is_written_and_read_by_many_tasks(spark, tmp_path):
+    from pactum.plans.session import list_names, shared_folder
+    from pactum.queries import routines
+
+    rows = spark.range(4000).selectExpr("id AS event_id", "id % 30 AS user_id", "'view' AS event_type")
+    rows.repartition(40).write.parquet(f"{tmp_path}/events.parquet")
+    before = set(list_names(spark, shared_folder(spark)))
+    files = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        found = {tuple(r) for r in routines.cdc2_restart(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", files)
+    assert found == {(r["user_id"], r["kind"]) for r in routines.cdc2(spark, str(tmp_path)).filter("present").collect()}
+    (feed,) = [n for n in set(list_names(spark, shared_folder(spark))) - before if n.startswith("feed-") and not n.endswith("-checkpoint")]
+    assert len([n for n in list_names(spark, f"{shared_folder(spark)}/{feed}") if n.startswith("part-")]) > 4
+    (name,) = [n for n in set(list_names(spark, shared_folder(spark))) - before if n.startswith("subscription-")]
+    assert KeyedTable(spark, f"{shared_folder(spark)}/{name}").manifest()["meta"]["batch"] == 3  # two batches a run still
