@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -57,6 +58,13 @@ class _AsUnassigned(dict):
 _as_unassigned = _AsUnassigned()
 
 
+def _perhaps_newer() -> re.Pattern:
+    """Code points that may be newer than Unicode 16: the unassigned ones below 2^16, which is one table to look in, and
+    all above, whose list would be gone through for every character."""
+    low = "".join(f"\\u{c:04x}" for c in range(0x80, 0x10000) if _as_unassigned[c] != c)
+    return re.compile(f"[{low}\U00010000-\U0010ffff]")
+
+
 class Vocabulary:
     """Encoder and decoder over ``ranks`` (bytes -> rank); ``pattern`` splits a text into pieces."""
 
@@ -66,6 +74,7 @@ class Vocabulary:
 
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        self.perhaps_newer = _perhaps_newer().search
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -182,7 +191,7 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """The pattern's pieces, with code points that are newer than the pattern's Unicode version unassigned."""
-        if text.isascii():
+        if text.isascii() or not self.perhaps_newer(text):
             return self.split(text)
         plain = text.translate(_as_unassigned)
         if plain == text:
@@ -193,82 +202,42 @@ class Vocabulary:
             at += len(piece)
         return out
 
-    def packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        for piece in self.pieces(text):
-            ids += self.piece_ids(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class _Uneven(Exception):
-    """A word with white space at its edge: the text needs the careful cut."""
-
-
-class _Chunks(dict):
-    """Words -> packed ids of the word with a space before it. Two generations keep what is used; both are
-    bounded, and long words are not kept."""
+class _Pieces(dict):
+    """Pieces -> packed ids. Two generations keep what is used; both are bounded, and long pieces are not kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary, self.old = vocabulary, {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
         if found is None:
-            if not word or word[0].isspace() or word[-1].isspace():
-                raise _Uneven
-            found = self.vocabulary.packed(" " + word)
-        if len(word) <= LONG_PIECE:
+            ids = self.vocabulary.piece_ids(piece.encode())
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONG_PIECE:
             if len(self) >= PIECES_KEPT:
                 self.old = dict(self)
                 self.clear()
-            self[word] = found
+            self[piece] = found
         return found
 
 
-def split_at_spaces(text: str) -> list[str]:
-    """Cut a text before every single space that has non-white-space on both sides.
+class TextEncoder:
+    """Whole texts to packed little-endian unsigned 32-bit ids.
 
-    The published pattern never joins across such a border, so each part can be encoded alone. Where a space has
-    white space beside it the cut is left out.
+    A text is cut into its pieces in one pass, and each different piece is worked out once: words with marks or line
+    ends beside them are many, their pieces are few.
     """
-    words = text.split(" ")
-    parts = words[:1]
-    glued = not words[0] or words[0][-1].isspace()
-    for word in words[1:]:
-        if glued or not word or word[0].isspace():
-            parts[-1] += " " + word
-        else:
-            parts.append(" " + word)
-        glued = not word or word[-1].isspace()
-    return parts
-
-
-class TextEncoder:
-    """Whole texts to packed little-endian unsigned 32-bit ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.chunks = vocabulary, _Chunks(vocabulary)
+        self.vocabulary, self.known = vocabulary, _Pieces(vocabulary)
 
     def packed(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        try:
-            if rest and (not first or first[-1].isspace()):
-                raise _Uneven
-            ids = self.vocabulary.packed(first) + b"".join(map(self.chunks.__getitem__, rest))
-        except _Uneven:
-            known = self.chunks.get
-            ids = b"".join(
-                (known(part[1:]) if part[0] == " " else None) or self.vocabulary.packed(part)
-                for part in split_at_spaces(text)
-            )
-        return ids
+        return b"".join(map(self.known.__getitem__, self.vocabulary.pieces(text)))
 
 
 def read_ranks(path: str) -> bytes:

@@ -128,3 +128,13 @@ def test_shard_edges(clashing, empty, nameless):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in found) == [(False, 0)] * 2 + [(True, 7)] * 3 + [(True, 9)]
     ends = sorted((r["start"], r["n_tokens"]) for r in found)
     assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
+
+
+def test_a_piece_is_worked_out_once_whatever_stands_beside_it(library, monkeypatch):
+    own = byte_bpe.TextEncoder(byte_bpe.encoder_of(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN).vocabulary)
+    asked, walk = [], own.vocabulary.piece_ids
+    monkeypatch.setattr(own.vocabulary, "piece_ids", lambda piece: asked.append(piece) or walk(piece))
+    words = ["thandouhe", "reoushing", "ciónmente", "\U0001dffdx"]
+    text = " ".join(a + mark + b for a in words for b in words for mark in (".\n", ", ", "; ", " ", "\n\n", "-"))
+    assert own.packed(text) == packed(library.encode_ordinary(text))
+    assert len(asked) == len(set(asked))
