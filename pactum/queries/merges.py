@@ -13,9 +13,10 @@ from ..operators.ordering import global_ordinal
 from ..operators.scan import gathered_pieces
 from ..plans.session import shared_folder, table
 from ..sources.keyed_table import KeyedTable
-from .pairs import SQL_PAIR, actual_orders, desired_orders
+from .pairs import SQL_PAIR, actual_orders, desired_orders, keyed_orders
 
 KEY = ["o_orderkey"]
+STORED_KEY = [*KEY, "copy"]
 
 
 def _merged(prune: bool):
@@ -43,9 +44,10 @@ def mrg1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mrg1_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored table after two merges of the same source, with what the second one wrote."""
     path = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
-    M.staged_merge(path, actual_orders(spark, sf_dir), KEY)
-    M.staged_merge(path, desired_orders(spark, sf_dir), KEY, prune=True)
-    again = M.staged_merge(path, desired_orders(spark, sf_dir), KEY, prune=True)
+    actual, desired = keyed_orders(spark, sf_dir)
+    M.staged_merge(path, actual, STORED_KEY)
+    M.staged_merge(path, desired, STORED_KEY, prune=True)
+    again = M.staged_merge(path, desired, STORED_KEY, prune=True)
     return KeyedTable(spark, path).read().select(
         "o_orderkey", "o_totalprice", F.lit(again["written"] + again["pruned"]).alias("written"), F.lit(again["rewritten"]).alias("rewritten")
     )
@@ -56,9 +58,10 @@ def mrg1_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first version is read last, when the others are long there."""
     path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
     stored = KeyedTable(spark, path)
-    actual, desired = actual_orders(spark, sf_dir), desired_orders(spark, sf_dir)
-    stored.create(actual.schema, KEY, buckets=4, split_rows=1000)
-    states = [M.staged_merge(path, actual, KEY), M.staged_merge(path, desired.filter("o_orderkey % 2 = 0"), KEY, buckets=16), M.staged_merge(path, desired, KEY, prune=True)]
+    actual, desired = keyed_orders(spark, sf_dir)
+    stored.create(actual.schema, STORED_KEY, buckets=4, split_rows=1000, by=KEY)
+    even = desired.filter("o_orderkey % 2 = 0")
+    states = [M.staged_merge(path, actual, STORED_KEY), M.staged_merge(path, even, STORED_KEY, buckets=16), M.staged_merge(path, desired, STORED_KEY, prune=True)]
     views = [stored.read(s["version"]).select("o_orderkey", "o_totalprice", F.lit(i).alias("step")) for i, s in enumerate(states)]
     return views[2].unionByName(views[1]).unionByName(views[0])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import table
@@ -23,6 +23,14 @@ def desired_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(copies)
 
 
+def keyed_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(actual, desired) with ``copy``, which makes the key whole: once keys reach 10,000,000, a copy's new key may be one
+    that ``orders`` has. The rows of a desired key are numbered from 0; the actual one is number 0."""
+    own = Window.partitionBy("o_orderkey").orderBy(*COLUMNS[1:])
+    desired = desired_orders(spark, sf_dir).withColumn("copy", F.row_number().over(own) - 1)
+    return actual_orders(spark, sf_dir).withColumn("copy", F.lit(0)), desired
+
+
 #: Common table expressions ``actual`` and ``desired`` of the oracle.
 SQL_PAIR = """
 actual AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders),

@@ -229,3 +229,56 @@ def test_the_feed_of_a_restart_is_written_and_read_by_many_tasks(spark, tmp_path
     assert len([n for n in list_names(spark, f"{shared_folder(spark)}/{feed}") if n.startswith("part-")]) > 4
     (name,) = [n for n in set(list_names(spark, shared_folder(spark))) - before if n.startswith("subscription-")]
     assert KeyedTable(spark, f"{shared_folder(spark)}/{name}").manifest()["meta"]["batch"] == 3  # two batches a run still
+
+
+def files_below(folder):
+    return [p for p in folder.rglob("*.parquet")]
+
+
+def test_small_buckets_share_files(spark, frame, tmp_path, monkeypatch):
+    path, table = f"file://{tmp_path}/t", KeyedTable(spark, f"file://{tmp_path}/t")
+    table.create(frame([]).schema, ["k"], buckets=2, split_rows=20)
+    rows = [(i, "a") for i in range(1000)]
+    merge.staged_merge(path, frame(rows), ["k"])
+    assert len(table.manifest()["buckets"]) >= 64 and len(files_below(tmp_path / "t")) == 1
+    # What has been rewritten since is left out of the files of before, and one bucket alone can be read.
+    seen, late = table.manifest(), [(i, "b") for i in range(0, 1000, 199)]
+    merge.staged_merge(path, frame(late), ["k"])
+    merge.staged_merge(path, frame([(0, "c")]), ["k"])
+    now = {**dict(rows), **dict(late), 0: "c"}
+    assert rows_of(table.read()) == sorted(now.items()) and rows_of(table.read(manifest=seen)) == rows
+    manifest = table.manifest()
+    for key in (0, 1, 199):
+        (name,) = [r[0] for r in frame([(key, "")]).select(table.bucket(manifest)).collect()]
+        found = rows_of(table.read(buckets=[name]))
+        assert (key, now[key]) in found and len(found) == manifest["buckets"][name]["rows"]
+    monkeypatch.setattr("pactum.sources.keyed_table.GROUP_ROWS", 100)
+    table.rebucket(4)
+    assert 8 <= len(files_below(next(f for f in (tmp_path / "t/data").iterdir() if f.name in table.manifest()["folders"]))) <= 16
+    assert rows_of(table.read()) == sorted(now.items())
+
+
+def test_a_table_with_a_folder_for_each_bucket_is_still_read(spark, frame, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t")
+    manifest, rows = table.create(frame([]).schema, ["k"], buckets=2), frame([(i, "a") for i in range(10)])
+    rows.withColumn("_bucket", table.bucket(manifest)).write.partitionBy("_bucket").parquet(f"{tmp_path}/t/data/old")
+    sizes = {r[0]: r[1] for r in rows.groupBy(table.bucket(manifest)).count().collect()}
+    table.commit(manifest | {"buckets": {b: {"folder": "old", "rows": n} for b, n in sizes.items()}})
+    assert rows_of(table.read()) == [(i, "a") for i in range(10)]
+    merge.staged_merge(table.path, frame([(3, "b")]), ["k"])
+    assert rows_of(table.read()) == [(i, "b" if i == 3 else "a") for i in range(10)]
+
+
+@pytest.mark.parametrize("name", ("mrg1_table_versions", "mrg1_staged_merge"))
+def test_new_keys_that_orders_has_already(spark, tmp_path, name):
+    """From 10,000,000 on, the keys that ``desired`` gives its copies are those of other orders."""
+    import duckdb
+
+    from pactum.queries import merges
+
+    small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    small.unionByName(small.withColumn("o_orderkey", small["o_orderkey"] + 10_000_000)).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+        wanted = db.execute(merges.SQL[name]).fetchall()
+    assert sorted(tuple(r) for r in merges.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(wanted)
