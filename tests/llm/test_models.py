@@ -235,6 +235,65 @@ def test_no_group_is_larger_than_a_part(spark):
     assert start.count() == 1 and few.count() > 4
 
 
+def plain_katz_of_order(rows, order):
+    """Scores by the same model of any order: histories are the last words, up to the start of the text."""
+    taught = [[None, *lm_scores.tokens(t)] for k, t, *_ in rows if k is None or crc(k, 5) != 1]
+    grams = [Counter(tuple(own[i : i + k]) for own in taught for i in range(len(own) - k + 1)) for k in range(1, order + 1)]
+    words = Counter({w: c for (w,), c in grams[0].items() if w is not None})
+    n, v = sum(words.values()), len(words)
+    after, mass = {}, {}
+    for k in range(2, order + 1):
+        times = Counter(grams[k - 1].values())
+        factors = lm_scores.good_turing([times[r] for r in range(1, lm_scores.CUTOFF + 2)])
+        for (*h, w), c in grams[k - 1].items():
+            after.setdefault(tuple(h), {})[w] = c
+            mass[*h, w] = c * (factors[c - 1] if c <= lm_scores.CUTOFF else 1)
+    weights = {}
+
+    def p(h, w):
+        if not h:
+            return (words[w] + 0.5) / (n + 0.5 * (v + 1))
+        if h not in after:
+            return p(h[1:], w)
+        if h not in weights:
+            own, n_h = sum(mass[*h, x] for x in after[h]), sum(after[h].values())
+            by = n_h if n_h - own > n_h * 1e-12 else own + 1
+            weights[h] = by, (1 - own / by) / (1 - sum(p(h[1:], x) for x in after[h]))
+        by, alpha = weights[h]
+        return mass[*h, w] / by if w in after[h] else alpha * p(h[1:], w)
+
+    texts = [[None, *lm_scores.tokens(t)] for _, t, *_ in rows]
+    return [sum(math.log10(p(tuple(own[max(0, i - order + 1) : i]), own[i])) for i in range(1, len(own))) for own in texts], p, words, after
+
+
+@pytest.mark.parametrize("order, block, part", [(3, 1 << 20, 1 << 20), (3, 500, 300), (4, 700, 1000)])
+def test_scores_of_higher_orders(spark, order, block, part):
+    """Trigrams and up, hot histories that are split included, are those of a plain model; each history sums to one."""
+    rows = [*some_prose(), (5, None, None, None, None), (None, "w1 w2 zz", None, None, None), (7, "q", None, None, None), (7, "q", None, None, None)]
+    rows += [(1000 + i, "w1 w1 w1 " + " ".join(f"w{j % (i + 2)}" for j in range(40)), None, None, None) for i in range(60)]
+    found = dicts(lm_scores.score_report(spark.createDataFrame(rows, SCHEMA).repartition(3), block, part, order))
+    check_scores(found, rows)
+    scores, p, words, after = plain_katz_of_order(rows, order)
+    assert all(math.isclose(sum(p(h, w) for w in words) + p(h, b"never met"), 1, rel_tol=1e-9) for h in [*after][::40])
+    key = lambda k, s: (k is None, k, round(s, 6))
+    assert sorted(key(r["doc_id"], r["score"]) for r in found) == sorted(key(r[0], s) for r, s in zip(rows, scores))
+    assert np.allclose(plain_katz_of_order(rows, 2)[0], plain_katz(rows)[0])
+
+
+def test_the_query_counts_trigrams(spark, tmp_path):
+    """Texts of the same bigrams are told apart by their trigrams."""
+    from pyspark.sql import functions as F
+
+    taught = [k for k in range(200) if crc(k, 5) != 1]
+    rows = [(k, "a b c d b e" if k % 2 else "g b c h b e", None, None, None) for k in taught]
+    same, other = [k for k in range(1000, 1100) if crc(k, 5) == 1][:2]
+    rows += [(same, "a b c d b e", None, None, None), (other, "g b c d b e", None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["score"] for r in lm_scores.op5_lm_scores(spark, str(tmp_path)).filter(F.col("held_out")).collect()}
+    scores = dict(zip([r[0] for r in rows], plain_katz_of_order(rows, lm_scores.ORDER)[0]))
+    assert lm_scores.ORDER >= 3 and all(math.isclose(found[k], scores[k], rel_tol=1e-9) for k in (same, other))
+
+
 def test_base_scores(docs, rows):
     check_scores(dicts(lm_scores.score_report(docs)), rows)
 
